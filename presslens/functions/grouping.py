@@ -88,10 +88,46 @@ def running_sums(df: DataFrame, keys: list[str], order: list[Column], sums: dict
     return cool.unionByName(warm)
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: list[Column], out: str,
+def row_numbers(df: DataFrame, keys: list[str], order: list[Column] | dict[str, list[Column]], out: str | None = None,
                 hot_limit: int | None = None) -> DataFrame:
-    """1-based position of each row in its key; ``order`` must be total in a key."""
-    return running_sums(df, keys, order, {out: F.lit(1).cast("long")}, hot_limit)
+    """1-based position of each row in its key; an order must be total in a key.
+
+    Several orders (``{out: order}``) share one check for hot groups and one shuffle.
+    """
+    orders = order if isinstance(order, dict) else {out: order}
+
+    def plain(part: DataFrame) -> DataFrame:
+        return part.select("*", *[F.row_number().over(W.partitionBy(*keys).orderBy(*o)).cast("long").alias(n)
+                                  for n, o in orders.items()])
+
+    hot = hot_groups(df, keys, hot_limit)
+    if hot is None:
+        return plain(df)
+    rows = hot.agg(F.sum("_n")).first()[0]
+    hot_keys = F.broadcast(hot.select(*keys))
+    cool = plain(df.join(hot_keys, keys, "left_anti"))
+    warm = df.join(hot_keys, keys, "left_semi")
+    for name, o in orders.items():
+        warm = _sliced_sums(warm, keys, o, {name: F.lit(1).cast("long")}, _slices(rows, hot_limit))
+    return cool.unionByName(warm)
+
+
+def medians(df: DataFrame, keys: list[str], cols: list[str], hot_limit: int | None = None) -> DataFrame:
+    """Exact medians per key (nulls skipped) from value counts, never from one task's list of values."""
+    out = None
+    one = [] if keys else ["_all"]
+    for c in cols:
+        rows = df.select(*keys, *[F.lit(0).alias(k) for k in one], F.col(c).cast("double").alias("_v"))
+        counts = rows.filter(F.col("_v").isNotNull()).groupBy(*keys, *one, "_v").agg(F.count("*").alias("_c"))
+        upto = running_sums(counts, keys + one, [F.col("_v")], {"_upto": F.col("_c")}, hot_limit)
+        total = counts.groupBy(*keys, *one).agg(F.sum("_c").alias("_n"))
+        placed = upto.join(total, keys + one)
+        lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+        def at(pos):
+            return F.when((F.col("_upto") >= pos) & (F.col("_upto") - F.col("_c") < pos), F.col("_v"))
+        picked = placed.groupBy(*keys, *one).agg(((F.max(at(lower)) + F.max(at(upper))) / 2.0).alias(c))
+        out = picked if out is None else out.join(picked, keys + one, "full")
+    return out.drop(*one)
 
 
 def global_index(df: DataFrame, order: list[Column], out: str, hot_limit: int | None = None) -> DataFrame:
