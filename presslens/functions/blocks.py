@@ -20,6 +20,10 @@ def _spread(df: DataFrame, own: str, other: str, n_other: str) -> DataFrame:
     return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
 
 
+def _renewed(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
                 run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
                 by: list[str] | None = None, left_rows: int = 4096, right_rows: int = 16384) -> DataFrame:
@@ -34,7 +38,8 @@ def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
         cut_l = left.groupBy(*by).agg(F.ceil(F.count("*") / left_rows).alias("_nl"))
         cut_r = right.groupBy(*by).agg(F.ceil(F.count("*") / right_rows).alias("_nr"))
         cuts = cut_l.join(cut_r, by).withColumn("_pack", F.pmod(F.xxhash64(*by), F.lit(packs)))
-        left, right = left.join(cuts, by), right.join(cuts, by)
+        # fresh column names on each side, as both may come from the same table
+        left, right = (_renewed(d.join(cuts, by)) for d in (left, right))
     left = left.withColumn("_lb", F.pmod(F.xxhash64(left_id), F.col("_nl")))
     right = right.withColumn("_rb", F.pmod(F.xxhash64(right_id), F.col("_nr")))
     left = _spread(left, "_lb", "_rb", "_nr").drop("_nl", "_nr")

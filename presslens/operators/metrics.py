@@ -169,7 +169,7 @@ def _replicate_weights(df: DataFrame, seed: int, n_replicates: int) -> DataFrame
         draw = F.conv(F.substring("_digest", 8 * i + 1, 8), 16, 10).cast("long")
         weight = sum((F.when(draw >= c, 1).otherwise(0) for c in POISSON_CUTS), F.lit(0))
         draws.append(F.struct((F.col("_block") * 4 + i).alias("replicate"), weight.alias("weight")))
-    rows = rows.drop("_digest").select(*[c for c in df.columns], F.inline(F.array(*draws)))
+    rows = rows.select(*df.columns, F.inline(F.array(*draws)))
     return rows.filter((F.col("weight") > 0) & (F.col("replicate") < n_replicates))
 
 

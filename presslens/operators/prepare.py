@@ -139,8 +139,11 @@ def recover_history_arrays(clicks: DataFrame, arrays: dict[str, str], user: str
     part = F.floor(F.col("pos") / part_size)
     packed = clicks.groupBy(user, part.alias("part")).agg(
         F.sort_array(F.collect_list(F.struct("pos", *arrays))).alias("_rows"))
-    return packed.select(user, "part", *[
-        F.transform("_rows", lambda r, c=c: r[c]).alias(o) for c, o in arrays.items()])
+
+    def column(name: str) -> Column:
+        return F.transform("_rows", lambda r: r[name])
+
+    return packed.select(user, "part", *[column(c).alias(o) for c, o in arrays.items()])
 
 
 def temporal_split(df: DataFrame, ts: str, boundaries: dict[str, tuple]) -> DataFrame:

@@ -82,8 +82,8 @@ def train_popularity(imp: DataFrame, articles: DataFrame, alpha: float = 1.0) ->
 def popularity_score(imp: DataFrame, popularity: DataFrame, out: str = "score") -> DataFrame:
     """Popularity of each candidate; unseen articles get the floor."""
     floor = popularity.filter(F.col("article_id").isNull()).agg(F.max("popularity")).scalar()
-    known = popularity.filter(F.col("article_id").isNotNull()).withColumnRenamed("popularity", "_p")
-    return imp.join(known, "article_id", "left").withColumn(out, F.coalesce("_p", floor)).drop("_p")
+    known = popularity.filter(F.col("article_id").isNotNull()).withColumnRenamed("popularity", "_known_pop")
+    return imp.join(known, "article_id", "left").withColumn(out, F.coalesce("_known_pop", floor)).drop("_known_pop")
 
 
 def history_popularity(hist: DataFrame, half_life_hours: float = HALF_LIFE_HOURS,

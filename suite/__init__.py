@@ -1,0 +1 @@
+"""Registered queries: each has a Spark function and, where SQL can express it, an oracle."""
