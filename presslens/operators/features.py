@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from presslens.functions.expr import dot, doubles, epoch_seconds, unit
-from presslens.functions.grouping import medians, row_numbers, top_k
+from presslens.functions.grouping import checkpointed, medians, row_numbers, top_k
 from presslens.functions.vectors import dimension, sum_vector
 from presslens.operators.prepare import UNKNOWN, sentiment_code
 
@@ -79,34 +79,47 @@ def long_term_vector(clicks: DataFrame, vecs: DataFrame, dim: int | None = None)
     return sums.select("user_id", unit("_s").alias("vec"))
 
 
-def value_affinity(imp: DataFrame, affinity: DataFrame, values: DataFrame, value: str, out: str) -> DataFrame:
-    """Sum of the user's affinities over the candidate's values, 0 where there is none."""
-    pairs = imp.select("user_id", "article_id").distinct().join(values, "article_id")
-    sums = pairs.join(affinity, ["user_id", value]).groupBy("user_id", "article_id").agg(F.sum("affinity").alias("_a"))
-    return imp.join(sums, ["user_id", "article_id"], "left").withColumn(out, F.coalesce("_a", F.lit(0.0))).drop("_a")
+PAIR = ["user_id", "article_id"]
+MOMENT = ["user_id", "p", "article_id"]
 
 
-def _similarity(imp: DataFrame, users: DataFrame, user_vecs: DataFrame, articles: DataFrame, vecs: DataFrame,
-                out: str) -> DataFrame:
-    """Dot product; null for an unknown user or article, 0 where a known one has no vector."""
-    pairs = imp.select("user_id", "article_id").distinct()
-    pairs = pairs.join(users, "user_id").join(articles.select("article_id").distinct(), "article_id")
-    scored = (pairs.join(vecs.select("article_id", F.col("vec").alias("_i")), "article_id", "left")
-              .join(user_vecs.select("user_id", F.col("vec").alias("_u")), "user_id", "left")
-              .select("user_id", "article_id", F.coalesce(dot("_u", "_i"), F.lit(0.0)).alias(out)))
-    return imp.join(scored, ["user_id", "article_id"], "left")
+def pairs_of(imp: DataFrame) -> DataFrame:
+    """Distinct (user, article) of the candidates: features of a pair are computed once."""
+    return imp.select(*PAIR).distinct()
+
+
+def value_affinity(pairs: DataFrame, affinity: DataFrame, values: DataFrame, value: str, out: str) -> DataFrame:
+    """(user_id, article_id, out): sum of the user's affinities over the article's values; absent means 0."""
+    hits = pairs.join(values, "article_id").join(affinity, ["user_id", value])
+    return hits.groupBy(*PAIR).agg(F.sum("affinity").alias(out))
+
+
+def similarity(pairs: DataFrame, users: DataFrame, user_vecs: DataFrame, articles: DataFrame, vecs: DataFrame,
+               out: str) -> DataFrame:
+    """(user_id, article_id, out): dot product, 0 where a known side has no vector; no row if a side is unknown."""
+    known = pairs.join(users, "user_id").join(articles.select("article_id").distinct(), "article_id")
+    return (known.join(vecs.select("article_id", F.col("vec").alias("_i")), "article_id", "left")
+            .join(user_vecs.select("user_id", F.col("vec").alias("_u")), "user_id", "left")
+            .select(*PAIR, F.coalesce(dot("_u", "_i"), F.lit(0.0)).alias(out)))
+
+
+def long_term_pairs(pairs: DataFrame, hist: DataFrame, articles: DataFrame, subcats: DataFrame, topics: DataFrame,
+                    vecs: DataFrame) -> DataFrame:
+    """The four long-term similarity features of each pair."""
+    clicks = engaged_clicks(hist, articles)
+    users = hist.select("user_id").distinct()
+    out = pairs
+    for values, value, name in ((category_of(articles), "category", "lt_cat_affinity"),
+                                (subcats, "subcategory", "lt_subcat_affinity"), (topics, "topic", "lt_topic_affinity")):
+        out = out.join(value_affinity(pairs, long_term_affinity(clicks, values, value), values, value, name), PAIR, "left")
+    out = out.join(similarity(pairs, users, long_term_vector(clicks, vecs), articles, vecs, "lt_embed_sim"), PAIR, "left")
+    return out.fillna(0.0, LONG_TERM[:3])
 
 
 def long_term_features(imp: DataFrame, hist: DataFrame, articles: DataFrame, subcats: DataFrame, topics: DataFrame,
                        vecs: DataFrame) -> DataFrame:
     """``lt_cat_affinity``, ``lt_subcat_affinity``, ``lt_topic_affinity``, ``lt_embed_sim``."""
-    clicks = engaged_clicks(hist, articles)
-    cats = category_of(articles)
-    users = hist.select("user_id").distinct()
-    rows = value_affinity(imp, long_term_affinity(clicks, cats, "category"), cats, "category", "lt_cat_affinity")
-    rows = value_affinity(rows, long_term_affinity(clicks, subcats, "subcategory"), subcats, "subcategory", "lt_subcat_affinity")
-    rows = value_affinity(rows, long_term_affinity(clicks, topics, "topic"), topics, "topic", "lt_topic_affinity")
-    return _similarity(rows, users, long_term_vector(clicks, vecs), articles, vecs, "lt_embed_sim")
+    return imp.join(long_term_pairs(pairs_of(imp), hist, articles, subcats, topics, vecs), PAIR)
 
 
 def _ranks(grid: DataFrame, group: list[str]) -> DataFrame:
@@ -123,20 +136,24 @@ def _ranks(grid: DataFrame, group: list[str]) -> DataFrame:
     return grid.withColumn("rank", F.when(read, by_mass.cast("long")).otherwise(n_read + F.col("code") - below))
 
 
-def category_rank(imp: DataFrame, hist: DataFrame, articles: DataFrame, vocab: DataFrame,
-                  out: str = "lt_cat_rank") -> DataFrame:
-    """Rank of the candidate's category in the user's long-term preference (0 = best); null if unknown."""
+def category_rank_pairs(pairs: DataFrame, hist: DataFrame, articles: DataFrame, vocab: DataFrame,
+                        out: str = "lt_cat_rank") -> DataFrame:
+    """(user_id, article_id, out): rank of the article's category in the user's preference (0 = best)."""
     codes = vocab.select(F.col("value").alias("category"), F.col("code").cast("long").alias("code"))
     cats = category_of(articles).join(codes, "category")
     affinity = long_term_affinity(engaged_clicks(hist, articles), cats.select("article_id", "category"), "category")
-    users = hist.select("user_id").distinct()
-    wanted = imp.select("user_id", "article_id").distinct().join(users, "user_id").join(cats, "article_id")
+    wanted = pairs.join(hist.select("user_id").distinct(), "user_id").join(cats, "article_id")
     asked = wanted.select("user_id", "category", "code", F.lit(0.0).alias("mass"))
     grid = affinity.join(codes, "category").select("user_id", "category", "code", F.col("affinity").alias("mass"))
     grid = grid.unionByName(asked).groupBy("user_id", "category", "code").agg(F.max("mass").alias("mass"))
     ranks = _ranks(grid, ["user_id"]).select("user_id", "category", F.col("rank").alias(out))
-    pairs = wanted.join(ranks, ["user_id", "category"]).select("user_id", "article_id", out)
-    return imp.join(pairs, ["user_id", "article_id"], "left")
+    return wanted.join(ranks, ["user_id", "category"]).select(*PAIR, out)
+
+
+def category_rank(imp: DataFrame, hist: DataFrame, articles: DataFrame, vocab: DataFrame,
+                  out: str = "lt_cat_rank") -> DataFrame:
+    """Add the long-term category rank of each candidate; null if user or category is unknown."""
+    return imp.join(category_rank_pairs(pairs_of(imp), hist, articles, vocab, out), PAIR, "left")
 
 
 def user_sentiment(hist: DataFrame, articles: DataFrame) -> DataFrame:
@@ -189,8 +206,9 @@ def window_mass(probes: DataFrame, clicks: DataFrame, keys: list[str], values: l
     merged = clicks.groupBy(*keys, "t").agg(*[F.sum(v).cast("double").alias(v) for v in values])
     zero = [F.lit(0.0).alias(v) for v in values]
     null_p = F.lit(None).cast("long")
-    line = merged.select(*keys, block(t).alias("_b"), t.alias("_t"), F.lit(1).alias("_kind"), null_p.alias("p"),
-                         *[(F.col(v) * F.exp(age(block(t), t))).alias(v) for v in values])
+    grown = merged.withColumn("_g", F.exp(age(block(t), t)))
+    line = grown.select(*keys, block(t).alias("_b"), t.alias("_t"), F.lit(1).alias("_kind"), null_p.alias("p"),
+                        *[(F.col(v) * F.col("_g")).alias(v) for v in values])
     asked = probes.select(*keys, p.alias("p")).distinct()
     now = asked.select(*keys, block(p).alias("_b"), p.alias("_t"), F.lit(0).alias("_kind"), p.alias("p"), *zero)
     then = asked.select(*keys, block(p - span).alias("_b"), (p - span).alias("_t"), F.lit(0).alias("_kind"), p.alias("p"), *zero)
@@ -198,11 +216,13 @@ def window_mass(probes: DataFrame, clicks: DataFrame, keys: list[str], values: l
     group = W.partitionBy(*keys, "_b")
     before = group.orderBy("_t", "_kind").rowsBetween(W.unboundedPreceding, 0)
     after = group.orderBy(F.col("_t").desc(), F.col("_kind").desc()).rowsBetween(W.unboundedPreceding, 0)
-    is_now = F.col("p") == F.col("_t")
-    sums = line.select(*keys, "_b", "_kind", "p", *[
-        F.when(is_now, F.sum(v).over(before)).otherwise(F.sum(v).over(after)).alias(v) for v in values])
     decay = F.exp(-age(F.col("_b"), F.col("p")))
-    return sums.filter(F.col("_kind") == 0).groupBy(*keys, "p").agg(*[F.sum(F.col(v) * decay).alias(v) for v in values])
+    sums = line.select(*keys, "_kind", "p", (F.col("p") == F.col("_t")).alias("_now"), decay.alias("_decay"),
+                       *[F.sum(v).over(before).alias(f"{v}_pre") for v in values],
+                       *[F.sum(v).over(after).alias(f"{v}_suf") for v in values])
+    asked_rows = sums.filter(F.col("_kind") == 0).select(*keys, "p", *[
+        (F.when(F.col("_now"), F.col(f"{v}_pre")).otherwise(F.col(f"{v}_suf")) * F.col("_decay")).alias(v) for v in values])
+    return asked_rows.groupBy(*keys, "p").agg(*[F.sum(v).alias(v) for v in values])
 
 
 def known_clicks(hist: DataFrame, articles: DataFrame) -> DataFrame:
@@ -216,20 +236,24 @@ def with_second(imp: DataFrame) -> DataFrame:
     return imp.withColumn("p", epoch_seconds("impression_time"))
 
 
-def clicks_last_24h(imp: DataFrame, hist: DataFrame, articles: DataFrame) -> DataFrame:
-    """``user_clicks_last_24h``: null for an unknown user, 0 without clicks in the day before."""
+def day_counts(imp: DataFrame, hist: DataFrame, articles: DataFrame) -> DataFrame:
+    """(user_id, p, user_clicks_last_24h) for known users."""
     probes = with_second(imp).select("user_id", "p").distinct()
     counts = window_mass(probes, known_clicks(hist, articles), ["user_id"], ["n"], 86400)
     users = hist.select("user_id").distinct()
-    per = probes.join(users, "user_id").join(counts, ["user_id", "p"], "left").select(
+    return probes.join(users, "user_id").join(counts, ["user_id", "p"], "left").select(
         "user_id", "p", F.coalesce("n", F.lit(0.0)).alias("user_clicks_last_24h"))
-    return with_second(imp).join(per, ["user_id", "p"], "left").drop("p")
 
 
-def short_term_features(imp: DataFrame, hist: DataFrame, articles: DataFrame, subcats: DataFrame, topics: DataFrame,
-                        vecs: DataFrame, vocab: DataFrame, dim: int | None = None,
-                        half_life_hours: float = HALF_LIFE_HOURS, lookback_hours: float = LOOKBACK_HOURS) -> DataFrame:
-    """``st_*``: interest of the last days, decayed to each impression's own time, strictly before it."""
+def clicks_last_24h(imp: DataFrame, hist: DataFrame, articles: DataFrame) -> DataFrame:
+    """``user_clicks_last_24h``: null for an unknown user, 0 without clicks in the day before."""
+    return with_second(imp).join(day_counts(imp, hist, articles), ["user_id", "p"], "left").drop("p")
+
+
+def short_term_moments(imp: DataFrame, hist: DataFrame, articles: DataFrame, subcats: DataFrame, topics: DataFrame,
+                       vecs: DataFrame, vocab: DataFrame, dim: int | None = None,
+                       half_life_hours: float = HALF_LIFE_HOURS, lookback_hours: float = LOOKBACK_HOURS) -> DataFrame:
+    """(user_id, p, article_id) with the ``st_*`` features; p is the impression time in seconds."""
     dim = dim or dimension(vecs)
     look, half = int(lookback_hours * 3600), half_life_hours * 3600
     clicks = known_clicks(hist, articles)
@@ -266,7 +290,7 @@ def short_term_features(imp: DataFrame, hist: DataFrame, articles: DataFrame, su
                                        F.col("rank").alias("st_cat_rank")), ["user_id", "p", "category"])
     cat_rows = cat_rows.select("user_id", "p", "article_id", "st_cat_affinity", "st_cat_rank")
 
-    out = cand.join(cat_rows, ["user_id", "p", "article_id"], "left")
+    out = cand.select(*MOMENT).distinct().join(cat_rows, MOMENT, "left")
     for values, value, total, name in ((subcats, "subcategory", "n_sub", "st_subcat_affinity"),
                                        (topics, "topic", "n_top", "st_topic_affinity")):
         by_value = clicks.join(values, "article_id")
@@ -275,12 +299,20 @@ def short_term_features(imp: DataFrame, hist: DataFrame, articles: DataFrame, su
         sums = wanted_values.join(mass, ["user_id", value, "p"]).groupBy("user_id", "p", "article_id").agg(F.sum("n").alias("_m"))
         share = sums.join(totals.select("user_id", "p", total), ["user_id", "p"]).filter(F.col(total) > 0).select(
             "user_id", "p", "article_id", (F.col("_m") / F.col(total)).alias(name))
-        out = out.join(share, ["user_id", "p", "article_id"], "left")
+        out = out.join(share, MOMENT, "left")
     sims = asked.join(totals.select("user_id", "p", "_u").filter(F.col("_u").isNotNull()), ["user_id", "p"]).join(
         vecs.select("article_id", doubles("vec").alias("_i")), "article_id", "left").select(
         "user_id", "p", "article_id", F.coalesce(dot("_u", "_i"), F.lit(0.0)).alias("st_embed_sim"))
-    out = out.join(sims, ["user_id", "p", "article_id"], "left")
-    return out.fillna(0.0, ["st_cat_affinity", "st_subcat_affinity", "st_topic_affinity"]).drop("p")
+    out = out.join(sims, MOMENT, "left")
+    return out.fillna(0.0, ["st_cat_affinity", "st_subcat_affinity", "st_topic_affinity"])
+
+
+def short_term_features(imp: DataFrame, *tables: DataFrame, **options) -> DataFrame:
+    """``st_*``: interest of the last days, decayed to each impression's own time, strictly before it.
+
+    Further arguments as for :func:`short_term_moments`.
+    """
+    return with_second(imp).join(short_term_moments(imp, *tables, **options), MOMENT).drop("p")
 
 
 def drift_features(frame: DataFrame) -> DataFrame:
@@ -388,12 +420,9 @@ def context_features(imp: DataFrame, hot_limit: int | None = None) -> DataFrame:
         "relative_position_in_view": F.col("position") / last})
 
 
-def context_article_features(imp: DataFrame, articles: DataFrame, topics: DataFrame, vecs: DataFrame) -> DataFrame:
-    """Match of each candidate with the article being read when the list was shown."""
-    if "context_article_id" not in imp.columns:
-        imp = imp.withColumn("context_article_id", F.lit(None).cast(imp.schema["article_id"].dataType))
+def context_pairs(pairs: DataFrame, articles: DataFrame, topics: DataFrame, vecs: DataFrame) -> DataFrame:
+    """Category match, shared topics and similarity of (article_id, context_article_id) pairs."""
     cats = category_of(articles)
-    pairs = imp.select("article_id", "context_article_id").filter(F.col("context_article_id").isNotNull()).distinct()
 
     def ctx(df, name):
         return df.select(F.col("article_id").alias("context_article_id"), F.col(name).alias(f"_c_{name}"))
@@ -404,13 +433,28 @@ def context_article_features(imp: DataFrame, articles: DataFrame, topics: DataFr
     shared = shared.groupBy("article_id", "context_article_id").agg(F.count("*").alias("_n"))
     rows = known.join(shared, ["article_id", "context_article_id"], "left")
     rows = rows.join(vecs.select("article_id", "vec"), "article_id", "left").join(ctx(vecs, "vec"), "context_article_id", "left")
-    rows = rows.select("article_id", "context_article_id", (F.col("category") == F.col("_c_category")).cast("long").alias("_m"),
-                       F.coalesce("_n", F.lit(0).cast("long")).alias("_n"),
+    return rows.select("article_id", "context_article_id",
+                       (F.col("category") == F.col("_c_category")).cast("long").alias("context_category_match"),
+                       F.coalesce("_n", F.lit(0).cast("long")).alias("context_topic_overlap"),
                        F.coalesce(dot("vec", "_c_vec"), F.lit(0.0)).alias("context_embed_sim"))
-    out = imp.join(rows, ["article_id", "context_article_id"], "left")
-    zero = F.lit(0).cast("long")
-    return out.withColumns({"context_category_match": F.coalesce("_m", zero),
-                            "context_topic_overlap": F.coalesce("_n", zero)}).drop("_m", "_n")
+
+
+def _context_column(imp: DataFrame) -> DataFrame:
+    if "context_article_id" in imp.columns:
+        return imp
+    return imp.withColumn("context_article_id", F.lit(None).cast(imp.schema["article_id"].dataType))
+
+
+def _context_keys(imp: DataFrame) -> DataFrame:
+    return imp.select("article_id", "context_article_id").filter(F.col("context_article_id").isNotNull()).distinct()
+
+
+def context_article_features(imp: DataFrame, articles: DataFrame, topics: DataFrame, vecs: DataFrame) -> DataFrame:
+    """Match of each candidate with the article being read when the list was shown."""
+    imp = _context_column(imp)
+    rows = context_pairs(_context_keys(imp), articles, topics, vecs)
+    return imp.join(rows, ["article_id", "context_article_id"], "left").fillna(
+        0, ["context_category_match", "context_topic_overlap"])
 
 
 def session_features(impressions: DataFrame, session: str = "session_id", hot_limit: int | None = None) -> DataFrame:
@@ -473,20 +517,26 @@ def feature_frame(imp: DataFrame, hist: DataFrame, articles: DataFrame, subcats:
     ``sessions`` comes from :func:`session_features` over the whole split. The result
     is meant to be written once and read by training, scoring and evaluation.
     """
-    rows = long_term_features(imp, hist, articles, subcats, topics, vecs)
-    rows = category_rank(rows, hist, articles, vocab)
-    rows = sentiment_distance(rows, hist, articles)
-    rows = recent_categories(rows, hist, articles)
-    rows = short_term_features(rows, hist, articles, subcats, topics, vecs, vocab)
-    rows = clicks_last_24h(rows, hist, articles)
-    rows = drift_features(rows)
+    imp = _context_column(imp)
+    # every table is derived from the candidate keys, never from the growing frame,
+    # so the plan stays linear in the number of families
+    pairs = pairs_of(imp)
+    pair_table = long_term_pairs(pairs, hist, articles, subcats, topics, vecs).join(
+        category_rank_pairs(pairs, hist, articles, vocab), PAIR, "left")
+    moments = short_term_moments(imp, hist, articles, subcats, topics, vecs, vocab)
+    context = context_pairs(_context_keys(imp), articles, topics, vecs)
+    rows = with_second(context_features(imp)).join(pair_table, PAIR)
+    rows = rows.join(moments, MOMENT).join(day_counts(imp, hist, articles), ["user_id", "p"], "left").drop("p")
+    rows = rows.join(context, ["article_id", "context_article_id"], "left").fillna(
+        0, ["context_category_match", "context_topic_overlap"])
+    rows = drift_features(sentiment_distance(recent_categories(rows, hist, articles), hist, articles))
     rows = user_features(rows, hist, articles)
-    rows = context_features(rows)
-    rows = item_features(rows.drop("sentiment_score"), articles, topics, vocab, popularity, type_vocab)
+    rows = item_features(rows, articles, topics, vocab, popularity, type_vocab)
     rows = rows.withColumn("age_vs_user_appetite", F.col("article_age_h") - F.col("user_mean_article_age_h"))
-    rows = context_article_features(rows, articles, topics, vecs)
     rows = rows.join(sessions.select("impression_id", "session_position", "session_start_gap_h"), "impression_id", "left")
-    rows = rank_in_impression(rows, RANKED)
-    rows = impression_offsets(rows)
     keep = [c for c in [*CAND, "impression_time", "clicked"] if c in rows.columns]
-    return rows.select(*keep, *[F.col(f).cast("double").alias(f) for f in FEATURES])
+    plain = [f for f in FEATURES if f not in RELATIVE]
+    # the in-list features read the frame several times: store it once
+    rows = checkpointed(rows.select(*keep, *[F.col(f).cast("double").alias(f) for f in plain]))
+    rows = impression_offsets(rank_in_impression(rows, RANKED))
+    return rows.select(*keep, *FEATURES)

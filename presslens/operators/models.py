@@ -45,16 +45,20 @@ def combiner_features(imp: DataFrame, hist: DataFrame, articles: DataFrame, vecs
                       popularity: DataFrame, qterms: DataFrame, postings: DataFrame, decay: float = 0.9,
                       with_history_len: bool = False) -> DataFrame:
     """The combiner's columns for each candidate (index features are -inf outside their index)."""
-    rows = text.bm25_score_candidates(imp, qterms, postings, articles, out="bm25")
+    key = ["user_id", "article_id"]
+    pairs = imp.select(*key).distinct()
     dim = vectors.dimension(vecs)
-    rows = vectors.cosine_candidates(rows, vectors.pool_mean(hist, vecs, dim), vecs, out="cosine")
-    rows = vectors.cosine_candidates(rows, vectors.pool_recency(hist, vecs, decay, dim), vecs, out="recency_cosine")
-    rows = profiles.match_score(rows, articles, hist, "category", "category_match")
-    rows = profiles.match_score(rows, articles, hist, "subcategory", "subcategory_match")
-    rows = profiles.entity_overlap(rows, entities, hist)
-    rows = profiles.popularity_score(rows, popularity, out="_pop")
-    rows = rows.withColumns({"log_entity_overlap": F.log1p(F.col("entity_overlap").cast("double")),
-                             "log_popularity": F.log("_pop")}).drop("entity_overlap", "_pop")
+    # one table per pair, each derived from the pairs alone, then one join to the impressions
+    table = text.bm25_pairs(pairs, qterms, postings, articles, out="bm25")
+    table = table.join(vectors.cosine_pairs(pairs, vectors.pool_mean(hist, vecs, dim), vecs, "cosine"), key)
+    table = table.join(vectors.cosine_pairs(pairs, vectors.pool_recency(hist, vecs, decay, dim), vecs, "recency_cosine"), key)
+    table = table.join(profiles.entity_overlap_pairs(pairs, entities, hist), key, "left").fillna(0, ["entity_overlap"])
+    table = profiles.match_score(table, articles, hist, "category", "category_match")
+    table = profiles.match_score(table, articles, hist, "subcategory", "subcategory_match")
+    table = profiles.popularity_score(table, popularity, out="_pop")
+    table = table.withColumns({"log_entity_overlap": F.log1p(F.col("entity_overlap").cast("double")),
+                               "log_popularity": F.log("_pop")}).drop("entity_overlap", "_pop")
+    rows = imp.join(table, key)
     if with_history_len:
         lengths = profiles.history_length(hist)
         rows = rows.join(lengths, "user_id", "left").withColumn(

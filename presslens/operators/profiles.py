@@ -46,21 +46,24 @@ def match_score(imp: DataFrame, articles: DataFrame, hist: DataFrame, value: str
     return rows.withColumn(out, score).select(*imp.columns, out)
 
 
+def entity_overlap_pairs(pairs: DataFrame, entities: DataFrame, hist: DataFrame, out: str = "entity_overlap") -> DataFrame:
+    """(user_id, article_id, out) for pairs that share an entity with the history."""
+    profile = history_profile(hist, entities, "entity_id")
+    hits = pairs.join(entities, "article_id").join(profile, ["user_id", "entity_id"])
+    return hits.groupBy("user_id", "article_id").agg(F.sum("n").alias(out))
+
+
 def entity_overlap(imp: DataFrame, entities: DataFrame, hist: DataFrame, out: str = "entity_overlap") -> DataFrame:
     """Sum over shared entities of the number of history clicks that mention them."""
-    profile = history_profile(hist, entities, "entity_id")
     pairs = imp.select("user_id", "article_id").distinct()
-    hits = pairs.join(entities, "article_id").join(profile, ["user_id", "entity_id"])
-    sums = hits.groupBy("user_id", "article_id").agg(F.sum("n").alias(out))
-    joined = imp.join(sums, ["user_id", "article_id"], "left")
-    return joined.withColumn(out, F.coalesce(out, F.lit(0).cast("long")))
+    return imp.join(entity_overlap_pairs(pairs, entities, hist, out), ["user_id", "article_id"], "left").fillna(0, [out])
 
 
 def symbolic_score(imp: DataFrame, articles: DataFrame, entities: DataFrame, hist: DataFrame) -> DataFrame:
     """category match + subcategory match + log1p(entity overlap)."""
-    rows = match_score(imp, articles, hist, "category", "category_match")
+    rows = entity_overlap(imp, entities, hist)
+    rows = match_score(rows, articles, hist, "category", "category_match")
     rows = match_score(rows, articles, hist, "subcategory", "subcategory_match")
-    rows = entity_overlap(rows, entities, hist)
     return rows.withColumn("score", F.col("category_match") + F.col("subcategory_match") + F.log1p("entity_overlap"))
 
 

@@ -148,17 +148,22 @@ def score_pairs(pairs: DataFrame, qterms: DataFrame, postings: DataFrame) -> Dat
     return terms.groupBy("user_id", "article_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
 
 
+def bm25_pairs(pairs: DataFrame, qterms: DataFrame, postings: DataFrame, articles: DataFrame,
+               out: str = "score") -> DataFrame:
+    """(user_id, article_id, out): 0 without shared terms, -inf outside the catalogue."""
+    scores = score_pairs(pairs, qterms, postings).withColumnRenamed("score", "_s")
+    catalog = articles.select("article_id").distinct().withColumn("_known", F.lit(True))
+    rows = pairs.join(scores, ["user_id", "article_id"], "left").join(catalog, "article_id", "left")
+    return rows.select("user_id", "article_id", F.when(F.col("_known").isNull(), F.lit(float("-inf")))
+                       .otherwise(F.coalesce("_s", F.lit(0.0))).alias(out))
+
+
 def bm25_score_candidates(imp: DataFrame, qterms: DataFrame, postings: DataFrame, articles: DataFrame,
                           out: str = "score") -> DataFrame:
-    """Score of each shown candidate: 0 without shared terms, -inf outside the catalogue.
+    """Score of each shown candidate.
 
     Each (user, article) pair is scored once, however many impressions repeat it,
     and postings of articles that are no candidates are never joined to queries.
     """
     pairs = imp.select("user_id", "article_id").distinct()
-    scores = score_pairs(pairs, qterms, postings).withColumnRenamed("score", "_s")
-    catalog = articles.select("article_id").distinct().withColumn("_known", F.lit(True))
-    scored = pairs.join(scores, ["user_id", "article_id"], "left").join(catalog, "article_id", "left").select(
-        "user_id", "article_id",
-        F.when(F.col("_known").isNull(), F.lit(float("-inf"))).otherwise(F.coalesce("_s", F.lit(0.0))).alias(out))
-    return imp.join(scored, ["user_id", "article_id"])
+    return imp.join(bm25_pairs(pairs, qterms, postings, articles, out), ["user_id", "article_id"])

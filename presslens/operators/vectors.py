@@ -201,17 +201,18 @@ def _vector_score(user_vec: Column, item_vec: Column) -> Column:
             .otherwise(dot(user_vec, item_vec)))
 
 
-def cosine_candidates(imp: DataFrame, user_vecs: DataFrame, vecs: DataFrame, out: str = "score") -> DataFrame:
-    """Dot product per shown candidate: 0 for a user without vector, -inf for an unknown article.
-
-    Vectors travel with the distinct (user, article) pairs, not with every impression.
-    """
-    pairs = imp.select("user_id", "article_id").distinct()
+def cosine_pairs(pairs: DataFrame, user_vecs: DataFrame, vecs: DataFrame, out: str = "score") -> DataFrame:
+    """(user_id, article_id, out): dot product, 0 for a user without vector, -inf for an unknown article."""
     items = vecs.select("article_id", F.col("vec").alias("_i"))
     users = user_vecs.select("user_id", F.col("vec").alias("_u"))
-    scored = pairs.join(items, "article_id", "left").join(users, "user_id", "left").select(
+    return pairs.join(items, "article_id", "left").join(users, "user_id", "left").select(
         "user_id", "article_id", _vector_score(F.col("_u"), F.col("_i")).alias(out))
-    return imp.join(scored, ["user_id", "article_id"])
+
+
+def cosine_candidates(imp: DataFrame, user_vecs: DataFrame, vecs: DataFrame, out: str = "score") -> DataFrame:
+    """Cosine score per shown candidate; vectors travel with distinct pairs, not with every impression."""
+    pairs = imp.select("user_id", "article_id").distinct()
+    return imp.join(cosine_pairs(pairs, user_vecs, vecs, out), ["user_id", "article_id"])
 
 
 def history_sequence(hist: DataFrame, vecs: DataFrame, hot_limit: int | None = None) -> DataFrame:

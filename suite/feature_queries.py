@@ -153,11 +153,10 @@ def _pct(col: str) -> str:
     select impression_id, position, lt_cat_affinity, (p - epoch(published_at)) / 3600e0 as age from eimp join ltf using (user_id, article_id) join docs using (article_id))""")
 def _(v):
     clicks, cats = K.engaged_clicks(v.ehist, v.docs), K.category_of(v.docs)
-    rows = K.value_affinity(v.eimp, K.long_term_affinity(clicks, cats, "category"), cats, "category", "lt_cat_affinity")
+    affinity = K.value_affinity(K.pairs_of(v.eimp), K.long_term_affinity(clicks, cats, "category"), cats, "category", "lt_cat_affinity")
+    rows = v.eimp.join(affinity, K.PAIR, "left").fillna(0.0, ["lt_cat_affinity"])
     rows = K.item_features(rows, v.docs, v.topics, v.vocab, PR.history_popularity(v.ehist))
-    # affinities equal up to summation order must tie in both engines
-    rows = K.rank_in_impression(rows.withColumn("lt_cat_affinity", F.col("lt_cat_affinity")),
-                                {"lt_cat_affinity": "cat_rank", "article_age_h": "age_rank"})
+    rows = K.rank_in_impression(rows, {"lt_cat_affinity": "cat_rank", "article_age_h": "age_rank"})
     return _out(rows, r6("cat_rank"), r6("age_rank"))
 
 
