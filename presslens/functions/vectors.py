@@ -11,6 +11,7 @@ def dimension(vecs: DataFrame, vec: str = "vec") -> int:
     return row[0] if row else 0
 
 
-def sum_vector(vec: str, weight: Column, dim: int) -> Column:
-    """Aggregate: weighted sum of the vectors of a group."""
-    return F.array(*[F.sum(F.element_at(F.col(vec), i + 1).cast("double") * weight) for i in range(dim)])
+def sum_vector(vec: str, weight: str, dim: int) -> Column:
+    """Aggregate: sum of the vectors of a group, each times the column ``weight``."""
+    sums = ", ".join(f"sum({vec}[{i}] * {weight})" for i in range(dim))
+    return F.expr(f"array({sums})").cast("array<double>")

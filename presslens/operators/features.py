@@ -75,7 +75,7 @@ def long_term_vector(clicks: DataFrame, vecs: DataFrame, dim: int | None = None)
     """(user_id, vec): engagement-weighted unit vector."""
     dim = dim or dimension(vecs)
     sums = clicks.join(vecs.select("article_id", "vec"), "article_id").groupBy("user_id").agg(
-        sum_vector("vec", F.col("w"), dim).alias("_s"))
+        sum_vector("vec", "w", dim).alias("_s"))
     return sums.select("user_id", unit("_s").alias("vec"))
 
 
@@ -194,35 +194,28 @@ def window_mass(probes: DataFrame, clicks: DataFrame, keys: list[str], values: l
     of seconds in a lookback however many rows a key has.
     """
     rate = math.log(2.0) / half_life_s if half_life_s else 0.0
-    span = F.lit(lookback_s).cast("long")
-    p, t = F.col("p").cast("long"), F.col("t").cast("long")
+    span = int(lookback_s)
+    key = ", ".join(keys)
 
-    def block(sec: Column) -> Column:
-        return F.floor(sec / span).cast("long")
+    def age(end: str, block: str) -> str:
+        return f"(({end}) - {block} * {span}) * {rate!r}D"
 
-    def age(start: Column, end: Column) -> Column:
-        return (end - start * span).cast("double") * rate
+    def each(pattern: str) -> list[str]:
+        return [pattern.format(v=v) for v in values]
 
     merged = clicks.groupBy(*keys, "t").agg(*[F.sum(v).cast("double").alias(v) for v in values])
-    zero = [F.lit(0.0).alias(v) for v in values]
-    null_p = F.lit(None).cast("long")
-    grown = merged.withColumn("_g", F.exp(age(block(t), t)))
-    line = grown.select(*keys, block(t).alias("_b"), t.alias("_t"), F.lit(1).alias("_kind"), null_p.alias("p"),
-                        *[(F.col(v) * F.col("_g")).alias(v) for v in values])
-    asked = probes.select(*keys, p.alias("p")).distinct()
-    now = asked.select(*keys, block(p).alias("_b"), p.alias("_t"), F.lit(0).alias("_kind"), p.alias("p"), *zero)
-    then = asked.select(*keys, block(p - span).alias("_b"), (p - span).alias("_t"), F.lit(0).alias("_kind"), p.alias("p"), *zero)
-    line = line.unionByName(now).unionByName(then)
-    group = W.partitionBy(*keys, "_b")
-    before = group.orderBy("_t", "_kind").rowsBetween(W.unboundedPreceding, 0)
-    after = group.orderBy(F.col("_t").desc(), F.col("_kind").desc()).rowsBetween(W.unboundedPreceding, 0)
-    decay = F.exp(-age(F.col("_b"), F.col("p")))
-    sums = line.select(*keys, "_kind", "p", (F.col("p") == F.col("_t")).alias("_now"), decay.alias("_decay"),
-                       *[F.sum(v).over(before).alias(f"{v}_pre") for v in values],
-                       *[F.sum(v).over(after).alias(f"{v}_suf") for v in values])
-    asked_rows = sums.filter(F.col("_kind") == 0).select(*keys, "p", *[
-        (F.when(F.col("_now"), F.col(f"{v}_pre")).otherwise(F.col(f"{v}_suf")) * F.col("_decay")).alias(v) for v in values])
-    return asked_rows.groupBy(*keys, "p").agg(*[F.sum(v).alias(v) for v in values])
+    line = merged.selectExpr("*", f"floor(t / {span}) as _b").selectExpr("*", f"exp({age('t', '_b')}) as _g").selectExpr(
+        *keys, "_b", "t as _t", "1 as _kind", "cast(null as bigint) as p", *each("{v} * _g as {v}"))
+    asked = probes.select(*keys, F.col("p").cast("long").alias("p")).distinct()
+    edges = asked.selectExpr(*keys, "p", f"explode(array(p, p - {span})) as _t")
+    line = line.unionByName(edges.selectExpr(*keys, f"floor(_t / {span}) as _b", "_t", "0 as _kind", "p", *each("0.0D as {v}")))
+    window = "over (partition by {key}, _b order by {order} rows between unbounded preceding and current row)"
+    before = window.format(key=key, order="_t, _kind")
+    after = window.format(key=key, order="_t desc, _kind desc")
+    sums = line.selectExpr(*keys, "_kind", "p", "p = _t as _now", f"exp(-({age('p', '_b')})) as _decay",
+                           *each("sum({v}) " + before + " as {v}_pre"), *each("sum({v}) " + after + " as {v}_suf"))
+    rows = sums.filter("_kind = 0").selectExpr(*keys, "p", *each("if(_now, {v}_pre, {v}_suf) * _decay as {v}"))
+    return rows.groupBy(*keys, "p").agg(*[F.sum(v).alias(v) for v in values])
 
 
 def known_clicks(hist: DataFrame, articles: DataFrame) -> DataFrame:
@@ -263,17 +256,16 @@ def short_term_moments(imp: DataFrame, hist: DataFrame, articles: DataFrame, sub
     moments = cand.select("user_id", "p").distinct().join(hist.select("user_id").distinct(), "user_id")
     asked = cand.select("user_id", "p", "article_id").distinct().join(articles.select("article_id").distinct(), "article_id")
 
-    # totals per moment: topic and subcategory mass, vector sum
+    # per moment: topic and subcategory mass and the vector sum, in one pass
     counts = articles.select("article_id").distinct()
     for name, values in (("n_top", topics), ("n_sub", subcats)):
         counts = counts.join(values.groupBy("article_id").agg(F.count("*").cast("double").alias(name)), "article_id", "left")
     dims = [f"v{i}" for i in range(dim)]
-    weighted = clicks.join(counts, "article_id").join(vecs.select("article_id", "vec"), "article_id", "left").select(
-        "user_id", "t", (F.col("n") * F.coalesce("n_top", F.lit(0.0))).alias("n_top"),
-        (F.col("n") * F.coalesce("n_sub", F.lit(0.0))).alias("n_sub"),
-        *[(F.col("n") * F.coalesce(F.element_at("vec", i + 1).cast("double"), F.lit(0.0))).alias(d) for i, d in enumerate(dims)])
+    weighted = clicks.join(counts, "article_id").join(vecs.select("article_id", "vec"), "article_id", "left").selectExpr(
+        "user_id", "t", "n * coalesce(n_top, 0) as n_top", "n * coalesce(n_sub, 0) as n_sub",
+        *[f"n * coalesce(vec[{i}], 0) as {d}" for i, d in enumerate(dims)])
     totals = window_mass(moments, weighted, ["user_id"], ["n_top", "n_sub", *dims], look, half)
-    totals = totals.select("user_id", "p", "n_top", "n_sub", unit(F.array(*dims)).alias("_u"))
+    totals = totals.select("user_id", "p", "n_top", "n_sub", unit(F.expr(f"array({', '.join(dims)})")).alias("_u"))
 
     # categories: the mass of every category the user reads, for share and rank
     by_cat = clicks.join(cats, "article_id")
@@ -282,29 +274,34 @@ def short_term_moments(imp: DataFrame, hist: DataFrame, articles: DataFrame, sub
                        by_cat, ["user_id", "category", "code"], ["n"], look, half)
     wanted = asked.join(cats, "article_id")
     grid = mass.select("user_id", "p", "category", "code", F.col("n").alias("mass")).unionByName(
-        wanted.join(moments, ["user_id", "p"], "left_semi").select("user_id", "p", "category", "code", F.lit(0.0).alias("mass")))
+        wanted.select("user_id", "p", "category", "code", F.lit(0.0).alias("mass")))
     grid = grid.groupBy("user_id", "p", "category", "code").agg(F.max("mass").alias("mass"))
     whole = F.sum("mass").over(W.partitionBy("user_id", "p"))
     grid = _ranks(grid.withColumn("_all", whole), ["user_id", "p"]).filter(F.col("_all") > 0)
-    cat_rows = wanted.join(grid.select("user_id", "p", "category", (F.col("mass") / F.col("_all")).alias("st_cat_affinity"),
-                                       F.col("rank").alias("st_cat_rank")), ["user_id", "p", "category"])
-    cat_rows = cat_rows.select("user_id", "p", "article_id", "st_cat_affinity", "st_cat_rank")
-
-    out = cand.select(*MOMENT).distinct().join(cat_rows, MOMENT, "left")
-    for values, value, total, name in ((subcats, "subcategory", "n_sub", "st_subcat_affinity"),
-                                       (topics, "topic", "n_top", "st_topic_affinity")):
-        by_value = clicks.join(values, "article_id")
-        wanted_values = asked.join(values, "article_id").join(by_value.select("user_id", value).distinct(), ["user_id", value])
-        mass = window_mass(wanted_values.select("user_id", value, "p"), by_value, ["user_id", value], ["n"], look, half)
-        sums = wanted_values.join(mass, ["user_id", value, "p"]).groupBy("user_id", "p", "article_id").agg(F.sum("n").alias("_m"))
-        share = sums.join(totals.select("user_id", "p", total), ["user_id", "p"]).filter(F.col(total) > 0).select(
-            "user_id", "p", "article_id", (F.col("_m") / F.col(total)).alias(name))
-        out = out.join(share, MOMENT, "left")
-    sims = asked.join(totals.select("user_id", "p", "_u").filter(F.col("_u").isNotNull()), ["user_id", "p"]).join(
-        vecs.select("article_id", doubles("vec").alias("_i")), "article_id", "left").select(
-        "user_id", "p", "article_id", F.coalesce(dot("_u", "_i"), F.lit(0.0)).alias("st_embed_sim"))
-    out = out.join(sims, MOMENT, "left")
-    return out.fillna(0.0, ["st_cat_affinity", "st_subcat_affinity", "st_topic_affinity"])
+    shares = grid.select("user_id", "p", "category", (F.col("mass") / F.col("_all")).alias("st_cat_affinity"),
+                         F.col("rank").alias("st_cat_rank"))
+    by_category = wanted.join(shares, ["user_id", "p", "category"]).select(*MOMENT, "st_cat_affinity", "st_cat_rank")
+
+    def value_mass(values: DataFrame, value: str, out: str) -> DataFrame:
+        wanted_values = asked.join(values, "article_id")
+        mass = window_mass(wanted_values.select("user_id", value, "p"), clicks.join(values, "article_id"),
+                           ["user_id", value], ["n"], look, half)
+        return wanted_values.join(mass, ["user_id", value, "p"]).groupBy(*MOMENT).agg(F.sum("n").alias(out))
+
+    rows = cand.select(*MOMENT).distinct().join(by_category, MOMENT, "left")
+    rows = rows.join(value_mass(subcats, "subcategory", "_sub"), MOMENT, "left")
+    rows = rows.join(value_mass(topics, "topic", "_top"), MOMENT, "left")
+    rows = rows.join(articles.select("article_id").distinct().withColumn("_known", F.lit(True)), "article_id", "left")
+    rows = rows.join(vecs.select("article_id", doubles("vec").alias("_i")), "article_id", "left")
+    rows = rows.join(totals, ["user_id", "p"], "left")
+    # a known article without vector has similarity 0, an unknown one none
+    sim = F.when(F.col("_known").isNotNull() & F.col("_u").isNotNull(), F.coalesce(dot("_u", "_i"), F.lit(0.0)))
+    zero = F.lit(0.0)
+    return rows.select(
+        *MOMENT, F.coalesce("st_cat_affinity", zero).alias("st_cat_affinity"),
+        F.coalesce(F.when(F.col("n_sub") > 0, F.col("_sub") / F.col("n_sub")), zero).alias("st_subcat_affinity"),
+        F.coalesce(F.when(F.col("n_top") > 0, F.col("_top") / F.col("n_top")), zero).alias("st_topic_affinity"),
+        sim.alias("st_embed_sim"), "st_cat_rank")
 
 
 def short_term_features(imp: DataFrame, *tables: DataFrame, **options) -> DataFrame:

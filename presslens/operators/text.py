@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from presslens.functions.blocks import block_pairs
 from presslens.functions.expr import hash32
-from presslens.functions.grouping import top_k
+from presslens.functions.grouping import checkpointed, top_k
 
 # fixed values: Danish and English function words
 DANISH_STOPWORDS = """
@@ -68,13 +68,14 @@ def bm25_index(articles: DataFrame, k1: float = 1.5, b: float = 0.75, idf_floor:
                terms: DataFrame | None = None) -> DataFrame:
     """Postings (term, article_id, weight). Build once, write as a table, reuse.
 
-    A negative idf (a term in more than half of the articles) is replaced with
+    ``terms`` is a stored :func:`doc_terms` table, if there is one already. A
+    negative idf (a term in more than half of the articles) is replaced with
     ``idf_floor`` times the mean idf; None keeps it.
     """
-    lengths = articles.select(F.size(tokenize(article_text(articles))).alias("n"))
-    corpus = lengths.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("n").alias("avgdl")))
-    n_docs, avgdl = corpus.scalar()["n"], corpus.scalar()["avgdl"]
-    terms = doc_terms(articles) if terms is None else terms
+    # the terms are read three times, so they are stored once instead of cutting all texts again
+    terms = checkpointed(doc_terms(articles)) if terms is None else terms
+    n_docs = articles.agg(F.count("*").cast("double")).scalar()
+    avgdl = terms.agg(F.sum("tf")).scalar() / n_docs
     df = terms.groupBy("term").agg(F.count("*").alias("_df"))
     idf = df.select("term", (F.log(n_docs - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5)).alias("idf"))
     if idf_floor is not None:

@@ -79,7 +79,7 @@ def _pooled(weighted: DataFrame, key: str, vecs: DataFrame, dim: int | None) ->
     """Normalised weighted sum per key of rows (key, article_id, _w)."""
     dim = dim or dimension(vecs)
     joined = weighted.join(vecs.select("article_id", "vec"), "article_id")
-    sums = joined.groupBy(key).agg(sum_vector("vec", F.col("_w"), dim).alias("_sum"))
+    sums = joined.groupBy(key).agg(sum_vector("vec", "_w", dim).alias("_sum"))
     return sums.select(key, unit("_sum").alias("vec")).filter(F.col("vec").isNotNull())
 
 
@@ -126,7 +126,7 @@ def entity_vectors(articles: DataFrame, mentions: DataFrame, vecs: DataFrame, di
     weighted = mentions.filter(F.col("confidence") > 0).groupBy("article_id", "entity_id").agg(
         F.sum("confidence").alias("_w"))
     sums = weighted.join(vecs, "entity_id").groupBy("article_id").agg(
-        sum_vector("vec", F.col("_w"), dim).alias("_sum"))
+        sum_vector("vec", "_w", dim).alias("_sum"))
     pooled = sums.select("article_id", unit("_sum").alias("_vec"))
     zero = F.array_repeat(F.lit(0.0), dim)
     return articles.select("article_id").join(pooled, "article_id", "left").select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from presslens.functions.grouping import checkpointed
 from presslens.operators import features as K, metrics as M, models as C, profiles as PR
 from presslens.operators.sampling import recent_holdout
 from suite.registry import i64, long_vec, query, r6
@@ -57,10 +58,10 @@ def _(v):
     return _out(K.category_rank(v.imp, v.hist, v.art, fit_vocab(v.art, "category")), i64("lt_cat_rank"))
 
 
-@query("k4_sentiment_distance", f"""select {POS}, round(abs(sentiment_score - mean_sentiment), 6) as lt_sentiment_distance
+@query("k4_sentiment_distance", f"""select {POS}, round(abs(sentiment_score - mean_sentiment), 9) as lt_sentiment_distance
     from eimp left join docs using (article_id) left join usersent using (user_id)""")
 def _(v):
-    return _out(K.sentiment_distance(v.eimp, v.ehist, v.docs), r6("lt_sentiment_distance"))
+    return _out(K.sentiment_distance(v.eimp, v.ehist, v.docs), F.round("lt_sentiment_distance", 9).alias("lt_sentiment_distance"))
 
 
 @query("k5_recent_categories", f"""select {POS}, coalesce(b = 1, false)::BIGINT as is_last_clicked_category, (b is not null)::BIGINT as in_recent_categories
@@ -187,7 +188,7 @@ _FRAME = ["lt_cat_affinity", "lt_subcat_affinity", "lt_topic_affinity", "lt_embe
           "user_clicks_last_24h", "user_median_read_time", "session_position", "session_start_gap_h", "log_history_popularity"]
 
 
-@query("k_feature_frame", f"select {POS}, " + ", ".join(f"round({c}::DOUBLE, 6) as {c}" for c in _FRAME[:-1])
+@query("k_feature_frame", f"select {POS}, " + ", ".join(f"round({c}::DOUBLE, {9 if c == 'lt_sentiment_distance' else 6}) as {c}" for c in _FRAME[:-1])
        + """, round(ln(1e0 + coalesce(clicks, 0)), 6) as log_history_popularity, abs(sentiment_score - mean_sentiment) is not null as has_sentiment
     from (select e.*, abs(d.sentiment_score - u.mean_sentiment) as lt_sentiment_distance, d.category, d.sentiment_score, u.mean_sentiment
       from eimp e left join docs d on d.article_id = e.article_id left join usersent u on u.user_id = e.user_id)
@@ -196,14 +197,14 @@ _FRAME = ["lt_cat_affinity", "lt_subcat_affinity", "lt_topic_affinity", "lt_embe
     join (select impression_id, session_position, session_start_gap_h from sess) using (impression_id) left join hpop using (article_id)""")
 def _(v):
     rows = frame(v)
-    return _out(rows, *[r6(c) for c in _FRAME], F.col("lt_sentiment_distance").isNotNull().alias("has_sentiment"))
+    return _out(rows, *[F.round(c, 9 if c == "lt_sentiment_distance" else 6).alias(c) for c in _FRAME], F.col("lt_sentiment_distance").isNotNull().alias("has_sentiment"))
 
 
 # --- fitted models (no SQL form) -------------------------------------------------------------
 
 @query("c6_fit_logistic")
 def _(v):
-    rows = _combined(v).cache()
+    rows = checkpointed(_combined(v))
     values = C.scaler_values(C.fit_scaler(rows, C.COMBINER))
     scaled = C.apply_scaler(rows, values)
     out = None
@@ -231,14 +232,14 @@ def _fit_gbt(v, cols, rows):
 
 @query("c8_fit_gbt")
 def _(v):
-    rows = _gbt_rows(v).cache()
+    rows = checkpointed(_gbt_rows(v))
     model, prepare, _ = _fit_gbt(v, GBT_COLUMNS, rows)
     return C.apply_model(model, prepare(rows)).select("impression_id", i64("position"), r6("score"))
 
 
 @query("c9_fit_pairwise_ranker")
 def _(v):
-    rows = _combined(v).cache()
+    rows = checkpointed(_combined(v))
     scaled = C.apply_scaler(rows, C.scaler_values(C.fit_scaler(rows, C.COMBINER)))
     weights = C.fit_pairwise_ranker(scaled, C.COMBINER)
     return C.apply_linear(scaled, C.COMBINER, weights, 0.0).select("impression_id", i64("position"), r6("score"))
@@ -246,7 +247,7 @@ def _(v):
 
 @query("c10_ablate_features")
 def _(v):
-    rows = _gbt_rows(v).cache()
+    rows = checkpointed(_gbt_rows(v))
     out = None
     for arm, cols in (("all", GBT_COLUMNS), ("without_position", C.without_features(GBT_COLUMNS))):
         model, prepare, _ = _fit_gbt(v, cols, rows)
@@ -258,7 +259,7 @@ def _(v):
 
 @query("c11_feature_importance")
 def _(v):
-    rows = _gbt_rows(v).cache()
+    rows = checkpointed(_gbt_rows(v))
     model, prepare, inputs = _fit_gbt(v, GBT_COLUMNS, rows)
     importance = C.feature_importance(v.spark, model, inputs)
     small, prepare_small, _ = _fit_gbt(v, C.top_features(importance, 4), rows)

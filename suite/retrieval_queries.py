@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from presslens.functions.expr import hash32
+from presslens.functions.grouping import checkpointed, top_k
 from presslens.operators import models as C, profiles as PR, text as T, training as N, vectors as E
 from suite.registry import i64, long_vec, query, r6
 from suite.views import sql_hash32
@@ -130,7 +131,6 @@ def _(v):
     select round(avg(r), 6) as mean_recall, round(min(r), 6) as min_recall, round(avg((r >= 1)::INT), 6) as perfect_share, count(*) as n_queries from (
     select e.query_id, avg((a.article_id is not null)::INT) as r from exact e left join (select * from approx where rank <= 10) a using (query_id, article_id) group by e.query_id)""")
 def _(v):
-    from presslens.functions.grouping import top_k
     labelled = v.table("embeddings").select(F.col("vec_id").alias("article_id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
     left = labelled.select(F.col("article_id").alias("query_id"), "vec", "label")
     # the approximate side of the audit: neighbours with the query's own label
@@ -264,7 +264,7 @@ _SCALED = ", ".join(f"(select avg({c}) from combined where {{}}) as m_{c}" for c
        + ", ".join(f"round(({c} - (select avg({c}) from part where is_train)) / (select stddev_pop({c}) from part where is_train), 5) as {c}" for c in C.COMBINER)
        + " from part where not is_train")
 def _(v):
-    rows = _combined(v)
+    rows = checkpointed(_combined(v))
     early = F.col("impression_time") < F.lit("2024-01-11").cast("timestamp_ntz")
     values = C.scaler_values(C.fit_scaler(rows.filter(early), C.COMBINER))
     return C.apply_scaler(rows.filter(~early), values).select(

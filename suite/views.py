@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from presslens.functions.expr import doubles
+from presslens.functions.grouping import checkpointed
 from presslens.operators import prepare as P, profiles as PR, text as T
 from presslens.operators.metrics import POISSON_CUTS
 
@@ -23,6 +24,14 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def n_docs(self):
+        return self.table("documents").count()
+
+    @cached_property
+    def n_vecs(self):
+        return self.table("embeddings").count()
+
     # --- orders ------------------------------------------------------------------------
     @cached_property
     def art(self):
@@ -107,8 +116,7 @@ class Views:
 
     @cached_property
     def dvecs(self):
-        nv = self.table("embeddings").agg(F.count("*")).scalar()
-        ids = self.table("documents").select(F.col("doc_id").alias("_d"), (F.col("doc_id") % nv).alias("article_id"))
+        ids = self.table("documents").select(F.col("doc_id").alias("_d"), (F.col("doc_id") % self.n_vecs).alias("article_id"))
         return ids.join(self.vecs, "article_id").select(F.col("_d").alias("article_id"), "vec")
 
     @cached_property
@@ -122,7 +130,7 @@ class Views:
 
     @cached_property
     def ehist(self):
-        nd = self.table("documents").agg(F.count("*")).scalar()
+        nd = self.n_docs
         order = W.partitionBy("user_id").orderBy("ts", "event_id")
         return self.table("events").filter(F.col("event_type").isin("view", "click")).select(
             "user_id", (F.col("event_id") % nd).alias("article_id"), F.col("ts").alias("click_time"),
@@ -130,7 +138,7 @@ class Views:
 
     @cached_property
     def eimp(self):
-        nd = self.table("documents").agg(F.count("*")).scalar()
+        nd = self.n_docs
         e = F.col("event_id")
         rows = self.table("events").filter(F.col("event_type") == "purchase").withColumn(
             "position", F.explode(F.sequence(F.lit(0), F.lit(7))))
@@ -154,11 +162,11 @@ class Views:
 
     @cached_property
     def dterms(self):
-        return T.doc_terms(self.docs)
+        return checkpointed(T.doc_terms(self.docs))
 
     @cached_property
     def postings(self):
-        return T.bm25_index(self.docs, terms=self.dterms)
+        return checkpointed(T.bm25_index(self.docs, terms=self.dterms))
 
     @cached_property
     def uterms(self):
