@@ -282,15 +282,17 @@ def short_term_moments(imp: DataFrame, hist: DataFrame, articles: DataFrame, sub
                          F.col("rank").alias("st_cat_rank"))
     by_category = wanted.join(shares, ["user_id", "p", "category"]).select(*MOMENT, "st_cat_affinity", "st_cat_rank")
 
-    def value_mass(values: DataFrame, value: str, out: str) -> DataFrame:
-        wanted_values = asked.join(values, "article_id")
-        mass = window_mass(wanted_values.select("user_id", value, "p"), clicks.join(values, "article_id"),
-                           ["user_id", value], ["n"], look, half)
-        return wanted_values.join(mass, ["user_id", value, "p"]).groupBy(*MOMENT).agg(F.sum("n").alias(out))
-
-    rows = cand.select(*MOMENT).distinct().join(by_category, MOMENT, "left")
-    rows = rows.join(value_mass(subcats, "subcategory", "_sub"), MOMENT, "left")
-    rows = rows.join(value_mass(topics, "topic", "_top"), MOMENT, "left")
+    # subcategories and topics share one time line per (user, kind, value)
+    listed = subcats.select("article_id", F.lit("sub").alias("kind"), F.col("subcategory").cast("string").alias("value")).unionByName(
+        topics.select("article_id", F.lit("top").alias("kind"), F.col("topic").cast("string").alias("value")))
+    wanted_values = asked.join(listed, "article_id")
+    key = ["user_id", "kind", "value"]
+    value_mass = window_mass(wanted_values.select(*key, "p"), clicks.join(listed, "article_id"), key, ["n"], look, half)
+    by_value = wanted_values.join(value_mass, [*key, "p"]).groupBy(*MOMENT).agg(
+        F.sum(F.when(F.col("kind") == "sub", F.col("n"))).alias("_sub"),
+        F.sum(F.when(F.col("kind") == "top", F.col("n"))).alias("_top"))
+
+    rows = cand.select(*MOMENT).distinct().join(by_category, MOMENT, "left").join(by_value, MOMENT, "left")
     rows = rows.join(articles.select("article_id").distinct().withColumn("_known", F.lit(True)), "article_id", "left")
     rows = rows.join(vecs.select("article_id", doubles("vec").alias("_i")), "article_id", "left")
     rows = rows.join(totals, ["user_id", "p"], "left")

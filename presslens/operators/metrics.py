@@ -164,11 +164,15 @@ def _replicate_weights(df: DataFrame, seed: int, n_replicates: int) -> DataFrame
     blocks = -(-n_replicates // 4)
     rows = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     rows = rows.withColumn("_digest", F.md5(joined_key(seed, "user_id", "_block").cast("binary")))
-    draws = []
-    for i in range(4):
-        draw = F.conv(F.substring("_digest", 8 * i + 1, 8), 16, 10).cast("long")
-        weight = sum((F.when(draw >= c, 1).otherwise(0) for c in POISSON_CUTS), F.lit(0))
-        draws.append(F.struct((F.col("_block") * 4 + i).alias("replicate"), weight.alias("weight")))
+    rows = rows.withColumns({f"_d{i}": F.conv(F.substring("_digest", 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)})
+
+    def weight(draw: Column) -> Column:
+        steps = F.when(draw < POISSON_CUTS[0], 0)
+        for k, cut in enumerate(POISSON_CUTS[1:], 1):
+            steps = steps.when(draw < cut, k)
+        return steps.otherwise(len(POISSON_CUTS))
+
+    draws = [F.struct((F.col("_block") * 4 + i).alias("replicate"), weight(F.col(f"_d{i}")).alias("weight")) for i in range(4)]
     rows = rows.select(*df.columns, F.inline(F.array(*draws)))
     return rows.filter((F.col("weight") > 0) & (F.col("replicate") < n_replicates))
 

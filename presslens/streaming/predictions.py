@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from presslens.operators.metrics import rank_candidates
@@ -21,6 +22,7 @@ def stream_predictions(spark: SparkSession, impressions_dir: str, out_dir: str,
     batches. A batch overwrites its own directory, so a batch repeated after a
     failure replaces what it had half written; done batches are not read again.
     """
+    _refuse_other_input(spark, impressions_dir, out_dir)
     reader = spark.readStream.schema(schema).format("parquet")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -38,6 +40,23 @@ def stream_predictions(spark: SparkSession, impressions_dir: str, out_dir: str,
     return query
 
 
+def _refuse_other_input(spark: SparkSession, impressions_dir: str, out_dir: str) -> None:
+    """Continue only if the first and last impression already written belong to this input."""
+    try:
+        done = read_stream_predictions(spark, out_dir).agg(F.min("impression_id").alias("lo"), F.max("impression_id").alias("hi")).first()
+    except AnalysisException:
+        return  # nothing written yet
+    if done.lo is None:
+        return
+    try:
+        found = spark.read.parquet(impressions_dir).filter(F.col("impression_id").isin(done.lo, done.hi)).select(
+            "impression_id").distinct().count()
+    except AnalysisException:
+        found = 0
+    if found < len({done.lo, done.hi}):
+        raise ValueError(f"{out_dir} holds predictions of other input than {impressions_dir}")
+
+
 def read_stream_predictions(spark: SparkSession, out_dir: str) -> DataFrame:
     """All lines written so far: (impression_id, line, batch)."""
     return spark.read.schema("impression_id bigint, line string").parquet(out_dir)

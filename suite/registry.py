@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from presslens.session import prepare_session
 from suite.views import Views, with_views
 
 QUERIES: dict = {}
@@ -13,7 +14,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     def register(fn):
         def run(spark, sf_dir) -> DataFrame:
-            return fn(Views(spark, sf_dir))
+            return fn(Views(prepare_session(spark), sf_dir))
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
         if sql is not None:
