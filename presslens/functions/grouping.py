@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -37,6 +38,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder next to the checkpoints, which all executors share."""
+    use_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def hot_groups(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame | None:
     """Keys with more than ``limit`` rows (column ``_n``), or None if there are none.
 
@@ -71,14 +78,18 @@ def _sliced_sums(df: DataFrame, keys, order, sums: dict, slices: int) -> DataFra
 
 
 def running_sums(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column],
-                 hot_limit: int | None = None) -> DataFrame:
-    """Add inclusive running sums within each key; ``order`` must be total in a key."""
+                 hot_limit: int | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """Add inclusive running sums within each key; ``order`` must be total in a key.
+
+    ``counted`` is a table with the same groups that is cheaper to count than ``df``
+    (the candidates before scoring, say), so that ``df`` is computed only once.
+    """
     inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
 
     def plain(part: DataFrame) -> DataFrame:
         return part.select("*", *[F.sum(v).over(inside).alias(o) for o, v in sums.items()])
 
-    hot = hot_groups(df, keys, hot_limit)
+    hot = hot_groups(df if counted is None else counted, keys, hot_limit)
     if hot is None:
         return plain(df)
     rows = hot.agg(F.sum("_n")).first()[0]
@@ -89,7 +100,7 @@ def running_sums(df: DataFrame, keys: list[str], order: list[Column], sums: dict
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: list[Column] | dict[str, list[Column]], out: str | None = None,
-                hot_limit: int | None = None) -> DataFrame:
+                hot_limit: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """1-based position of each row in its key; an order must be total in a key.
 
     Several orders (``{out: order}``) share one check for hot groups and one shuffle.
@@ -100,7 +111,7 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[Column] | dict[str,
         return part.select("*", *[F.row_number().over(W.partitionBy(*keys).orderBy(*o)).cast("long").alias(n)
                                   for n, o in orders.items()])
 
-    hot = hot_groups(df, keys, hot_limit)
+    hot = hot_groups(df if counted is None else counted, keys, hot_limit)
     if hot is None:
         return plain(df)
     rows = hot.agg(F.sum("_n")).first()[0]

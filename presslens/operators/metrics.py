@@ -13,18 +13,22 @@ IMP = ["impression_id", "user_id"]
 METRICS = ["auc", "mrr", "ndcg5", "ndcg10"]
 
 
-def rank_candidates(scored: DataFrame, seed: int = 0, hot_limit: int | None = None) -> DataFrame:
-    """Add the 1-based ``rank`` by score; ties in a reproducible pseudo-random order."""
+def rank_candidates(scored: DataFrame, seed: int = 0, hot_limit: int | None = None,
+                    counted: DataFrame | None = None) -> DataFrame:
+    """Add the 1-based ``rank`` by score; ties in a reproducible pseudo-random order.
+
+    ``counted``: the unscored candidates, to look for oversized lists without scoring twice.
+    """
     tagged = scored.withColumn("_tie", tie_break(seed, "impression_id", "article_id", "position"))
     order = [F.col("score").desc_nulls_last(), F.col("_tie"), F.col("position")]
-    return row_numbers(tagged, ["impression_id"], order, "rank", hot_limit).drop("_tie")
+    return row_numbers(tagged, ["impression_id"], order, "rank", hot_limit, counted).drop("_tie")
 
 
-def auc_per_impression(scored: DataFrame, hot_limit: int | None = None) -> DataFrame:
+def auc_per_impression(scored: DataFrame, hot_limit: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Mann-Whitney AUC with averaged ties; null if an impression has one class only."""
     by_score = scored.groupBy(*IMP, "score").agg(
         F.sum(clicked_int()).alias("_pos"), F.sum(1 - clicked_int()).alias("_neg"))
-    cumulated = running_sums(by_score, IMP, [F.col("score")], {"_upto": F.col("_neg")}, hot_limit)
+    cumulated = running_sums(by_score, IMP, [F.col("score")], {"_upto": F.col("_neg")}, hot_limit, counted)
     won = F.col("_pos") * (F.col("_upto") - F.col("_neg") / 2.0)
     sums = cumulated.groupBy(*IMP).agg(F.sum(won).alias("_won"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
     pairs = F.col("_p") * F.col("_n")

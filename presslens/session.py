@@ -10,6 +10,8 @@ SETTINGS = {
     # joins, partition counts and skew are settled from sizes measured at run time
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot join key even if that costs the plan one more shuffle
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # hash join instead of sort where every partition of one side was measured to be small
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }

@@ -30,7 +30,7 @@ def stream_predictions(spark: SparkSession, impressions_dir: str, out_dir: str,
     def score(batch: DataFrame, batch_id: int) -> None:
         keep = [c for c in batch.columns if c != "article_ids_inview"]
         rows = batch.select(*keep, F.posexplode("article_ids_inview").alias("position", "article_id"))
-        lines = prediction_lines(rank_candidates(scorer(rows), seed))
+        lines = prediction_lines(rank_candidates(scorer(rows), seed, counted=rows))
         ordered = lines.repartitionByRange("impression_id").sortWithinPartitions("impression_id")
         ordered.select("impression_id", "line").write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id:010d}")
 

@@ -19,7 +19,7 @@ def pop_scorer(v):
 
 @query("m1_rank_candidates", "select impression_id, article_id, position::BIGINT as position, round(score, 9) as score, rank::BIGINT as rank from ranked")
 def _(v):
-    return M.rank_candidates(v.scored).select("impression_id", "article_id", i64("position"), F.round("score", 9).alias("score"), i64("rank"))
+    return M.rank_candidates(v.scored, counted=v.imp).select("impression_id", "article_id", i64("position"), F.round("score", 9).alias("score"), i64("rank"))
 
 
 @query("m1_rank_hot_groups", "select impression_id, article_id, position::BIGINT as position, rank::BIGINT as rank from ranked")
@@ -30,7 +30,7 @@ def _(v):
 
 @query("m2_auc", f"select {IMP_SQL}, round(auc, 6) as auc from aucs")
 def _(v):
-    return M.auc_per_impression(v.scored).select("impression_id", "user_id", r6("auc"))
+    return M.auc_per_impression(v.scored, counted=v.imp).select("impression_id", "user_id", r6("auc"))
 
 
 @query("m2_auc_hot_groups", f"select {IMP_SQL}, round(auc, 6) as auc from aucs")
@@ -40,12 +40,12 @@ def _(v):
 
 @query("m3_mrr", f"select {IMP_SQL}, round(mrr, 6) as mrr from rankmets")
 def _(v):
-    return M.mrr(M.rank_candidates(v.scored)).select("impression_id", "user_id", r6("mrr"))
+    return M.mrr(M.rank_candidates(v.scored, counted=v.imp)).select("impression_id", "user_id", r6("mrr"))
 
 
 @query("m4_ndcg", f"select {IMP_SQL}, round(ndcg5, 6) as ndcg5, round(ndcg10, 6) as ndcg10 from rankmets")
 def _(v):
-    return M.rank_metrics(M.rank_candidates(v.scored)).select("impression_id", "user_id", r6("ndcg5"), r6("ndcg10"))
+    return M.rank_metrics(M.rank_candidates(v.scored, counted=v.imp)).select("impression_id", "user_id", r6("ndcg5"), r6("ndcg10"))
 
 
 @query("m5_official_scores", """select round(avg(auc), 6) as auc, round(avg(mrr_all), 6) as mrr, round(avg(ndcg5), 6) as ndcg5,
@@ -57,7 +57,7 @@ def _(v):
           select impression_id, clicked, row_number() over (partition by impression_id order by rank desc) as r from ranked) group by impression_id))
     using (impression_id)""")
 def _(v):
-    pred = R.parse_lines(S.prediction_lines(M.rank_candidates(v.scored)).select("line"), "ranks")
+    pred = R.parse_lines(S.prediction_lines(M.rank_candidates(v.scored, counted=v.imp)).select("line"), "ranks")
     truth = R.parse_lines(S.truth_lines(v.imp).select("line"), "labels")
     scores = M.official_scores(R.read_predictions(pred, truth))
     return scores.select(r6("auc"), r6("mrr"), r6("ndcg5"), r6("ndcg10"), "n_impressions")
@@ -65,12 +65,12 @@ def _(v):
 
 @query("m6_diversity", f"select {IMP_SQL}, round(diversity10, 6) as diversity10 from divs")
 def _(v):
-    return M.diversity_at_k(M.rank_candidates(v.scored), v.art).select("impression_id", "user_id", r6("diversity10"))
+    return M.diversity_at_k(M.rank_candidates(v.scored, counted=v.imp), v.art).select("impression_id", "user_id", r6("diversity10"))
 
 
 @query("m7_novelty", f"select {IMP_SQL}, round(novelty10, 6) as novelty10 from novs")
 def _(v):
-    return M.novelty_at_k(M.rank_candidates(v.scored), v.popularity).select("impression_id", "user_id", r6("novelty10"))
+    return M.novelty_at_k(M.rank_candidates(v.scored, counted=v.imp), v.popularity).select("impression_id", "user_id", r6("novelty10"))
 
 
 @query("m8_catalog_coverage", """select coalesce(cohort, 'overall') as slice, count(distinct article_id) as n_seen,
@@ -134,7 +134,7 @@ _PAIRED = f"""with users as (select distinct user_id from imp), weights as ({_we
 
 @query("m12_paired_bootstrap", _PAIRED)
 def _(v):
-    rows = M.paired_bootstrap(M.rank_metrics(M.rank_candidates(v.scored)), "mrr", "ndcg5", n_replicates=100)
+    rows = M.paired_bootstrap(M.rank_metrics(M.rank_candidates(v.scored, counted=v.imp)), "mrr", "ndcg5", n_replicates=100)
     return rows.select(r6("diff"), "n_impressions", "n_users", r6("ci_low"), r6("ci_high"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from presslens.functions.expr import epoch_seconds, prefix_id
-from presslens.operators import audit as V, prepare as P, sampling as L
+from presslens.functions.grouping import scratch_folder
+from presslens.operators import audit as V, prepare as P, profiles as PR, sampling as L
 from presslens.sources import readers as R, sinks as S
 from suite.registry import i64, query, r6
 
@@ -35,7 +36,7 @@ def _(v):
     impression_id::VARCHAR || ' [' || string_agg(rank::VARCHAR, ',' order by position) || ']' as line from ranked group by impression_id""")
 def _(v):
     from presslens.operators.metrics import rank_candidates
-    return S.prediction_lines(rank_candidates(v.scored)).select(F.col("impression_id").cast("string").alias("impression_id"), "line")
+    return S.prediction_lines(rank_candidates(v.scored, counted=v.imp)).select(F.col("impression_id").cast("string").alias("impression_id"), "line")
 
 
 @query("s9_truth_lines", """select impression_id::VARCHAR as impression_id,
@@ -48,11 +49,38 @@ def _(v):
     clicked::BIGINT as label, rank::BIGINT as rank from ranked""")
 def _(v):
     from presslens.operators.metrics import rank_candidates
-    pred = R.parse_lines(S.prediction_lines(rank_candidates(v.scored)).select("line"), "ranks")
+    pred = R.parse_lines(S.prediction_lines(rank_candidates(v.scored, counted=v.imp)).select("line"), "ranks")
     truth = R.parse_lines(S.truth_lines(v.imp).select("line"), "labels")
     return R.read_predictions(pred, truth).select("impression_id", i64("position"), i64("label"), i64("rank"))
 
 
+@query("s7_write_store", """select impression_id::VARCHAR as impression_id, user_id::VARCHAR as user_id, article_id::VARCHAR as article_id,
+    clicked::BIGINT as clicked, 'eval' as split from imp""")
+def _(v):
+    text = [F.col(c).cast("string").alias(c) for c in ("impression_id", "user_id", "article_id")]
+    rows = v.imp.select(*text, F.lit("mind").alias("dataset"), "impression_time", F.col("clicked").cast("boolean").alias("clicked"), "position")
+    null = {"session_id": "string", "dwell_time": "double", "scroll_percentage": "double", "is_front_page": "boolean"}
+    rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in null.items()})
+    stored = S.write_store(rows, V.IMPRESSIONS, "mind", scratch_folder(v.spark, "store"), "orders", "eval", "impressions",
+                           ["impression_id", "article_id"])
+    return stored.select("impression_id", "user_id", "article_id", i64(F.col("clicked").cast("int"), "clicked"), "split")
+
+
+@query("w1_stream_predictions", """select impression_id, impression_id::VARCHAR || ' [' || string_agg(rank::VARCHAR, ',' order by position) || ']' as line
+    from ranked group by impression_id""")
+def _(v):
+    """All orders arrive as files and are scored by a stream that stops when none is left."""
+    from presslens.streaming.predictions import read_stream_predictions, stream_predictions
+    base = scratch_folder(v.spark, "stream")
+    packed = v.imp.groupBy("impression_id", "user_id", "impression_time").agg(
+        F.array_sort(F.collect_list(F.struct("position", "article_id"))).alias("_a"))
+    packed.select("impression_id", "user_id", "impression_time", F.transform("_a", lambda x: x["article_id"]).alias("article_ids_inview")
+                  ).write.parquet(f"{base}/in")
+    stream_predictions(v.spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint",
+                       lambda rows: PR.popularity_score(rows, v.popularity), max_files=4)
+    return read_stream_predictions(v.spark, f"{base}/out").select("impression_id", "line")
+
+
 # --- preparation -------------------------------------------------------------------------
 
 @query("p1_prefix_id", """select 'shop:eval:' || impression_id as impression_id, 'shop:' || user_id as user_id,
