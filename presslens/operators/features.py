@@ -88,6 +88,15 @@ def pairs_of(imp: DataFrame) -> DataFrame:
     return imp.select(*PAIR).distinct()
 
 
+def listed_values(articles: DataFrame, subcats: DataFrame, topics: DataFrame) -> DataFrame:
+    """(article_id, kind, value) with the category, subcategories and topics of every article."""
+    def rows(df: DataFrame, kind: str, col: str) -> DataFrame:
+        return df.select("article_id", F.lit(kind).alias("kind"), F.col(col).cast("string").alias("value"))
+
+    return rows(category_of(articles), "cat", "category").unionByName(
+        rows(subcats, "sub", "subcategory")).unionByName(rows(topics, "top", "topic"))
+
+
 def value_affinity(pairs: DataFrame, affinity: DataFrame, values: DataFrame, value: str, out: str) -> DataFrame:
     """(user_id, article_id, out): sum of the user's affinities over the article's values; absent means 0."""
     hits = pairs.join(values, "article_id").join(affinity, ["user_id", value])
@@ -107,13 +116,16 @@ def long_term_pairs(pairs: DataFrame, hist: DataFrame, articles: DataFrame, subc
                     vecs: DataFrame) -> DataFrame:
     """The four long-term similarity features of each pair."""
     clicks = engaged_clicks(hist, articles)
-    users = hist.select("user_id").distinct()
-    out = pairs
-    for values, value, name in ((category_of(articles), "category", "lt_cat_affinity"),
-                                (subcats, "subcategory", "lt_subcat_affinity"), (topics, "topic", "lt_topic_affinity")):
-        out = out.join(value_affinity(pairs, long_term_affinity(clicks, values, value), values, value, name), PAIR, "left")
-    out = out.join(similarity(pairs, users, long_term_vector(clicks, vecs), articles, vecs, "lt_embed_sim"), PAIR, "left")
-    return out.fillna(0.0, LONG_TERM[:3])
+    listed = listed_values(articles, subcats, topics)
+    # all kinds of values go through one aggregate and one join
+    key = ["user_id", "kind", "value"]
+    sums = clicks.join(listed, "article_id").groupBy(*key).agg(F.sum("w").alias("_w"))
+    share = F.col("_w") / F.sum("_w").over(W.partitionBy("user_id", "kind"))
+    hits = pairs.join(listed, "article_id").join(sums.select(*key, share.alias("_a")), key)
+    names = {"cat": "lt_cat_affinity", "sub": "lt_subcat_affinity", "top": "lt_topic_affinity"}
+    found = hits.groupBy(*PAIR).agg(*[F.sum(F.when(F.col("kind") == k, F.col("_a"))).alias(n) for k, n in names.items()])
+    sims = similarity(pairs, hist.select("user_id").distinct(), long_term_vector(clicks, vecs), articles, vecs, "lt_embed_sim")
+    return pairs.join(found, PAIR, "left").fillna(0.0, list(names.values())).join(sims, PAIR, "left")
 
 
 def long_term_features(imp: DataFrame, hist: DataFrame, articles: DataFrame, subcats: DataFrame, topics: DataFrame,
@@ -283,8 +295,7 @@ def short_term_moments(imp: DataFrame, hist: DataFrame, articles: DataFrame, sub
     by_category = wanted.join(shares, ["user_id", "p", "category"]).select(*MOMENT, "st_cat_affinity", "st_cat_rank")
 
     # subcategories and topics share one time line per (user, kind, value)
-    listed = subcats.select("article_id", F.lit("sub").alias("kind"), F.col("subcategory").cast("string").alias("value")).unionByName(
-        topics.select("article_id", F.lit("top").alias("kind"), F.col("topic").cast("string").alias("value")))
+    listed = listed_values(articles, subcats, topics).filter("kind <> 'cat'")
     wanted_values = asked.join(listed, "article_id")
     key = ["user_id", "kind", "value"]
     value_mass = window_mass(wanted_values.select(*key, "p"), clicks.join(listed, "article_id"), key, ["n"], look, half)
