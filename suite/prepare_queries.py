@@ -8,7 +8,7 @@ from presslens.functions.expr import epoch_seconds, prefix_id
 from presslens.functions.grouping import scratch_folder
 from presslens.operators import audit as V, prepare as P, profiles as PR, sampling as L
 from presslens.sources import readers as R, sinks as S
-from suite.registry import i64, query, r6
+from suite.registry import i64, long_vec, query, r6
 
 CAND_SQL = "impression_id::BIGINT as impression_id, user_id::BIGINT as user_id, article_id::BIGINT as article_id"
 
@@ -17,6 +17,30 @@ def _cand(df, *extra):
     return df.select(i64("impression_id"), i64("user_id"), i64("article_id"), *extra)
 
 
+@query("s1_read_catalog_tsv", """select article_id::VARCHAR as id, category, subcategory, title,
+    case when article_id % 2 = 0 then 'about ' || title end as abstract from art""")
+def _(v):
+    path = scratch_folder(v.spark, "catalog")
+    even = F.when(F.col("article_id") % 2 == 0, F.concat(F.lit("about "), "title")).otherwise("")
+    fields = [F.col("article_id").cast("string"), "category", "subcategory", "title", even, F.lit("http://x"), F.lit("[]"), F.lit("")]
+    v.art.select(F.concat_ws("\t", *fields).alias("value")).write.text(path)
+    return R.read_catalog_tsv(v.spark, path).select("id", "category", "subcategory", "title", "abstract")
+
+
+@query("s2_read_behaviors_tsv", """select impression_id::VARCHAR as impression_id, user_id::VARCHAR as user_id, any_value(p) as seconds,
+    string_agg(article_id::VARCHAR || '-' || clicked::VARCHAR, ' ' order by position) as impressions from eimp group by impression_id, user_id""")
+def _(v):
+    path = scratch_folder(v.spark, "behaviors")
+    tok = F.concat_ws("-", F.col("article_id").cast("string"), F.col("clicked").cast("string"))
+    packed = v.eimp.groupBy("impression_id", "user_id", "impression_time").agg(
+        F.array_sort(F.collect_list(F.struct("position", tok.alias("t")))).alias("_t"))
+    fields = [F.col("impression_id").cast("string"), F.col("user_id").cast("string"),
+              F.date_format("impression_time", R.TIME_FORMAT), F.lit(""), F.array_join(F.transform("_t", lambda x: x["t"]), " ")]
+    packed.select(F.concat_ws("\t", *fields).alias("value")).write.text(path)
+    return R.read_behaviors_tsv(v.spark, path).filter(F.col("history").isNull()).select(
+        "impression_id", "user_id", epoch_seconds("impression_time").alias("seconds"), "impressions")
+
+
 @query("s3_read_columns", """select user_id, epoch_us(ts) as us, round(value, 6) as value from events
     where event_type = 'click' and value > 20 and user_id in (select user_id from events where event_type = 'purchase')""")
 def _(v):
@@ -54,6 +78,15 @@ def _(v):
     return R.read_predictions(pred, truth).select("impression_id", i64("position"), i64("label"), i64("rank"))
 
 
+@query("s6_read_vectors", "select article_id::VARCHAR as id, generate_subscripts(vec, 1) as d, round(unnest(vec), 6) as x from vecs")
+def _(v):
+    path = scratch_folder(v.spark, "vectors")
+    values = F.transform("embedding", lambda x: x.cast("string"))
+    line = F.concat(F.col("vec_id").cast("string"), F.lit("\t"), F.array_join(values, "\t"), F.lit("\t"))
+    v.table("embeddings").select(line.alias("value")).write.text(path)
+    return long_vec(R.read_vectors(v.spark, path), "id")
+
+
 @query("s7_write_store", """select impression_id::VARCHAR as impression_id, user_id::VARCHAR as user_id, article_id::VARCHAR as article_id,
     clicked::BIGINT as clicked, 'eval' as split from imp""")
 def _(v):

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presslens.functions.expr import hash32
-from presslens.functions.grouping import checkpointed, top_k
+from presslens.functions.expr import hash32, unit
+from presslens.functions.grouping import checkpointed, scratch_folder, top_k
 from presslens.operators import models as C, profiles as PR, text as T, training as N, vectors as E
 from suite.registry import i64, long_vec, query, r6
 from suite.views import sql_hash32
@@ -59,6 +59,22 @@ def _(v):
     return vecs.select("article_id", F.size("vec").alias("dim"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"))
 
 
+@query("e2_encode_incremental", """select article_id, round(a / sqrt(a * a + b * b), 6) as x, round(b / sqrt(a * a + b * b), 6) as y
+    from (select article_id, length(title) + 1e0 as a, (case when lower(category) = 'en' then 5 else 1 end) * 1e0 as b from docs)""")
+def _(v):
+    """The store first gets the texts of one language, then the rest, then nothing new."""
+    store = scratch_folder(v.spark, "encoded")
+
+    def encode(rows):
+        raw = F.array(F.length("title") + 1.0, F.when(F.col("category") == "en", 5.0).otherwise(1.0))
+        return rows.select("article_id", unit(raw).alias("vec"))
+
+    E.encode_incremental(v.docs.filter("category = 'en'"), store, "lengths", encode)
+    E.encode_incremental(v.docs, store, "lengths", encode)
+    vecs = E.encode_incremental(v.docs, store, "lengths", encode)
+    return vecs.select("article_id", r6(F.get("vec", F.lit(0)), "x"), r6(F.get("vec", F.lit(1)), "y"))
+
+
 @query("e3_align_vectors", """select article_id, d, round(x / sqrt(sum(x * x) over (partition by article_id)), 6) as x
     from (select article_id, generate_subscripts(vec, 1) as d, unnest(vec) as x from vecs where article_id in (select article_id from ehist))""")
 def _(v):
