@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Fixed value: the characters that separate words, ``[\x20\x09-\x0D]``.
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, unless PYTHONPATH is set for them."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -63,3 +73,17 @@ def unit_hash(*cols: Column) -> Column:
 def count_words(text: str = "text") -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in the text; null counts 0."""
     return F.size(F.filter(F.split(text_or_empty(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
+
+
+def row_slices(batches: Iterable[pa.RecordBatch], text: int = 1, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches of a task in slices of bounded text size (a row at least); column ``text`` holds the texts."""
+    for batch in batches:
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+        start = size = 0
+        for i, n in enumerate(sizes):
+            if i > start and size + n > most_bytes:
+                yield batch.slice(start, i - start)
+                start, size = i, 0
+            size += n
+        if batch.num_rows > start:
+            yield batch.slice(start)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presslens.llm import exact_dedup, sharding
+from presslens.llm import exact_dedup, mixing, packing, sharding, token_files
+from presslens.llm.common import find_package
 from presslens.session import prepare_session
 
 QUERIES: dict = {}
@@ -12,6 +14,7 @@ ORACLES: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    find_package(spark)
     return prepare_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,3 +42,19 @@ def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.byte_shards(_table(spark, sf_dir, "documents"), 40)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op6_harmonic_packing")
+def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@query("op8_token_files")
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+@query("op10_pivotal_mix")
+def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
