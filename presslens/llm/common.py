@@ -7,8 +7,10 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Fixed value: the characters that separate words, ``[\x20\x09-\x0D]``.
@@ -39,14 +41,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def file_system(folder: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a folder, for the files that tasks write themselves."""
+    return fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
+
+
+def read_flat(store: fs.FileSystem, path: str, kind: str) -> np.ndarray:
+    """A flat file as an array: mapped into memory where the folder is local or mounted, else read."""
+    if isinstance(store, fs.LocalFileSystem):
+        return np.memmap(path, dtype=kind, mode="r") if store.get_file_info(path).size else np.zeros(0, kind)
+    with store.open_input_file(path) as f:
+        return np.frombuffer(f.read(), dtype=kind)
+
+
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts lineage with replicated storage: whatever reads the result survives lost
     executors, and row ids or partition numbers in it can no longer change.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

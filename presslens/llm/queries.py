@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presslens.llm import embedding_dedup, exact_dedup, mixing, packing, sharding, token_files, toxicity
+from presslens.llm import embedding_dedup, exact_dedup, lm_scoring, mixing, packing, sharding, token_files, toxicity
 from presslens.llm.common import find_package
 from presslens.session import prepare_session
 
@@ -71,3 +71,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_forest_near_vectors")
 def op9_forest_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_trie_scores")
+def op7_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_table(spark, sf_dir, "documents"), ~lm_scoring.held_out())

@@ -21,10 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from presslens.llm.common import new_folder, row_slices, text_or_empty
+from presslens.llm.common import file_system, new_folder, read_flat, row_slices, text_or_empty
 from presslens.llm.tokens import encoder
 
 _MANIFEST = "part int, name string, documents long, tokens long, kind string"
@@ -37,10 +36,6 @@ def vocabulary_size(tokenizer_path: str) -> int:
     return 1 + max([*known["model"]["vocab"].values(), *[t["id"] for t in known["added_tokens"]]])
 
 
-def _file_system(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-
-
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files and the manifest (``folder``/manifest); the manifest with each part's base."""
     from pyspark import TaskContext
@@ -48,7 +43,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     kind = "<u2" if vocabulary_size(tokenizer_path) <= 1 << 16 and end_id < 1 << 16 else "<u4"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _file_system(folder)
+        store, root = file_system(folder)
         part, name = TaskContext.get().partitionId(), ""
         ids_out, offsets, ids = None, [np.zeros(1, np.int64)], []
         total = 0
@@ -87,23 +82,16 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return parts.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long"))
 
 
-def _read(store: fs.FileSystem, path: str, kind: str) -> np.ndarray:
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype=kind, mode="r") if store.get_file_info(path).size else np.zeros(0, kind)
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype=kind)
-
-
 def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files; its ids too if asked for."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _file_system(folder)
+        store, root = file_system(folder)
         for batch in batches:
             for part in batch.to_pylist():
                 at = f"{root}/{part['name']}"
-                tokens, offsets, ids = _read(store, at + ".bin", part["kind"]), _read(store, at + ".off", "<i8"), _read(store, at + ".doc", "<i8")
+                tokens, offsets, ids = read_flat(store, at + ".bin", part["kind"]), read_flat(store, at + ".off", "<i8"), read_flat(store, at + ".doc", "<i8")
                 for a in range(0, len(ids), 4096):
                     cut = offsets[a:min(a + 4096, len(ids)) + 1]
                     each = [tokens[x:y].astype("<u4") for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
