@@ -4,8 +4,8 @@ Every source gets a target in words; a document of it is to appear target / sour
 size times. The whole part is certain. The fractional parts are rounded in pairs: two
 documents exchange words (one gains copies, the other loses as many words) until one
 of them is integral, up or down with the odds that keep both expectations. The sum of
-words never moves, so a source misses its target by less than one document, the last
-one left. Pairs are made inside small buckets of a source; what is left of each bucket
+words never moves, so a source misses its target by half of one document at most, the
+last one left. Pairs are made inside small buckets of a source; what is left of each bucket
 (one fractional document) meets its like in the next level of a reduction tree, up to
 the source's root. A hot source has more buckets, not larger ones.
 
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total: float =
             break
         open_ = left.withColumn("bucket", F.floor(F.col("bucket") / BUCKET))
         buckets = math.ceil(buckets / BUCKET)
-    last = left.withColumn("part", (F.col("chance") < F.col("part")).cast("double")).drop("bucket")
+    last = left.withColumn("part", (F.col("part") >= 0.5).cast("double")).drop("bucket")  # one a source, to the nearer side
     copies = F.col("whole") + F.col("part").cast("long")
     return settled.unionByName(last).join(targets, "number").select(
         "doc_id", "text_hash", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

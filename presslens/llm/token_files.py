@@ -102,7 +102,8 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
                         out["ids"] = pa.array([x.astype(np.int64) for x in each], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_pydict(out)
 
-    return read_manifest(spark, folder).repartition("part").mapInArrow(read, schema)
+    parts = read_manifest(spark, folder)
+    return parts.repartition(max(1, parts.count()), "part").mapInArrow(read, schema)  # a given number, or tiny rows end in one task
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None) -> DataFrame:

@@ -13,13 +13,18 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 
 #: Remembered pieces of a tokenizer in a worker; later ones are encoded again when they return.
 MAX_PIECES = 500_000
 _WIDE_SPACE = re.compile(r"\s\s")
+_LETTER, _MARK = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r'.,;:!?()"\-'
+_PLAIN = re.compile(f" [{_LETTER}{_MARK}\n]+")
+_CLASS_CHANGE = re.compile(f"(?<=[{_LETTER}])(?=[{_MARK}\n])|(?<=[{_MARK}])(?=[{_LETTER}\n])|(?<=\n)(?=[{_LETTER}{_MARK}])")
+#: Both ways of encoding must agree on this text, or the full pattern is used for every piece.
+_PROBE = "The (quick, brown) \u00c9l\u00e8ve-Stra\u00dfe; a.\nNew LINE: yes!? \u00dc\n \"end\"..."
 
 
 class _Numbers(dict):
@@ -42,6 +47,12 @@ class Encoder:
         #: A special token cuts a text without touching what stands beside it.
         self.cut_id, self.cut = next(((i, t.content) for i, t in sorted(special.items())), (None, None))
         self.specials = [t.content for t in special.values()]
+        self.words = None
+        if self.cut is not None:
+            self.words = _Words(path)
+            pieces = [" " + p for p in _PROBE.split(" ")[1:]]
+            if not np.array_equal(self.words.ids(pieces)[0], np.concatenate(self.whole(pieces))):
+                self.words = None
         self.numbers = _Numbers()  # piece with its space -> place in the next two
         self.ids = np.zeros(0, np.uint32)  # ids of all pieces in a row
         self.ends = np.zeros(1, np.int64)  # where those of each piece end, after a 0
@@ -70,9 +81,9 @@ class Encoder:
                 words[0] = "\0" + words[0]
         used = len(self.numbers)
         sizes = np.array([len(words) for words in split], dtype=np.int64)
-        numbers = np.fromiter((n for words in split for n in map(self.numbers.__getitem__, words)), np.int64, int(sizes.sum()))
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
         new = list(islice(reversed(self.numbers), len(self.numbers) - used))[::-1]
-        ids, ends = self._pieces([p[1:] if p[0:1] == "\0" else " " + p for p in new])
+        ids, ends = self._new([p[1:] if p[0:1] == "\0" else " " + p for p in new])
         all_ids = np.concatenate([self.ids, ids])
         all_ends = np.concatenate([self.ends, self.ends[-1] + ends])
         starts, lengths = all_ends[numbers], all_ends[numbers + 1] - all_ends[numbers]
@@ -92,12 +103,51 @@ class Encoder:
             else:
                 yield next(others)
 
-    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces and where each one's end; the pieces are one text, with a special token after each."""
+    def _new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and where those of each piece end."""
         if not pieces:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        ids = np.array(self.tokenizer.encode_batch_fast([self.cut.join(pieces) + self.cut], add_special_tokens=False)[0].ids, dtype=np.uint32)
-        cut = ids == self.cut_id
+        plain = np.array([self.words is not None and _PLAIN.fullmatch(p) is not None for p in pieces])
+        first, first_ends = self.words.ids([p for p, own in zip(pieces, plain.tolist(), strict=True) if own]) if plain.any() else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        others = [p for p, own in zip(pieces, plain.tolist(), strict=True) if not own]
+        more = np.array(self.whole([self.cut.join(others) + self.cut])[0] if others else [], dtype=np.uint32)
+        cut = more == self.cut_id
+        more_ends = np.flatnonzero(cut) - np.arange(len(others))
+        lengths, begin = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        lengths[plain], lengths[~plain] = np.diff(first_ends, prepend=0), np.diff(more_ends, prepend=0)
+        begin[plain], begin[~plain] = first_ends - lengths[plain], len(first) + more_ends - lengths[~plain]
+        upto = np.cumsum(lengths)
+        return np.concatenate([first, more[~cut]])[np.repeat(begin - (upto - lengths), lengths) + np.arange(upto[-1])], upto
+
+
+class _Words:
+    """The model of a byte-level tokenizer on plain words, cut by a simple rule instead of the full pattern.
+
+    A plain piece holds Latin-1 letters, a few punctuation marks and line ends after its space.
+    For these the usual patterns come down to runs of letters, runs of marks and line ends, and
+    normalisation to lower case at most.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.model = Tokenizer.from_file(path)
+        self.lower = self.model.normalizer is not None
+        self.space = "\u0120the" in self.model.get_vocab()
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.CharDelimiterSplit("\1"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.between = self.model.encode("|", add_special_tokens=False).ids[0]
+
+    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        texts = []
+        for start in range(0, len(pieces), 10_000):
+            text = _CLASS_CHANGE.sub("\1", "\1|\1".join(pieces[start:start + 10_000])) + "\1|"
+            if not self.space:
+                text = text.replace(" ", "").replace("\n", "\1")
+            texts.append(text.lower() if self.lower else text)
+        ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+        cut = ids == self.between
         return ids[~cut], np.flatnonzero(cut) - np.arange(len(pieces))
 
 
