@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: Fixed value: the characters that separate words, ``[\x20\x09-\x0D]``.
 SPACES = " \t\n\x0b\x0c\r"
@@ -90,6 +90,24 @@ def count_words(text: str = "text") -> Column:
     return F.size(F.filter(F.split(text_or_empty(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
 
 
+def matching_rows(docs: DataFrame, plan: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose (id, text hash) is in ``plan`` (doc_id, text_hash, and ``copies`` if rows repeat), all columns kept.
+
+    Of rows equal in id and text one stands for all.
+    """
+    text_hash, number, plan_id, plan_hash, copies = free_names(docs, "x_text_hash", "x_number", "x_id", "x_plan_hash", "x_copies")
+    asked = plan.columns
+    times = F.col("copies") if "copies" in asked else F.lit(1).cast("long")
+    plan = plan.select(F.col("doc_id").alias(plan_id), F.col("text_hash").alias(plan_hash), times.alias(copies))
+    rows = docs.withColumn(text_hash, F.xxhash64(text_or_empty(text_col))).join(
+        plan, F.col(id_col).eqNullSafe(F.col(plan_id)) & (F.col(text_hash) == F.col(plan_hash)))
+    equal = W.partitionBy(plan_id, text_hash).orderBy(F.lit(1))
+    single = rows.withColumn(number, F.row_number().over(equal)).filter(F.col(number) == 1)
+    if "copies" in asked:
+        single = single.withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    return single.select(*docs.columns)
+
+
 def row_slices(batches: Iterable[pa.RecordBatch], text: int = 1, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches of a task in slices of bounded text size (a row at least); column ``text`` holds the texts."""
     for batch in batches:

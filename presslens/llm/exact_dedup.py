@@ -21,44 +21,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from presslens.llm.bloom import MAX_CELLS, build, filter_size, flag
 from presslens.llm.common import SPACES, free_names, stored, text_or_empty
 
-MAX_CELLS = 1 << 28
-CELLS_A_ROW = 32
-
 
 def text_digest(text: str = "text") -> Column:
     """SHA-256 (32 bytes) of the normalised text."""
     return F.unhex(F.sha2(F.translate(text_or_empty(text), SPACES, ""), 256))
 
 
-def _cells(digest: str, cells: int) -> tuple[Column, Column]:
-    hashed = F.xxhash64(digest)
-    return F.pmod(hashed, F.lit(cells)), F.pmod(F.shiftright(hashed, 32), F.lit(cells))
-
-
-def filter_size(rows: int, max_cells: int = MAX_CELLS) -> int:
-    return int(min(max_cells, max(1 << 12, 1 << (max(1, rows) * CELLS_A_ROW - 1).bit_length())))
-
-
-def repeated_cells(digests: DataFrame, cells: int) -> DataFrame:
-    """The filter after pass one: (word, bits) of the cells that at least two rows hit."""
-    one, two = _cells("digest", cells)
-    hits = digests.select(F.explode(F.array_distinct(F.array(one, two))).alias("cell"))
-    twice = hits.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    bit = F.expr("shiftleft(1L, cast(cell % 64 as int))")
-    return twice.groupBy(F.expr("cell div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
-
-
-def flag_repeated(rows: DataFrame, digest: str, kept: DataFrame, cells: int, out: str) -> DataFrame:
-    """Pass two: ``out`` is true where both cells of the row were hit at least twice."""
-    words = free_names(rows, "bloom_word_1", "bloom_bits_1", "bloom_word_2", "bloom_bits_2")
-    checks = []
-    for position, word, bits in zip(_cells(digest, cells), words[::2], words[1::2], strict=True):
-        side = F.broadcast(kept.select(F.col("word").alias(word), F.col("bits").alias(bits)))
-        rows = rows.join(side, F.floor(position / 64).cast("long") == F.col(word), "left")
-        checks.append(F.coalesce(F.col(bits), F.lit(0)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(position, F.lit(64)).cast("int"))) != 0)
-    return rows.withColumn(out, checks[0] & checks[1]).drop(*words)
+def _repeated(digests: DataFrame, cells: int) -> DataFrame:
+    """The filter after pass one: the cells that at least two rows hit."""
+    return stored(build(digests.select(F.xxhash64("digest").alias("key")), "key", cells, least=2), "bloom")
 
 
 def _groups(candidates: DataFrame) -> DataFrame:
@@ -75,7 +49,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     digests = stored(docs.select(F.col(id_col).alias("id"), F.length(text_or_empty(text_col)).cast("long").alias("n"),
                                  text_digest(text_col).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
     cells = filter_size(digests.count(), max_cells)
-    flagged = flag_repeated(digests, "digest", stored(repeated_cells(digests, cells), "bloom"), cells, "repeated")
+    flagged = flag(digests, F.xxhash64("digest"), _repeated(digests, cells), cells, "repeated")
     single = flagged.filter(~F.col("repeated")).select(
         F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
@@ -98,10 +72,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.withColumns({digest: text_digest(text_col), n: F.length(text_or_empty(text_col)).cast("long")})
     digests = stored(rows.select(F.col(id_col).alias("id"), F.col(n).alias("n"), F.col(digest).alias("digest"), F.lit(0).alias("row")), "digests")
     cells = filter_size(digests.count(), max_cells)
-    bloom = stored(repeated_cells(digests, cells), "bloom")
-    candidates = flag_repeated(digests, "digest", bloom, cells, "repeated").filter("repeated")
+    bloom = _repeated(digests, cells)
+    candidates = flag(digests, F.xxhash64("digest"), bloom, cells, "repeated").filter("repeated")
     groups = stored(_groups(candidates), "groups").select(F.col("digest").alias(digest), F.col("best").alias(best))
-    flagged = flag_repeated(rows, digest, bloom, cells, repeated)
+    flagged = flag(rows, F.xxhash64(digest), bloom, cells, repeated)
     joined = flagged.filter(F.col(repeated)).join(groups, digest, "left")
     first = F.col(best).isNull() | ((F.col(f"{best}.less") == -F.col(n)) & F.col(f"{best}.id").eqNullSafe(F.col(id_col)))
     kept = joined.filter(first).dropDuplicates([digest])  # one row a group but for rows equal in id, length and text

@@ -21,7 +21,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from presslens.llm.common import count_words, free_names, stored, text_or_empty, unit_hash
+from presslens.llm.common import count_words, matching_rows, stored, text_or_empty, unit_hash
 
 BUCKET = 64
 
@@ -119,11 +119,5 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Of rows equal in id and text one stands for all and has the copies of all.
     """
-    text_hash, number, plan_id, plan_hash, copies = free_names(docs, "x_text_hash", "x_number", "x_id", "x_plan_hash", "x_copies")
     taken = mix(docs, id_col=id_col, text_col=text_col, **options).filter("copies > 0")
-    plan = stored(taken.groupBy(F.col("doc_id").alias(plan_id), F.col("text_hash").alias(plan_hash)).agg(F.sum("copies").alias(copies)), "plan")
-    rows = docs.withColumn(text_hash, F.xxhash64(text_or_empty(text_col))).join(
-        plan, F.col(id_col).eqNullSafe(F.col(plan_id)) & (F.col(text_hash) == F.col(plan_hash)))
-    equal = W.partitionBy(plan_id, text_hash).orderBy(F.lit(1))
-    single = rows.withColumn(number, F.row_number().over(equal)).filter(F.col(number) == 1)
-    return single.withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
+    return matching_rows(docs, stored(taken.groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("copies")), "plan"), id_col, text_col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presslens.llm import embedding_dedup, exact_dedup, lm_scoring, mixing, packing, sharding, token_files, toxicity
+from presslens.llm import embedding_dedup, exact_dedup, lm_scoring, minhash, mixing, packing, sharding, suffix_dedup, token_files, toxicity
 from presslens.llm.common import find_package
 from presslens.session import prepare_session
 
@@ -76,3 +76,13 @@ def op9_forest_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_trie_scores")
 def op7_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(_table(spark, sf_dir, "documents"), ~lm_scoring.held_out())
+
+
+@query("op4_dart_minhash")
+def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(_table(spark, sf_dir, "documents")).drop("kept")
