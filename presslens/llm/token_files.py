@@ -1,7 +1,7 @@
 """Token ids of a corpus in flat binary files.
 
-Rows are range-partitioned by id (repeated ids by text too, so they can be split), sorted,
-encoded, and every task writes three flat files to the shared folder: ``.bin`` (the ids of
+Rows are range-partitioned by id (repeated ids by their place in the table, so they can be
+split), sorted, encoded, and every task writes three flat files to the shared folder: ``.bin`` (the ids of
 its documents in a row, unsigned 16-bit where the vocabulary allows it, else 32-bit),
 ``.off`` (64-bit offsets of each document in it, and the end) and ``.doc`` (64-bit document
 ids; null is the smallest integer). A manifest (Parquet) names the files of the attempts
@@ -46,16 +46,17 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         store, root = file_system(folder)
         part, name = TaskContext.get().partitionId(), ""
         ids_out, offsets, ids = None, [np.zeros(1, np.int64)], []
-        total = 0
+        total, end = 0, np.array([end_id], np.uint32)
         for batch in row_slices(batches):
             if ids_out is None:
                 name = f"part-{part:05d}-{uuid.uuid4().hex}"
                 store.create_dir(root, recursive=True)
                 ids_out = store.open_output_stream(f"{root}/{name}.bin")
-            lengths = []
+            encoded, lengths = [], []
             for tokens in encoder(tokenizer_path).encode(batch.column(1).to_pylist()):
-                ids_out.write(np.append(tokens, np.uint32(end_id)).astype(kind).tobytes())
+                encoded += (tokens, end)
                 lengths.append(len(tokens) + 1)
+            ids_out.write(np.concatenate(encoded).astype(kind).tobytes())
             offsets.append(total + np.cumsum(lengths, dtype=np.int64))
             total = int(offsets[-1][-1])
             ids.append(batch.column(0).fill_null(_NULL_ID).to_numpy(zero_copy_only=False).astype("<i8"))
@@ -69,9 +70,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "documents": pa.array([n], pa.int64()),
                                           "tokens": pa.array([total], pa.int64()), "kind": [kind]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(write, _MANIFEST).write.parquet(f"{folder}/manifest")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")  # the range bounds need no text
+    ordered.select("doc_id", "text").mapInArrow(write, _MANIFEST).write.parquet(f"{folder}/manifest")
     return read_manifest(docs.sparkSession, folder)
 
 
