@@ -37,7 +37,17 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
-@query("op3_byte_shards")
+@query("op3_byte_shards", r"""
+with recursive k as (select i, 0 as step, i::ubigint as c from range(256) t(i)
+                     union all select i, step + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end from k where step < 8),
+crc as (select list(c order by i) as tab from k where step = 8),
+d as (select doc_id, coalesce(text, '') as t from documents),
+sized as (select doc_id, strlen(t) + 16 as size,
+                 xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::ubigint)),
+                                 lambda c, x: xor(c >> 8, tab[1 + (xor(c, x) & 255)::int])), 4294967295::ubigint)::bigint as text_crc32 from d, crc),
+placed as (select *, sum(size) over (order by doc_id, size, text_crc32) as upto, sum(size) over () as total, row_number() over (order by doc_id, size, text_crc32) as n from sized),
+cut as (select *, least(39, ((2 * upto - size) * 40) // (2 * total))::int as shard from placed)
+select doc_id, size, text_crc32, 'bytes' as law, shard, n - min(n) over (partition by shard) as slot, null::int as grown_shard from cut""")
 def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.byte_shards(_table(spark, sf_dir, "documents"), 40)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -68,7 +78,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-@query("op9_forest_near_vectors")
+@query("op9_forest_near_vectors", """
+with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+     near as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+     reach as (select a, b from near union select r.a, n.b from reach r join near n on r.b = n.a),
+     links as (select a, count(*) as n from near group by a), low as (select a, min(b) as b from reach group by a)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(low.b, vec_id)) as component_id, least(vec_id, coalesce(low.b, vec_id)) = vec_id as kept
+from v left join links on links.a = vec_id left join low on low.a = vec_id""")
 def op9_forest_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -78,7 +94,18 @@ def op7_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(_table(spark, sf_dir, "documents"), ~lm_scoring.held_out())
 
 
-@query("op4_dart_minhash")
+@query("op4_dart_minhash", r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+     k as (select doc_id, words, unnest(range(1, greatest(1, len(words) - 4) + 1)) as i from w where len(words) > 0),
+     run as (select doc_id, words[i:i + 4] as run, count(*) as n from k group by all),
+     weight as (select doc_id, sum(n) as n from run group by doc_id),
+     both_ as (select a.doc_id as a, b.doc_id as b, sum(least(a.n, b.n)) as n from run a join run b on a.run = b.run and a.doc_id < b.doc_id group by all),
+     near as (select a, b from both_ c join weight x on x.doc_id = a join weight y on y.doc_id = b where c.n >= 0.8 * (x.n + y.n - c.n)
+              union select a.doc_id, b.doc_id from w a join w b on a.doc_id < b.doc_id and len(a.words) = 0 and len(b.words) = 0),
+     edge as (select a, b from near union select b, a from near),
+     reach as (select a, b from edge union select r.a, e.b from reach r join edge e on r.b = e.a),
+     class as (select w.doc_id, least(w.doc_id, min(r.b)) as class_id from w left join reach r on r.a = w.doc_id group by w.doc_id)
+select doc_id, class_id, count(*) over (partition by class_id) as class_size, doc_id = class_id as kept from class""")
 def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
