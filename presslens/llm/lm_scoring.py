@@ -306,7 +306,7 @@ def _scores(ranges: int, splits: int, n: int, v: int, taught_docs: int, mu: floa
     return run
 
 
-def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", mu: float = MU, block_tokens: int = 6_000_000,
+def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", mu: float = MU, block_tokens: int = 2_000_000,
                     shard_tokens: int = 1_500_000, splits: int = 4, folder: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 

@@ -18,7 +18,7 @@ from itertools import chain, islice
 import numpy as np
 
 #: Remembered pieces of a tokenizer in a worker; later ones are encoded again when they return.
-MAX_PIECES = 900_000
+MAX_PIECES = 600_000
 _WIDE_SPACE = re.compile(r"\s\s")
 _LETTER, _MARK = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r'.,;:!?()"\-'
 _PLAIN = re.compile(f" [{_LETTER}{_MARK}\n]+")

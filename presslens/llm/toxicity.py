@@ -181,8 +181,8 @@ class ToxicityModel:
         self.names, self.weights = names, weights
 
     def score(self, docs: DataFrame, text_col: str = "text", out: str = "score") -> DataFrame:
-        """``docs`` without its text, with the score of every text."""
-        return self._scored(docs, text_col, out, [c for c in docs.columns if c != text_col])
+        """``docs`` without its text, with the score of every text (in place of a column of that name)."""
+        return self._scored(docs, text_col, out, [c for c in docs.columns if c.lower() not in (text_col.lower(), out.lower())])
 
     def _scored(self, docs: DataFrame, text_col: str, out: str, others: list[str]) -> DataFrame:
         names, weights = self.names, self.weights
