@@ -11,9 +11,10 @@ hashes. Counts over the whole corpus come from two exchanges of packed arrays, o
 
 * words go to shards by range of their hash; a shard adds up the training counts, keeps
   them, and tells each block the counts of its words;
-* pairs go to shards by the hash of the first word (the context) and a few bits of the
-  second one, so the followers of a frequent word are split. Each shard builds a trie file
-  in the shared folder, maps it into memory and answers for the pairs of every block.
+* pairs go to shards by the hash of the first word (the context); the followers of a hot
+  context (one token in 1024 or more, so at most 1024 of them) are split over several. Each
+  shard builds a trie file in the shared folder, maps it into memory and answers for the
+  pairs of every block.
 
 Trie file: level one is the contexts in order, with monotone pointers to their followers
 and the weight left for p(w); level two is each context's followers in order, with the
@@ -162,12 +163,25 @@ def _pairs(tokens: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> tuple[
     return (context << _U(32)) | (words[tokens] & _U(0xFFFFFFFF)), context
 
 
-def _sharded(keys: np.ndarray, contexts: np.ndarray, ranges: int, splits: int) -> np.ndarray:
-    """Shard of each pair: range of the context's hash, split by the follower."""
-    return _ranges(contexts[(keys >> _U(32)).astype(np.int64)], ranges) * splits + ((keys & _U(0xFFFFFFFF)) % _U(splits)).astype(np.int64)
+def _sharded(keys: np.ndarray, contexts: np.ndarray, ranges: int, splits: int, hot: np.ndarray) -> np.ndarray:
+    """Shard of each pair: range of the context's hash and a part of it; a hot context is split by the follower."""
+    number = (keys >> _U(32)).astype(np.int64)
+    part = (contexts % _U(splits)).astype(np.int64)[number]
+    split = np.isin(contexts, hot)[number]
+    part[split] = ((keys[split] & _U(0xFFFFFFFF)) % _U(splits)).astype(np.int64)
+    return (_ranges(contexts, ranges) * splits)[number] + part
 
 
-def _pair_counts(ranges: int, splits: int):
+def _hot_words(least: float):
+    """Words of a range with at least so many training tokens."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_pydict({"word": pa.array(_array(words)[_array(counts) >= least], pa.int64())})
+    return run
+
+
+def _pair_counts(ranges: int, splits: int, hot: np.ndarray):
     """Each block's pairs and their training counts, a row for each shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +195,7 @@ def _pair_counts(ranges: int, splits: int):
                     counts = np.zeros(len(keys), np.int64)
                     counts[np.searchsorted(keys, learned)] = times
                 contexts = np.append(words, _U(_START))
-                shard = _sharded(keys, contexts, ranges, splits)
+                shard = _sharded(keys, contexts, ranges, splits, hot)
                 order = np.argsort(shard, kind="stable")
                 cut = np.searchsorted(shard[order], np.arange(ranges * splits + 1))
                 for s in np.unique(shard).tolist():
@@ -250,7 +264,7 @@ class Trie:
         return out
 
 
-def _answer_pairs(folder: str, mu: float):
+def _answer_pairs(folder: str, mu: float, keep: bool):
     def run(asked: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"block": [], "shard": [], "shares": []})
         if asked.empty:
@@ -277,18 +291,21 @@ def _answer_pairs(folder: str, mu: float):
         Trie.write(store, path, Trie.arrays(known[which], distinct & _U(0xFFFFFFFF), total, own[which], mu))
         trie = Trie.open(store, path)
         shares = [trie.query(c, s, f).tobytes() for c, s, f in zip(contexts, sizes, followers, strict=True)]
+        if not keep:
+            del trie
+            store.delete_file(path)
         return pd.DataFrame({"block": asked["block"], "shard": asked["shard"], "shares": shares})
     return run
 
 
-def _scores(ranges: int, splits: int, n: int, v: int, taught_docs: int, mu: float):
+def _scores(ranges: int, splits: int, hot: np.ndarray, n: int, v: int, taught_docs: int, mu: float):
     def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row = blocks.iloc[0]
         tokens, lengths, hashes = _array(row["tokens"], "<u4"), _array(row["lengths"]), _array(row["words"], "<u8")
         own = answers[answers["kind"] == 0].sort_values("shard")
         counts = np.concatenate([_array(x) for x in own["answer"]])
         keys, inverse = np.unique(_pairs(tokens, lengths, hashes)[0], return_inverse=True)
-        order = np.argsort(_sharded(keys, np.append(hashes, _U(_START)), ranges, splits), kind="stable")
+        order = np.argsort(_sharded(keys, np.append(hashes, _U(_START)), ranges, splits, hot), kind="stable")
         shares = np.zeros(len(keys), np.uint8)
         shares[order] = np.concatenate([_array(x, "<u1") for x in answers[answers["kind"] == 1].sort_values("shard")["answer"]])
         left = _decoded(_code(mu / (np.append(counts, taught_docs) + mu)))  # as the contexts' level has it
@@ -310,10 +327,10 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
                     shard_tokens: int = 1_500_000, splits: int = 4, folder: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
-    The model is counted over the rows where ``learn`` is true; its trie files are left in
-    ``folder`` (default: a new one among the shared ones).
+    The model is counted over the rows where ``learn`` is true. Its trie files stay in
+    ``folder`` if that is given; else each is removed when its shard has answered.
     """
-    folder = folder or new_folder(docs.sparkSession, "trie")
+    keep, folder = folder is not None, folder or new_folder(docs.sparkSession, "trie")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     blocks = stored(rows.mapInArrow(_blocks(block_tokens), _BLOCK), "blocks", "zstd")
     tokens, taught_docs = blocks.agg(F.sum(F.octet_length("tokens") / 4), F.sum("taught")).first()
@@ -324,15 +341,20 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     words = stored(blocks.select("block", "words", "counts").mapInArrow(_word_counts(ranges), "shard long, block long, words binary, counts binary")
                    .groupBy("shard").applyInPandas(_add_words, "shard long, block long, words binary, counts binary, n long, v long"), "words")
     n, v = words.agg(F.sum("n"), F.sum("v")).first()
+    least = max(1.0, n / 1024)
+    found = words.filter("block = -1").select("words", "counts").mapInArrow(_hot_words(least), "word long").collect()  # 1024 at most
+    hot = np.array([r[0] for r in found], np.int64).view(_U)
+    if taught_docs >= least:
+        hot = np.append(hot, _U(_START))
     start = words.sparkSession.createDataFrame([(int(_ranges(np.array([_START], _U), ranges)[0]), np.array([_START], "<u8").tobytes(), np.array([taught_docs], "<i8").tobytes())],
                                                "shard long, words binary, counts binary")
     known = words.filter("block = -1").select("shard", "words", "counts").unionByName(start)
     known = known.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).select((F.col("shard") * splits + F.col("split")).alias("shard"), "words", "counts")
     asked = blocks.select("block", "learn", "lengths", "tokens", "words").mapInArrow(
-        _pair_counts(ranges, splits), "shard long, block long, contexts binary, sizes binary, followers binary, counts binary")
-    pairs = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(_answer_pairs(folder, mu), "block long, shard long, shares binary")
+        _pair_counts(ranges, splits, hot), "shard long, block long, contexts binary, sizes binary, followers binary, counts binary")
+    pairs = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(_answer_pairs(folder, mu, keep), "block long, shard long, shares binary")
     answers = words.filter("block >= 0").select("block", F.lit(0).alias("kind"), "shard", F.col("counts").alias("answer")).unionByName(
         pairs.select("block", F.lit(1).alias("kind"), "shard", F.col("shares").alias("answer")))
     return blocks.drop("counts", "taught").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        _scores(ranges, splits, int(n), int(v), int(taught_docs), mu),
+        _scores(ranges, splits, hot, int(n), int(v), int(taught_docs), mu),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
