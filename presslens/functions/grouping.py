@@ -5,7 +5,7 @@ groups and wrong for a key that holds a large share of all rows. The helpers
 here count the groups first (map-side combined, so cheap) and send only the
 groups above a limit through a range partitioning on (key, order): every slice
 is summed on its own and the totals of the slices before it are added back.
-The number of slices is bounded, so their totals are safe to broadcast.
+Slices have a bounded number of rows; their number grows with the rows.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 HOT_ROWS = 1_000_000
-MAX_SLICES = 4096
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
@@ -55,7 +54,7 @@ def hot_groups(df: DataFrame, keys: list[str], limit: int | None = None) -> Data
 
 
 def _slices(rows: int, limit: int | None) -> int:
-    return int(min(MAX_SLICES, max(2, math.ceil(rows / (limit or HOT_ROWS)))))
+    return max(1, math.ceil(rows / (limit or HOT_ROWS)))
 
 
 def _sliced_sums(df: DataFrame, keys, order, sums: dict, slices: int) -> DataFrame:
@@ -71,8 +70,7 @@ def _sliced_sums(df: DataFrame, keys, order, sums: dict, slices: int) -> DataFra
         "_slice", *keys,
         *[F.coalesce(F.sum(o).over(earlier), F.lit(0)).alias(f"_before_{o}") for o in sums],
     )
-    # at most one row per (slice, hot key): slices + hot keys rows in all
-    joined = local.join(F.broadcast(before), ["_slice", *keys])
+    joined = local.join(before, ["_slice", *keys])  # one row per (slice, key)
     return joined.withColumns({o: F.col(o) + F.col(f"_before_{o}") for o in sums}).drop(
         "_slice", *[f"_before_{o}" for o in sums])
 
@@ -93,7 +91,7 @@ def running_sums(df: DataFrame, keys: list[str], order: list[Column], sums: dict
     if hot is None:
         return plain(df)
     rows = hot.agg(F.sum("_n")).first()[0]
-    hot_keys = F.broadcast(hot.select(*keys))
+    hot_keys = hot.select(*keys)
     cool = plain(df.join(hot_keys, keys, "left_anti"))
     warm = _sliced_sums(df.join(hot_keys, keys, "left_semi"), keys, order, sums, _slices(rows, hot_limit))
     return cool.unionByName(warm)
@@ -115,7 +113,7 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[Column] | dict[str,
     if hot is None:
         return plain(df)
     rows = hot.agg(F.sum("_n")).first()[0]
-    hot_keys = F.broadcast(hot.select(*keys))
+    hot_keys = hot.select(*keys)
     cool = plain(df.join(hot_keys, keys, "left_anti"))
     warm = df.join(hot_keys, keys, "left_semi")
     for name, o in orders.items():
@@ -143,10 +141,7 @@ def medians(df: DataFrame, keys: list[str], cols: list[str], hot_limit: int | No
 
 def global_index(df: DataFrame, order: list[Column], out: str, hot_limit: int | None = None) -> DataFrame:
     """0-based position of each row in one total order over the whole table."""
-    rows = df.count()
-    if rows <= (hot_limit or HOT_ROWS):
-        return df.withColumn(out, F.row_number().over(W.orderBy(*order)).cast("long") - 1)
-    indexed = _sliced_sums(df, [], order, {out: F.lit(1).cast("long")}, _slices(rows, hot_limit))
+    indexed = _sliced_sums(df, [], order, {out: F.lit(1).cast("long")}, _slices(df.count(), hot_limit))
     return indexed.withColumn(out, F.col(out) - 1)
 
 

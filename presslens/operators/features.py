@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from presslens.functions.expr import dot, doubles, epoch_seconds, unit
 from presslens.functions.grouping import checkpointed, medians, row_numbers, top_k
-from presslens.functions.vectors import dimension, sum_vector
+from presslens.functions.vectors import sum_vector
 from presslens.operators.prepare import UNKNOWN, sentiment_code
 
 HALF_LIFE_HOURS = 24.0
@@ -71,11 +75,10 @@ def long_term_affinity(clicks: DataFrame, values: DataFrame, value: str) -> Data
     return sums.select("user_id", value, (F.col("_w") / total).alias("affinity"))
 
 
-def long_term_vector(clicks: DataFrame, vecs: DataFrame, dim: int | None = None) -> DataFrame:
+def long_term_vector(clicks: DataFrame, vecs: DataFrame) -> DataFrame:
     """(user_id, vec): engagement-weighted unit vector."""
-    dim = dim or dimension(vecs)
     sums = clicks.join(vecs.select("article_id", "vec"), "article_id").groupBy("user_id").agg(
-        sum_vector("vec", "w", dim).alias("_s"))
+        sum_vector("vec", "w").alias("_s"))
     return sums.select("user_id", unit("_s").alias("vec"))
 
 
@@ -230,6 +233,75 @@ def window_mass(probes: DataFrame, clicks: DataFrame, keys: list[str], values: l
     return rows.groupBy(*keys, "p").agg(*[F.sum(v).alias(v) for v in values])
 
 
+def window_vectors(probes: DataFrame, clicks: DataFrame, key: str, vec: str, lookback_s: int, half_life_s: float) -> DataFrame:
+    """(key, p, vec): decayed sum of the vectors ``vec`` of the clicks in ``[p - lookback, p)`` of each probe.
+
+    The same blocks as :func:`window_mass`: a click goes to its own block and the next one, a
+    probe to its own. A task reads its (key, block) groups in order and keeps one running
+    sum of whole vectors, from which every probe takes a difference.
+    """
+    span, rate = int(lookback_s), math.log(2.0) / half_life_s
+    none = F.lit(None).cast("array<double>")
+    own = F.floor(F.col("t") / span)
+    given = clicks.select(key, F.explode(F.array(own, own + 1)).alias("_b"), F.col("t").cast("long").alias("_t"), F.lit(1).alias("_kind"),
+                          F.col(vec).cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull())
+    asked = probes.select(key, F.col("p").cast("long").alias("_t")).distinct()
+    asked = asked.select(key, F.floor(F.col("_t") / span).alias("_b"), "_t", F.lit(0).alias("_kind"), none.alias("_v"))
+    # at one second the probe stands before the clicks, which it must not see
+    line = given.unionByName(asked).repartition(key, "_b").sortWithinPartitions(key, "_b", "_t", "_kind")
+    kind = probes.schema[key].dataType.simpleString()
+    return line.mapInArrow(_running_vectors(span, rate), f"{key} {kind}, p long, vec array<double>")
+
+
+def _running_vectors(span: int, rate: float, chunk: int = 20_000):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < chunk:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            first = int(_starts(table)[-1])  # the last group may go on
+            if first:
+                yield from answer(table.slice(0, first))
+            held = table.slice(first).to_batches()
+        if held:
+            yield from answer(pa.Table.from_batches(held).combine_chunks())
+
+    def answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        starts = _starts(table)
+        t = table.column("_t").to_numpy() - table.column("_b").to_numpy() * span  # from -span to span
+        click = table.column("_kind").to_numpy() == 1
+        asked = np.flatnonzero(~click)
+        if not len(asked):
+            return
+        flat = table.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        dim = len(flat) // max(1, int(click.sum()))
+        sums = np.zeros((len(t) + 1, dim))
+        sums[1:][click] = flat.reshape(-1, dim) * np.exp(rate * t[click])[:, None] if dim else 0.0
+        np.cumsum(sums, axis=0, out=sums)
+        group = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(t)))
+        low = np.searchsorted(group * 8 * span + t, group[asked] * 8 * span + t[asked] - span)
+        seen = (sums[asked] - sums[low]) * np.exp(-rate * t[asked])[:, None]
+        some = np.cumsum(np.append(0, click))
+        any_ = some[asked] > some[low]  # no click in the window: no row
+        out = pa.ListArray.from_arrays(pa.array(np.arange(0, (int(any_.sum()) + 1) * dim, dim or 1)[:int(any_.sum()) + 1], pa.int32()), pa.array(seen[any_].ravel()))
+        rows = table.take(pa.array(asked[any_]))
+        yield pa.RecordBatch.from_arrays([rows.column(0).combine_chunks(), rows.column("_t").combine_chunks(), out], [table.column_names[0], "p", "vec"])
+
+    return run
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    """First row of each (key, block) group of a sorted table."""
+    change = np.ones(table.num_rows, bool)
+    for name in (table.column_names[0], "_b"):
+        column = table.column(name).combine_chunks()
+        differs = pa.compute.not_equal(column.slice(1), column.slice(0, len(column) - 1)).fill_null(True).to_numpy(zero_copy_only=False)
+        change[1:] = differs if name != "_b" else differs | change[1:]
+    return np.flatnonzero(change)
+
+
 def known_clicks(hist: DataFrame, articles: DataFrame) -> DataFrame:
     """(user_id, article_id, t, n): clicks on known articles per second."""
     rows = hist.join(articles.select("article_id").distinct(), "article_id", "left_semi")
@@ -256,10 +328,9 @@ def clicks_last_24h(imp: DataFrame, hist: DataFrame, articles: DataFrame) -> Dat
 
 
 def short_term_moments(imp: DataFrame, hist: DataFrame, articles: DataFrame, subcats: DataFrame, topics: DataFrame,
-                       vecs: DataFrame, vocab: DataFrame, dim: int | None = None,
+                       vecs: DataFrame, vocab: DataFrame,
                        half_life_hours: float = HALF_LIFE_HOURS, lookback_hours: float = LOOKBACK_HOURS) -> DataFrame:
     """(user_id, p, article_id) with the ``st_*`` features; p is the impression time in seconds."""
-    dim = dim or dimension(vecs)
     look, half = int(lookback_hours * 3600), half_life_hours * 3600
     clicks = known_clicks(hist, articles)
     cats = category_of(articles).join(
@@ -268,16 +339,17 @@ def short_term_moments(imp: DataFrame, hist: DataFrame, articles: DataFrame, sub
     moments = cand.select("user_id", "p").distinct().join(hist.select("user_id").distinct(), "user_id")
     asked = cand.select("user_id", "p", "article_id").distinct().join(articles.select("article_id").distinct(), "article_id")
 
-    # per moment: topic and subcategory mass and the vector sum, in one pass
+    # per moment: topic and subcategory mass, and the vector sum
     counts = articles.select("article_id").distinct()
     for name, values in (("n_top", topics), ("n_sub", subcats)):
         counts = counts.join(values.groupBy("article_id").agg(F.count("*").cast("double").alias(name)), "article_id", "left")
-    dims = [f"v{i}" for i in range(dim)]
-    weighted = clicks.join(counts, "article_id").join(vecs.select("article_id", "vec"), "article_id", "left").selectExpr(
-        "user_id", "t", "n * coalesce(n_top, 0) as n_top", "n * coalesce(n_sub, 0) as n_sub",
-        *[f"n * coalesce(vec[{i}], 0) as {d}" for i, d in enumerate(dims)])
-    totals = window_mass(moments, weighted, ["user_id"], ["n_top", "n_sub", *dims], look, half)
-    totals = totals.select("user_id", "p", "n_top", "n_sub", unit(F.expr(f"array({', '.join(dims)})")).alias("_u"))
+    weighted = clicks.join(counts, "article_id").selectExpr(
+        "user_id", "t", "n * coalesce(n_top, 0) as n_top", "n * coalesce(n_sub, 0) as n_sub")
+    totals = window_mass(moments, weighted, ["user_id"], ["n_top", "n_sub"], look, half)
+    placed = clicks.join(vecs.select("article_id", doubles("vec").alias("_x")), "article_id").select(
+        "user_id", "t", F.transform("_x", lambda x: x * F.col("n")).alias("_x"))
+    summed = window_vectors(moments, placed, "user_id", "_x", look, half).select("user_id", "p", unit("vec").alias("_u"))
+    totals = totals.join(summed, ["user_id", "p"], "left")
 
     # categories: the mass of every category the user reads, for share and rank
     by_cat = clicks.join(cats, "article_id")

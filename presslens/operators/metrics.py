@@ -62,7 +62,8 @@ def official_scores(pairs: DataFrame) -> DataFrame:
     """Scores of a submission: rows (impression_id, position, label, rank).
 
     A candidate scores 1/rank, equal ranks are taken last position first, and
-    the reciprocal rank is averaged over *all* clicks. Returns one row of means.
+    the reciprocal rank is averaged over *all* clicks. Returns one row of means and
+    the number of impressions that a mean leaves out (no click, or nothing but clicks).
     """
     rows = pairs.select("impression_id", F.col("impression_id").alias("user_id"), "position",
                         F.col("label").alias("clicked"), (1.0 / F.col("rank")).alias("score"))
@@ -72,7 +73,8 @@ def official_scores(pairs: DataFrame) -> DataFrame:
         F.try_divide(F.sum(F.col("clicked") / F.col("rank")), F.sum("clicked")).alias("mrr_all"))
     per = auc_per_impression(rows).join(rank_metrics(ranked), IMP).join(reciprocal, IMP)
     return per.agg(F.avg("auc").alias("auc"), F.avg("mrr_all").alias("mrr"), F.avg("ndcg5").alias("ndcg5"),
-                   F.avg("ndcg10").alias("ndcg10"), F.count("*").alias("n_impressions"))
+                   F.avg("ndcg10").alias("ndcg10"), F.count("*").alias("n_impressions"),
+                   F.count_if(F.col("auc").isNull()).alias("n_without_auc"), F.count_if(F.col("mrr_all").isNull()).alias("n_without_click"))
 
 
 def diversity_at_k(ranked: DataFrame, articles: DataFrame, k: int = 10) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from presslens.functions.expr import clicked_int, hash_unit
+from presslens.functions.grouping import checkpointed
 from presslens.operators import features as feat, profiles, text, vectors
 
 MINUS_INF = float("-inf")
@@ -15,22 +17,31 @@ COMBINER = ["bm25", "cosine", "recency_cosine", "category_match", "subcategory_m
             "log_popularity"]
 
 
+def finite(c: str) -> Column:
+    """The column where it is a finite number, else null."""
+    return F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c))
+
+
 def minmax_in_group(df: DataFrame, cols: list[str] | str, key: str = "impression_id") -> DataFrame:
-    """Add ``{col}_mm``: min-max scaled within the impression, 0 for a constant list."""
+    """Add ``{col}_mm``: min-max scaled within the impression, 0 for a constant list.
+
+    The ends are those of the finite scores; a candidate outside the catalogue keeps its -inf.
+    """
     cols = [cols] if isinstance(cols, str) else cols
-    ends = df.groupBy(key).agg(*[F.min(c).alias(f"_lo_{c}") for c in cols], *[F.max(c).alias(f"_hi_{c}") for c in cols])
+    ends = df.groupBy(key).agg(*[F.min(finite(c)).alias(f"_lo_{c}") for c in cols], *[F.max(finite(c)).alias(f"_hi_{c}") for c in cols])
     rows = df.join(ends, key)
     scaled = {}
     for c in cols:
         width = F.col(f"_hi_{c}") - F.col(f"_lo_{c}")
-        scaled[f"{c}_mm"] = F.when(width < 1e-12, 0.0).otherwise((F.col(c) - F.col(f"_lo_{c}")) / width)
+        scaled[f"{c}_mm"] = (F.when(F.col(c) == MINUS_INF, MINUS_INF).when(width < 1e-12, 0.0)
+                             .otherwise((F.col(c) - F.col(f"_lo_{c}")) / width))
     return rows.withColumns(scaled).drop(*[f"_{e}_{c}" for c in cols for e in ("lo", "hi")])
 
 
 def blend(df: DataFrame, weights: dict[str, float], out: str = "score") -> DataFrame:
-    """Weighted sum of min-max scaled scores."""
+    """Weighted sum of min-max scaled scores; a score missing from an index (-inf) makes the sum -inf."""
     rows = minmax_in_group(df, list(weights))
-    total = sum((F.col(f"{c}_mm") * w for c, w in weights.items()), F.lit(0.0))
+    total = sum((F.when(F.col(f"{c}_mm") == MINUS_INF, MINUS_INF).otherwise(F.col(f"{c}_mm") * w) for c, w in weights.items()), F.lit(0.0))
     return rows.withColumn(out, total).drop(*[f"{c}_mm" for c in weights])
 
 
@@ -47,11 +58,10 @@ def combiner_features(imp: DataFrame, hist: DataFrame, articles: DataFrame, vecs
     """The combiner's columns for each candidate (index features are -inf outside their index)."""
     key = ["user_id", "article_id"]
     pairs = imp.select(*key).distinct()
-    dim = vectors.dimension(vecs)
     # one table per pair, each derived from the pairs alone, then one join to the impressions
     table = text.bm25_pairs(pairs, qterms, postings, articles, out="bm25")
-    table = table.join(vectors.cosine_pairs(pairs, vectors.pool_mean(hist, vecs, dim), vecs, "cosine"), key)
-    table = table.join(vectors.cosine_pairs(pairs, vectors.pool_recency(hist, vecs, decay, dim), vecs, "recency_cosine"), key)
+    table = table.join(vectors.cosine_pairs(pairs, vectors.pool_mean(hist, vecs), vecs, "cosine"), key)
+    table = table.join(vectors.cosine_pairs(pairs, vectors.pool_recency(hist, vecs, decay), vecs, "recency_cosine"), key)
     table = table.join(profiles.entity_overlap_pairs(pairs, entities, hist), key, "left").fillna(0, ["entity_overlap"])
     table = profiles.match_score(table, articles, hist, "category", "category_match")
     table = profiles.match_score(table, articles, hist, "subcategory", "subcategory_match")
@@ -67,9 +77,9 @@ def combiner_features(imp: DataFrame, hist: DataFrame, articles: DataFrame, vecs
 
 
 def fit_scaler(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(feature, mean, scale): population standard deviation, 1 where a column is constant."""
-    stats = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                   *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)])
+    """(feature, mean, scale) of the finite values: population standard deviation, 1 where a column is constant."""
+    stats = df.agg(*[F.avg(finite(c)).alias(f"m{i}") for i, c in enumerate(cols)],
+                   *[F.stddev_pop(finite(c)).alias(f"s{i}") for i, c in enumerate(cols)])
     rows = [F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("mean"),
                      F.when(F.col(f"s{i}") == 0, 1.0).otherwise(F.col(f"s{i}")).alias("scale")) for i, c in enumerate(cols)]
     return stats.select(F.inline(F.array(*rows)))
@@ -133,7 +143,9 @@ def fit_logistic(df: DataFrame, cols: list[str], balanced: bool = False, c: floa
     """Logistic regression on standardised columns, plain or class-balanced; penalty strength as 1/c on the sum."""
     from pyspark.ml.classification import LogisticRegression
     counts = df.agg(F.count("*").alias("n"), F.sum(clicked_int()).alias("p")).first()
-    n, p = counts.n, counts.p
+    n, p = counts.n, counts.p or 0
+    if not 0 < p < n:
+        raise ValueError(f"{p} clicked of {n} rows: both kinds are needed to fit")
     weight = F.lit(1.0)
     if balanced:
         weight = F.when(clicked_int() == 1, n / (2.0 * p)).otherwise(n / (2.0 * (n - p)))
@@ -156,13 +168,11 @@ def impute(df: DataFrame, cols: list[str], values: dict[str, float] | None = Non
     return df.withColumns(new), [*cols, *[f"{c}_missing" for c in cols]], values
 
 
-def _code_categories(df: DataFrame, cols: list[str], max_categories: int) -> DataFrame:
-    """Mark small code columns (-1..n) as nominal for the tree learner by ML column metadata."""
+def _code_categories(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Mark code columns (-1..n) as nominal for the tree learner by ML column metadata."""
     ends = df.agg(*[F.max(c).alias(c) for c in cols]).first() if cols else {}
     for c in cols:
         size = int(ends[c] or 0) + 2
-        if size > max_categories:
-            continue
         meta = {"ml_attr": {"type": "nominal", "vals": [str(v) for v in range(-1, size - 1)], "name": c}}
         shifted = F.col(c).cast("double") + 1.0
         # a code the training data did not have counts as unknown
@@ -174,27 +184,28 @@ def fit_gbt(df: DataFrame, cols: list[str], stop: str = "is_stop", categorical:
             max_iter: int = 50, max_depth: int = 5, step: float = 0.1, seed: int = 0, max_bins: int = 64):
     """Boosted trees with early stopping on the rows where ``stop`` is true.
 
+    Every categorical column is nominal: the number of bins grows to the largest vocabulary.
     Returns (model, prepare): ``prepare`` applies the same imputation and coding to other rows.
     """
     from pyspark.ml.classification import GBTClassifier
     nominal = [c for c in (categorical or []) if c in cols]
     numeric = [c for c in cols if c not in nominal]
     filled, used, means = impute(df, numeric)
-    coded = _code_categories(filled, nominal, max_bins)
+    coded = _code_categories(filled, nominal)
     metadata = {c: coded.schema[c].metadata for c in nominal}
+    bins = max([max_bins, *[len(m["ml_attr"]["vals"]) for m in metadata.values()]])
     inputs = used + nominal
 
     def prepare(rows: DataFrame) -> DataFrame:
         rows, _, _ = impute(rows, numeric, means)
         for c in nominal:
-            n = len(metadata[c].get("ml_attr", {}).get("vals", []))
-            if n:
-                shifted = F.col(c).cast("double") + 1.0
-                rows = rows.withColumn(c, F.when(shifted < n, shifted).otherwise(0.0).alias(c, metadata=metadata[c]))
+            shifted = F.col(c).cast("double") + 1.0
+            known = shifted < len(metadata[c]["ml_attr"]["vals"])
+            rows = rows.withColumn(c, F.when(known, shifted).otherwise(0.0).alias(c, metadata=metadata[c]))
         return _assemble(rows, inputs)
 
     train = _assemble(coded.withColumn("label", clicked_int().cast("double")), inputs)
-    model = GBTClassifier(maxIter=max_iter, maxDepth=max_depth, stepSize=step, seed=seed, maxBins=max_bins,
+    model = GBTClassifier(maxIter=max_iter, maxDepth=max_depth, stepSize=step, seed=seed, maxBins=bins,
                           validationIndicatorCol=stop, subsamplingRate=1.0).fit(train)
     return model, prepare, inputs
 
@@ -206,33 +217,64 @@ def apply_model(model, prepared: DataFrame, out: str = "score") -> DataFrame:
     return scored.withColumn(out, vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction", "features")
 
 
+def pair_moments(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(kind, i, j, value): moments of the differences of all (clicked, not clicked) pairs of an impression, without forming them.
+
+    ``gram`` is the sum of products of differences i and j, ``sum`` the sum of differences i,
+    ``pairs`` their number. With the class counts and sums of an impression the products are
+    weighted sums over its rows less a product of sums, so rows are read in Arrow batches
+    and no more than 2 x columns sums are kept for an impression.
+    """
+    d = len(cols)
+    one = clicked_int() == 1
+    sums = [F.sum(F.when(one == cls, F.col(c).cast("double")).otherwise(0.0)).alias(f"_{tag}{i}")
+            for tag, cls in (("p", True), ("n", False)) for i, c in enumerate(cols)]
+    per = df.groupBy("impression_id").agg(F.count_if(one).alias("_np"), F.count_if(~one).alias("_nn"), *sums).filter((F.col("_np") > 0) & (F.col("_nn") > 0))
+    per = checkpointed(per)
+    rows = df.select("impression_id", one.alias("_one"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)]).join(
+        per.select("impression_id", "_np", "_nn"), "impression_id")
+
+    def out(total: np.ndarray):
+        yield pd.DataFrame({"i": np.repeat(np.arange(d), d), "j": np.tile(np.arange(d), d), "value": total.ravel()})
+
+    def products(frames):
+        total = np.zeros((d, d))
+        for f in frames:
+            x = f[[f"_x{i}" for i in range(d)]].to_numpy(float)
+            total += x.T @ (x * np.where(f["_one"], f["_nn"], f["_np"])[:, None])
+        yield from out(total)
+
+    def crossed(frames):
+        total = np.zeros((d, d))
+        for f in frames:
+            p, n = (f[[f"_{t}{i}" for i in range(d)]].to_numpy(float) for t in "pn")
+            total -= p.T @ n + n.T @ p
+        yield from out(total)
+
+    schema = "i int, j int, value double"
+    gram = rows.mapInPandas(products, schema).unionByName(per.mapInPandas(crossed, schema)).groupBy("i", "j").agg(F.sum("value").alias("value"))
+    first = [F.sum(F.col("_nn") * F.col(f"_p{i}") - F.col("_np") * F.col(f"_n{i}")) for i in range(d)]
+    none = F.lit(None).cast("int")
+    means = per.agg(F.sum(F.col("_np") * F.col("_nn")).cast("double").alias("pairs"), F.array(*first).alias("s"))
+    total = means.select(F.lit("sum").alias("kind"), F.posexplode("s").alias("i", "value")).select("kind", "i", none.alias("j"), "value")
+    pairs = means.select(F.lit("pairs").alias("kind"), none.alias("i"), none.alias("j"), F.col("pairs").alias("value"))
+    return gram.select(F.lit("gram").alias("kind"), "i", "j", "value").unionByName(total).unionByName(pairs)
+
+
 def fit_pairwise_ranker(df: DataFrame, cols: list[str], ridge: float = 1e-3) -> np.ndarray:
-    """Linear ranker over all (clicked, not clicked) pairs of an impression, without forming them.
+    """Linear ranker over all (clicked, not clicked) pairs of an impression: least squares on the differences, target 1.
 
-    Least squares on pair differences, target 1: with per-impression counts, sums and
-    second moments of the two classes the normal equations of all pairs are exact,
-    so one aggregation replaces the pair join. Returns the weights (one per column).
+    Returns the weights (one per column), solved from :func:`pair_moments`.
     """
     d = len(cols)
-    pos, neg = clicked_int() == 1, clicked_int() == 0
-    second = [(i, j) for i in range(d) for j in range(i, d)]
-
-    def sums(cls, tag):
-        return [F.count_if(cls).cast("double").alias(f"n{tag}"),
-                *[F.sum(F.when(cls, F.col(c)).otherwise(0.0)).alias(f"s{tag}{i}") for i, c in enumerate(cols)],
-                *[F.sum(F.when(cls, F.col(cols[i]) * F.col(cols[j])).otherwise(0.0)).alias(f"q{tag}{i}_{j}") for i, j in second]]
-
-    per = df.groupBy("impression_id").agg(*sums(pos, "p"), *sums(neg, "n")).filter((F.col("np") > 0) & (F.col("nn") > 0))
-    c = F.col
-    gram = [F.sum(c("nn") * c(f"qp{i}_{j}") + c("np") * c(f"qn{i}_{j}")
-                  - c(f"sp{i}") * c(f"sn{j}") - c(f"sn{i}") * c(f"sp{j}")).alias(f"g{i}_{j}") for i, j in second]
-    target = [F.sum(c("nn") * c(f"sp{i}") - c("np") * c(f"sn{i}")).alias(f"t{i}") for i in range(d)]
-    row = per.agg(F.sum(c("np") * c("nn")).alias("pairs"), *gram, *target).first()  # one row
-    a = np.zeros((d, d))
-    for i, j in second:
-        a[i, j] = a[j, i] = row[f"g{i}_{j}"] or 0.0
-    pairs = row["pairs"] or 1.0
-    t = np.array([row[f"t{i}"] or 0.0 for i in range(d)])
+    a, t, pairs = np.zeros((d, d)), np.zeros(d), 1.0
+    for r in pair_moments(df, cols).collect():  # columns squared
+        if r.kind == "gram":
+            a[r.i, r.j] = r.value or 0.0
+        elif r.kind == "sum":
+            t[r.i] = r.value or 0.0
+        else:
+            pairs = r.value or 1.0
     return np.linalg.solve(a / pairs + ridge * np.eye(d), t / pairs)
 
 

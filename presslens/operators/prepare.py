@@ -15,15 +15,16 @@ SENTIMENT_LABELS = ["Negative", "Neutral", "Positive"]
 
 
 def combine_entities(title_json, abstract_json) -> Column:
-    """One JSON document with sorted keys; null or empty input becomes ``[]``.
+    """One JSON document with sorted keys, also inside; null, empty or broken input becomes ``[]``.
 
-    The two inputs are JSON already, so they are placed verbatim.
+    Each input is parsed by itself, so a broken one does not cost the other.
     """
     def text(c):
         raw = F.col(c) if isinstance(c, str) else c
-        return F.when(raw.isNull() | (F.trim(raw) == ""), F.lit("[]")).otherwise(raw)
-    return F.concat(F.lit('{"abstract_entities": '), text(abstract_json),
-                    F.lit(', "title_entities": '), text(title_json), F.lit("}"))
+        # a variant keeps the fields of an object in the order of their names
+        return F.coalesce(F.to_json(F.try_parse_json(F.when(F.trim(raw) != "", raw))), F.lit("[]"))
+    return F.concat(F.lit('{"abstract_entities":'), text(abstract_json),
+                    F.lit(',"title_entities":'), text(title_json), F.lit("}"))
 
 
 def combine_entity_lists(ner_clusters: str, entity_groups: str) -> Column:
@@ -123,9 +124,14 @@ def history_variants(behaviors: DataFrame, user: str = "user_id", history: str =
 
 
 def explode_history(history: DataFrame, arrays: dict[str, str], user: str = "user_id") -> DataFrame:
-    """Parallel arrays to one row per click; ``arrays`` maps array column to output column."""
+    """Parallel arrays to one row per click; ``arrays`` maps array column to output column.
+
+    Positions count from ``start`` where the history has that column (a user's history in parts).
+    """
     zipped = F.arrays_zip(*[F.col(a) for a in arrays])
-    rows = history.select(user, F.posexplode(zipped).alias("pos", "_c"))
+    first = F.col("start") if "start" in history.columns else F.lit(0)
+    rows = history.select(user, first.cast("long").alias("_first"), F.posexplode(zipped).alias("_at", "_c"))
+    rows = rows.withColumn("pos", F.col("_first") + F.col("_at"))
     return rows.select(user, "pos", *[F.col(f"_c.{a}").alias(o) for a, o in arrays.items()])
 
 
@@ -134,7 +140,8 @@ def recover_history_arrays(clicks: DataFrame, arrays: dict[str, str], user: str
     """Back to ordered arrays per user, in parts of at most ``part_size`` clicks.
 
     An ordinary user has the single part 0; a very long history is a sequence of
-    rows, because one array value of unbounded length would not fit a task.
+    rows, because one array value of unbounded length would not fit a task. ``start``
+    is the position of a part's first click; positions in a part have no gaps.
     """
     part = F.floor(F.col("pos") / part_size)
     packed = clicks.groupBy(user, part.alias("part")).agg(
@@ -143,7 +150,7 @@ def recover_history_arrays(clicks: DataFrame, arrays: dict[str, str], user: str
     def column(name: str) -> Column:
         return F.transform("_rows", lambda r: r[name])
 
-    return packed.select(user, "part", *[column(c).alias(o) for c, o in arrays.items()])
+    return packed.select(user, "part", F.col("_rows")[0]["pos"].cast("long").alias("start"), *[column(c).alias(o) for c, o in arrays.items()])
 
 
 def temporal_split(df: DataFrame, ts: str, boundaries: dict[str, tuple]) -> DataFrame:

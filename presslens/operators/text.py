@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
 from presslens.functions.blocks import block_pairs
@@ -45,15 +49,28 @@ def article_text(articles: DataFrame) -> Column:
 
 
 def doc_terms(articles: DataFrame) -> DataFrame:
-    """(article_id, term, tf, doc_len) for every distinct term of every article.
+    """(article_id, term, tf, doc_len) for every distinct term of every article (one row an article).
 
-    The texts are shuffled by article before they are cut: that moves fewer bytes than
-    the terms would, balances the work, and the count below needs no second shuffle.
+    An article's tokens are in one row, so they are counted in the batch they arrive in,
+    without any shuffle.
     """
-    texts = articles.select("article_id", article_text(articles).alias("_x")).repartition("article_id")
-    tokens = texts.select("article_id", tokenize("_x").alias("_t"))
-    terms = tokens.select("article_id", F.size("_t").alias("doc_len"), F.explode("_t").alias("term"))
-    return terms.groupBy("article_id", "term", "doc_len").agg(F.count("*").alias("tf"))
+    tokens = articles.select("article_id", tokenize(article_text(articles)).alias("_t"))
+    id_type = articles.schema["article_id"].dataType.simpleString()
+    return tokens.mapInArrow(_count_terms, f"article_id {id_type}, term string, doc_len int, tf long")
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 500):
+            ids, tokens = (c.slice(start, 500) for c in batch.columns)
+            sizes = pa.compute.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = tokens.flatten().dictionary_encode()
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            known = max(1, len(words.dictionary))
+            pairs, tf = np.unique(doc * known + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row, word = pairs // known, pairs % known
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), words.dictionary.take(pa.array(word)), pa.array(sizes[row], pa.int32()),
+                                              pa.array(tf, pa.int64())], ["article_id", "term", "doc_len", "tf"])
 
 
 def query_terms(queries: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
@@ -123,6 +140,8 @@ def bm25_top_k(qterms: DataFrame, postings: DataFrame, articles: DataFrame, k: i
     if k <= 0:
         return qterms.select(key, F.lit(None).cast("string").alias("article_id"),
                              F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    # fresh columns, as both tables may come from one table of terms
+    qterms = qterms.select(*[F.col(c).alias(c) for c in qterms.columns])
     known = qterms.join(postings.select("term").distinct(), "term", "left_semi")
     # the empty term matches no query token; it makes every article present in its block
     everyone = articles.select(F.lit("").alias("term"), "article_id", F.lit(0.0).alias("weight"))

@@ -75,22 +75,21 @@ def vector_coverage(aligned: DataFrame, catalog: DataFrame) -> DataFrame:
     return coverage(catalog, aligned)
 
 
-def _pooled(weighted: DataFrame, key: str, vecs: DataFrame, dim: int | None) -> DataFrame:
+def _pooled(weighted: DataFrame, key: str, vecs: DataFrame) -> DataFrame:
     """Normalised weighted sum per key of rows (key, article_id, _w)."""
-    dim = dim or dimension(vecs)
     joined = weighted.join(vecs.select("article_id", "vec"), "article_id")
-    sums = joined.groupBy(key).agg(sum_vector("vec", "_w", dim).alias("_sum"))
+    sums = joined.groupBy(key).agg(sum_vector("vec", "_w").alias("_sum"))
     return sums.select(key, unit("_sum").alias("vec")).filter(F.col("vec").isNotNull())
 
 
-def pool_mean(hist: DataFrame, vecs: DataFrame, dim: int | None = None) -> DataFrame:
+def pool_mean(hist: DataFrame, vecs: DataFrame) -> DataFrame:
     """(user_id, vec): normalised mean of the history vectors.
 
     A user without resolvable history, or with a zero sum, has no row: that is the
     null vector once joined. (The mean and the sum have the same direction.)
     """
     clicks = hist.groupBy("user_id", "article_id").agg(F.count("*").cast("double").alias("_w"))
-    return _pooled(clicks, "user_id", vecs, dim)
+    return _pooled(clicks, "user_id", vecs)
 
 
 def _recency(hist: DataFrame, vecs: DataFrame, decay: float, hot_limit: int | None) -> DataFrame:
@@ -100,10 +99,10 @@ def _recency(hist: DataFrame, vecs: DataFrame, decay: float, hot_limit: int | No
     return ranked.groupBy("user_id", "article_id").agg(F.sum(weight).alias("_w"))
 
 
-def pool_recency(hist: DataFrame, vecs: DataFrame, decay: float = 0.9, dim: int | None = None,
+def pool_recency(hist: DataFrame, vecs: DataFrame, decay: float = 0.9,
                  hot_limit: int | None = None) -> DataFrame:
     """Like :func:`pool_mean` with weight ``decay**i``, i counted back over resolvable clicks."""
-    return _pooled(_recency(hist, vecs, decay, hot_limit), "user_id", vecs, dim)
+    return _pooled(_recency(hist, vecs, decay, hot_limit), "user_id", vecs)
 
 
 def entity_mentions(articles: DataFrame, col: str = "entities") -> DataFrame:
@@ -126,7 +125,7 @@ def entity_vectors(articles: DataFrame, mentions: DataFrame, vecs: DataFrame, di
     weighted = mentions.filter(F.col("confidence") > 0).groupBy("article_id", "entity_id").agg(
         F.sum("confidence").alias("_w"))
     sums = weighted.join(vecs, "entity_id").groupBy("article_id").agg(
-        sum_vector("vec", "_w", dim).alias("_sum"))
+        sum_vector("vec", "_w").alias("_sum"))
     pooled = sums.select("article_id", unit("_sum").alias("_vec"))
     zero = F.array_repeat(F.lit(0.0), dim)
     return articles.select("article_id").join(pooled, "article_id", "left").select(

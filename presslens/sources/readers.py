@@ -96,7 +96,7 @@ def read_vectors(spark: SparkSession, path: str, sep: str = "\t", dim: int | Non
     if skip_blank:
         fields = F.filter(fields, lambda x: x != "")
     rows = spark.read.text(path).select(fields.alias("_f")).filter(F.size("_f") >= 2)
-    vec = F.transform(F.slice("_f", 2, 1_000_000), lambda x: x.try_cast("float"))
+    vec = F.transform(F.slice("_f", F.lit(2), F.size("_f") - 1), lambda x: x.try_cast("float"))
     rows = rows.select(F.element_at("_f", 1).alias("id"), vec.alias("vec"))
     good = ~F.exists("vec", lambda x: x.isNull())
     if dim is not None:

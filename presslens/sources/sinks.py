@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from presslens.functions.expr import clicked_int
+from presslens.functions.grouping import scratch_folder
 from presslens.operators.audit import Field, validate_table
 
 # lists longer than this are first joined in pieces, so that no task holds all candidate rows of a list
@@ -17,9 +18,13 @@ def write_store(df: DataFrame, schema: dict[str, Field], dataset: str, path: str
 
     Layout: ``path/table/dataset=/bundle=/split=``, range partitioned and sorted by ``sort_by``.
     """
-    validate_table(df, schema, dataset)
+    # stored first: the checks and the sorted write then read rows, instead of computing them twice
+    kept = scratch_folder(df.sparkSession, table)
+    df.write.parquet(kept)
+    rows = df.sparkSession.read.schema(df.schema).parquet(kept)
+    validate_table(rows, schema, dataset)
     target = f"{path}/{table}"
-    tagged = df.drop("dataset").withColumns({"dataset": F.lit(dataset), "bundle": F.lit(bundle), "split": F.lit(split)})
+    tagged = rows.drop("dataset").withColumns({"dataset": F.lit(dataset), "bundle": F.lit(bundle), "split": F.lit(split)})
     ordered = tagged.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
     # only the partition being written is replaced
     (ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -60,10 +65,16 @@ def write_lines(lines: DataFrame, path: str, row_no: str = "impression_id") -> N
 
 
 def write_predictions(ranked: DataFrame, path: str, row_no: str = "impression_id") -> int:
-    """Write prediction lines; fails unless there is one line per impression. Returns the number of lines."""
-    write_lines(prediction_lines(ranked, row_no), path, row_no)
-    written = ranked.sparkSession.read.text(path).count()
-    expected = ranked.select("impression_id").distinct().count()
+    """Write prediction lines; fails unless there is one line per impression. Returns the number of lines.
+
+    The impressions are counted while they are written, so the scores are computed once.
+    """
+    seen = Observation()
+    lines = prediction_lines(ranked, row_no).observe(seen, F.count("*").alias("impressions"))
+    folder = scratch_folder(ranked.sparkSession, "lines")
+    lines.write.parquet(folder)
+    write_lines(ranked.sparkSession.read.parquet(folder), path, row_no)
+    written, expected = ranked.sparkSession.read.text(path).count(), seen.get["impressions"]
     if written != expected:
         raise ValueError(f"{written} lines written for {expected} impressions")
     return written

@@ -21,6 +21,8 @@ def stream_predictions(spark: SparkSession, impressions_dir: str, out_dir: str,
     The input unit is the whole impression, so a candidate list never spans two
     batches. A batch overwrites its own directory, so a batch repeated after a
     failure replaces what it had half written; done batches are not read again.
+    With a new checkpoint folder (the old one lost) all files are read again: an
+    impression that another batch directory holds is then left as it is.
     """
     _refuse_other_input(spark, impressions_dir, out_dir)
     reader = spark.readStream.schema(schema).format("parquet")
@@ -29,6 +31,7 @@ def stream_predictions(spark: SparkSession, impressions_dir: str, out_dir: str,
 
     def score(batch: DataFrame, batch_id: int) -> None:
         keep = [c for c in batch.columns if c != "article_ids_inview"]
+        batch = _not_written(batch, out_dir, batch_id)
         rows = batch.select(*keep, F.posexplode("article_ids_inview").alias("position", "article_id"))
         lines = prediction_lines(rank_candidates(scorer(rows), seed, counted=rows))
         ordered = lines.repartitionByRange("impression_id").sortWithinPartitions("impression_id")
@@ -57,6 +60,15 @@ def _refuse_other_input(spark: SparkSession, impressions_dir: str, out_dir: str)
         raise ValueError(f"{out_dir} holds predictions of other input than {impressions_dir}")
 
 
+def _not_written(batch: DataFrame, out_dir: str, batch_id: int) -> DataFrame:
+    try:
+        written = read_stream_predictions(batch.sparkSession, out_dir)
+    except AnalysisException:
+        return batch  # nothing written yet
+    others = written.filter(F.col("batch") != batch_id).select("impression_id")
+    return batch.join(others, "impression_id", "left_anti")
+
+
 def read_stream_predictions(spark: SparkSession, out_dir: str) -> DataFrame:
     """All lines written so far: (impression_id, line, batch)."""
     return spark.read.schema("impression_id bigint, line string").parquet(out_dir)

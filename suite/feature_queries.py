@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from presslens.functions.grouping import checkpointed
-from presslens.operators import features as K, metrics as M, models as C, profiles as PR
+from presslens.operators import features as K, metrics as M, models as C, profiles as PR, text as T, vectors as E
 from presslens.operators.sampling import recent_holdout
 from suite.registry import i64, long_vec, query, r6
 from suite.retrieval_queries import _combined
@@ -200,70 +200,113 @@ def _(v):
     return _out(rows, *[F.round(c, 9 if c == "lt_sentiment_distance" else 6).alias(c) for c in _FRAME], F.col("lt_sentiment_distance").isNotNull().alias("has_sentiment"))
 
 
-# --- fitted models (no SQL form) -------------------------------------------------------------
+# --- fitted models ---------------------------------------------------------------------------
+# Histories end where the impressions begin, so no feature looks past its impression. Models
+# are fitted on the earlier impressions (stopped on their last day) and scored on the later.
+
+CLICKS_END, FIT_END = "2024-01-11", "2024-01-24"
+
+
+def _time(text):
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def _split(v):
+    """(past clicks, impressions to fit on, impressions to score)."""
+    hist = v.ehist.filter(F.col("click_time") < _time(CLICKS_END))
+    fit = v.eimp.filter((F.col("impression_time") >= _time(CLICKS_END)) & (F.col("impression_time") < _time(FIT_END)))
+    return hist, fit, v.eimp.filter(F.col("impression_time") >= _time(FIT_END))
+
+
+def _combiner_rows(v, imp, hist):
+    uterms = T.user_query(hist, v.dterms)
+    rows = C.combiner_features(imp, hist, v.docs, v.dvecs, E.entity_mentions(v.docs).select("article_id", "entity_id").distinct(),
+                               PR.train_popularity(v.etrain, v.docs), uterms, v.postings)
+    return checkpointed(rows.select("impression_id", "position", "user_id", "article_id", "clicked", *C.COMBINER))
+
+
+def _auc(scored, **also):
+    return M.auc_per_impression(scored).agg(*[F.lit(x).alias(n) for n, x in also.items()],
+                                            F.round(F.avg("auc"), 6).alias("auc"), F.count("auc").alias("n_impressions"))
+
 
 @query("c6_fit_logistic")
 def _(v):
-    rows = checkpointed(_combined(v))
-    values = C.scaler_values(C.fit_scaler(rows, C.COMBINER))
-    scaled = C.apply_scaler(rows, values)
-    out = None
+    """Coefficients of both arms and their AUC on later impressions."""
+    hist, fit, late = _split(v)
+    train, test = _combiner_rows(v, fit, hist), _combiner_rows(v, late, hist)
+    values = C.scaler_values(C.fit_scaler(train, C.COMBINER))
+    scaled, out = C.apply_scaler(train, values), None
     for name, balanced in (("plain", False), ("balanced", True)):
-        model = C.fit_logistic(scaled, C.COMBINER, balanced, max_iter=20)
-        part = C.coefficient_table(v.spark, C.COMBINER, model.coefficients, model.intercept).withColumn("arm", F.lit(name))
+        model = C.fit_logistic(scaled, C.COMBINER, balanced)
+        auc = _auc(C.apply_linear(test, C.COMBINER, model.coefficients, model.intercept, values), arm=name)
+        part = C.coefficient_table(v.spark, C.COMBINER, model.coefficients, model.intercept).withColumn("arm", F.lit(name)).join(auc, "arm")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _gbt_rows(v):
-    rows = K.context_features(v.eimp)
-    rows = K.item_features(rows, v.docs, v.topics, v.vocab, PR.history_popularity(v.ehist))
-    rows = K.user_features(rows, v.ehist, v.docs)
-    return recent_holdout(rows, 24)
+def _gbt_frames(v):
+    hist, fit, late = _split(v)
+    popularity = PR.history_popularity(hist)
 
+    def rows(imp):
+        return K.feature_frame(imp, hist, v.docs, v.subcats, v.topics, v.dvecs, v.vocab, popularity, v.sessions)
 
-GBT_COLUMNS = ["article_age_h", "is_fresh_6h", "is_premium", "title_len", "n_topics", "log_history_popularity", "category_code",
-               "hour_of_day", "position_in_view", "relative_position_in_view", "user_mean_read_time", "hours_since_last_click"]
+    return checkpointed(recent_holdout(rows(fit), 24)), checkpointed(rows(late))
 
 
-def _fit_gbt(v, cols, rows):
-    return C.fit_gbt(rows, cols, categorical=["category_code"], max_iter=8, max_depth=3)
+def _fit_gbt(cols, rows):
+    return C.fit_gbt(rows, cols, categorical=[c for c in K.CATEGORICAL if c in cols])
 
 
 @query("c8_fit_gbt")
 def _(v):
-    rows = checkpointed(_gbt_rows(v))
-    model, prepare, _ = _fit_gbt(v, GBT_COLUMNS, rows)
-    return C.apply_model(model, prepare(rows)).select("impression_id", i64("position"), r6("score"))
+    """Scores of later impressions by trees on all features."""
+    train, test = _gbt_frames(v)
+    model, prepare, _ = _fit_gbt(K.FEATURES, train)
+    return C.apply_model(model, prepare(test)).select("impression_id", i64("position"), r6("score"))
 
 
 @query("c9_fit_pairwise_ranker")
 def _(v):
-    rows = checkpointed(_combined(v))
-    scaled = C.apply_scaler(rows, C.scaler_values(C.fit_scaler(rows, C.COMBINER)))
-    weights = C.fit_pairwise_ranker(scaled, C.COMBINER)
-    return C.apply_linear(scaled, C.COMBINER, weights, 0.0).select("impression_id", i64("position"), r6("score"))
+    """AUC of the pairwise ranker on later impressions, beside random order."""
+    hist, fit, late = _split(v)
+    train, test = _combiner_rows(v, fit, hist), _combiner_rows(v, late, hist)
+    values = C.scaler_values(C.fit_scaler(train, C.COMBINER))
+    weights = C.fit_pairwise_ranker(C.apply_scaler(train, values), C.COMBINER)
+    ranked = _auc(C.apply_linear(test, C.COMBINER, weights, 0.0, values), arm="pairwise")
+    return ranked.unionByName(_auc(C.random_score(test), arm="random"))
+
+
+_PAIR_X = ", ".join(f"p.{c} - n.{c} as x{i}" for i, c in enumerate(C.COMBINER))
+
+
+@query("c9_pair_moments", f"""with d as (select {_PAIR_X} from combined p join combined n using (impression_id) where p.clicked = 1 and n.clicked = 0)
+    """ + " union all ".join(f"select 'gram' as kind, {i} as i, {j} as j, round(sum(x{i} * x{j}), 4) as value from d" for i in range(len(C.COMBINER)) for j in range(len(C.COMBINER)))
+       + " union all " + " union all ".join(f"select 'sum', {i}, null, round(sum(x{i}), 4) from d" for i in range(len(C.COMBINER)))
+       + " union all select 'pairs', null, null, count(*)::DOUBLE from d")
+def _(v):
+    return C.pair_moments(_combined(v), C.COMBINER).select("kind", "i", "j", F.round("value", 4).alias("value"))
 
 
 @query("c10_ablate_features")
 def _(v):
-    rows = checkpointed(_gbt_rows(v))
+    train, test = _gbt_frames(v)
     out = None
-    for arm, cols in (("all", GBT_COLUMNS), ("without_position", C.without_features(GBT_COLUMNS))):
-        model, prepare, _ = _fit_gbt(v, cols, rows)
-        auc = M.auc_per_impression(C.apply_model(model, prepare(rows)))
-        part = auc.agg(F.lit(arm).alias("arm"), F.round(F.avg("auc"), 6).alias("auc"), F.count("auc").alias("n_impressions"))
+    for arm, cols in (("all", K.FEATURES), ("without_position", C.without_features(K.FEATURES))):
+        model, prepare, _ = _fit_gbt(cols, train)
+        part = _auc(C.apply_model(model, prepare(test)), arm=arm)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 @query("c11_feature_importance")
 def _(v):
-    rows = checkpointed(_gbt_rows(v))
-    model, prepare, inputs = _fit_gbt(v, GBT_COLUMNS, rows)
+    train, test = _gbt_frames(v)
+    model, prepare, inputs = _fit_gbt(K.FEATURES, train)
     importance = C.feature_importance(v.spark, model, inputs)
-    small, prepare_small, _ = _fit_gbt(v, C.top_features(importance, 4), rows)
-    auc = {name: M.auc_per_impression(C.apply_model(m, p(rows))).agg(F.avg("auc")).scalar()
+    small, prepare_small, _ = _fit_gbt(C.top_features(importance, 20), train)
+    auc = {name: M.auc_per_impression(C.apply_model(m, p(test))).agg(F.avg("auc")).scalar()
            for name, m, p in (("auc_all", model, prepare), ("auc_top", small, prepare_small))}
     return importance.select("feature", r6("importance"), "rank", F.round(auc["auc_all"], 6).alias("auc_all"),
                              F.round(auc["auc_top"], 6).alias("auc_top"))

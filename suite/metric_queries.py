@@ -49,7 +49,7 @@ def _(v):
 
 
 @query("m5_official_scores", """select round(avg(auc), 6) as auc, round(avg(mrr_all), 6) as mrr, round(avg(ndcg5), 6) as ndcg5,
-    round(avg(ndcg10), 6) as ndcg10, count(*) as n_impressions from (
+    round(avg(ndcg10), 6) as ndcg10, count(*) as n_impressions, count(*) - count(auc) as n_without_auc, count(*) - count(mrr_all) as n_without_click from (
     select impression_id, any_value(user_id) as user_id, sum(clicked * 1e0 / rank) / nullif(sum(clicked), 0) as mrr_all from ranked group by impression_id)
     join rankmets using (impression_id) join (
       select impression_id, case when p > 0 and n > 0 then (s - p * (p + 1) / 2e0) / (p * n) end as auc from (
@@ -60,7 +60,7 @@ def _(v):
     pred = R.parse_lines(S.prediction_lines(M.rank_candidates(v.scored, counted=v.imp)).select("line"), "ranks")
     truth = R.parse_lines(S.truth_lines(v.imp).select("line"), "labels")
     scores = M.official_scores(R.read_predictions(pred, truth))
-    return scores.select(r6("auc"), r6("mrr"), r6("ndcg5"), r6("ndcg10"), "n_impressions")
+    return scores.select(r6("auc"), r6("mrr"), r6("ndcg5"), r6("ndcg10"), "n_impressions", "n_without_auc", "n_without_click")
 
 
 @query("m6_diversity", f"select {IMP_SQL}, round(diversity10, 6) as diversity10 from divs")
@@ -92,6 +92,62 @@ def _(v):
     return M.recall_at_k(top, positives, (1, 5, 50))
 
 
+def _weights(n: int, seed: int = 0) -> str:
+    draws = ", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT" for i in range(4))
+    return f"""select user_id, b * 4 + i as replicate, {sql_weight('draws[i + 1]')} as w from (
+        select user_id, b, [{draws}] as draws from (
+        select user_id, b, md5(concat_ws(':', '{seed}', user_id::VARCHAR, b::VARCHAR)) as h from users, (select unnest(range(0, {n // 4})) as b))),
+        (select unnest(range(0, 4)) as i)"""
+
+
+def _recall_sql(top: str) -> str:
+    """Recall of a top list by cohort, with the interval, over all clicked rows of the event impressions."""
+    hits = ", ".join(f"coalesce(rank <= {k}, false)::DOUBLE as recall{k}" for k in (50, 100, 200))
+    return f"""with top as ({top}), users as (select distinct user_id from eimp where clicked = 1), weights as ({_weights(2000)}),
+    hits as (select user_id, case when coalesce(n_articles, 0) < 5 then 'cold' else 'warm' end as cohort, {hits}
+      from eimp left join top using (user_id, article_id) left join hlen using (user_id) where clicked = 1),
+    long as (select * from hits unpivot (x for metric in (recall50, recall100, recall200))),
+    reps as (select coalesce(cohort, 'overall') as slice, metric, replicate, sum(w * s) / nullif(sum(w * n), 0) as r from (
+      select user_id, cohort, metric, sum(x) as s, count(*) as n from long group by all) join weights using (user_id)
+      group by grouping sets ((metric, replicate), (metric, cohort, replicate)))
+    select * from (select coalesce(cohort, 'overall') as slice, metric, round(avg(x), 6) as value, count(*) as n_clicks, count(distinct user_id) as n_users
+      from long group by grouping sets ((metric), (metric, cohort))) join (
+      select slice, metric, round(quantile_cont(r, 0.025), 6) as ci_low, round(quantile_cont(r, 0.975), 6) as ci_high from reps group by slice, metric) using (slice, metric)"""
+
+
+_EVENT_TIE = "('0x' || substr(md5(article_id::VARCHAR), 1, 8))::BIGINT"
+
+
+def _recall(v, top):
+    rows = EV.evaluate_recall(top, v.eimp.filter("clicked = 1").select("impression_id", "user_id", "article_id"), v.ehist)
+    return rows.select("slice", "metric", r6("value"), "n_clicks", "n_users", r6("ci_low"), r6("ci_high"))
+
+
+def _readers(v, rows):
+    return rows.join(v.eimp.filter("clicked = 1").select("user_id").distinct(), "user_id", "left_semi")
+
+
+@query("m9_recall_vectors", _recall_sql(f"""select user_id, article_id, row_number() over (partition by user_id order by round(s, 9) desc, {_EVENT_TIE}, article_id) as rank
+    from (select user_id, article_id, sum(pooled.x * dvlong.x) as s from pooled join dvlong using (d)
+      where user_id in (select user_id from eimp where clicked = 1) group by all) qualify rank <= 200"""))
+def _(v):
+    """Nearest 200 articles to the user's pooled vector."""
+    from presslens.operators import vectors as E
+    pooled = _readers(v, E.pool_mean(v.ehist, v.dvecs))
+    return _recall(v, E.knn(pooled, v.dvecs, 200, key="user_id"))
+
+
+@query("m9_recall_bm25", _recall_sql(f"""select user_id, article_id, row_number() over (partition by user_id order by round(s, 9) desc, {_EVENT_TIE}, article_id) as rank
+    from (select user_id, article_id, coalesce(s, 0e0) as s from (select distinct user_id from uterms where user_id in (select user_id from eimp where clicked = 1))
+      cross join (select article_id from docs) left join (
+      select user_id, article_id, sum(qtf * weight) as s from uterms join postings using (term)
+      where user_id in (select user_id from eimp where clicked = 1) group by all) using (user_id, article_id)) qualify rank <= 200"""))
+def _(v):
+    """Best 200 articles for the words of the user's history."""
+    from presslens.operators import text as T
+    return _recall(v, T.bm25_top_k(_readers(v, v.uterms), v.postings, v.docs, 200, key="user_id"))
+
+
 def _per(v):
     return EV.per_impression_metrics(v.scored, v.hist, v.art, v.popularity)
 
@@ -104,15 +160,7 @@ def _(v):
     return rows.select("slice", "metric", r6("value"), "n_impressions", "n_users", "n_skipped")
 
 
-def _weights(n: int, seed: int = 0) -> str:
-    draws = ", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT" for i in range(4))
-    return f"""select user_id, b * 4 + i as replicate, {sql_weight('draws[i + 1]')} as w from (
-        select user_id, b, [{draws}] as draws from (
-        select user_id, b, md5(concat_ws(':', '{seed}', user_id::VARCHAR, b::VARCHAR)) as h from users, (select unnest(range(0, {n // 4})) as b))),
-        (select unnest(range(0, 4)) as i)"""
-
-
-_BOOT = f"""with users as (select distinct user_id from imp), weights as ({_weights(100)}),
+_BOOT = f"""with users as (select distinct user_id from imp), weights as ({_weights(2000)}),
     sums as (select coalesce(cohort, 'overall') as slice, metric, replicate, sum(w * s) / nullif(sum(w * n), 0) as r from (
       select user_id, cohort, metric, coalesce(sum(x), 0) as s, count(x) as n from permetric group by all)
       join weights using (user_id) group by grouping sets ((metric, replicate), (metric, cohort, replicate)))
@@ -122,10 +170,10 @@ _BOOT = f"""with users as (select distinct user_id from imp), weights as ({_weig
 @query("m11_bootstrap_ci", _BOOT)
 def _(v):
     users = M.per_user_sums(_per(v), EV.VALUES, ["cohort"])
-    return M.bootstrap_ci(users, EV.VALUES, n_replicates=100).select("slice", "metric", r6("ci_low"), r6("ci_high"))
+    return M.bootstrap_ci(users, EV.VALUES).select("slice", "metric", r6("ci_low"), r6("ci_high"))
 
 
-_PAIRED = f"""with users as (select distinct user_id from imp), weights as ({_weights(100)}),
+_PAIRED = f"""with users as (select distinct user_id from imp), weights as ({_weights(2000)}),
     per as (select user_id, sum(mrr - ndcg5) as dd, count(*) as n from rankmets where ndcg5 is not null group by user_id),
     reps as (select replicate, sum(w * dd) / sum(w * n) as r from per join weights using (user_id) where w > 0 group by replicate)
     select round((select sum(dd) / sum(n) from per), 6) as diff, (select sum(n) from per)::BIGINT as n_impressions, (select count(*) from per) as n_users,
@@ -134,7 +182,7 @@ _PAIRED = f"""with users as (select distinct user_id from imp), weights as ({_we
 
 @query("m12_paired_bootstrap", _PAIRED)
 def _(v):
-    rows = M.paired_bootstrap(M.rank_metrics(M.rank_candidates(v.scored, counted=v.imp)), "mrr", "ndcg5", n_replicates=100)
+    rows = M.paired_bootstrap(M.rank_metrics(M.rank_candidates(v.scored, counted=v.imp)), "mrr", "ndcg5")
     return rows.select(r6("diff"), "n_impressions", "n_users", r6("ci_low"), r6("ci_high"))
 
 
@@ -148,7 +196,7 @@ def _arm_auc(score: str) -> str:
           + (count(*) over (partition by impression_id, sc) - 1) / 2e0 as r from (select *, {score} as sc from scored)) group by impression_id, user_id)"""
 
 
-_ARMS = f"""with users as (select distinct user_id from imp), weights as ({_weights(60)}),
+_ARMS = f"""with users as (select distinct user_id from imp), weights as ({_weights(2000)}),
     arms as (select 'popularity' as arm, * from ({_arm_auc('score')}) union all select 'random', * from ({_arm_auc(_RAND)})
       union all select 'last_first', * from ({_arm_auc('position::DOUBLE')})),
     pairs as (select a.arm, b.arm as baseline, a.user_id, a.auc - b.auc as dd from arms a join arms b using (impression_id)
@@ -168,7 +216,7 @@ _ARMS = f"""with users as (select distinct user_id from imp), weights as ({_weig
 def _(v):
     scorers = {"popularity": pop_scorer(v), "random": C.random_score,
                "last_first": lambda rows: rows.withColumn("score", F.col("position").cast("double"))}
-    rows = EV.evaluate_arms(v.imp, scorers, ["popularity", "random"], n_replicates=60)
+    rows = EV.evaluate_arms(v.imp, scorers, ["popularity", "random"])
     return rows.select("arm", "baseline", r6("diff"), r6("ci_low"), r6("ci_high"), "n_impressions", "n_users",
                        i64(F.col("excludes_zero").cast("int"), "excludes_zero"), i64(F.col("clear_win").cast("int"), "clear_win"))
 
@@ -179,7 +227,7 @@ def _(v):
     from permetric group by grouping sets ((metric), (metric, cohort))) join (
     select slice, metric, round(quantile_cont(r, 0.025), 6) as ci_low, round(quantile_cont(r, 0.975), 6) as ci_high from sums group by slice, metric) using (slice, metric)"""))
 def _(v):
-    rows = EV.evaluate(v.imp, pop_scorer(v), v.hist, v.art, v.popularity, n_replicates=100)
+    rows = EV.evaluate(v.imp, pop_scorer(v), v.hist, v.art, v.popularity)
     return rows.select("slice", "metric", r6("value"), "n_impressions", "n_users", "n_skipped", r6("ci_low"), r6("ci_high"))
 
 
@@ -205,6 +253,32 @@ def _(v):
     return C.minmax_in_group(v.scored, "score").select("impression_id", "article_id", r6("score_mm"))
 
 
+_UNKNOWN = "select *, case when article_id % 7 = 0 then null else score end as known from scored"
+
+
+@query("c2_blend_unknown", f"""select impression_id, position::BIGINT as position, round(0.7e0 * mm + 0.3e0 * pm, 6) as score,
+    row_number() over (partition by impression_id order by round(0.7e0 * mm + 0.3e0 * pm, 9) desc nulls last, position) as place from (
+    select *, case when known is null then null when hi - lo < 1e-12 then 0e0 else (known - lo) / (hi - lo) end as mm,
+      case when ph - pl < 1e-12 then 0e0 else (position - pl) / (ph - pl) end as pm from (
+    select *, min(known) over w as lo, max(known) over w as hi, min(position::DOUBLE) over w as pl, max(position::DOUBLE) over w as ph
+    from ({_UNKNOWN}) window w as (partition by impression_id)))""")
+def _(v):
+    """Candidates outside the index keep -inf, stand last, and do not touch the scale of the others."""
+    from presslens.functions.grouping import row_numbers
+    score = F.when(F.col("article_id") % 7 == 0, float("-inf")).otherwise(F.col("score"))
+    rows = v.scored.withColumns({"known": score, "place": F.col("position").cast("double")})
+    rows = C.blend(rows, {"known": 0.7, "place": 0.3}, out="blended")
+    rows = row_numbers(rows.drop("place"), ["impression_id"], [F.round("blended", 9).desc(), F.col("position")], "place")
+    shown = F.when(F.col("blended") > float("-inf"), F.col("blended"))
+    return rows.select("impression_id", i64("position"), r6(shown, "score"), "place")
+
+
+@query("c5_scaler_unknown", f"select round(avg(known), 9) as mean, round(stddev_pop(known), 9) as scale from ({_UNKNOWN})")
+def _(v):
+    score = F.when(F.col("article_id") % 7 == 0, float("-inf")).otherwise(F.col("score"))
+    return C.fit_scaler(v.scored.withColumn("known", score), ["known"]).select(F.round("mean", 9).alias("mean"), F.round("scale", 9).alias("scale"))
+
+
 @query("c12_cohort", "select impression_id, article_id, cohort from imp join cohorts using (user_id)")
 def _(v):
     return C.cohort(v.imp, v.hist).select("impression_id", "article_id", "cohort")

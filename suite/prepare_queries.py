@@ -56,6 +56,26 @@ def _(v):
                       {"age": "double", "c_acctbal": "double"}, "customer")
 
 
+_EVENT_COLUMNS = ["event_id", "user_id", "event_type", "ts", "value"]
+
+
+@query("s5_forbid_columns", " union all ".join(
+    [f"select '{c}' as name, 0 as refused, count({c}) as n_values from events" for c in _EVENT_COLUMNS]
+    + [f"select '{c}', 1, null" for c in ("total_inviews", "total_pageviews", "total_read_time", "next_read_time", "next_scroll_percentage")]))
+def _(v):
+    """Every column asked of a log that has columns known only afterwards: refused, or its number of values."""
+    path = scratch_folder(v.spark, "log")
+    v.table("events").withColumns({c: F.lit(1.0) for c in R.FORBIDDEN_COLUMNS}).write.parquet(path)
+    out = None
+    for name in [*_EVENT_COLUMNS, *R.FORBIDDEN_COLUMNS]:
+        try:
+            part = R.read_columns(v.spark, path, [name]).agg(F.lit(name).alias("name"), F.lit(0).alias("refused"), F.count(name).alias("n_values"))
+        except ValueError:
+            part = v.spark.range(1).select(F.lit(name).alias("name"), F.lit(1).alias("refused"), F.lit(None).cast("long").alias("n_values"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("s8_prediction_lines", """select impression_id::VARCHAR as impression_id,
     impression_id::VARCHAR || ' [' || string_agg(rank::VARCHAR, ',' order by position) || ']' as line from ranked group by impression_id""")
 def _(v):
@@ -114,6 +134,23 @@ def _(v):
     return read_stream_predictions(v.spark, f"{base}/out").select("impression_id", "line")
 
 
+@query("w1_stream_restarted", """select impression_id, impression_id::VARCHAR || ' [' || string_agg(rank::VARCHAR, ',' order by position) || ']' as line
+    from ranked group by impression_id""")
+def _(v):
+    """The checkpoint is lost between two runs and one more file arrives: still one line for each order."""
+    from presslens.streaming.predictions import read_stream_predictions, stream_predictions
+    base = scratch_folder(v.spark, "stream")
+    packed = v.imp.groupBy("impression_id", "user_id", "impression_time").agg(
+        F.array_sort(F.collect_list(F.struct("position", "article_id"))).alias("_a"))
+    packed = packed.select("impression_id", "user_id", "impression_time", F.transform("_a", lambda x: x["article_id"]).alias("article_ids_inview"))
+    late = F.pmod(F.col("impression_id"), F.lit(5)) == 0
+    for part, name in ((packed.filter(~late), "first"), (packed.filter(late), "second")):
+        part.write.mode("append").parquet(f"{base}/in")
+        stream_predictions(v.spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint-{name}",
+                           lambda rows: PR.popularity_score(rows, v.popularity), max_files=4)
+    return read_stream_predictions(v.spark, f"{base}/out").select("impression_id", "line")
+
+
 # --- preparation -------------------------------------------------------------------------
 
 @query("p1_prefix_id", """select 'shop:eval:' || impression_id as impression_id, 'shop:' || user_id as user_id,
@@ -123,12 +160,28 @@ def _(v):
                         prefix_id("shop", "user_id").alias("user_id"), prefix_id("shop", "article_id").alias("article_id"))
 
 
-@query("p2_combine_entities", """select article_id, '{"abstract_entities": ' || abstract_entities || ', "title_entities": '
-    || title_entities || '}' as entities from docs""")
+def _entity(confidence: str, n: int) -> str:
+    return f"""'[{{"Confidence":{confidence},"WikidataId":"Q' || (article_id % {n}) || '"}}]'"""
+
+
+_TITLE, _ABSTRACT = _entity("0.9", 50), _entity("0.5", 13)
+
+
+@query("p2_combine_entities", f"""select article_id, '{{"abstract_entities":' || {_ABSTRACT} || ',"title_entities":' || {_TITLE} || '}}' as entities from docs""")
 def _(v):
     return v.docs.select("article_id", P.combine_entities("title_entities", "abstract_entities").alias("entities"))
 
 
+@query("p2_broken_entities", f"""select article_id, '{{"abstract_entities":' || case when article_id % 3 = 0 then '[]' else {_ABSTRACT} end
+    || ',"title_entities":' || case when article_id % 5 < 2 then '[]' else {_TITLE} end || '}}' as entities from docs""")
+def _(v):
+    """Broken, null and blank entries on one side leave the other as it is."""
+    d = F.col("article_id")
+    title = F.when(d % 5 == 0, '[{"WikidataId":').when(d % 5 == 1, F.lit(None).cast("string")).otherwise(F.col("title_entities"))
+    abstract = F.when(d % 3 == 0, "  ").otherwise(F.col("abstract_entities"))
+    return v.docs.select("article_id", P.combine_entities(title, abstract).alias("entities"))
+
+
 @query("p3_unify_articles", """select 'shop:' || article_id as article_id, 'shop' as dataset, title, '' as abstract, category,
     subcategory, 0::BIGINT as n_topics from art""")
 def _(v):
@@ -208,6 +261,15 @@ def _(v):
         F.array_join(F.transform("read_times", lambda x: x.cast("long").cast("string")), " ").alias("reads"))
 
 
+@query("p8_history_parts", "select user_id, pos::BIGINT as pos, article_id, epoch(click_time)::BIGINT as t from hist")
+def _(v):
+    """Histories in parts of four clicks and back to rows: positions go on over the parts."""
+    arrays = {"article_id": "article_ids", "click_time": "click_times"}
+    parts = P.recover_history_arrays(v.hist, arrays, part_size=4)
+    rows = P.explode_history(parts, {o: a for a, o in arrays.items()})
+    return rows.select("user_id", i64("pos"), "article_id", epoch_seconds("click_time").alias("t"))
+
+
 @query("p9_history_parts", """select user_id, (pos // 4)::BIGINT as part, string_agg(article_id::VARCHAR, ' ' order by pos) as ids
     from hist group by user_id, pos // 4""")
 def _(v):

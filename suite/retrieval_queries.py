@@ -53,10 +53,14 @@ def _(v):
 
 # --- vectors -----------------------------------------------------------------------------
 
-@query("e1_encode_text")
-def _(v):
-    vecs = E.encode_text(v.docs, dim=16)
-    return vecs.select("article_id", F.size("vec").alias("dim"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"))
+@query("e1_encode_text", """with often as (select term from dtok group by term having count(*) > 1)
+    select article_id, case when n > 0 then 64 end as dim, case when n > 0 then 1e0 end as norm2 from docs left join (
+      select article_id, count(*) as n from dtok join often using (term) group by article_id) using (article_id)""")
+def _(v):
+    """Unit vectors; none for a text without a word that occurs twice in the corpus."""
+    vecs = E.encode_text(v.docs)
+    size = F.when(F.col("vec").isNotNull(), F.size("vec"))
+    return vecs.select("article_id", size.alias("dim"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"))
 
 
 @query("e2_encode_incremental", """select article_id, round(a / sqrt(a * a + b * b), 6) as x, round(b / sqrt(a * a + b * b), 6) as y

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from presslens.functions.expr import doubles
 from presslens.functions.grouping import checkpointed
 from presslens.operators import prepare as P, profiles as PR, text as T
-from presslens.operators.metrics import POISSON_CUTS
 
 
 class Views:
@@ -191,7 +190,13 @@ def sql_key(*parts) -> str:
 
 
 def sql_weight(draw: str) -> str:
-    return "(" + " + ".join(f"(case when {draw} >= {c} then 1 else 0 end)" for c in POISSON_CUTS) + ")"
+    """Poisson(1) weight of a 32-bit draw, from the distribution function as SQL arithmetic."""
+    term, total, cuts = "exp(-1e0)", "exp(-1e0)", []
+    for k in range(1, 13):
+        cuts.append(f"floor(({total}) * 4294967296e0)::BIGINT")
+        term = f"({term}) / {k}e0"
+        total = f"({total}) + ({term})"
+    return "(" + " + ".join(f"(case when {draw} >= {c} then 1 else 0 end)" for c in cuts) + ")"
 
 
 SQL_VIEWS = {
