@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from presslens.llm.common import free_names
+from presslens.llm.common import free_names, stored
 
 MAX_CELLS = 1 << 28
 CELLS_A_KEY = 32
@@ -41,3 +41,16 @@ def flag(rows: DataFrame, key: Column, kept: DataFrame, cells: int, out: str) ->
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(cell, F.lit(64)).cast("int"))
         checks.append(F.coalesce(F.col(bits), F.lit(0)).bitwiseAND(bit) != 0)
     return rows.withColumn(out, checks[0] & checks[1]).drop(*names)
+
+
+def id_key(id_col: str) -> Column:
+    """``doc_id_key``: the id as a struct, in which null equals null."""
+    return F.struct(F.col(id_col).alias("id")).alias("doc_id_key")
+
+
+def texts_of(table: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc_id_key, text_hash, text) of the texts that ``asked`` names by the first two; few others pass the filter."""
+    keys = stored(asked.select(F.xxhash64("doc_id_key", "text_hash").alias("key")).distinct(), "keys")
+    cells = filter_size(keys.count())
+    rows = flag(table.select("doc_id_key", "text_hash", "text"), F.xxhash64("doc_id_key", "text_hash"), stored(build(keys, "key", cells), "bloom"), cells, "asked")
+    return rows.filter("asked").drop("asked")

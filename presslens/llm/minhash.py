@@ -14,7 +14,8 @@ smallest one (a star, never pairs), and the components of these links are compar
 by their cells:
 
 * in blocks of bounded size, with an inverted index of the block; a document already in the
-  group of another one is not compared with it again;
+  group of another one is not compared with it again. About ``PIVOTS`` rows of a component
+  that has several blocks stand in each of them, which joins the blocks' groups;
 * across the blocks of one component, the documents outside its largest group meet all
   blocks, in chunks of bounded size. Two documents of the largest group need no comparison.
 
@@ -37,11 +38,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from presslens.llm.bloom import id_key, texts_of
 from presslens.llm.common import matching_rows, row_slices, stored, text_or_empty
 from presslens.llm.components import components
 
 _U = np.uint64
 WORDS, BANDS, ROWS = 5, 28, 6
+PIVOTS = 16
 _FACTORS = np.array([xxhash.xxh3_64_intdigest(b"factor", i) | 1 for i in range(WORDS)], _U)
 
 
@@ -253,12 +256,15 @@ def near_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "text_hash"))
     classes = stored(signed.groupBy("w1", "w2").agg(smallest.alias("m"), F.count("*").alias("many")).select("w1", "w2", "many", "m.*"), "classes")
     parts = stored(_candidate_parts(signed.select("row", "bands").join(classes.select("row"), "row", "left_semi")), "parts")
-    asked = stored(parts.join(classes, "row").select("row", "part", F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")), "asked")
-    texts = table.drop("row").join(asked, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
+    asked = stored(parts.join(classes, "row").select("row", "part", id_key("doc_id"), "text_hash"), "asked")
+    texts = texts_of(table.withColumn("doc_id_key", id_key("doc_id")), asked).join(asked, ["doc_id_key", "text_hash"])
     packed = stored(texts.select("row", "text", "part").mapInArrow(_with_cells, "row long, part long, cells binary"), "cells")
-    blocks = stored(packed.groupBy("part").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("blocks")), "blocks")
+    blocks = stored(packed.groupBy("part").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / block_rows).cast("long").alias("blocks")), "blocks")
     placed = packed.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")))
-    sorted_blocks = placed.select("part", "block", "row", "cells").repartition("part", "block").sortWithinPartitions("part", "block")
+    # some rows of a large part stand in all its blocks and tie their groups together
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("row", F.lit(2)), F.ceil(F.col("rows") / PIVOTS)) == 0)
+    everywhere = F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
+    sorted_blocks = placed.select("part", F.explode(everywhere).alias("block"), "row", "cells").repartition("part", "block").sortWithinPartitions("part", "block")
     links = stored(sorted_blocks.mapInArrow(_inside(least), "a long, b long"), "links")
     if not blocks.filter("blocks > 1").isEmpty():
         links = links.unionByName(stored(_large_parts(placed, links, least, block_rows), "links"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from presslens.llm.bloom import build, filter_size, flag
+from presslens.llm.bloom import build, filter_size, flag, id_key, texts_of
 from presslens.llm.common import row_slices, stored, text_or_empty
 from presslens.llm.suffix_sort import PrefixHashes, repeated
 
@@ -202,7 +202,7 @@ def repeated_parts(table: DataFrame, ids: DataFrame, length: int, block_rows: in
         "row", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("finish"))
     several = contexts.groupBy("anchor").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
     asked = stored(contexts.join(several, "anchor").join(ids, "row"), "asked")
-    texts = _texts_of(table, asked).join(asked, ["doc_id_key", "text_hash"])
+    texts = texts_of(table, asked).join(asked, ["doc_id_key", "text_hash"])
     cut = texts.select("anchor", F.pmod(F.xxhash64("row", "start"), F.col("blocks")).alias("block"), "blocks", "row", "start", "back", "many",
                        F.expr(f"substring(cast(text as binary), cast(start + 1 as int), windows + {length - 1})").alias("bytes"))
     found = stored(cut.repartition("anchor", "block").sortWithinPartitions("anchor", "block").mapInArrow(_compare(length), _FOUND), "found")
@@ -212,21 +212,10 @@ def repeated_parts(table: DataFrame, ids: DataFrame, length: int, block_rows: in
     return parts.unionByName(keyed.filter("row is not null").join(both, "key").select("row", "start", "finish"))
 
 
-def _texts_of(table: DataFrame, asked: DataFrame) -> DataFrame:
-    """(doc_id_key, text_hash, text) of the texts that ``asked`` may name; the others do not shuffle."""
-    keys = asked.select(F.xxhash64("doc_id_key", "text_hash").alias("key")).distinct()
-    keys = stored(keys, "keys")
-    cells = filter_size(keys.count())
-    rows = table.select("doc_id_key", "text_hash", "text")
-    passed = flag(rows, F.xxhash64("doc_id_key", "text_hash"), stored(build(keys, "key", cells), "bloom"), cells, "asked")
-    return passed.filter("asked").drop("asked")
-
-
 def cut_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 2000) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
     text = text_or_empty(text_col)
-    key = F.struct(F.col(id_col).alias("id")).alias("doc_id_key")  # null ids are equal in it
-    table = docs.select(F.monotonically_increasing_id().alias("row"), key, F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    table = docs.select(F.monotonically_increasing_id().alias("row"), id_key(id_col), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     ids = stored(table.drop("text"), "ids")
     parts = repeated_parts(table, ids, length, block_rows)
     spans = parts.join(ids, "row").groupBy("doc_id_key", "text_hash").agg(F.collect_list(F.struct("start", "finish")).alias("parts"))
