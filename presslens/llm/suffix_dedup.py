@@ -81,7 +81,7 @@ def anchor_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length:
     return text[first], hashed[anchor[first]].view(np.int64), first, windows, anchor[first]
 
 
-def _runs(length: int, piece: int = 1 << 20):
+def _runs(length: int, piece: int = 1 << 19):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches, most_bytes=piece):
             rows = batch.column(0).to_numpy()
@@ -92,7 +92,7 @@ def _runs(length: int, piece: int = 1 << 20):
             done = 0
             while done < len(parts):
                 held, size = [], 0
-                while done < len(parts) and (not held or size + len(parts[done][2]) <= 2 * piece):
+                while done < len(parts) and (not held or size + len(parts[done][2]) <= piece):
                     held.append(parts[done])
                     size += len(parts[done][2])
                     done += 1
@@ -111,7 +111,7 @@ def _runs(length: int, piece: int = 1 << 20):
 _FOUND = "row long, start long, finish long, key binary"
 
 
-def _compare(length: int, most_bytes: int = 2 << 20):
+def _compare(length: int, most_bytes: int = 1 << 20):
     """Repeated windows of contexts with one anchor. Rows sorted by (anchor, block): blocks, row, start, back, many, context bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []

@@ -34,7 +34,7 @@ class PrefixHashes:
     """``of(start, length)``: hashes of substrings of ``data``, equal for equal ones wherever they stand."""
 
     def __init__(self, data: np.ndarray):
-        power, self.inverse = _powers(max(21, len(data).bit_length()))
+        power, self.inverse = _powers(max(20, len(data).bit_length()))
         self.sums = np.zeros(len(data) + 1, _U)
         np.cumsum(_BYTES[data] * power[:len(data)], out=self.sums[1:])
 
