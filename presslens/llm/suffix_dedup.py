@@ -130,39 +130,41 @@ def _compare(length: int, most_bytes: int = 1 << 20):
     return run
 
 
-def _compared(rows: list, length: int) -> pa.RecordBatch:
+def _compared(rows: list, length: int, most_suffixes: int = 250_000) -> pa.RecordBatch:
     rows = list({(r[0], r[3], r[4]): r for r in rows}.values())  # a row equal in id and text may come twice
     data = np.frombuffer(b"".join(r[7] for r in rows), np.uint8)
     sizes = np.array([len(r[7]) for r in rows], np.int64)
     at = np.cumsum(sizes) - sizes
-    windows = sizes - length + 1
+    hashes = PrefixHashes(data, np.append(np.arange(len(data)) - np.repeat(at, sizes), 0))
+    back, windows = np.array([r[5] for r in rows], np.int64), sizes - length + 1
     anchors = np.unique([r[0] for r in rows], return_inverse=True)[1]
-    owner = np.repeat(np.arange(len(rows)), windows)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    start = at[owner] + step
-    group = anchors[owner] * length + np.array([r[5] for r in rows], np.int64)[owner] - step  # windows at one place before one anchor
-    order = np.argsort(group, kind="stable")
-    twice = np.zeros(len(owner), bool)
-    if len(order):
-        twice[order] = repeated(data, group[order], start[order], length)
+    alone, split = np.array([r[6] == 1 for r in rows]), np.array([r[2] > 1 for r in rows])
     out: list[tuple] = []
-    alone = np.array([r[6] == 1 for r in rows])
-    text_start = np.array([r[4] for r in rows], np.int64)
-    hits = np.flatnonzero(twice & alone[owner])  # contexts that occur once: what repeats in them
-    if len(hits):
-        new = np.flatnonzero((np.diff(hits, prepend=-2) != 1) | (np.diff(owner[hits], prepend=-1) != 0))
-        last = np.append(new[1:], len(hits)) - 1
-        for a, b in zip(hits[new].tolist(), hits[last].tolist(), strict=True):
-            r = rows[owner[a]]
-            out.append((r[3], int(text_start[owner[a]] + step[a]), int(text_start[owner[a]] + step[b]) + length, None))
-    split = np.array([r[2] > 1 for r in rows])
-    if split.any():  # an anchor in several blocks: its windows are counted over them
+    slices = -(-int(windows.sum()) // most_suffixes)
+    width = -(-length // slices)
+    for first in range(0, length, width):  # windows are compared at one place before the anchor, so places are worked on in turn
+        low, high = np.maximum(0, back - first - width + 1), np.minimum(windows - 1, back - first)
+        many = np.maximum(0, high - low + 1)
+        owner = np.repeat(np.arange(len(rows)), many)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many - low, many)
+        start = at[owner] + step
+        group = anchors[owner] * length + back[owner] - step
+        order = np.argsort(group, kind="stable")
+        twice = np.zeros(len(owner), bool)
+        twice[order] = repeated(data, group[order], start[order], length, hashes)
+        hits = np.flatnonzero(twice & alone[owner])  # contexts that occur once: what repeats in them
+        if len(hits):
+            new = np.flatnonzero((np.diff(hits, prepend=-2) != 1) | (np.diff(owner[hits], prepend=-1) != 0))
+            last = np.append(new[1:], len(hits)) - 1
+            for a, b in zip(hits[new].tolist(), hits[last].tolist(), strict=True):
+                r = rows[owner[a]]
+                out.append((r[3], int(r[4] + step[a]), int(r[4] + step[b]) + length, None))
         seen = set()
-        for i in np.flatnonzero(split[owner]).tolist():
+        for i in np.flatnonzero(split[owner]).tolist():  # an anchor in several blocks: its windows are counted over them
             key = hashlib.blake2b(data[start[i]:start[i] + length].tobytes(), digest_size=16).digest()
             if alone[owner[i]] and not twice[i]:
                 r = rows[owner[i]]
-                out.append((r[3], int(text_start[owner[i]] + step[i]), int(text_start[owner[i]] + step[i]) + length, key))
+                out.append((r[3], int(r[4] + step[i]), int(r[4] + step[i]) + length, key))
             elif key not in seen:
                 seen.add(key)
                 out.append((None, None, None, key))
@@ -212,7 +214,7 @@ def repeated_parts(table: DataFrame, ids: DataFrame, length: int, block_rows: in
     return parts.unionByName(keyed.filter("row is not null").join(both, "key").select("row", "start", "finish"))
 
 
-def cut_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 2000) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 8192) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
     text = text_or_empty(text_col)
     table = docs.select(F.monotonically_increasing_id().alias("row"), id_key(id_col), F.xxhash64(text).alias("text_hash"), text.alias("text"))

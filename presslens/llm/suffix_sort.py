@@ -31,15 +31,20 @@ def _powers(log_size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PrefixHashes:
-    """``of(start, length)``: hashes of substrings of ``data``, equal for equal ones wherever they stand."""
+    """``of(start, length)``: hashes of substrings of ``data``, equal for equal ones wherever they stand.
 
-    def __init__(self, data: np.ndarray):
-        power, self.inverse = _powers(max(20, len(data).bit_length()))
+    ``place`` counts the bytes of ``data``, from 0 on in each of several texts if substrings stay
+    inside one (then the powers needed are those of the longest text only).
+    """
+
+    def __init__(self, data: np.ndarray, place: np.ndarray | None = None):
+        self.place = np.arange(len(data) + 1) if place is None else place
+        power, self.inverse = _powers(20 if place is None and len(data) < 1 << 20 else max(10, int(self.place.max(initial=0)).bit_length()))
         self.sums = np.zeros(len(data) + 1, _U)
-        np.cumsum(_BYTES[data] * power[:len(data)], out=self.sums[1:])
+        np.cumsum(_BYTES[data] * power[self.place[:len(data)]], out=self.sums[1:])
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
-        return (self.sums[start + length] - self.sums[start]) * self.inverse[start]
+        return (self.sums[start + length] - self.sums[start]) * self.inverse[self.place[start]]
 
     def runs(self, length: int) -> np.ndarray:
         """Hashes of all substrings of one length, in order of their start."""
@@ -96,9 +101,9 @@ def sort_suffixes(data: np.ndarray, hashes: PrefixHashes, group: np.ndarray, sta
     return order
 
 
-def repeated(data: np.ndarray, group: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+def repeated(data: np.ndarray, group: np.ndarray, start: np.ndarray, length: int, hashes: PrefixHashes | None = None) -> np.ndarray:
     """For suffixes sorted by group: whether another one of the group begins with the same ``length`` bytes."""
-    hashes = PrefixHashes(data)
+    hashes = hashes or PrefixHashes(data)
     order = sort_suffixes(data, hashes, group, start, length)
     sorted_group, at = group[order], start[order]
     whole = hashes.of(at, length)
