@@ -17,6 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 HOT_ROWS = 1_000_000
+_own_folders: list[tempfile.TemporaryDirectory] = []
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
@@ -28,7 +29,9 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
     if folder is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="presslens-checkpoint-")
+        own = tempfile.TemporaryDirectory(prefix="presslens-checkpoint-")  # goes when Python ends
+        _own_folders.append(own)
+        folder = own.name
     sc.setCheckpointDir(folder)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from presslens.functions.blocks import block_pairs
@@ -45,23 +46,27 @@ def encode_incremental(articles: DataFrame, store_path: str, model: str,
                        encode: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Vectors of exactly these articles under ``model``; only new or changed texts are encoded.
 
-    The store is append-only, keyed by (model, article_id, text hash), so a row
-    made by another model or from an older text is never used.
+    The store has a folder for each model, to which only keys (article_id, text hash)
+    it lacks are appended, in one committed job: a key is there once, and a row made
+    by another model or from an older text is never read or used.
     """
     spark = articles.sparkSession
-    keyed = articles.withColumns({"model": F.lit(model), "text_hash": F.sha2(article_text(articles), 256)})
-    key = ["model", "article_id", "text_hash"]
+    keyed = articles.withColumn("text_hash", F.sha2(article_text(articles), 256))
+    key = ["article_id", "text_hash"]
     id_type = articles.schema["article_id"].dataType.simpleString()
-    schema = f"model string, article_id {id_type}, text_hash string, vec array<double>"
-
-    def stored() -> DataFrame:
-        return spark.read.schema(schema).parquet(store_path)
-
-    spark.createDataFrame([], schema).write.mode("append").parquet(store_path)
-    missing = keyed.join(stored().select(*key), key, "left_anti")
-    fresh = encode(missing).join(missing.select(*key), "article_id").select(*key, doubles("vec").alias("vec"))
-    fresh.write.mode("append").parquet(store_path)
-    return keyed.select(*key).join(stored().dropDuplicates(key), key).select("article_id", "vec")
+    folder = f"{store_path}/model={model}"
+
+    def stored() -> DataFrame | None:
+        try:
+            return spark.read.schema(f"article_id {id_type}, text_hash string, vec array<double>").parquet(folder)
+        except AnalysisException:
+            return None  # nothing written yet
+
+    known = stored()
+    missing = keyed if known is None else keyed.join(known.select(*key), key, "left_anti")
+    fresh = encode(missing).join(keyed.select(*key), "article_id").select(*key, doubles("vec").alias("vec"))
+    fresh.write.mode("append").parquet(folder)
+    return keyed.select(*key).join(stored(), key).select("article_id", "vec")
 
 
 def align_vectors(vecs: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from presslens.functions.grouping import checkpointed
 from presslens.operators import features as K, metrics as M, models as C, profiles as PR, text as T, vectors as E
 from presslens.operators.sampling import recent_holdout
-from suite.registry import i64, long_vec, query, r6
+from suite.registry import i64, long_vec, query, r6, whole_query
 from suite.retrieval_queries import _combined
 
 POS = "impression_id, position::BIGINT as position"
@@ -161,7 +161,7 @@ def _(v):
     return _out(rows, r6("cat_rank"), r6("age_rank"))
 
 
-@query("k14_rank_orders", f"""select impression_id, position::BIGINT as position, round({_pct('v')}, 6) as price_rank from (
+@whole_query("k14_rank_orders", f"""select impression_id, position::BIGINT as position, round({_pct('v')}, 6) as price_rank from (
     select impression_id, position, case when p_size > 10 then p_retailprice end as v from imp join part on p_partkey = article_id)""")
 def _(v):
     part = v.table("part").select(F.col("p_partkey").alias("article_id"), F.when(F.col("p_size") > 10, F.col("p_retailprice")).alias("v"))
@@ -183,21 +183,92 @@ def frame(v):
                            PR.history_popularity(v.ehist), v.sessions)
 
 
-_FRAME = ["lt_cat_affinity", "lt_subcat_affinity", "lt_topic_affinity", "lt_embed_sim", "lt_cat_rank", "lt_sentiment_distance",
-          "st_cat_affinity", "st_subcat_affinity", "st_topic_affinity", "st_embed_sim", "st_cat_rank",
-          "user_clicks_last_24h", "user_median_read_time", "session_position", "session_start_gap_h", "log_history_popularity"]
+# the fill values stand for columns that the documents and events do not have; see the *_optional queries
+_PLAIN_SQL = {
+    "lt_cat_affinity": "ltf.lt_cat_affinity", "lt_subcat_affinity": "ltf.lt_subcat_affinity", "lt_topic_affinity": "ltf.lt_topic_affinity",
+    "lt_embed_sim": "ltf.lt_embed_sim", "lt_cat_rank": "lt_cat_rank", "lt_sentiment_distance": "abs(d.sentiment_score - mean_sentiment)",
+    "st_cat_affinity": "stf.st_cat_affinity", "st_subcat_affinity": "stf.st_subcat_affinity", "st_topic_affinity": "stf.st_topic_affinity",
+    "st_embed_sim": "stf.st_embed_sim", "st_cat_rank": "stf.st_cat_rank",
+    "is_last_clicked_category": "coalesce(b = 1, false)::INT", "in_recent_categories": "(b is not null)::INT",
+    "cat_affinity_drift": "stf.st_cat_affinity - ltf.lt_cat_affinity", "embed_sim_drift": "stf.st_embed_sim - ltf.lt_embed_sim",
+    "topic_affinity_drift": "stf.st_topic_affinity - ltf.lt_topic_affinity",
+    "log_history_len": "log_history_len", "user_mean_read_time": "user_mean_read_time", "user_median_read_time": "user_median_read_time",
+    "user_mean_scroll": "null", "user_distinct_categories": "user_distinct_categories", "user_clicks_last_24h": "day_clicks.n",
+    "user_mean_article_age_h": "user_mean_article_age_h", "hours_since_last_click": "(e.p - last_t) / 3600e0", "user_history_span_h": "user_history_span_h",
+    "article_age_h": "(e.p - epoch(d.published_at)) / 3600e0", "is_fresh_6h": "((e.p - epoch(d.published_at)) / 3600e0 < 6)::INT",
+    "sentiment_score": "d.sentiment_score", "sentiment_label": "-1", "article_type": "-1", "is_premium": "d.premium::INT",
+    "title_len": "length(d.title)", "body_len": "null", "n_topics": "nt.n", "n_entities": "0",
+    "log_history_popularity": "ln(1e0 + coalesce(hpop.clicks, 0))", "log_history_popularity_decayed": "ln(1e0 + coalesce(hpop.decayed, 0e0))",
+    "category_code": "vocab.code", "age_vs_user_appetite": "(e.p - epoch(d.published_at)) / 3600e0 - user_mean_article_age_h",
+    "n_candidates": "8", "hour_of_day": "hour(impression_time)", "day_of_week": "isodow(impression_time) - 1",
+    "is_weekend": "(isodow(impression_time) >= 6)::INT", "is_front_page": "(e.context_article_id is null)::INT", "device_type": "-1",
+    "is_sso_user": "0", "is_subscriber": "0", "user_age": "null", "gender": "-1", "context_read_time": "null", "context_scroll_percentage": "null",
+    "position_in_view": "position", "relative_position_in_view": "position / 7e0",
+    "context_category_match": "coalesce(d.category = c.category, false)::INT", "context_topic_overlap": "coalesce(shared.n, 0)",
+    "context_embed_sim": "list_inner_product(av.vec, cv.vec)", "session_position": "session_position", "session_start_gap_h": "session_start_gap_h"}
+_PLAIN_FROM = """eimp e left join docs d on d.article_id = e.article_id left join docs c on c.article_id = e.context_article_id
+    join ltf on ltf.user_id = e.user_id and ltf.article_id = e.article_id join stf on stf.user_id = e.user_id and stf.p = e.p and stf.article_id = e.article_id
+    left join ltrank on ltrank.user_id = e.user_id and ltrank.category = d.category left join lastcats on lastcats.user_id = e.user_id and lastcats.category = d.category
+    left join usersent on usersent.user_id = e.user_id left join userprof on userprof.user_id = e.user_id
+    left join day_clicks on day_clicks.user_id = e.user_id and day_clicks.p = e.p left join hpop on hpop.article_id = e.article_id
+    left join vocab on vocab.category = d.category left join (select article_id, count(*) as n from topics group by article_id) nt on nt.article_id = e.article_id
+    left join dvecs av on av.article_id = e.article_id left join dvecs cv on cv.article_id = e.context_article_id
+    left join (select z.article_id as aid, z.context_article_id as cid, count(*) as n from
+      (select distinct article_id, context_article_id from eimp where context_article_id is not null) z join topics x on x.article_id = z.article_id
+      join topics y on y.article_id = z.context_article_id and y.topic = x.topic group by all) shared on shared.aid = e.article_id and shared.cid = e.context_article_id
+    join (select impression_id, session_position, session_start_gap_h from sess) s on s.impression_id = e.impression_id"""
+_RELATIVE_SQL = {out: _pct(c) for c, out in K.RANKED.items()} | {
+    "article_age_minus_imp_min": "article_age_h - min(article_age_h) over (partition by impression_id)",
+    "lt_embed_sim_minus_imp_max": "lt_embed_sim - max(lt_embed_sim) over (partition by impression_id)"}
+
+
+def _digits(c: str) -> int:
+    return 9 if c == "lt_sentiment_distance" else 6
+
+
+@query("k_feature_frame", "with plain as (select e.impression_id, e.position, " + ", ".join(f"({x})::DOUBLE as {c}" for c, x in _PLAIN_SQL.items()) + f" from {_PLAIN_FROM}), "
+       + "relative as (select *, " + ", ".join(f"{x} as {c}" for c, x in _RELATIVE_SQL.items()) + " from plain) select "
+       + f"{POS}, " + ", ".join(f"round({c}, {_digits(c)}) as {c}" for c in K.FEATURES) + " from relative")
+def _(v):
+    """All 65 features."""
+    return _out(frame(v), *[F.round(F.col(c).cast("double"), _digits(c)).alias(c) for c in K.FEATURES])
+
 
+@query("k9_scroll_optional", "select user_id, round(avg(read_time * 2e0), 6) as user_mean_scroll from ehist where article_id % 3 <> 0 group by user_id")
+def _(v):
+    """Scroll depth, which only some clicks have."""
+    hist = v.ehist.withColumn("scroll", F.when(F.col("article_id") % 3 != 0, F.col("read_time") * 2.0))
+    return K.user_profile(hist, v.docs).filter("user_mean_scroll is not null").select("user_id", r6("user_mean_scroll"))
 
-@query("k_feature_frame", f"select {POS}, " + ", ".join(f"round({c}::DOUBLE, {9 if c == 'lt_sentiment_distance' else 6}) as {c}" for c in _FRAME[:-1])
-       + """, round(ln(1e0 + coalesce(clicks, 0)), 6) as log_history_popularity, abs(sentiment_score - mean_sentiment) is not null as has_sentiment
-    from (select e.*, abs(d.sentiment_score - u.mean_sentiment) as lt_sentiment_distance, d.category, d.sentiment_score, u.mean_sentiment
-      from eimp e left join docs d on d.article_id = e.article_id left join usersent u on u.user_id = e.user_id)
-    join ltf using (user_id, article_id) join stf using (user_id, p, article_id) left join ltrank using (user_id, category)
-    left join (select user_id, p, n as user_clicks_last_24h from day_clicks) using (user_id, p) left join userprof using (user_id)
-    join (select impression_id, session_position, session_start_gap_h from sess) using (impression_id) left join hpop using (article_id)""")
+
+@query("k10_item_optional", f"""select {POS}, case article_id % 4 when 0 then 0 when 1 then 1 when 2 then 2 else -1 end as sentiment_label,
+    case when article_id % 5 = 0 then 0 when article_id % 5 = 1 then -1 else 1 end::BIGINT as article_type,
+    case when article_id % 6 = 0 then 0 else length(category || title) end::BIGINT as body_len, least(article_id % 300, 127)::BIGINT as n_entities
+    from eimp left join docs using (article_id)""")
+def _(v):
+    """Label, type (null and unseen ones too), body and entity count of the articles."""
+    d = F.col("article_id")
+    docs = v.docs.withColumns({
+        "sentiment_label": F.element_at(F.array(*[F.lit(x) for x in ("Negative", "Neutral", "Positive", "other")]), (d % 4 + 1).cast("int")),
+        "article_type": F.when(d % 5 == 0, F.lit(None).cast("string")).when(d % 5 == 1, "new").otherwise("b"),
+        "body": F.when(d % 6 != 0, F.concat("category", "title")), "n_entities": d % 300})
+    types = v.spark.createDataFrame([("__unknown__", 0), ("b", 1)], "value string, code long")
+    rows = K.item_features(v.eimp, docs, v.topics, v.vocab, PR.history_popularity(v.ehist), types)
+    return _out(rows, "sentiment_label", "article_type", "body_len", "n_entities")
+
+
+@query("k11_context_optional", f"""select {POS}, case when impression_id % 4 = 3 then -1 else impression_id % 4 end as device_type,
+    case when impression_id % 3 = 0 then 0 else impression_id % 2 end as is_sso_user, impression_id % 2 as is_subscriber,
+    case when impression_id % 5 > 0 then 20e0 + impression_id % 50 end as user_age, case when impression_id % 3 = 2 then -1e0 else (impression_id % 3)::DOUBLE end as gender,
+    case when impression_id % 7 > 0 then (impression_id % 90)::DOUBLE end as context_read_time, (impression_id % 101)::DOUBLE as context_scroll_percentage from eimp""")
 def _(v):
-    rows = frame(v)
-    return _out(rows, *[F.round(c, 9 if c == "lt_sentiment_distance" else 6).alias(c) for c in _FRAME], F.col("lt_sentiment_distance").isNotNull().alias("has_sentiment"))
+    """The request columns that an event may carry, with nulls among them."""
+    e = F.col("impression_id")
+    rows = v.eimp.withColumns({
+        "device_type": F.when(e % 4 != 3, e % 4), "is_sso_user": F.when(e % 3 != 0, e % 2 == 1), "is_subscriber": e % 2 == 1,
+        "age": F.when(e % 5 > 0, 20 + e % 50), "gender": F.when(e % 3 != 2, (e % 3).cast("double")),
+        "read_time": F.when(e % 7 > 0, (e % 90).cast("double")), "scroll_percentage": (e % 101).cast("double")})
+    return _out(K.context_features(rows), *K.CONTEXT[5:12])
 
 
 # --- fitted models ---------------------------------------------------------------------------

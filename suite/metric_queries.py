@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from presslens.operators import metrics as M, models as C, profiles as PR
 from presslens.plans import evaluate as EV
 from presslens.sources import readers as R, sinks as S
-from suite.registry import i64, query, r6
+from suite.registry import i64, query, r6, whole_query
 from suite.views import sql_weight
 
 IMP_SQL = "impression_id, user_id"
@@ -242,12 +242,12 @@ def _(v):
     return v.popularity.select("article_id", F.round("popularity", 9).alias("popularity"))
 
 
-@query("f7_popularity_score", "select impression_id, article_id, round(score, 9) as score from scored")
+@whole_query("f7_popularity_score", "select impression_id, article_id, round(score, 9) as score from scored")
 def _(v):
     return v.scored.select("impression_id", "article_id", F.round("score", 9).alias("score"))
 
 
-@query("c1_minmax_in_group", """select impression_id, article_id, round(case when hi - lo < 1e-12 then 0e0 else (score - lo) / (hi - lo) end, 6) as score_mm
+@whole_query("c1_minmax_in_group", """select impression_id, article_id, round(case when hi - lo < 1e-12 then 0e0 else (score - lo) / (hi - lo) end, 6) as score_mm
     from (select *, min(score) over (partition by impression_id) as lo, max(score) over (partition by impression_id) as hi from scored)""")
 def _(v):
     return C.minmax_in_group(v.scored, "score").select("impression_id", "article_id", r6("score_mm"))
@@ -279,17 +279,17 @@ def _(v):
     return C.fit_scaler(v.scored.withColumn("known", score), ["known"]).select(F.round("mean", 9).alias("mean"), F.round("scale", 9).alias("scale"))
 
 
-@query("c12_cohort", "select impression_id, article_id, cohort from imp join cohorts using (user_id)")
+@whole_query("c12_cohort", "select impression_id, article_id, cohort from imp join cohorts using (user_id)")
 def _(v):
     return C.cohort(v.imp, v.hist).select("impression_id", "article_id", "cohort")
 
 
-@query("c14_random_score", f"select impression_id, article_id, round({_RAND}, 9) as score from imp")
+@whole_query("c14_random_score", f"select impression_id, article_id, round({_RAND}, 9) as score from imp")
 def _(v):
     return C.random_score(v.imp).select("impression_id", "article_id", F.round("score", 9).alias("score"))
 
 
-@query("k16_labels", "select impression_id, article_id, clicked::BIGINT as clicked from imp")
+@whole_query("k16_labels", "select impression_id, article_id, clicked::BIGINT as clicked from imp")
 def _(v):
     from presslens.operators.features import labels
     return labels(v.imp.drop("clicked"), v.imp.filter("clicked = 1")).select("impression_id", "article_id", "clicked")
@@ -308,7 +308,7 @@ _NEG = """with neg as (select impression_id, article_id as negative, row_number(
       from pos) join neg using (impression_id, i)"""
 
 
-@query("n3_negative_samples", _NEG)
+@whole_query("n3_negative_samples", _NEG)
 def _(v):
     from presslens.operators.training import negative_samples
     return negative_samples(v.imp, 4).select("impression_id", "user_id", i64("position"), "positive", i64("draw"), "negative")

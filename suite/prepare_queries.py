@@ -8,7 +8,7 @@ from presslens.functions.expr import epoch_seconds, prefix_id
 from presslens.functions.grouping import scratch_folder
 from presslens.operators import audit as V, prepare as P, profiles as PR, sampling as L
 from presslens.sources import readers as R, sinks as S
-from suite.registry import i64, long_vec, query, r6
+from suite.registry import i64, long_vec, query, r6, whole_query
 
 CAND_SQL = "impression_id::BIGINT as impression_id, user_id::BIGINT as user_id, article_id::BIGINT as article_id"
 
@@ -76,20 +76,20 @@ def _(v):
     return out
 
 
-@query("s8_prediction_lines", """select impression_id::VARCHAR as impression_id,
+@whole_query("s8_prediction_lines", """select impression_id::VARCHAR as impression_id,
     impression_id::VARCHAR || ' [' || string_agg(rank::VARCHAR, ',' order by position) || ']' as line from ranked group by impression_id""")
 def _(v):
     from presslens.operators.metrics import rank_candidates
     return S.prediction_lines(rank_candidates(v.scored, counted=v.imp)).select(F.col("impression_id").cast("string").alias("impression_id"), "line")
 
 
-@query("s9_truth_lines", """select impression_id::VARCHAR as impression_id,
+@whole_query("s9_truth_lines", """select impression_id::VARCHAR as impression_id,
     impression_id::VARCHAR || ' [' || string_agg(clicked::VARCHAR, ',' order by position) || ']' as line from imp group by impression_id""")
 def _(v):
     return S.truth_lines(v.imp).select(F.col("impression_id").cast("string").alias("impression_id"), "line")
 
 
-@query("s10_read_predictions", """select impression_id::VARCHAR as impression_id, position::BIGINT as position,
+@whole_query("s10_read_predictions", """select impression_id::VARCHAR as impression_id, position::BIGINT as position,
     clicked::BIGINT as label, rank::BIGINT as rank from ranked""")
 def _(v):
     from presslens.operators.metrics import rank_candidates
@@ -107,7 +107,7 @@ def _(v):
     return long_vec(R.read_vectors(v.spark, path), "id")
 
 
-@query("s7_write_store", """select impression_id::VARCHAR as impression_id, user_id::VARCHAR as user_id, article_id::VARCHAR as article_id,
+@whole_query("s7_write_store", """select impression_id::VARCHAR as impression_id, user_id::VARCHAR as user_id, article_id::VARCHAR as article_id,
     clicked::BIGINT as clicked, 'eval' as split from imp""")
 def _(v):
     text = [F.col(c).cast("string").alias(c) for c in ("impression_id", "user_id", "article_id")]
@@ -119,7 +119,7 @@ def _(v):
     return stored.select("impression_id", "user_id", "article_id", i64(F.col("clicked").cast("int"), "clicked"), "split")
 
 
-@query("w1_stream_predictions", """select impression_id, impression_id::VARCHAR || ' [' || string_agg(rank::VARCHAR, ',' order by position) || ']' as line
+@whole_query("w1_stream_predictions", """select impression_id, impression_id::VARCHAR || ' [' || string_agg(rank::VARCHAR, ',' order by position) || ']' as line
     from ranked group by impression_id""")
 def _(v):
     """All orders arrive as files and are scored by a stream that stops when none is left."""
@@ -134,7 +134,7 @@ def _(v):
     return read_stream_predictions(v.spark, f"{base}/out").select("impression_id", "line")
 
 
-@query("w1_stream_restarted", """select impression_id, impression_id::VARCHAR || ' [' || string_agg(rank::VARCHAR, ',' order by position) || ']' as line
+@whole_query("w1_stream_restarted", """select impression_id, impression_id::VARCHAR || ' [' || string_agg(rank::VARCHAR, ',' order by position) || ']' as line
     from ranked group by impression_id""")
 def _(v):
     """The checkpoint is lost between two runs and one more file arrives: still one line for each order."""
@@ -153,7 +153,7 @@ def _(v):
 
 # --- preparation -------------------------------------------------------------------------
 
-@query("p1_prefix_id", """select 'shop:eval:' || impression_id as impression_id, 'shop:' || user_id as user_id,
+@whole_query("p1_prefix_id", """select 'shop:eval:' || impression_id as impression_id, 'shop:' || user_id as user_id,
     'shop:' || article_id as article_id from imp""")
 def _(v):
     return v.imp.select(prefix_id("shop", "impression_id", "eval").alias("impression_id"),
@@ -193,18 +193,18 @@ def _(v):
                                                i64(F.coalesce(F.size("topics"), F.lit(0)), "n_topics"))
 
 
-@query("p4_explode_impressions", f"select {CAND_SQL}, position::BIGINT as position, clicked::BIGINT as clicked from imp")
+@whole_query("p4_explode_impressions", f"select {CAND_SQL}, position::BIGINT as position, clicked::BIGINT as clicked from imp")
 def _(v):
     return _cand(P.explode_impressions(v.rawbeh), i64("position"), i64(F.col("clicked").cast("int"), "clicked"))
 
 
-@query("p4_explode_unlabelled", f"select {CAND_SQL}, position::BIGINT as position from imp")
+@whole_query("p4_explode_unlabelled", f"select {CAND_SQL}, position::BIGINT as position from imp")
 def _(v):
     bare = v.rawbeh.withColumn("impressions", F.regexp_replace("impressions", "-[01]", ""))
     return _cand(P.explode_impressions(bare, labelled=False), i64("position"))
 
 
-@query("p5_explode_inview", f"""select {CAND_SQL}, position::BIGINT as position, clicked::BIGINT as clicked,
+@whole_query("p5_explode_inview", f"""select {CAND_SQL}, position::BIGINT as position, clicked::BIGINT as clicked,
     (impression_id % 3 <> 0)::BIGINT as is_front_page from imp""")
 def _(v):
     packed = v.imp.groupBy("impression_id", "user_id").agg(
@@ -234,7 +234,7 @@ def _(v):
                          F.coalesce(F.get("ids", F.size("ids") - 1), F.lit("")).alias("last_id"))
 
 
-@query("p7_static_history", f"""select user_id, coalesce(history, '') as history, 1::BIGINT as n_variants
+@whole_query("p7_static_history", f"""select user_id, coalesce(history, '') as history, 1::BIGINT as n_variants
     from (select distinct user_id from imp) join ({_HISTORY_TEXT}) using (user_id)""")
 def _(v):
     beh = v.rawbeh.join(_history_text(v), "user_id")
@@ -312,7 +312,7 @@ def _(v):
 
 # --- audits ------------------------------------------------------------------------------
 
-@query("v1_table_violations", """select field, rule, n_rows from (
+@whole_query("v1_table_violations", """select field, rule, n_rows from (
     select 'article_id' as field, 'null in mandatory field' as rule, count(*) filter (where position = 0) as n_rows from imp
     union all select 'user_id', 'null in mandatory field', count(*) filter (where clicked = 1) from imp
     union all select 'session_id', 'only ebnerd may fill this field', count(*) filter (where position > 2) from imp
@@ -349,14 +349,14 @@ def _(v):
     return V.referential_integrity(v.train_imp.filter("clicked = 1"), imp=v.imp, hist=v.hist)
 
 
-@query("v4_row_conservation", "select count(*) as expected_rows, count(*) as n_rows, 1::BIGINT as conserved from imp")
+@whole_query("v4_row_conservation", "select count(*) as expected_rows, count(*) as n_rows, 1::BIGINT as conserved from imp")
 def _(v):
     packed = v.rawbeh.withColumn("tokens", F.split("impressions", " "))
     rows = V.row_conservation(packed, "tokens", P.explode_impressions(v.rawbeh))
     return rows.select("expected_rows", "n_rows", i64(F.col("conserved").cast("int"), "conserved"))
 
 
-@query("v4_population_counts", """select 'impressions' as name, count(distinct impression_id) as n from imp union all
+@whole_query("v4_population_counts", """select 'impressions' as name, count(distinct impression_id) as n from imp union all
     select 'users', count(distinct user_id) from imp union all select 'candidate_rows', count(*) from imp""")
 def _(v):
     return V.population_counts(v.imp)
@@ -397,17 +397,17 @@ _SYSTEMATIC = """select {key} from (select {key}, row_number() over (order by {k
     + {offset} from (select unnest(range(0, {n})) as j))"""
 
 
-@query("l1_sample_impressions", f"select {CAND_SQL} from imp where impression_id in ({_SYSTEMATIC.format(key='impression_id', n=300, offset='7 % floor((select count(distinct impression_id) from imp) / 300e0)::BIGINT')})")
+@whole_query("l1_sample_impressions", f"select {CAND_SQL} from imp where impression_id in ({_SYSTEMATIC.format(key='impression_id', n=300, offset='7 % floor((select count(distinct impression_id) from imp) / 300e0)::BIGINT')})")
 def _(v):
     return _cand(L.sample_impressions(v.imp, 300, seed=7))
 
 
-@query("l2_sample_users", f"select {CAND_SQL} from imp where user_id in ({_SYSTEMATIC.format(key='user_id', n=90, offset='3 % floor((select count(distinct user_id) from imp) / 90e0)::BIGINT')})")
+@whole_query("l2_sample_users", f"select {CAND_SQL} from imp where user_id in ({_SYSTEMATIC.format(key='user_id', n=90, offset='3 % floor((select count(distinct user_id) from imp) / 90e0)::BIGINT')})")
 def _(v):
     return _cand(L.sample_users(v.imp, 90, seed=3))
 
 
-@query("l2_sample_fidelity", f"""with kept as (select * from imp where user_id in ({_SYSTEMATIC.format(key='user_id', n=90, offset='3 % floor((select count(distinct user_id) from imp) / 90e0)::BIGINT')}))
+@whole_query("l2_sample_fidelity", f"""with kept as (select * from imp where user_id in ({_SYSTEMATIC.format(key='user_id', n=90, offset='3 % floor((select count(distinct user_id) from imp) / 90e0)::BIGINT')}))
     select 'sample' as source, count(distinct user_id) as n_users, count(distinct impression_id) as n_impressions,
     round(count(distinct impression_id) * 1e0 / count(distinct user_id), 6) as impressions_per_user from kept
     union all select 'population', count(distinct user_id), count(distinct impression_id),
@@ -417,7 +417,7 @@ def _(v):
     return rows.select("source", "n_users", "n_impressions", r6("impressions_per_user"))
 
 
-@query("l3_subsample_impressions", f"""select {CAND_SQL} from imp where impression_id in (select impression_id from
+@whole_query("l3_subsample_impressions", f"""select {CAND_SQL} from imp where impression_id in (select impression_id from
     (select distinct impression_id from imp) order by sha256(concat_ws(':', '5', impression_id::VARCHAR)), impression_id limit 250)""")
 def _(v):
     return _cand(L.subsample_impressions(v.imp, 250, seed=5))
@@ -426,7 +426,7 @@ def _(v):
 _DRAW = "('0x' || substr(md5(concat_ws(':', '11', user_id::VARCHAR)), 1, 8))::BIGINT / 4294967296e0"
 
 
-@query("l4_user_holdout", f"""select {CAND_SQL}, case when {_DRAW} < 0.2 or user_id = (select user_id from imp order by {_DRAW}, user_id limit 1)
+@whole_query("l4_user_holdout", f"""select {CAND_SQL}, case when {_DRAW} < 0.2 or user_id = (select user_id from imp order by {_DRAW}, user_id limit 1)
     then 'holdout' else 'fit' end as part from imp""")
 def _(v):
     return _cand(L.user_holdout(v.imp, 0.2, seed=11), "part")

@@ -11,18 +11,24 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, whole: bool = False):
+    """``whole``: the impressions are all orders, not only those of the evaluation window."""
     def register(fn):
         def run(spark, sf_dir) -> DataFrame:
-            return fn(Views(prepare_session(spark), sf_dir))
+            return fn(Views(prepare_session(spark), sf_dir, whole))
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = with_views(sql, whole)
         return fn
     return register
 
 
+def whole_query(name: str, sql: str | None = None):
+    """For work row by row or list by list, which needs no evaluation window."""
+    return query(name, sql, whole=True)
+
+
 def r6(c, name: str | None = None) -> Column:
     col = F.col(c) if isinstance(c, str) else c
     return F.round(col.cast("double"), 6).alias(name or c)

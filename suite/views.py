@@ -12,13 +12,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from presslens.functions.expr import doubles
-from presslens.functions.grouping import checkpointed
+from presslens.functions.grouping import checkpointed, row_numbers
 from presslens.operators import prepare as P, profiles as PR, text as T
 
 
 class Views:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
+        self.spark, self.sf_dir, self.whole = spark, sf_dir, whole
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -49,8 +49,8 @@ class Views:
     @cached_property
     def imp(self):
         order = W.partitionBy("impression_id").orderBy("ln", "article_id")
-        late = self.lines.filter(F.col("impression_time") >= F.lit("2000-01-01").cast("timestamp_ntz"))
-        return late.select("impression_id", "user_id", "impression_time", "article_id", "clicked",
+        rows = self.lines if self.whole else self.lines.filter(F.col("impression_time") >= F.lit("2000-01-01").cast("timestamp_ntz"))
+        return rows.select("impression_id", "user_id", "impression_time", "article_id", "clicked",
                            (F.row_number().over(order) - 1).alias("position"))
 
     @cached_property
@@ -61,10 +61,10 @@ class Views:
 
     @cached_property
     def hist(self):
-        order = W.partitionBy("user_id").orderBy("impression_time", "impression_id", "ln", "article_id")
         old = self.lines.filter((F.col("impression_time") < F.lit("2000-01-01").cast("timestamp_ntz")) & (F.col("clicked") == 1))
-        return old.select("user_id", "article_id", F.col("impression_time").alias("click_time"), "read_time",
-                          (F.row_number().over(order) - 1).alias("pos"))
+        order = [F.col(c) for c in ("impression_time", "impression_id", "ln", "article_id")]
+        return row_numbers(old, ["user_id"], order, "pos").select(
+            "user_id", "article_id", F.col("impression_time").alias("click_time"), "read_time", (F.col("pos") - 1).alias("pos"))
 
     @cached_property
     def rawbeh(self):
@@ -130,10 +130,10 @@ class Views:
     @cached_property
     def ehist(self):
         nd = self.n_docs
-        order = W.partitionBy("user_id").orderBy("ts", "event_id")
-        return self.table("events").filter(F.col("event_type").isin("view", "click")).select(
+        rows = self.table("events").filter(F.col("event_type").isin("view", "click")).select("user_id", "event_id", "ts", "value")
+        return row_numbers(rows, ["user_id"], [F.col("ts"), F.col("event_id")], "pos").select(
             "user_id", (F.col("event_id") % nd).alias("article_id"), F.col("ts").alias("click_time"),
-            F.col("value").alias("read_time"), (F.row_number().over(order) - 1).alias("pos"))
+            F.col("value").alias("read_time"), (F.col("pos") - 1).alias("pos"))
 
     @cached_property
     def eimp(self):
@@ -383,21 +383,22 @@ SQL_VIEWS = {
 }
 
 
-def with_views(sql: str) -> str:
+def with_views(sql: str, whole: bool = False) -> str:
     """Put the views a statement needs in front of it, in order of dependency."""
     needed: list[str] = []
+    texts = SQL_VIEWS | ({"imp": SQL_VIEWS["imp"].split(" where ")[0]} if whole else {})
 
     def visit(text: str, seen: tuple[str, ...]) -> None:
         for name in SQL_VIEWS:
             if name not in seen and re.search(rf"\b{name}\b", text) and name not in needed:
-                visit(SQL_VIEWS[name], (*seen, name))
+                visit(texts[name], (*seen, name))
                 if name not in needed:
                     needed.append(name)
 
     visit(sql, ())
     if not needed:
         return sql
-    head = "with " + ",\n".join(f"{n} as ({SQL_VIEWS[n]})" for n in needed)
+    head = "with " + ",\n".join(f"{n} as ({texts[n]})" for n in needed)
     if sql.lstrip().startswith("with "):
         return head + ",\n" + sql.lstrip()[5:]
     return head + "\n" + sql
