@@ -40,6 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from presslens.llm.common import file_system, new_folder, read_flat, row_slices, stored, text_or_empty
@@ -73,7 +74,7 @@ class _Numbers(dict):
         return number
 
 
-_BLOCK = "block long, taught long, ids binary, no_id binary, learn binary, lengths binary, tokens binary, words binary, counts binary"
+_BLOCK = "block long, taught long, size long, ids binary, no_id binary, learn binary, lengths binary, tokens binary, words binary, counts binary"
 
 
 def _blocks(block_tokens: int):
@@ -96,9 +97,9 @@ def _blocks(block_tokens: int):
             flat = rank[flat]
             size, taught = np.array(lengths, np.int64), np.array(learn, bool)
             counts = np.bincount(flat[np.repeat(taught, size)], minlength=len(order))
-            row = {"block": (part << 24) | number, "taught": int(taught.sum()), "ids": np.array([0 if i is None else i for i in ids], "<i8").tobytes(), "no_id": np.array([i is None for i in ids]).tobytes(),
-                   "learn": taught.tobytes(), "lengths": size.tobytes(), "tokens": flat.tobytes(), "words": hashes[order].tobytes(), "counts": counts.astype(np.int64).tobytes()}
-            return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64() if k in ("block", "taught") else pa.binary()) for k, v in row.items()})
+            row = {"block": (part << 24) | number, "taught": int(taught.sum()), "size": len(flat), "ids": np.array([0 if i is None else i for i in ids], "<i8").tobytes(), "no_id": np.array([i is None for i in ids]).tobytes(),
+                   "learn": taught.tobytes(), "lengths": size.tobytes(), "tokens": zstandard.ZstdCompressor(level=3).compress(flat.tobytes()), "words": hashes[order].tobytes(), "counts": counts.astype(np.int64).tobytes()}
+            return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64() if k in ("block", "taught", "size") else pa.binary()) for k, v in row.items()})
 
         state = fresh()
         for batch in row_slices(batches):
@@ -126,6 +127,10 @@ def _array(value: bytes, kind="<i8") -> np.ndarray:
     return np.frombuffer(value, kind)
 
 
+def _tokens(packed: bytes) -> np.ndarray:
+    return _array(zstandard.ZstdDecompressor().decompress(packed), "<u4")
+
+
 def _word_counts(ranges: int):
     """Each block's words and their training counts, a row for each range of hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,12 +186,25 @@ def _hot_words(least: float):
     return run
 
 
+def _context_counts(splits: int, hot: np.ndarray):
+    """The counts of a range's words for each of its shards: those whose pairs it may have."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, counts = _array(words, "<u8"), _array(counts)
+                part, split = (words % _U(splits)).astype(np.int64), np.isin(words, hot)
+                for k in range(splits):
+                    own = split | (part == k)
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard * splits + k], pa.int64()), "words": [words[own].tobytes()], "counts": [counts[own].tobytes()]})
+    return run
+
+
 def _pair_counts(ranges: int, splits: int, hot: np.ndarray):
     """Each block's pairs and their training counts, a row for each shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                tokens, lengths, words = _array(row["tokens"], "<u4"), _array(row["lengths"]), _array(row["words"], "<u8")
+                tokens, lengths, words = _tokens(row["tokens"]), _array(row["lengths"]), _array(row["words"], "<u8")
                 taught = np.repeat(_array(row["learn"], bool), lengths)
                 pairs, _ = _pairs(tokens, lengths, words)
                 keys, counts = np.unique(pairs, return_counts=True)
@@ -301,7 +319,7 @@ def _answer_pairs(folder: str, mu: float, keep: bool):
 def _scores(ranges: int, splits: int, hot: np.ndarray, n: int, v: int, taught_docs: int, mu: float):
     def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row = blocks.iloc[0]
-        tokens, lengths, hashes = _array(row["tokens"], "<u4"), _array(row["lengths"]), _array(row["words"], "<u8")
+        tokens, lengths, hashes = _tokens(row["tokens"]), _array(row["lengths"]), _array(row["words"], "<u8")
         own = answers[answers["kind"] == 0].sort_values("shard")
         counts = np.concatenate([_array(x) for x in own["answer"]])
         keys, inverse = np.unique(_pairs(tokens, lengths, hashes)[0], return_inverse=True)
@@ -324,7 +342,7 @@ def _scores(ranges: int, splits: int, hot: np.ndarray, n: int, v: int, taught_do
 
 
 def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", mu: float = MU, block_tokens: int = 2_000_000,
-                    shard_tokens: int = 1_500_000, splits: int = 4, folder: str | None = None) -> DataFrame:
+                    shard_tokens: int = 1_000_000, splits: int = 4, folder: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     The model is counted over the rows where ``learn`` is true. Its trie files stay in
@@ -333,7 +351,7 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     keep, folder = folder is not None, folder or new_folder(docs.sparkSession, "trie")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     blocks = stored(rows.mapInArrow(_blocks(block_tokens), _BLOCK), "blocks", "zstd")
-    tokens, taught_docs = blocks.agg(F.sum(F.octet_length("tokens") / 4), F.sum("taught")).first()
+    tokens, taught_docs = blocks.agg(F.sum("size"), F.sum("taught")).first()
     if tokens is None:
         return rows.select("doc_id", F.lit(False).alias("held_out"), *[F.lit(0).cast(t).alias(c) for c, t in (
             ("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"))])
@@ -349,12 +367,12 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     start = words.sparkSession.createDataFrame([(int(_ranges(np.array([_START], _U), ranges)[0]), np.array([_START], "<u8").tobytes(), np.array([taught_docs], "<i8").tobytes())],
                                                "shard long, words binary, counts binary")
     known = words.filter("block = -1").select("shard", "words", "counts").unionByName(start)
-    known = known.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).select((F.col("shard") * splits + F.col("split")).alias("shard"), "words", "counts")
+    known = known.mapInArrow(_context_counts(splits, hot), "shard long, words binary, counts binary")
     asked = blocks.select("block", "learn", "lengths", "tokens", "words").mapInArrow(
         _pair_counts(ranges, splits, hot), "shard long, block long, contexts binary, sizes binary, followers binary, counts binary")
     pairs = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(_answer_pairs(folder, mu, keep), "block long, shard long, shares binary")
     answers = words.filter("block >= 0").select("block", F.lit(0).alias("kind"), "shard", F.col("counts").alias("answer")).unionByName(
         pairs.select("block", F.lit(1).alias("kind"), "shard", F.col("shares").alias("answer")))
-    return blocks.drop("counts", "taught").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+    return blocks.drop("counts", "taught", "size").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         _scores(ranges, splits, hot, int(n), int(v), int(taught_docs), mu),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

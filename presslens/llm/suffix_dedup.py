@@ -203,6 +203,7 @@ def repeated_parts(table: DataFrame, ids: DataFrame, length: int, block_rows: in
     whole = kept.join(contexts.filter("many > 1").select("anchor", "context"), ["anchor", "context"]).select(
         "row", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("finish"))
     several = contexts.groupBy("anchor").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    several = stored(several, "several")  # so that a hot anchor can be split in the join
     asked = stored(contexts.join(several, "anchor").join(ids, "row"), "asked")
     texts = texts_of(table, asked).join(asked, ["doc_id_key", "text_hash"])
     cut = texts.select("anchor", F.pmod(F.xxhash64("row", "start"), F.col("blocks")).alias("block"), "blocks", "row", "start", "back", "many",
