@@ -285,7 +285,7 @@ def _running_vectors(span: int, rate: float, chunk: int = 20_000):
         seen = (sums[asked] - sums[low]) * np.exp(-rate * t[asked])[:, None]
         some = np.cumsum(np.append(0, click))
         any_ = some[asked] > some[low]  # no click in the window: no row
-        out = pa.ListArray.from_arrays(pa.array(np.arange(0, (int(any_.sum()) + 1) * dim, dim or 1)[:int(any_.sum()) + 1], pa.int32()), pa.array(seen[any_].ravel()))
+        out = pa.ListArray.from_arrays(pa.array(np.arange(int(any_.sum()) + 1) * dim, pa.int32()), pa.array(seen[any_].ravel()))
         rows = table.take(pa.array(asked[any_]))
         yield pa.RecordBatch.from_arrays([rows.column(0).combine_chunks(), rows.column("_t").combine_chunks(), out], [table.column_names[0], "p", "vec"])
 
