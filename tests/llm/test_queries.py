@@ -38,7 +38,7 @@ def test_query_over_the_whole_table(spark, name):
         assert len(rows) == len(ids)
     if name in queries.ORACLES:
         con = duckdb.connect()
-        con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
         want = con.execute(queries.ORACLES[name])
         names = [d[0] for d in want.description]
         order = sorted(range(len(names)), key=lambda i: names[i])
