@@ -1,8 +1,9 @@
 """Toxicity scores from a counterfactually regularised linear classifier.
 
 Features of a document: its distinct words (lower case, outer punctuation off) and their
-first four, five and six letters, present or not. The features used are those whose share
-among toxic and other documents differs most clearly. The weights minimise
+first four, five and six letters, present or not. The features used are those whose odds
+among toxic and other documents differ most clearly, by 2.5 standard errors at least. The
+weights minimise
 
     mean logistic loss + l2 |w|^2 + counterfactual * mean (score(s) - score(s'))^2
 
@@ -199,7 +200,7 @@ class ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = MAX_LABELS,
-        max_features: int = MAX_FEATURES, least_documents: int = 5, l2: float = 1e-4, counterfactual: float = 1.0, steps: int = 30) -> ToxicityModel:
+        max_features: int = MAX_FEATURES, least_documents: int = 3, least_clear: float = 2.5, l2: float = 1e-4, counterfactual: float = 1.0, steps: int = 30) -> ToxicityModel:
     """Learn from the labelled documents, without those held out."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("label_id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
@@ -214,7 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     odds = F.log((F.col("t") + 0.5) / (kinds[1] - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (kinds[0] - F.col("c") + 0.5))
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     identity = F.col("feature").isin(*_SWAP).cast("int")
-    best = counts.filter(F.col("c") + F.col("t") >= least_documents).orderBy(identity.desc(), (F.abs(odds) / error).desc(), "feature").limit(max_features)
+    clear = (F.col("c") + F.col("t") >= least_documents) & ((identity == 1) | (F.abs(odds) / error >= least_clear))
+    best = counts.filter(clear).orderBy(identity.desc(), (F.abs(odds) / error).desc(), "feature").limit(max_features)
     names = [r[0] for r in best.select("feature").collect()]
     features = stored(texts.mapInArrow(_sparse(names), "toxic int, has array<int>, gains array<int>, loses array<int>"), "features")
     size = len(names) + 1
