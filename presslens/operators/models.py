@@ -12,7 +12,7 @@ from presslens.operators import features as feat, profiles, text, vectors
 
 MINUS_INF = float("-inf")
 COLD_BELOW = 5
-# fixed values: feature order of the linear combiner
+# feature order of the linear combiner
 COMBINER = ["bm25", "cosine", "recency_cosine", "category_match", "subcategory_match", "log_entity_overlap",
             "log_popularity"]
 

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from presslens.functions.blocks import block_pairs
-from presslens.functions.expr import dot, doubles, hash32, norm, unit
+from presslens.functions.expr import dot, doubles, hash32, unit
 from presslens.functions.grouping import row_numbers, top_k
 from presslens.functions.vectors import dimension, sum_vector
 from presslens.operators.text import article_text, best_first, block_top, tokenize
