@@ -1,6 +1,7 @@
 """BM25, vectors, histories and features against brute force and the rules for missing data."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -124,6 +125,31 @@ def test_knn_blocks(spark, vecs):
     assert 0 < E.ann_audit(exact, E.ivf_knn(queries, centroids, members, 1, 5), 5).first().mean_recall <= 1
 
 
+def test_cell_search_probes_what_its_recall_needs(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (x / np.linalg.norm(x)).tolist()) for i, x in enumerate(rng.normal(size=(400, 24)))]
+    table = spark.createDataFrame(rows, "article_id long, vec array<double>").cache()
+    queries = table.select(F.col("article_id").alias("query_id"), "vec")
+    centroids, members = E.ivf_build(table, E.ivf_lists(400))
+    assert centroids.count() == 16 and [E.ivf_lists(n) for n in (1, 100, 10**6, 10**8)] == [1, 10, 244, 10000]
+    exact, wanted = E.knn(queries, table, 10), {}
+    for least in (0.5, 0.9):
+        wanted[least] = probes = E.ivf_probes(queries, centroids, members, 10, least)
+        recall = lambda n: E.ann_audit(exact, E.ivf_knn(queries, centroids, members, n, 10), 10).first().mean_recall
+        assert recall(probes) >= least > recall(probes - 1)
+    assert 1 < wanted[0.5] < wanted[0.9] < 16
+    assert E.ivf_probes(queries, centroids, members, 10, 0.9, sample=100) >= wanted[0.9] - 1
+    assert E.ivf_probes(queries, centroids, members, 10, 1.1) == 16
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables not present")
+def test_registered_cell_search_has_recall(spark):
+    import __spark_entry__ as entry
+    found = entry.queries()["e10_ivf_knn"](spark, "/root/testdata/sf0.01").filter("query_id % 20 = 0")
+    exact = entry.queries()["e8_knn"](spark, "/root/testdata/sf0.01").filter("query_id % 20 = 0")
+    assert E.ann_audit(exact, found, 10).first().mean_recall >= 0.9
+
+
 @pytest.mark.parametrize("rows", [(4096, 8192), (2, 3)])
 def test_attention(spark, vecs, rows):
     m, rng = matrix(vecs), np.random.default_rng(2)
