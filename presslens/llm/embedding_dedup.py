@@ -6,6 +6,8 @@ within ``spill`` of the median goes to both sides. Thresholds come from a sample
 size; the index holds every vector. A node above ``leaf`` rows is split again, from a sample
 of its own, in the next round. A node whose sample is mostly linked (a group of copies) is
 not cut at all, however large; its rows meet in pairs of blocks, so no task holds a group.
+Whether the whole table is such a node is decided once for each vector length: then it is one
+node and every pair is compared, else every tree cuts its root.
 
 Inside a leaf every pair is compared in double precision. A pair that meets in several leaves
 counts in the first one only: each vector carries the numbers of its leaves. Leaves return
@@ -53,8 +55,11 @@ def _unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _fit(depth_of: dict[int, int], spill: float, least: float):
-    """Thresholds of a subtree for each node, from its sample: (low, high) of every split in level order."""
+def _fit(depth_of: dict[int, int], spill: float, least: float, roots: frozenset[int]):
+    """Thresholds of a subtree for each node, from its sample: (low, high) of every split in level order.
+
+    ``roots`` are cut at their first level however dense they are.
+    """
     def run(sample: pd.DataFrame) -> pd.DataFrame:
         node = int(sample["node"].iloc[0])
         x = _unit(sample["vec"])
@@ -62,14 +67,16 @@ def _fit(depth_of: dict[int, int], spill: float, least: float):
         at = x @ _directions(node, depth, x.shape[1])
         low, high = np.full(1 << depth, np.inf), np.full(1 << depth, np.inf)
         dense_root = False
+        must_cut = node in roots
         members = {1: np.arange(len(x))}
         for level in range(depth):
             for number in range(1 << level, 2 << level):
                 own = members.pop(number, np.zeros(0, int))
                 few = own[:128]
                 linked = float((x[few] @ x[few].T >= least).mean()) - 1 / max(1, len(few)) if len(few) > 1 else 0.0
-                if linked >= _DENSE or len(own) < 4:
-                    dense_root |= number == 1 and linked >= _DENSE
+                dense = linked >= _DENSE and not (must_cut and number == 1)
+                if dense or len(own) < 4:
+                    dense_root |= number == 1 and dense
                     members[2 * number] = own  # stays together: everything is below an infinite threshold
                     continue
                 p = at[own, level]
@@ -79,6 +86,14 @@ def _fit(depth_of: dict[int, int], spill: float, least: float):
     return run
 
 
+def _dense_share(least: float):
+    """Share of linked pairs in a sample, as ``_fit`` has it."""
+    def run(sample: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(sample["vec"])
+        return pd.DataFrame({"linked": [float((x @ x.T >= least).mean()) - 1 / len(x) if len(x) > 1 else 0.0]})
+    return run
+
+
 def _route(trees: dict[int, tuple]):
     """Rows (row, node, vec) to the leaves of the subtree of their node, several where they overlap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +168,7 @@ def forest(vectors: DataFrame, trees: int, leaf: int, spill: float, least: float
 
     roots = {r[0]: r[1] for r in vectors.groupBy("size").count().collect()}  # one row a vector length
     placed = []
+    uncut: list[int] = []
     for size, count in roots.items():
         own = vectors.filter(F.col("size") == size).select("row", "vec")
         names = [_number(seed, size, t) for t in range(trees)]
@@ -162,11 +178,16 @@ def forest(vectors: DataFrame, trees: int, leaf: int, spill: float, least: float
             continue
         depths = dict.fromkeys(names, deep(count))
         share = min(1.0, sample_a_leaf * (1 << deep(count)) / count)
-        sample = stored(own.filter(unit_hash(F.lit(seed), "row") < share).select("row", "vec"), "sample").select("vec", everywhere)
-        fitted = _thresholds(sample, depths, spill, least)
-        if not fitted:
+        sampled = stored(own.filter(unit_hash(F.lit(seed), "row") < share).select("row", "vec"), "sample")
+        sample = sampled.select("vec", everywhere)
+        # one decision for all trees, so that none is dropped: at most 1024 rows with the smallest hash
+        first = sampled.orderBy(unit_hash(F.lit(seed + 1), "row"), "row").limit(1024).select("vec", F.lit(0).alias("one"))
+        share = first.groupBy("one").applyInPandas(_dense_share(least), "linked double").first()
+        if share is None or share.linked >= _DENSE:  # one node, compared whole in blocks
             placed.append(own.select("row", F.lit(names[0]).alias("node")))
+            uncut.append(names[0])
             continue
+        fitted = _thresholds(sample, depths, spill, least, frozenset(names))
         placed.append(own.select("row", everywhere, "vec").select("row", "node", "vec").filter(F.col("node").isin(list(fitted))).mapInArrow(_route(fitted), "row long, node long"))
     if not placed:
         return vectors.select("row", F.lit(0).cast("long").alias("node"))
@@ -174,7 +195,6 @@ def forest(vectors: DataFrame, trees: int, leaf: int, spill: float, least: float
     for more in placed[1:]:
         members = members.unionByName(more)
     members = stored(members, "leaves")
-    uncut: list[int] = []
     while True:
         large = members.groupBy("node").count().filter(F.col("count") > leaf)
         if uncut:
@@ -195,8 +215,8 @@ def forest(vectors: DataFrame, trees: int, leaf: int, spill: float, least: float
         members = stored(members.join(cut, "node", "left_anti").unionByName(moved), "leaves")
 
 
-def _thresholds(sample: DataFrame, depths: dict[int, int], spill: float, least: float) -> dict[int, tuple]:
-    fitted = sample.groupBy("node").applyInPandas(_fit(depths, spill, least), "node long, depth int, dense boolean, low array<double>, high array<double>")
+def _thresholds(sample: DataFrame, depths: dict[int, int], spill: float, least: float, roots: frozenset[int] = frozenset()) -> dict[int, tuple]:
+    fitted = sample.groupBy("node").applyInPandas(_fit(depths, spill, least, roots), "node long, depth int, dense boolean, low array<double>, high array<double>")
     return {r.node: (r.depth, np.array(r.low), np.array(r.high)) for r in fitted.collect() if not r.dense}
 
 

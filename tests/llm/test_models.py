@@ -181,6 +181,20 @@ def test_near_vectors_equal_brute_force(spark, leaf):
     assert all(got[i].kept == (got[i].component_id == i) for i in got)
 
 
+@pytest.mark.parametrize("copies", [0.46, 0.54])
+def test_no_tree_is_dropped_beside_many_copies(spark, copies):
+    """A vector is in every tree or, if the table is mostly copies, in one node with all others."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2400, 16))
+    n = int(copies * len(x))
+    x[:n] = x[0] + 0.02 * rng.normal(size=(n, 16))
+    rows = [(i, v.astype("<f8").tobytes()) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "row long, vec binary").repartition(4).selectExpr("row", "16 as size", "vec")
+    members = embedding_dedup.forest(table, 8, 512, 0.0, 0.9).toPandas()
+    times = members.groupby("row").size()
+    assert len(times) == len(x) and ((times >= 8).all() or (members["node"].nunique() == 1 and len(members) == len(x)))
+
+
 def test_near_vectors_without_ids_and_without_rows(spark):
     kind = "vec_id bigint, embedding array<float>, label int"
     rows = [(None, [1.0, 0.0], 1), (7, [1.0, 0.0], 1), (7, [1.0, 0.01], 1), (9, [0.0, 1.0], 1)]
