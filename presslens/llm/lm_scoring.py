@@ -12,8 +12,8 @@ hashes. Counts over the whole corpus come from two exchanges of packed arrays, o
 * words go to shards by range of their hash; a shard adds up the training counts, keeps
   them, and tells each block the counts of its words;
 * pairs go to shards by the hash of the first word (the context); the followers of a hot
-  context (one token in 1024 or more, so at most 1024 of them) are split over several. Each
-  shard builds a trie file in the shared folder, maps it into memory and answers for the
+  context (one token in 1024 or ``shard_tokens`` tokens, held-out rows included) are split by
+  their hash over ``splits`` shards for every ``shard_tokens`` tokens of the context. Each shard builds a trie file in the shared folder, maps it into memory and answers for the
   pairs of every block.
 
 Trie file: level one is the contexts in order, with monotone pointers to their followers
@@ -24,7 +24,8 @@ the successor of the follower's hash in that range. Followers are told apart by
 within a context.
 
 Blocks, shards and answers are bounded by parameters; their number grows with the corpus.
-The driver sees N, V and the number of training documents. A document must fit a task.
+The driver sees N, V, the number of documents and the hot contexts, at most 1024 or one for
+``shard_tokens`` tokens. A document must fit a task.
 
 Null and empty texts have the end alone. Without training rows every count is 0 and p is
 (0 + 1) / (0 + 0 + 1). Rows with one id are scored each by itself; null ids stay null.
@@ -74,7 +75,7 @@ class _Numbers(dict):
         return number
 
 
-_BLOCK = "block long, taught long, size long, ids binary, no_id binary, learn binary, lengths binary, tokens binary, words binary, counts binary"
+_BLOCK = "block long, taught long, size long, ids binary, no_id binary, learn binary, lengths binary, tokens binary, words binary, counts binary, seen binary"
 
 
 def _blocks(block_tokens: int):
@@ -97,8 +98,10 @@ def _blocks(block_tokens: int):
             flat = rank[flat]
             size, taught = np.array(lengths, np.int64), np.array(learn, bool)
             counts = np.bincount(flat[np.repeat(taught, size)], minlength=len(order))
+            seen = np.bincount(flat, minlength=len(order))
             row = {"block": (part << 24) | number, "taught": int(taught.sum()), "size": len(flat), "ids": np.array([0 if i is None else i for i in ids], "<i8").tobytes(), "no_id": np.array([i is None for i in ids]).tobytes(),
-                   "learn": taught.tobytes(), "lengths": size.tobytes(), "tokens": zstandard.ZstdCompressor(level=3).compress(flat.tobytes()), "words": hashes[order].tobytes(), "counts": counts.astype(np.int64).tobytes()}
+                   "learn": taught.tobytes(), "lengths": size.tobytes(), "tokens": zstandard.ZstdCompressor(level=3).compress(flat.tobytes()), "words": hashes[order].tobytes(), "counts": counts.astype("<u4").tobytes(),
+                   "seen": seen.astype("<u4").tobytes()}
             return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64() if k in ("block", "taught", "size") else pa.binary()) for k, v in row.items()})
 
         state = fresh()
@@ -132,31 +135,35 @@ def _tokens(packed: bytes) -> np.ndarray:
 
 
 def _word_counts(ranges: int):
-    """Each block's words and their training counts, a row for each range of hashes."""
+    """Each block's words and their counts in training and in all rows, a row for each range of hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words, counts = _array(row["words"], "<u8"), _array(row["counts"])
+                words, counts, seen = _array(row["words"], "<u8"), _array(row["counts"], "<u4"), _array(row["seen"], "<u4")
                 shard = _ranges(words, ranges)
                 cut = np.searchsorted(shard, np.arange(ranges + 1))
                 for r in np.unique(shard).tolist():
                     a, b = cut[r], cut[r + 1]
                     yield pa.RecordBatch.from_pydict({"shard": pa.array([r], pa.int64()), "block": pa.array([row["block"]], pa.int64()),
-                                                      "words": [words[a:b].tobytes()], "counts": [counts[a:b].tobytes()]})
+                                                      "words": [words[a:b].tobytes()], "counts": [counts[a:b].tobytes()], "seen": [seen[a:b].tobytes()]})
     return run
 
 
-def _add_words(rows: pd.DataFrame) -> pd.DataFrame:
-    """All counts of a range, and the counts of each block's words."""
-    words = [_array(x, "<u8") for x in rows["words"]]
-    known, place = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.zeros(len(known), np.int64)
-    np.add.at(total, place, np.concatenate([_array(x) for x in rows["counts"]]))
-    answers = np.split(total[place], np.cumsum([len(w) for w in words])[:-1])
-    taught = total > 0
-    out = [(int(rows["shard"].iloc[0]), -1, known[taught].tobytes(), total[taught].tobytes(), int(total.sum()), int(taught.sum()))]
-    out += [(out[0][0], int(b), b"", a.tobytes(), 0, 0) for b, a in zip(rows["block"], answers, strict=True)]
-    return pd.DataFrame(out, columns=["shard", "block", "words", "counts", "n", "v"])
+def _add_words(least: float):
+    """All counts of a range, the counts of each block's words, and the words with ``least`` tokens or more in all rows."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        words = [_array(x, "<u8") for x in rows["words"]]
+        known, place = np.unique(np.concatenate(words), return_inverse=True)
+        total, seen = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+        np.add.at(total, place, np.concatenate([_array(x, "<u4") for x in rows["counts"]]))
+        np.add.at(seen, place, np.concatenate([_array(x, "<u4") for x in rows["seen"]]))
+        answers = np.split(total[place], np.cumsum([len(w) for w in words])[:-1])
+        taught, hot = total > 0, seen >= least
+        out = [(int(rows["shard"].iloc[0]), -1, known[taught].tobytes(), total[taught].tobytes(), int(total.sum()), int(taught.sum()))]
+        out.append((out[0][0], -2, known[hot].tobytes(), seen[hot].tobytes(), 0, 0))
+        out += [(out[0][0], int(b), b"", a.tobytes(), 0, 0) for b, a in zip(rows["block"], answers, strict=True)]
+        return pd.DataFrame(out, columns=["shard", "block", "words", "counts", "n", "v"])
+    return run
 
 
 def _pairs(tokens: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,38 +175,40 @@ def _pairs(tokens: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> tuple[
     return (context << _U(32)) | (words[tokens] & _U(0xFFFFFFFF)), context
 
 
-def _sharded(keys: np.ndarray, contexts: np.ndarray, ranges: int, splits: int, hot: np.ndarray) -> np.ndarray:
-    """Shard of each pair: range of the context's hash and a part of it; a hot context is split by the follower."""
-    number = (keys >> _U(32)).astype(np.int64)
-    part = (contexts % _U(splits)).astype(np.int64)[number]
-    split = np.isin(contexts, hot)[number]
-    part[split] = ((keys[split] & _U(0xFFFFFFFF)) % _U(splits)).astype(np.int64)
-    return (_ranges(contexts, ranges) * splits)[number] + part
+def _parts(contexts: np.ndarray, hot: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Number of parts of each context if it is hot (``hot`` is sorted), else 0."""
+    if not len(hot):
+        return np.zeros(len(contexts), np.int64)
+    at = np.minimum(np.searchsorted(hot, contexts), len(hot) - 1)
+    return np.where(hot[at] == contexts, parts[at], 0)
 
 
-def _hot_words(least: float):
-    """Words of a range with at least so many training tokens."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_pydict({"word": pa.array(_array(words)[_array(counts) >= least], pa.int64())})
-    return run
+def _sharded(keys: np.ndarray, contexts: np.ndarray, ranges: int, splits: int, hot: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Shard of each pair: range of the context's hash and a part of it; a hot context goes by the follower to as many shards as it has parts."""
+    number = (keys >> _U(32)).astype(np.int64)
+    part = (contexts % _U(splits)).astype(np.int64)[number]
+    many = _parts(contexts, hot, parts)[number]
+    split = many > 0
+    part[split] = (keys[split] & _U(0xFFFFFFFF)).astype(np.int64) % many[split]
+    return ((_ranges(contexts, ranges) * splits)[number] + part) % (ranges * splits)
 
 
-def _context_counts(splits: int, hot: np.ndarray):
-    """The counts of a range's words for each of its shards: those whose pairs it may have."""
+def _context_counts(ranges: int, splits: int, hot: np.ndarray, parts: np.ndarray):
+    """The counts of a range's words for each shard that may have their pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words, counts = _array(words, "<u8"), _array(counts)
-                part, split = (words % _U(splits)).astype(np.int64), np.isin(words, hot)
-                for k in range(splits):
-                    own = split | (part == k)
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard * splits + k], pa.int64()), "words": [words[own].tobytes()], "counts": [counts[own].tobytes()]})
+                part, many = (words % _U(splits)).astype(np.int64), _parts(words, hot, parts)
+                for k in range(max(splits, int(many.max(initial=0)))):
+                    own = np.where(many > 0, k < many, part == k)
+                    if own.any():
+                        yield pa.RecordBatch.from_pydict({"shard": pa.array([(shard * splits + k) % (ranges * splits)], pa.int64()),
+                                                          "words": [words[own].tobytes()], "counts": [counts[own].tobytes()]})
     return run
 
 
-def _pair_counts(ranges: int, splits: int, hot: np.ndarray):
+def _pair_counts(ranges: int, splits: int, hot: np.ndarray, parts: np.ndarray):
     """Each block's pairs and their training counts, a row for each shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +222,7 @@ def _pair_counts(ranges: int, splits: int, hot: np.ndarray):
                     counts = np.zeros(len(keys), np.int64)
                     counts[np.searchsorted(keys, learned)] = times
                 contexts = np.append(words, _U(_START))
-                shard = _sharded(keys, contexts, ranges, splits, hot)
+                shard = _sharded(keys, contexts, ranges, splits, hot, parts)
                 order = np.argsort(shard, kind="stable")
                 cut = np.searchsorted(shard[order], np.arange(ranges * splits + 1))
                 for s in np.unique(shard).tolist():
@@ -316,14 +325,14 @@ def _answer_pairs(folder: str, mu: float, keep: bool):
     return run
 
 
-def _scores(ranges: int, splits: int, hot: np.ndarray, n: int, v: int, taught_docs: int, mu: float):
+def _scores(ranges: int, splits: int, hot: np.ndarray, parts: np.ndarray, n: int, v: int, taught_docs: int, mu: float):
     def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row = blocks.iloc[0]
         tokens, lengths, hashes = _tokens(row["tokens"]), _array(row["lengths"]), _array(row["words"], "<u8")
         own = answers[answers["kind"] == 0].sort_values("shard")
         counts = np.concatenate([_array(x) for x in own["answer"]])
         keys, inverse = np.unique(_pairs(tokens, lengths, hashes)[0], return_inverse=True)
-        order = np.argsort(_sharded(keys, np.append(hashes, _U(_START)), ranges, splits, hot), kind="stable")
+        order = np.argsort(_sharded(keys, np.append(hashes, _U(_START)), ranges, splits, hot, parts), kind="stable")
         shares = np.zeros(len(keys), np.uint8)
         shares[order] = np.concatenate([_array(x, "<u1") for x in answers[answers["kind"] == 1].sort_values("shard")["answer"]])
         left = _decoded(_code(mu / (np.append(counts, taught_docs) + mu)))  # as the contexts' level has it
@@ -351,28 +360,30 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     keep, folder = folder is not None, folder or new_folder(docs.sparkSession, "trie")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     blocks = stored(rows.mapInArrow(_blocks(block_tokens), _BLOCK), "blocks", "zstd")
-    tokens, taught_docs = blocks.agg(F.sum("size"), F.sum("taught")).first()
+    tokens, taught_docs, all_docs = blocks.agg(F.sum("size"), F.sum("taught"), F.sum(F.length("no_id"))).first()
     if tokens is None:
         return rows.select("doc_id", F.lit(False).alias("held_out"), *[F.lit(0).cast(t).alias(c) for c, t in (
             ("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"))])
     ranges = max(1, round(tokens / (shard_tokens * splits)))
-    words = stored(blocks.select("block", "words", "counts").mapInArrow(_word_counts(ranges), "shard long, block long, words binary, counts binary")
-                   .groupBy("shard").applyInPandas(_add_words, "shard long, block long, words binary, counts binary, n long, v long"), "words")
+    least = max(1.0, min(tokens / 1024, shard_tokens))
+    words = stored(blocks.select("block", "words", "counts", "seen").mapInArrow(_word_counts(ranges), "shard long, block long, words binary, counts binary, seen binary")
+                   .groupBy("shard").applyInPandas(_add_words(least), "shard long, block long, words binary, counts binary, n long, v long"), "words")
     n, v = words.agg(F.sum("n"), F.sum("v")).first()
-    least = max(1.0, n / 1024)
-    found = words.filter("block = -1").select("words", "counts").mapInArrow(_hot_words(least), "word long").collect()  # 1024 at most
-    hot = np.array([r[0] for r in found], np.int64).view(_U)
-    if taught_docs >= least:
-        hot = np.append(hot, _U(_START))
+    found = words.filter("block = -2").select("words", "counts").collect()  # 1024 words or one a shard_tokens tokens at most
+    hot, often = (np.concatenate([_array(x[c], kind) for x in found]) for c, kind in (("words", "<u8"), ("counts", "<i8")))
+    if all_docs >= least:
+        hot, often = np.append(hot, _U(_START)), np.append(often, all_docs)
+    order = np.argsort(hot)
+    hot, parts = hot[order], np.minimum(splits * np.ceil(often[order] / shard_tokens), ranges * splits).astype(np.int64)
     start = words.sparkSession.createDataFrame([(int(_ranges(np.array([_START], _U), ranges)[0]), np.array([_START], "<u8").tobytes(), np.array([taught_docs], "<i8").tobytes())],
                                                "shard long, words binary, counts binary")
     known = words.filter("block = -1").select("shard", "words", "counts").unionByName(start)
-    known = known.mapInArrow(_context_counts(splits, hot), "shard long, words binary, counts binary")
+    known = known.mapInArrow(_context_counts(ranges, splits, hot, parts), "shard long, words binary, counts binary")
     asked = blocks.select("block", "learn", "lengths", "tokens", "words").mapInArrow(
-        _pair_counts(ranges, splits, hot), "shard long, block long, contexts binary, sizes binary, followers binary, counts binary")
+        _pair_counts(ranges, splits, hot, parts), "shard long, block long, contexts binary, sizes binary, followers binary, counts binary")
     pairs = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(_answer_pairs(folder, mu, keep), "block long, shard long, shares binary")
     answers = words.filter("block >= 0").select("block", F.lit(0).alias("kind"), "shard", F.col("counts").alias("answer")).unionByName(
         pairs.select("block", F.lit(1).alias("kind"), "shard", F.col("shares").alias("answer")))
-    return blocks.drop("counts", "taught", "size").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        _scores(ranges, splits, hot, int(n), int(v), int(taught_docs), mu),
+    return blocks.drop("counts", "seen", "taught", "size").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+        _scores(ranges, splits, hot, parts, int(n), int(v), int(taught_docs), mu),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

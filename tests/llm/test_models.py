@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from presslens.llm import embedding_dedup, lm_scoring, toxicity
 from presslens.llm.elias_fano import EliasFano
@@ -101,6 +102,32 @@ def test_lm_scores_equal_brute_force(messy, block_tokens, shard_tokens, splits):
         assert g[4] == pytest.approx(w[4]) and g[5] == pytest.approx(w[5], rel=0.02, abs=0.05)  # 8-bit codes
 
 
+@pytest.mark.parametrize("learned", [True, False])
+def test_lm_hot_context_is_split_by_its_size(spark, tmp_path, monkeypatch, learned):
+    """A third of all tokens is one word with ever new followers: no shard gets more than a few times shard_tokens of its pairs."""
+    docs = spark.createDataFrame([(i, " ".join(f"hot w{i}x{k} z" for k in range(30))) for i in range(200)], "doc_id bigint, text string")
+    learn = F.lit(True) if learned else F.col("doc_id") < 2  # hot in held-out rows only
+    sizes = tmp_path / "sizes"
+    sizes.mkdir()
+    answer = lm_scoring._answer_pairs
+
+    def noted(folder, mu, keep, to=str(sizes)):
+        inner = answer(folder, mu, keep)
+
+        def run(asked, words):
+            with open(f"{to}/{len(asked) and int(asked['shard'].iloc[0])}", "w") as f:
+                f.write(str(sum(len(x) // 4 for x in asked["followers"])))
+            return inner(asked, words)
+        return run
+    plain = {r.doc_id: r for r in lm_scoring.score_documents(docs, learn).collect()}
+    monkeypatch.setattr(lm_scoring, "_answer_pairs", noted)
+    got = lm_scoring.score_documents(docs, learn, block_tokens=500, shard_tokens=500, splits=4).collect()
+    read = [int(p.read_text()) for p in sizes.iterdir()]
+    assert max(read) <= 2 * 500
+    assert len(got) == 200 and all((r.n_tokens, r.n_known) == (plain[r.doc_id].n_tokens, plain[r.doc_id].n_known) for r in got)
+    assert all(r.score == pytest.approx(plain[r.doc_id].score) for r in got)
+
+
 def test_lm_probabilities_sum_to_one(spark):
     """Over the known words, the end and one unknown word, after a given word."""
     texts = ["a b a c", "b a", "a a b", "c"]
