@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presslens.llm import embedding_dedup, exact_dedup, lm_scoring, minhash, mixing, packing, sharding, suffix_dedup, token_files, toxicity
+from presslens.llm import bpe, embedding_dedup, exact_dedup, lexical, lm_scoring, merkle, minhash, mixing, packing, sharding, suffix_dedup, token_files, toxicity
 from presslens.llm.common import find_package
 from presslens.session import prepare_session
 
@@ -113,3 +115,67 @@ def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_suffix_dedup")
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.cut_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op11_lexical_search", r"""
+with w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+     d as (select row_number() over () as row, doc_id, terms, len(terms)::bigint as n from w where len(terms) > 0),
+     total as (select count(*)::bigint as docs, sum(n)::bigint as words from d),
+     tf as (select row, term, count(*)::bigint as tf from (select row, unnest(terms) as term from d) group by all),
+     weight as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint as w from tf, total group by term, docs),
+     item as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+     asked as (select item_id, term, count(*)::bigint as times from item group by all),
+     scored as (select item_id, row, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words))))::bigint as score
+                from asked join weight using (term) join tf using (term) join d using (row), total group by item_id, row),
+     ranked as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored join d using (row) where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10""")
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_bpe_round_trip")
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), back=True)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op13_merkle_manifest", r"""
+with recursive
+  k as (select i, 0 as step, i::ubigint as c from range(256) t(i)
+        union all select i, step + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end from k where step < 8),
+  crc as (select list(c order by i) as tab from k where step = 8),
+  d as (select *, (xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::ubigint)),
+                                   lambda c, x: xor(c >> 8, tab[1 + (xor(c, x) & 255)::int])), 4294967295::ubigint) % 5) = 0 as changed,
+              translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_text from documents, crc),
+  part as (select doc_id, source, changed, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                  || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head,
+                  coalesce(strlen(text) || ':' || text, '-') as body, coalesce(strlen(lower_text) || ':' || lower_text, '-') as low from d),
+  leaf as (select doc_id, source, sha256(head || body) as leaf, sha256(head || case when changed then low else body end) as met,
+                  row_number() over (partition by source order by doc_id) - 1 as i, count(*) over (partition by source) as n from part),
+  up as (select source, 0 as level, i, n, leaf as h from leaf
+         union all select source, level + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' order by i)) from up where n > 1 group by source, level, i // 16, n),
+  sub as (select source, h, row_number() over (order by source nulls first) - 1 as i, count(*) over () as n from up where n = 1),
+  top as (select 0 as level, i, n, h from sub
+          union all select level + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' order by i)) from top where n > 1 group by level, i // 16, n),
+  near as (select source, level, i, n, coalesce(string_agg(h, '' order by i) over (partition by source, level, i // 16 order by i rows between unbounded preceding and 1 preceding), '') as before,
+                  coalesce(string_agg(h, '' order by i) over (partition by source, level, i // 16 order by i rows between 1 following and unbounded following), '') as after from up),
+  above as (select level, i, n, coalesce(string_agg(h, '' order by i) over (partition by level, i // 16 order by i rows between unbounded preceding and 1 preceding), '') as before,
+                   coalesce(string_agg(h, '' order by i) over (partition by level, i // 16 order by i rows between 1 following and unbounded following), '') as after from top),
+  climb as (select doc_id, source, 0 as level, i, met as h, '' as proof from leaf
+            union all select c.doc_id, c.source, c.level + 1, c.i // 16, sha256(before || h || after), proof || before || after
+            from climb c join near x on x.source is not distinct from c.source and x.level = c.level and x.i = c.i where x.n > 1),
+  ended as (select doc_id, source, arg_max(h, level) as h, arg_max(proof, level) as proof from climb group by doc_id, source),
+  climb2 as (select e.doc_id, 0 as level, s.i, e.h, e.proof from ended e join sub s on s.source is not distinct from e.source
+             union all select c.doc_id, c.level + 1, c.i // 16, sha256(before || h || after), proof || before || after
+             from climb2 c join above x on x.level = c.level and x.i = c.i where x.n > 1),
+  done as (select doc_id, arg_max(h, level) as h, arg_max(proof, level) as proof from climb2 group by doc_id)
+select l.doc_id, l.leaf, s.h as subroot, r.h as root, sha256(o.proof) as proof_sha256, o.h as folded_root, o.h = r.h as verified
+from leaf l join sub s on s.source is not distinct from l.source join done o on o.doc_id = l.doc_id join (select h from top where n = 1) r on true""")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.when(changed, F.translate("text", string.ascii_uppercase, string.ascii_lowercase))
+    rows = merkle.merkle_proofs(_table(spark, sf_dir, "documents"), found={"text": lowered})
+    folded = rows.withColumn("folded_root", merkle.fold(F.coalesce("found_leaf", "leaf"), F.col("proof")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root",
+                         (F.col("folded_root") == F.col("root")).alias("verified"))
