@@ -75,7 +75,7 @@ class Vocabulary:
         for rank, merge in enumerate(model["merges"]):
             a, b = (to_bytes(x) for x in (merge if isinstance(merge, list) else merge.split(" ")))
             pair, whole = (vocab[a], vocab[b]), vocab[a + b]
-            if whole in self.parts or any(p in self.parts and self.parts[p][2] > rank for p in pair):
+            if whole in self.parts or any(len(x) > 1 and p not in self.parts for x, p in zip((a, b), pair, strict=True)):
                 raise ValueError(f"{path}: the merges are not in the order in which tokens are made")
             self.rank[pair], self.parts[whole] = rank, (*pair, rank)
         size = max([*vocab.values(), *self.special.values()]) + 1

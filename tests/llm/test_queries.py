@@ -18,6 +18,9 @@ COLUMNS = {
     "op8": {"doc_id", "start", "n_tokens", "ids_crc32"},
     "op9": {"vec_id", "n_links", "component_id", "kept"},
     "op10": {"doc_id", "size", "source_size", "target", "taken"},
+    "op11": {"item_id", "rank", "doc_id", "score"},
+    "op12": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
+    "op13": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
 }
 
 
@@ -31,14 +34,15 @@ def test_query_over_the_whole_table(spark, name):
     df = queries.QUERIES[name](spark, SF)
     assert COLUMNS[name.split("_")[0]] <= set(df.columns)
     rows = [tuple(r) for r in df.select(*sorted(df.columns)).collect()]
-    table, key = ("embeddings", "vec_id") if name.startswith("op9_") else ("documents", "doc_id")
+    table, key = {"op9": ("embeddings", "vec_id"), "op11": ("benchmark", "item_id")}.get(name.split("_")[0], ("documents", "doc_id"))
     ids = {r[0] for r in duckdb.execute(f"select {key} from '{SF}/{table}.parquet'").fetchall()}
     assert {r[sorted(df.columns).index(key)] for r in rows} == ids
-    if not name.startswith("op6_"):
+    if not name.startswith(("op6_", "op11_")):
         assert len(rows) == len(ids)
     if name in queries.ORACLES:
         con = duckdb.connect()
-        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
+        for t in ("documents", "embeddings", "benchmark"):
+            con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
         want = con.execute(queries.ORACLES[name])
         names = [d[0] for d in want.description]
         order = sorted(range(len(names)), key=lambda i: names[i])
