@@ -16,19 +16,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round links neighbours to the smallest node seen (first those above a node, then
     those below it), which takes a number of rounds in the order of log squared of the
-    nodes. Minima are combined before the shuffle and the edges are stored each round, so
-    a node with very many edges is split in the joins.
+    nodes; edges that form stars already take two. A round is one job. Minima are combined
+    before the shuffle, and the edges of a node with very many meet its minimum in a join
+    that can be split. The edges are stored each round.
     """
     pairs = edges.filter(F.col(a) != F.col(b))
     now = stored(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     seen = _state(now)
     while seen[0]:
-        both = stored(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "edges")
-        large = stored(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        below = stored(large.groupBy("u").agg(F.min("v").alias("m")), "edges")
-        small = large.join(below, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.unionByName(below.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"))
+        large = both.join(least, F.col("u") == F.col("at")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        below = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "at")
+        small = large.join(below, F.col("u") == F.col("at")).select(F.explode(F.when(F.col("v") == F.col("m"), F.array(F.struct("u", "m"))).otherwise(
+            F.array(F.struct(F.col("v").alias("u"), "m")))).alias("e")).select("e.u", F.col("e.m").alias("v"))
+        now = stored(small.distinct(), "edges")
         before, seen = seen, _state(now)
         if before == seen:
             break

@@ -14,8 +14,9 @@ smallest one (a star, never pairs), and the components of these links are compar
 by their cells:
 
 * in blocks of bounded size, with an inverted index of the block; a document already in the
-  group of another one is not compared with it again. About ``PIVOTS`` rows of a component
-  that has several blocks stand in each of them, which joins the blocks' groups;
+  group of another one is not compared with it again. A component of one block is then done.
+  About ``PIVOTS`` rows of a component that has several blocks stand in each of them, which
+  joins the blocks' groups;
 * across the blocks of one component, the documents outside its largest group meet all
   blocks, in chunks of bounded size. Two documents of the largest group need no comparison.
 
@@ -167,23 +168,23 @@ class _Block:
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int, work: Callable) -> Iterator[pa.RecordBatch]:
-    """``work`` on the rows of each key; a task's rows are sorted by the first ``keys`` columns."""
+    """``work`` on the rows of each key; a task's rows are sorted by the first ``keys`` columns, of which the third goes to the links."""
     held, now = [], None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if row[:keys] != now:
                 if held:
-                    yield from _edges(work(held))
+                    yield from _edges(work(held), now[2])
                 held, now = [], row[:keys]
             held.append(row[keys:])
     if held:
-        yield from _edges(work(held))
+        yield from _edges(work(held), now[2])
 
 
-def _edges(pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+def _edges(pairs: list[tuple[int, int]], mark: int) -> Iterator[pa.RecordBatch]:
     if pairs:
         a, b = zip(*pairs, strict=True)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "mark": pa.array([mark] * len(a), pa.int64())})
 
 
 def _merge(group: np.ndarray, i: int, others: np.ndarray) -> list[int]:
@@ -195,44 +196,51 @@ def _merge(group: np.ndarray, i: int, others: np.ndarray) -> list[int]:
 
 
 def _inside(least: float):
-    """Links that join the documents of a block to its groups. Rows: (row, cells)."""
+    """Links of the documents of a block to the smallest row of their group in it. Rows: (row, cells)."""
     def work(rows: list) -> list[tuple[int, int]]:
         rows = list({r[0]: r for r in rows}.values())  # a row equal in id and text may come twice
-        ids, block = [r[0] for r in rows], _Block([r[1] for r in rows], least)
-        group, waiting, out = np.arange(len(ids)), np.ones(len(ids), bool), []
+        ids, block = np.array([r[0] for r in rows]), _Block([r[1] for r in rows], least)
+        group, waiting = np.arange(len(ids)), np.ones(len(ids), bool)
         while True:
             open_ = np.flatnonzero(waiting)
             if not len(open_) or (group[open_] == group[open_[0]]).all():
-                return out  # all pairs of documents in different groups have been compared
+                break  # all pairs of documents in different groups have been compared
             sizes = np.bincount(group, minlength=len(ids))
             i = int(open_[np.argmin(sizes[group[open_]])])
             waiting[i] = False
-            out += [(ids[i], ids[j]) for j in _merge(group, i, block.similar(i))]
-    return lambda batches: _grouped(batches, 2, work)
+            _merge(group, i, block.similar(i))
+        smallest = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, group, ids)
+        own = smallest[group]
+        return [(a, b) for a, b in zip(ids.tolist(), own.tolist(), strict=True) if a != b]
+    return lambda batches: _grouped(batches, 3, work)
 
 
 def _across(least: float):
-    """Links between documents outside their component's largest group and the rows of a block. Rows: (row, group, outside, cells)."""
+    """Links between the groups of documents outside their component's largest group and of the rows of a block. Rows: (row, group, outside, cells)."""
     def work(rows: list) -> list[tuple[int, int]]:
         rows = sorted(rows, key=lambda r: (r[2], r[0]))
-        ids, block = [r[0] for r in rows], _Block([r[3] for r in rows], least)
-        group, out = np.unique(np.array([r[1] for r in rows]), return_inverse=True)[1], []
+        names, block = [r[1] for r in rows], _Block([r[3] for r in rows], least)
+        group, out = np.unique(np.array(names), return_inverse=True)[1], []
         for i in [k for k, r in enumerate(rows) if r[2]]:
-            out += [(ids[i], ids[j]) for j in _merge(group, i, block.similar(i))]
+            out += [(names[i], names[j]) for j in _merge(group, i, block.similar(i))]
         return out
     return lambda batches: _grouped(batches, 3, work)
 
 
 def _candidate_parts(bands: DataFrame) -> DataFrame:
     """(row, part): components of the rows that share a band bucket; rows alone are left out."""
-    keyed = stored(bands.select("row", F.explode("bands").alias("key")), "bands")
+    keyed = bands.select("row", F.explode("bands").alias("key"))
     buckets = stored(keyed.groupBy("key").agg(F.min("row").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"), "buckets")
-    stars = keyed.join(buckets, "key").filter("row != least").select(F.col("row").alias("a"), F.col("least").alias("b")).distinct()
+    stars = keyed.join(buckets, "key").filter("row != least").select(F.col("row").alias("a"), F.col("least").alias("b"))
     return components(stars).select(F.col("node").alias("row"), F.col("component").alias("part"))
 
 
 def _large_parts(placed: DataFrame, links: DataFrame, least: float, block_rows: int) -> DataFrame:
-    """Links across the blocks of parts that have several: who is outside the largest group meets every block."""
+    """(node, component) of the rows of parts that have several blocks, whose links inside the blocks are given.
+
+    Who is outside the largest group of a part meets every block; that links whole groups.
+    """
     group = components(links).select(F.col("node").alias("row"), F.col("component").alias("group"))
     rows = stored(placed.filter("blocks > 1").join(stored(group, "groups"), "row", "left").withColumn("group", F.coalesce("group", "row")), "large")
     counts = rows.groupBy("part", "blocks", "group").count()
@@ -244,7 +252,9 @@ def _large_parts(placed: DataFrame, links: DataFrame, least: float, block_rows:
     outside = known.filter("group != main").withColumn("chunk", F.pmod(F.xxhash64("row", F.lit(1)), F.col("chunks")))
     outside = outside.select("part", each("blocks").alias("block"), "chunk", "row", "group", F.lit(True).alias("outside"), "cells")
     met = base.unionByName(outside).repartition("part", "block", "chunk").sortWithinPartitions("part", "block", "chunk")
-    return met.mapInArrow(_across(least), "a long, b long")
+    between = components(stored(met.mapInArrow(_across(least), "a long, b long, mark long"), "between")).withColumnRenamed("component", "whole")
+    return rows.select("row", "group").join(between, F.col("group") == F.col("node"), "left").select(
+        F.col("row").alias("node"), F.coalesce("whole", "group").alias("component"))
 
 
 def near_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 1000) -> DataFrame:
@@ -264,11 +274,12 @@ def near_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     # some rows of a large part stand in all its blocks and tie their groups together
     pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("row", F.lit(2)), F.ceil(F.col("rows") / PIVOTS)) == 0)
     everywhere = F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
-    sorted_blocks = placed.select("part", F.explode(everywhere).alias("block"), "row", "cells").repartition("part", "block").sortWithinPartitions("part", "block")
-    links = stored(sorted_blocks.mapInArrow(_inside(least), "a long, b long"), "links")
+    sorted_blocks = placed.select("part", F.explode(everywhere).alias("block"), "blocks", "row", "cells").repartition("part", "block").sortWithinPartitions("part", "block")
+    links = stored(sorted_blocks.mapInArrow(_inside(least), "a long, b long, mark long"), "links")  # mark: blocks of the part
+    joined = links.filter("mark = 1").select(F.col("a").alias("node"), F.col("b").alias("component"))
     if not blocks.filter("blocks > 1").isEmpty():
-        links = links.unionByName(stored(_large_parts(placed, links, least, block_rows), "links"))
-    joined = stored(components(links), "components")
+        joined = joined.unionByName(_large_parts(placed, links.filter("mark > 1"), least, block_rows))
+    joined = stored(joined, "components")
     labelled = classes.join(joined, classes["row"] == joined["node"], "left").withColumn("label", F.coalesce("component", "row"))
     labelled = stored(labelled.select("w1", "w2", "label", "many", "no_id", "doc_id", "row"), "labelled")
     best = stored(labelled.groupBy("label").agg(F.min(F.struct("no_id", "doc_id", "row")).alias("best"), F.sum("many").alias("class_size")), "best")
