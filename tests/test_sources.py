@@ -132,27 +132,82 @@ def test_read_predictions_rules(spark):
         R.parse_lines(lines(spark, "1 [1, 2]"), "ranks").collect()
 
 
-def test_stream_continues_after_restart(spark, tmp_path):
-    source, out, ckpt = (str(tmp_path / d) for d in ("in", "out", "ckpt"))
+@pytest.fixture
+def stream(spark, tmp_path):
+    """Folders, and functions to add one input file and to run the stream."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
 
-    def put(ids):
+    def put(*ids):
         rows = spark.createDataFrame([(i, i % 3) for i in ids], "impression_id long, user_id long")
         rows.selectExpr("impression_id", "user_id", "timestamp_ntz'2024-01-01 00:00:00' as impression_time",
                         "array(impression_id, impression_id + 1) as article_ids_inview").coalesce(1).write.mode("append").parquet(source)
 
-    def scorer(rows):
-        return rows.withColumn("score", F.col("article_id").cast("double"))
+    def run(checkpoint, max_files=None, fail_on=None):
+        def scorer(rows):
+            if fail_on is not None and not rows.filter(F.col("impression_id") == fail_on).isEmpty():
+                raise RuntimeError("the scorer broke")
+            return rows.withColumn("score", F.col("article_id").cast("double"))
+        W.stream_predictions(spark, source, out, str(tmp_path / checkpoint), scorer, max_files=max_files)
+
+    def written():
+        return sorted(r.impression_id for r in W.read_stream_predictions(spark, out).collect())
+
+    return source, out, put, run, written
+
 
-    put(range(0, 10))
-    W.stream_predictions(spark, source, out, ckpt, scorer)
-    assert W.read_stream_predictions(spark, out).count() == 10
-    put(range(10, 15))
-    W.stream_predictions(spark, source, out, ckpt, scorer)
-    W.stream_predictions(spark, source, out, ckpt, scorer)
+def test_stream_continues_after_restart(spark, stream, tmp_path):
+    source, out, put, run, written = stream
+    put(*range(0, 10))
+    run("ckpt")
+    assert written() == list(range(10))
+    put(*range(10, 15))
+    run("ckpt")
+    run("ckpt")
     got = {r.impression_id: r.line for r in W.read_stream_predictions(spark, out).collect()}
-    assert len(got) == 15 and W.read_stream_predictions(spark, out).count() == 15 and got[3] == "3 [2,1]"
+    assert written() == list(range(15)) and got[3] == "3 [2,1]"
     with pytest.raises(ValueError, match="other input"):
-        W.stream_predictions(spark, str(tmp_path / "elsewhere"), out, ckpt, scorer)
+        W.stream_predictions(spark, str(tmp_path / "elsewhere"), out, str(tmp_path / "ckpt"), lambda rows: rows)
+
+
+def test_stream_loses_nothing_with_its_checkpoint(stream):
+    """Other batch sizes, added files, ids that come again: each id once, whatever checkpoint is used."""
+    source, out, put, run, written = stream
+    put(1, 2)
+    put(3, 4)
+    put(5, 6)
+    run("first", max_files=1)
+    put(7, 8, 1)
+    put(9, 10, 7)
+    run("second", max_files=3)
+    assert written() == list(range(1, 11))
+    put(11, 3, 9)
+    run("third", max_files=2)
+    run("second", max_files=1)  # an older checkpoint, found again
+    assert written() == list(range(1, 12))
+
+
+def test_stream_goes_on_after_a_failure(stream):
+    source, out, put, run, written = stream
+    for i in range(4):
+        put(2 * i, 2 * i + 1)
+    with pytest.raises(Exception, match="the scorer broke"):
+        run("ckpt", max_files=1, fail_on=5)
+    assert 5 not in written()
+    run("ckpt", max_files=2)
+    assert written() == list(range(8))
+
+
+def test_stream_shows_only_what_the_manifest_names(spark, stream):
+    """Lines of a batch that never committed neither count nor keep their impressions from being scored."""
+    source, out, put, run, written = stream
+    put(1, 2)
+    run("first")
+    spark.createDataFrame([(3, "3 [9]"), (2, "2 [9]")], "impression_id long, line string").write.parquet(f"{out}/lines/run=lost/batch=7")
+    assert written() == [1, 2]
+    put(3, 4)
+    run("second")
+    assert written() == [1, 2, 3, 4]
+    assert W.read_stream_predictions(spark, out).filter("line like '%[9]'").isEmpty()
 
 
 def test_predict_uses_candidate_order(spark):
