@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from presslens.functions.expr import clicked_int, joined_key, tie_break
+from presslens.functions.expr import clicked_int, tie_break
 from presslens.functions.grouping import row_numbers, running_sums
 
 IMP = ["impression_id", "user_id"]
@@ -161,26 +167,47 @@ def _poisson_cuts(limit: int = 12) -> list[int]:
 POISSON_CUTS = _poisson_cuts()
 
 
-def _replicate_weights(df: DataFrame, seed: int, n_replicates: int) -> DataFrame:
-    """Each row times its replicates with a Poisson(1) weight per (user, replicate).
+def _replicate_sums(rows: DataFrame, keys: list[str], values: list[str], seed: int, n_replicates: int) -> DataFrame:
+    """(keys, replicate, values): sums of the users' values with a Poisson(1) weight per (user, replicate).
 
-    One digest yields four replicates; zero weights are dropped at once, and the
-    rows are only ever aggregated by replicate, map side first.
+    A task keeps one matrix of replicates x values for each key and adds its users to it in
+    chunks, as the product of their weights and values. Users are never multiplied into rows:
+    a task hands on as many rows as keys x replicates. One digest yields four replicates.
     """
-    blocks = -(-n_replicates // 4)
-    rows = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.withColumn("_digest", F.md5(joined_key(seed, "user_id", "_block").cast("binary")))
-    rows = rows.withColumns({f"_d{i}": F.conv(F.substring("_digest", 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)})
-
-    def weight(draw: Column) -> Column:
-        steps = F.when(draw < POISSON_CUTS[0], 0)
-        for k, cut in enumerate(POISSON_CUTS[1:], 1):
-            steps = steps.when(draw < cut, k)
-        return steps.otherwise(len(POISSON_CUTS))
-
-    draws = [F.struct((F.col("_block") * 4 + i).alias("replicate"), weight(F.col(f"_d{i}")).alias("weight")) for i in range(4)]
-    rows = rows.select(*df.columns, F.inline(F.array(*draws)))
-    return rows.filter((F.col("weight") > 0) & (F.col("replicate") < n_replicates))
+    blocks = [f":{i}".encode() for i in range(-(-n_replicates // 4))]
+    cuts = np.array(POISSON_CUTS, np.int64)
+    key_types = [rows.schema[k].dataType.simpleString() for k in keys]
+
+    def draws(user: str | None) -> np.ndarray:
+        start, digests = hashlib.md5((str(seed) if user is None else f"{seed}:{user}").encode()), []
+        for block in blocks:
+            h = start.copy()
+            h.update(block)
+            digests.append(h.digest())
+        return np.frombuffer(b"".join(digests), ">u4")[:n_replicates]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            users = batch.column(0).to_pylist()
+            groups = list(zip(*(c.to_pylist() for c in batch.columns[1:1 + len(keys)]), strict=True)) if keys else [()] * len(users)
+            table = np.column_stack([pa.compute.fill_null(c, 0.0).to_numpy(zero_copy_only=False) for c in batch.columns[1 + len(keys):]])
+            for start in range(0, len(users), 256):
+                weights = np.searchsorted(cuts, np.stack([draws(u) for u in users[start:start + 256]]), side="right").astype(np.float64)
+                part, own = table[start:start + 256], groups[start:start + 256]
+                for key in set(own):
+                    at = [i for i, g in enumerate(own) if g == key]
+                    sums = weights[at].T @ part[at]
+                    total[key] = total[key] + sums if key in total else sums
+        for key, sums in total.items():
+            columns = [pa.array([k] * n_replicates, t) for k, t in zip(key, arrow_keys, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(n_replicates), pa.int32()), *[pa.array(c) for c in sums.T]], [*keys, "replicate", *values])
+
+    slim = rows.select(F.col("user_id").cast("string").alias("user_id"), *keys, *[F.col(v).cast("double").alias(v) for v in values])
+    arrow_keys = [f.type for f in to_arrow_schema(rows.select(*keys).schema)] if keys else []
+    schema = ", ".join([*(f"{k} {t}" for k, t in zip(keys, key_types, strict=True)), "replicate int", *(f"{v} double" for v in values)])
+    parts = slim.mapInArrow(run, schema)
+    return parts.groupBy(*keys, "replicate").agg(*[F.sum(v).alias(v) for v in values])
 
 
 def _interval(replicates: DataFrame, keys: list[str], value: Column) -> DataFrame:
@@ -198,8 +225,7 @@ def bootstrap_ci(per_user: DataFrame, values: list[str], cohort: str = "cohort",
     uses Poisson(1) weights, which need no exchange of users between tasks.
     """
     cols = [c for v in values for c in (f"{v}_sum", f"{v}_n")]
-    weighted = _replicate_weights(per_user.select("user_id", cohort, *cols), seed, n_replicates)
-    by_cohort = weighted.groupBy(cohort, "replicate").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in cols])
+    by_cohort = _replicate_sums(per_user, [cohort], cols, seed, n_replicates)
     # from here on at most (cohorts x replicates) rows
     cube = by_cohort.groupingSets([[F.col("replicate")], [F.col(cohort), F.col("replicate")]], cohort, "replicate").agg(
         F.grouping(cohort).alias("_all"), *[F.sum(c).alias(c) for c in cols])
@@ -216,8 +242,7 @@ def paired_bootstrap(paired: DataFrame, a: str, b: str, keys: list[str] | None =
     users = both.groupBy("user_id", *keys).agg(F.sum(F.col(a) - F.col(b)).alias("_d"), F.count("*").alias("_n"))
     point = users.groupBy(*keys).agg((F.sum("_d") / F.sum("_n")).alias("diff"), F.sum("_n").alias("n_impressions"),
                                      F.count("*").alias("n_users"))
-    reps = _replicate_weights(users, seed, n_replicates).groupBy(*keys, "replicate").agg(
-        F.sum(F.col("_d") * F.col("weight")).alias("_d"), F.sum(F.col("_n") * F.col("weight")).alias("_n"))
+    reps = _replicate_sums(users, keys, ["_d", "_n"], seed, n_replicates).filter("_n > 0")
     if not keys:
         key = ["_one"]
         ci = _interval(reps.withColumn("_one", F.lit(1)), key, F.col("_d") / F.col("_n"))

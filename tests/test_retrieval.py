@@ -5,10 +5,11 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from presslens.operators import features as K, prepare as P, profiles as PR, text as T, training as N, vectors as E
+from presslens.operators import features as K, prepare as P, profiles as PR, quantised as Q, text as T, training as N, vectors as E
 
 DOCS = [("a1", "football match tonight"), ("a2", "city council vote"), ("a3", "football transfer news football"),
         ("a4", "weather is sunny"), ("a5", None)]
@@ -150,6 +151,43 @@ def test_registered_cell_search_has_recall(spark):
     assert E.ann_audit(exact, found, 10).first().mean_recall >= 0.9
 
 
+def clustered(spark, rows, dim, seed):
+    """Vectors around centres, cheap to make on either side."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(200, dim))
+    x = centres[rng.integers(0, 200, rows)] + 0.6 * rng.normal(size=(rows, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x, spark.createDataFrame(pd.DataFrame({"article_id": np.arange(rows), "vec": x.tolist()}))
+
+
+def test_quantised_search_reads_few_vectors(spark):
+    x, vecs = clustered(spark, 50_000, 32, 4)
+    vecs = vecs.cache()
+    index = Q.build_quantised(vecs, E.ivf_lists(50_000), parts=8, sample=8192)
+    assert index.codes.count() == 50_000 and index.books.shape == (256, 32)
+    queries = vecs.filter("article_id % 100 = 0").withColumnRenamed("article_id", "query_id").cache()
+    nprobe, short = Q.search_settings(queries, index, 10, 0.95)
+    assert short <= 0.2 * 50_000 and nprobe <= len(index.centres)
+    got = {}
+    for r in Q.quantised_knn(queries, index, nprobe, short, 10).collect():
+        assert r.score == pytest.approx(x[r.query_id] @ x[r.article_id])
+        got.setdefault(r.query_id, set()).add(r.article_id)
+    truth = {i: set(np.argsort(-(x[i] @ x.T))[:10]) for i in range(0, 50_000, 100)}
+    assert np.mean([len(got[i] & truth[i]) / 10 for i in truth]) >= 0.95
+
+
+def test_quantised_search_with_whole_lists_is_exact(spark, vecs):
+    index = Q.build_quantised(vecs, 3, parts=3)
+    queries = vecs.withColumnRenamed("article_id", "query_id")
+    n = vecs.count()
+    rows = lambda df: sorted((r.query_id, r["rank"], r.article_id, round(r.score, 9)) for r in df.collect())
+    assert rows(Q.quantised_knn(queries, index, 99, n, 5)) == rows(E.knn(queries, vecs, 5))
+    nothing = queries.withColumn("vec", F.lit(None).cast("array<double>"))
+    assert Q.quantised_knn(nothing, index, 2, 5, 5).count() == 0 and Q.search_settings(nothing, index, 5) == (len(index.centres), 5)
+    with pytest.raises(ValueError):
+        Q.build_quantised(vecs.filter("false"), 3)
+
+
 @pytest.mark.parametrize("rows", [(4096, 8192), (2, 3)])
 def test_attention(spark, vecs, rows):
     m, rng = matrix(vecs), np.random.default_rng(2)
