@@ -204,6 +204,9 @@ def _replicate_sums(rows: DataFrame, keys: list[str], values: list[str], seed: i
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(n_replicates), pa.int32()), *[pa.array(c) for c in sums.T]], [*keys, "replicate", *values])
 
     slim = rows.select(F.col("user_id").cast("string").alias("user_id"), *keys, *[F.col(v).cast("double").alias(v) for v in values])
+    # a user costs n_replicates draws, far more than its bytes tell adaptive execution
+    spark = rows.sparkSession
+    slim = slim.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "user_id")
     arrow_keys = [f.type for f in to_arrow_schema(rows.select(*keys).schema)] if keys else []
     schema = ", ".join([*(f"{k} {t}" for k, t in zip(keys, key_types, strict=True)), "replicate int", *(f"{v} double" for v in values)])
     parts = slim.mapInArrow(run, schema)

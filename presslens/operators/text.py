@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from presslens.functions.blocks import block_pairs
 from presslens.functions.expr import hash32
@@ -32,6 +32,8 @@ has had can could will would should may might must i you he she we they
 them his her their our your s t just
 """
 STOPWORDS = sorted(set(DANISH_STOPWORDS.split()) | set(ENGLISH_STOPWORDS.split()))
+#: Postings a wanted result that the first pass of a retrieval reads, at least.
+FIRST_POSTINGS = 64
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
@@ -129,18 +131,68 @@ def best_first() -> list[Column]:
     return [F.round("score", 9).desc(), F.col("_tie"), F.col("article_id")]
 
 
-def bm25_top_k(qterms: DataFrame, postings: DataFrame, articles: DataFrame, k: int, key: str = "query_id",
-               block_terms: int = 8192, block_postings: int = 262144) -> DataFrame:
+def bm25_top_k(qterms: DataFrame, postings: DataFrame, articles: DataFrame, k: int, key: str = "query_id") -> DataFrame:
     """Top k articles per query over the whole corpus, exact.
 
     A query without any known term returns no rows. Articles sharing no term
-    score 0 and fill the list when needed. Query and posting blocks meet in
-    pandas; only each block's top k is shuffled.
+    score 0 and fill the list when needed.
+
+    Posting lists are pruned by their largest weights. A first pass scores each query's
+    strongest terms alone and then the k best articles so found with all terms; the least of
+    these scores is a threshold the answer cannot fall below. Terms so weak that all of them together stay under it cannot bring an article
+    into the list: their postings, the long ones, are read only for the few articles whose
+    other terms come close enough. Queries and articles meet by common terms alone, and
+    only sums leave a join.
     """
     if k <= 0:
         return qterms.select(key, F.lit(None).cast("string").alias("article_id"),
                              F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     # fresh columns, as both tables may come from one table of terms
+    asked = qterms.select(F.col(key).alias(key), F.col("term").alias("term"), F.col("qtf").cast("double").alias("qtf"))
+    lists = postings.select(F.col("term").alias("term"), F.col("article_id").alias("article_id"), F.col("weight").alias("weight"))
+    lists = checkpointed(lists.join(asked.select("term").distinct(), "term", "left_semi"))  # read by every pass
+    known = lists.groupBy("term").agg(F.max("weight").alias("_most"), F.min("weight").alias("_least"), F.count("*").alias("_df"))
+    bounded = checkpointed(asked.join(known, "term").withColumn("_bound", F.col("qtf") * F.col("_most")))
+    if not bounded.filter("_least < 0 or qtf < 0").isEmpty():
+        return _bm25_top_k_signed(qterms, postings, articles, k, key)  # sums of maxima are no bounds then
+    strongest = W.partitionBy(key).orderBy(F.col("_bound").desc(), "term")
+    read = F.coalesce(F.sum("_df").over(strongest.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = bounded.withColumn("_read", read).filter(F.col("_read") < FIRST_POSTINGS * k)
+    partial = first.join(lists, "term").groupBy(key, "article_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+    best = partial.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.col("score").desc()))).filter(F.col("_n") <= k)
+
+    def over(rows: DataFrame, terms: DataFrame) -> DataFrame:
+        """(key, article_id, _more): what the terms add to the given articles."""
+        pairs = rows.select(key, "article_id").join(terms.select(key, "term", "qtf"), key)
+        return pairs.join(lists, ["article_id", "term"]).groupBy(key, "article_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("_more"))
+
+    # a margin for sums in another order and for scores that are equal when rounded
+    least = F.when(F.count("*") == k, F.min("_more") * (1 - 1e-9) - 1e-8).otherwise(F.lit(0.0))
+    thresholds = over(checkpointed(best), bounded).groupBy(key).agg(least.alias("_need"))
+    thresholds = checkpointed(thresholds)
+    weaker = F.sum("_bound").over(strongest.rowsBetween(W.currentRow, W.unboundedFollowing))
+    split = bounded.withColumn("_upto", weaker).join(thresholds, key)
+    split = split.select(key, "term", "qtf", "_bound", "_need", (F.col("_upto") >= F.col("_need")).alias("_leads"))
+    rest = split.groupBy(key, "_need").agg(F.sum(F.when(~F.col("_leads"), F.col("_bound")).otherwise(0.0)).alias("_rest"))
+    led = split.filter("_leads").select(key, "term", "qtf").join(lists, "term").groupBy(key, "article_id").agg(
+        F.sum(F.col("qtf") * F.col("weight")).alias("_sum"))
+    close = checkpointed(led.join(rest, key).filter(F.col("_sum") + F.col("_rest") >= F.col("_need")).select(key, "article_id", "_sum"))
+    added = over(close, split.filter("not _leads"))
+    scored = close.join(added, [key, "article_id"], "left").select(
+        key, "article_id", (F.col("_sum") + F.coalesce("_more", F.lit(0.0))).alias("score"), hash32("article_id").alias("_tie"))
+    found = checkpointed(top_k(scored, [key], best_first(), k, "rank").drop("rank"))
+    # lists shorter than k: of the first 2k articles in the order of ties, k at least are not in the list
+    short = bounded.select(key).distinct().join(found.groupBy(key).agg(F.count("*").alias("_n")), key, "left").filter(F.coalesce("_n", F.lit(0)) < k)
+    spare = articles.select("article_id", hash32("article_id").alias("_tie")).orderBy("_tie", "article_id").limit(2 * k)
+    spare = short.select(key, F.lit(0.0).alias("score"), F.explode(F.array(F.lit(0))).alias("_one")).join(spare.withColumn("_one", F.explode(F.array(F.lit(0)))), "_one")
+    fill = spare.drop("_one").join(found.select(key, "article_id"), [key, "article_id"], "left_anti")
+    return top_k(found.unionByName(fill), [key], best_first(), k, "rank").drop("_tie").select(key, "article_id", "score", "rank")
+
+
+def _bm25_top_k_signed(qterms: DataFrame, postings: DataFrame, articles: DataFrame, k: int, key: str,
+                       block_terms: int = 8192, block_postings: int = 262144) -> DataFrame:
+    """The same with weights of any sign: query and posting blocks meet in pandas, only each block's top k is shuffled."""
+    # fresh columns, as both tables may come from one table of terms
     qterms = qterms.select(*[F.col(c).alias(c) for c in qterms.columns])
     known = qterms.join(postings.select("term").distinct(), "term", "left_semi")
     # the empty term matches no query token; it makes every article present in its block

@@ -45,24 +45,37 @@ def test_top_k_rules(spark, docs):
     queries = q(spark, "Football", "unknownword", "the of", "football football council")
     top = T.bm25_top_k(queries, postings, docs, 2).collect()
     assert {r.article_id for r in top if r.query_id == 0} == {"a1", "a3"} and {r.query_id for r in top} == {0, 3}
-    everything = T.bm25_top_k(queries, postings, docs, 100, block_terms=2, block_postings=3).collect()
+    everything = T.bm25_top_k(queries, postings, docs, 100).collect()
     assert len([r for r in everything if r.query_id == 0]) == 5
     assert T.bm25_top_k(queries, postings, docs, 0).count() == 0
 
 
-def test_blocked_top_k_equals_scores(spark):
+def test_pruned_top_k_equals_scores(spark, monkeypatch):
+    """With and without negative weights, for lists longer than what matches, and whatever the first pass reads."""
     rnd = random.Random(4)
-    words = [f"w{i}" for i in range(30)]
+    words = [f"w{i}" for i in range(30) for _ in range(1 + 200 // (i + 1) ** 2)]  # few very common words
     docs = spark.createDataFrame([(i, " ".join(rnd.choices(words, k=rnd.randrange(0, 12)))) for i in range(120)], "article_id long, title string")
-    postings = T.bm25_index(docs).cache()
-    queries = q(spark, *[" ".join(rnd.choices(words, k=4)) for _ in range(15)]).cache()
-    scores = {(r.query_id, r.article_id): r.score for r in T.bm25_score_all(queries, postings).collect()}
-    for sizes in ((8192, 262144), (5, 40)):
-        top = T.bm25_top_k(queries, postings, docs, 7, block_terms=sizes[0], block_postings=sizes[1]).collect()
-        for qid in range(15):
-            got = sorted((round(r.score, 9) for r in top if r.query_id == qid), reverse=True)
-            best = sorted((round(scores.get((qid, d), 0.0), 9) for d in range(120)), reverse=True)[:7]
-            assert got == pytest.approx(best)
+    queries = q(spark, *[" ".join(rnd.choices(words + [f"w{i}" for i in range(30)] * 20, k=4)) for _ in range(15)]).cache()
+    for floor in (0.25, None):
+        postings = T.bm25_index(docs, idf_floor=floor).cache()
+        assert postings.filter("weight < 0").isEmpty() == (floor is not None)
+        scores = {(r.query_id, r.article_id): r.score for r in T.bm25_score_all(queries, postings).collect()}
+        known = {qid for qid, _ in scores}
+        for k, first in ((7, 1), (7, 64), (90, 1)):
+            monkeypatch.setattr(T, "FIRST_POSTINGS", first)
+            top = T.bm25_top_k(queries, postings, docs, k).collect()
+            for qid in range(15):
+                got = sorted(((r["rank"], round(r.score, 9)) for r in top if r.query_id == qid))
+                best = sorted((round(scores.get((qid, d), 0.0), 9) for d in range(120)), reverse=True)[:k] if qid in known else []
+                assert [s for _, s in got] == pytest.approx(best) and [r for r, _ in got] == list(range(1, len(best) + 1))
+
+
+def test_signed_blocks_equal_scores(spark):
+    rnd = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(rnd.choices("abcdefgh", k=rnd.randrange(0, 9)))) for i in range(60)], "article_id long, title string")
+    postings, queries = T.bm25_index(docs).cache(), q(spark, "b c", "d e f g", "h h b").cache()
+    pick = lambda df: sorted((r.query_id, r["rank"], r.article_id, round(r.score, 8)) for r in df.collect())
+    assert pick(T._bm25_top_k_signed(queries, postings, docs, 7, "query_id", 5, 40)) == pick(T.bm25_top_k(queries, postings, docs, 7))
 
 
 def test_candidate_scores_for_cold_users_and_unknown_articles(spark, docs):
