@@ -10,7 +10,9 @@ weights minimise
 where s is a sentence of a labelled document that names a group of people and s' the same
 sentence with the name swapped for the next one of its set. The last term takes weight off
 such names, so a neutral mention does not make a document look toxic. Identity terms are
-always among the features if the training rows hold them.
+always among the features if the training rows hold them; the sets are a parameter, and a
+model tells how many swaps it was fitted with. Rows without any of the terms have no swaps,
+and the fit is then a logistic regression.
 
 The fit uses at most ``max_labels`` labelled rows (those with the smallest hash of the id):
 that bounds the broadcast of labels, the stored features and each gradient. The features
@@ -39,18 +41,35 @@ from presslens.llm.common import free_names, row_slices, stored, text_or_empty
 
 MAX_LABELS = 60_000
 MAX_FEATURES = 8192
-#: Names of groups, in sets whose members can stand for one another.
+#: Names of groups in English, French, German and Spanish, in sets whose members can stand for one another.
 IDENTITY_TERMS = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("gay", "straight"), ("lesbian", "heterosexual"), ("transgender", "cisgender"),
     ("black", "white", "asian", "latino"), ("muslim", "christian", "jewish", "hindu", "buddhist"), ("muslims", "christians", "jews", "hindus"),
     ("immigrants", "natives"), ("old", "young"), ("disabled", "deaf", "blind"), ("african", "american", "european", "mexican", "arab", "chinese"),
+    ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"), ("homosexuel", "hétérosexuel"), ("lesbienne", "hétérosexuelle"),
+    ("noirs", "blancs", "asiatiques"), ("musulman", "chrétien", "juif", "hindou"), ("musulmans", "chrétiens", "juifs", "hindous"),
+    ("immigrés", "autochtones"), ("handicapé", "sourd", "aveugle"), ("africain", "américain", "européen", "mexicain", "arabe", "chinois"),
+    ("frauen", "männer"), ("frau", "mann"), ("mädchen", "jungen"), ("schwul", "heterosexuell"), ("schwarze", "weiße", "asiaten"),
+    ("muslimisch", "christlich", "jüdisch", "hinduistisch"), ("muslime", "christen", "juden", "hindus"), ("einwanderer", "einheimische"),
+    ("behindert", "gehörlos"), ("afrikaner", "amerikaner", "europäer", "mexikaner", "araber", "chinesen"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("chicas", "chicos"), ("homosexual", "heterosexual"), ("negros", "blancos", "asiáticos"),
+    ("musulmán", "cristiano", "judío", "hindú"), ("musulmanes", "cristianos", "judíos", "hindúes"), ("inmigrantes", "nativos"),
+    ("discapacitado", "sordo", "ciego"), ("africanos", "americanos", "europeos", "mexicanos", "árabes", "chinos"),
 )
-_SWAP = {term: terms[(i + 1) % len(terms)] for terms in IDENTITY_TERMS for i, term in enumerate(terms)}
 _OUTER = string.punctuation + "«»“”„‘’…–—¿¡"
 _SENTENCE = re.compile(r"[.!?\n]+")
 _REMEMBERED = 500_000
 
 
+def swaps_of(terms: tuple[tuple[str, ...], ...]) -> dict[str, str]:
+    """term -> the next one of its set; of a term in several sets, the first counts."""
+    out: dict[str, str] = {}
+    for own in terms:
+        for i, term in enumerate(own):
+            out.setdefault(term.lower(), own[(i + 1) % len(own)].lower())
+    return out
+
+
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
     """True for the rows whose labels must not be learned from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
@@ -89,16 +108,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"feature": part, "clean": [counts[0][f] for f in part], "toxic": [counts[1][f] for f in part]})
 
 
-def _sparse(names: list[str]):
+def _sparse(names: list[str], swap: dict[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = _Chosen({f: i for i, f in enumerate(names)})
         for batch in row_slices(batches, text=0):
             out = {"toxic": [], "has": [], "gains": [], "loses": []}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = [(toxic, chosen.of(text), [], [])]
-                if not _SWAP.keys().isdisjoint(w.strip(_OUTER) for w in set(text.lower().split())):
+                if not swap.keys().isdisjoint(w.strip(_OUTER) for w in set(text.lower().split())):
                     for sentence in _SENTENCE.split(text.lower()):
-                        swapped = " ".join(_SWAP.get(w.strip(_OUTER), w) for w in sentence.split())
+                        swapped = " ".join(swap.get(w.strip(_OUTER), w) for w in sentence.split())
                         a, b = set(chosen.of(sentence)), set(chosen.of(swapped))
                         if a != b:
                             rows.append((None, [], sorted(b - a), sorted(a - b)))
@@ -178,8 +197,10 @@ def _minimise(loss, start: np.ndarray, steps: int, memory: int = 8) -> np.ndarra
 
 
 class ToxicityModel:
-    def __init__(self, names: list[str], weights: np.ndarray):
-        self.names, self.weights = names, weights
+    """``swaps``: sentences of the training rows in which swapping a name changes the features."""
+
+    def __init__(self, names: list[str], weights: np.ndarray, swaps: int = 0):
+        self.names, self.weights, self.swaps = names, weights, swaps
 
     def score(self, docs: DataFrame, text_col: str = "text", out: str = "score") -> DataFrame:
         """``docs`` without its text, with the score of every text (in place of a column of that name)."""
@@ -200,12 +221,15 @@ class ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = MAX_LABELS,
-        max_features: int = MAX_FEATURES, least_documents: int = 3, least_clear: float = 2.5, l2: float = 1e-4, counterfactual: float = 1.0, steps: int = 30) -> ToxicityModel:
+        max_features: int = MAX_FEATURES, least_documents: int = 3, least_clear: float = 2.5, l2: float = 1e-4, counterfactual: float = 1.0, steps: int = 30,
+        identity_terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> ToxicityModel:
     """Learn from the labelled documents, without those held out."""
+    swap = swaps_of(identity_terms)
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("label_id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     known = stored(known.orderBy(F.xxhash64("label_id"), "label_id").limit(max_labels), "labels")
-    rows = docs.join(F.broadcast(known), F.col(id_col) == F.col("label_id")).select(text_or_empty(text_col).alias("x"), "y")  # at most max_labels rows of 12 bytes
+    own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("x"))
+    rows = own.join(F.broadcast(known), F.col("id") == F.col("label_id")).select("x", "y")  # at most max_labels rows of 12 bytes
     texts = stored(rows, "labelled")
     kinds = {r[0]: r[1] for r in texts.groupBy("y").count().collect()}
     if len(kinds) < 2:
@@ -214,11 +238,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = texts.mapInArrow(_count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     odds = F.log((F.col("t") + 0.5) / (kinds[1] - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (kinds[0] - F.col("c") + 0.5))
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    identity = F.col("feature").isin(*_SWAP).cast("int")
+    identity = F.col("feature").isin(*swap).cast("int")
     clear = (F.col("c") + F.col("t") >= least_documents) & ((identity == 1) | (F.abs(odds) / error >= least_clear))
     best = counts.filter(clear).orderBy(identity.desc(), (F.abs(odds) / error).desc(), "feature").limit(max_features)
     names = [r[0] for r in best.select("feature").collect()]
-    features = stored(texts.mapInArrow(_sparse(names), "toxic int, has array<int>, gains array<int>, loses array<int>"), "features")
+    features = stored(texts.mapInArrow(_sparse(names, swap), "toxic int, has array<int>, gains array<int>, loses array<int>"), "features")
     size = len(names) + 1
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
@@ -229,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     start = np.zeros(size)
     start[-1] = math.log(kinds[1] / kinds[0])
-    return ToxicityModel(names, _minimise(loss, start, steps))
+    return ToxicityModel(names, _minimise(loss, start, steps), features.filter("toxic is null").count())
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

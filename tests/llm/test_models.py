@@ -56,6 +56,39 @@ def test_swapping_group_names_is_penalised(spark, toxic_model):
     assert gap(model) < 0.5 * gap(plain)
 
 
+def test_fit_finds_the_minimum_of_its_loss(spark):
+    """The weights against a plain gradient descent on the loss, written out over all rows and swaps."""
+    rng = random.Random(8)
+    rows = [(i, " ".join([rng.choice(["tor", "mel", "sun"]), *(["vile"] if i % 3 == 0 and i % 7 else []), *([rng.choice(["juden", "christen"]) if i % 2 else "juden"] if i % 3 == 0 else [])]) + ".", int(i % 3 == 0)) for i in range(90)]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t, _ in rows], "doc_id long, text string, y int, label_id int")  # names used inside
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    train = {r.doc_id for r in docs.filter(~toxicity.held_out()).collect()}
+    model = toxicity.fit(docs, labels, least_clear=0.0, l2=0.01, counterfactual=2.0, steps=200)
+    swap = toxicity.swaps_of(toxicity.IDENTITY_TERMS)
+    of = lambda words: np.array([float(n in {f for w in words for f in toxicity._features_of(w)}) for n in model.names])
+    words = {i: t.rstrip(".").split() for i, t, _ in rows if i in train}
+    x, y = np.array([of(w) for w in words.values()]), np.array([float(i % 3 == 0) for i in words])
+    moved = [of([swap.get(v, v) for v in w]) - of(w) for w in words.values()]
+    moved = np.array([m for m in moved if m.any()])
+    assert model.swaps == len(moved) > 10
+
+    def loss(w):
+        z = x @ w[:-1] + w[-1]
+        return (np.logaddexp(0, z) - y * z).mean() + 0.01 * w[:-1] @ w[:-1] + 2.0 * ((moved @ w[:-1]) ** 2).mean()
+
+    def slope(w):
+        e = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - y
+        return np.append(x.T @ e / len(y) + 0.02 * w[:-1] + 4.0 * moved.T @ (moved @ w[:-1]) / len(moved), e.mean())
+
+    w = np.zeros(len(model.names) + 1)
+    for _ in range(20_000):
+        w -= 0.1 * slope(w)
+    assert loss(model.weights) == pytest.approx(loss(w), rel=1e-3)
+    free = toxicity.fit(docs, labels, least_clear=0.0, l2=0.01, counterfactual=0.0, steps=200)
+    gap = lambda m: abs(m.weights[m.names.index("juden")] - m.weights[m.names.index("christen")])
+    assert gap(model) < 0.5 * gap(free) and loss(free.weights) > loss(model.weights)
+
+
 def test_toxicity_of_messy_rows(messy, toxic_model):
     model = toxic_model[3]
     scores = model.score(messy).collect()
