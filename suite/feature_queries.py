@@ -129,12 +129,15 @@ def _(v):
                 r6("relative_position_in_view"))
 
 
-@query("k12_context_article", f"""select {POS}, coalesce(a.category = c.category, false)::BIGINT as context_category_match, coalesce(n, 0)::BIGINT as context_topic_overlap,
-    round(list_inner_product(av.vec, cv.vec), 6) as context_embed_sim from eimp e left join docs a on a.article_id = e.article_id
-    left join docs c on c.article_id = e.context_article_id left join dvecs av on av.article_id = e.article_id left join dvecs cv on cv.article_id = e.context_article_id
-    left join (select x.article_id as aid, y.article_id as cid, count(*) as n from
-      (select distinct article_id, context_article_id from eimp) z join topics x on x.article_id = z.article_id
-      join topics y on y.article_id = z.context_article_id and y.topic = x.topic group by all) o on o.aid = e.article_id and o.cid = e.context_article_id""")
+@query("k12_context_article", f"""with seen as materialized (select distinct article_id as aid, context_article_id as cid from eimp where context_article_id is not null),
+    named as materialized (select article_id, topic from topics),
+    own as materialized (select aid, cid, topic from seen join named on article_id = aid),
+    shared as materialized (select aid, cid, count(*) as n from own join named on named.article_id = cid and named.topic = own.topic group by aid, cid),
+    known as materialized (select article_id, vec from dvecs),
+    pair as materialized (select aid, cid, a.category = c.category as same, list_inner_product(av.vec, cv.vec) as sim from seen left join docs a on a.article_id = aid
+      left join docs c on c.article_id = cid left join known av on av.article_id = aid left join known cv on cv.article_id = cid)
+    select {POS}, coalesce(same, false)::BIGINT as context_category_match, coalesce(n, 0)::BIGINT as context_topic_overlap, round(sim, 6) as context_embed_sim
+    from eimp e left join pair p on p.aid = e.article_id and p.cid = e.context_article_id left join shared o on o.aid = e.article_id and o.cid = e.context_article_id""")
 def _(v):
     rows = K.context_article_features(v.eimp, v.docs, v.topics, v.dvecs)
     return _out(rows, "context_category_match", i64("context_topic_overlap"), r6("context_embed_sim"))
