@@ -19,6 +19,8 @@ TOXIC = 0.3
 
 def _ready(spark: SparkSession) -> SparkSession:
     find_package(spark)
+    # whole texts go to Python workers in small batches: both sides hold a batch, next to what stages before left in memory
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return prepare_session(spark)
 
 
