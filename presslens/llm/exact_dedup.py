@@ -66,17 +66,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_cells: int = MAX_CELLS) -> DataFrame:
     """``docs`` without the rows whose text another row keeps; all columns stay.
 
-    Texts that cannot be repeated are not shuffled.
+    Texts that cannot be repeated are not shuffled. Which row stays is decided on digests; the rows
+    of a text meet that decision by (digest, length, id), so a hot text is spread over tasks, and only
+    the row that stays goes on. Rows equal in id, length and text are cut to one a task before they meet.
     """
-    digest, n, repeated, best = free_names(docs, "x_digest", "x_length", "x_repeated", "x_best")
+    digest, n, repeated, best, best_digest = free_names(docs, "x_digest", "x_length", "x_repeated", "x_best", "x_best_digest")
     rows = docs.withColumns({digest: text_digest(text_col), n: F.length(text_or_empty(text_col)).cast("long")})
-    digests = stored(rows.select(F.col(id_col).alias("id"), F.col(n).alias("n"), F.col(digest).alias("digest"), F.lit(0).alias("row")), "digests")
+    digests = stored(rows.select(F.col(id_col).alias("id"), F.col(n).alias("n"), F.col(digest).alias("digest")), "digests")
     cells = filter_size(digests.count(), max_cells)
     bloom = _repeated(digests, cells)
     candidates = flag(digests, F.xxhash64("digest"), bloom, cells, "repeated").filter("repeated")
-    groups = stored(_groups(candidates), "groups").select(F.col("digest").alias(digest), F.col("best").alias(best))
+    first = F.min(F.struct((-F.col("n")).alias("less"), F.col("id").isNull().alias("no_id"), F.col("id")))
+    stays = stored(candidates.groupBy("digest").agg(first.alias("best")), "stays").select(
+        F.col("digest").alias(best_digest), F.col("best").alias(best))
     flagged = flag(rows, F.xxhash64(digest), bloom, cells, repeated)
-    joined = flagged.filter(F.col(repeated)).join(groups, digest, "left")
-    first = F.col(best).isNull() | ((F.col(f"{best}.less") == -F.col(n)) & F.col(f"{best}.id").eqNullSafe(F.col(id_col)))
-    kept = joined.filter(first).dropDuplicates([digest])  # one row a group but for rows equal in id, length and text
+    same = ((F.col(digest) == F.col(best_digest)) & (F.col(n) == -F.col(f"{best}.less")) & F.col(id_col).eqNullSafe(F.col(f"{best}.id")))
+    kept = flagged.filter(F.col(repeated)).join(stays, same).dropDuplicates([digest])
     return flagged.filter(~F.col(repeated)).select(*docs.columns).unionByName(kept.select(*docs.columns))

@@ -45,6 +45,12 @@ def test_drop_copies_keeps_one_row_and_all_columns(messy):
     assert sorted(texts) == sorted({SPACE.sub("", r[1] or "") for r in messy_rows()})
 
 
+def test_drop_copies_of_a_hot_text_keeps_its_longest_first_row(spark):
+    rows = [(i, "hot text" + " " * (i % 7 == 0)) for i in range(1, 3000)] + [(7, "hot text ")] * 2000 + [(None, "hot text ")] * 500 + [(5000, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, exact_dedup.drop_copies(docs).collect())) == [(7, "hot text "), (5000, "other")]
+
+
 def test_filter_passes_every_key(spark):
     keys = spark.range(500).selectExpr("xxhash64(id) as key")
     cells = bloom.filter_size(500)
