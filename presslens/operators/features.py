@@ -11,13 +11,17 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from presslens.functions.expr import dot, doubles, epoch_seconds, unit
-from presslens.functions.grouping import checkpointed, medians, row_numbers, top_k
+from presslens.functions.grouping import checkpointed, hot_groups, medians, row_numbers, top_k
 from presslens.functions.vectors import sum_vector
 from presslens.operators.prepare import UNKNOWN, sentiment_code
 
 HALF_LIFE_HOURS = 24.0
 LOOKBACK_HOURS = 24.0 * 7
 LAST_CLICKS = 5
+#: Rows of one key and lookback that one task may hold with their vectors.
+HOT_VECTORS = 100_000
+#: Slices of time a lookback of a hot key is cut into.
+SLICES = 256
 
 # fixed values: feature names in model order
 LONG_TERM = ["lt_cat_affinity", "lt_subcat_affinity", "lt_topic_affinity", "lt_embed_sim", "lt_cat_rank",
@@ -206,7 +210,8 @@ def window_mass(probes: DataFrame, clicks: DataFrame, keys: list[str], values: l
     lookback: the window is a prefix of the probe's own block plus a suffix of the
     block before, both read off running sums on one merged time line. Clicks of the
     same second are added first, so a (key, block) group cannot exceed the number
-    of seconds in a lookback however many rows a key has.
+    of seconds in a lookback however many rows a key has. A probe goes only to blocks
+    in which its key has clicks; without any it has no row.
     """
     rate = math.log(2.0) / half_life_s if half_life_s else 0.0
     span = int(lookback_s)
@@ -222,8 +227,9 @@ def window_mass(probes: DataFrame, clicks: DataFrame, keys: list[str], values: l
     line = merged.selectExpr("*", f"floor(t / {span}) as _b").selectExpr("*", f"exp({age('t', '_b')}) as _g").selectExpr(
         *keys, "_b", "t as _t", "1 as _kind", "cast(null as bigint) as p", *each("{v} * _g as {v}"))
     asked = probes.select(*keys, F.col("p").cast("long").alias("p")).distinct()
-    edges = asked.selectExpr(*keys, "p", f"explode(array(p, p - {span})) as _t")
-    line = line.unionByName(edges.selectExpr(*keys, f"floor(_t / {span}) as _b", "_t", "0 as _kind", "p", *each("0.0D as {v}")))
+    edges = asked.selectExpr(*keys, "p", f"explode(array(p, p - {span})) as _t").selectExpr(*keys, f"floor(_t / {span}) as _b", "_t", "0 as _kind", "p")
+    edges = edges.join(clicks.selectExpr(*keys, f"floor(t / {span}) as _b").distinct(), [*keys, "_b"], "left_semi")
+    line = line.unionByName(edges.selectExpr(*keys, "_b", "_t", "_kind", "p", *each("0.0D as {v}")))
     window = "over (partition by {key}, _b order by {order} rows between unbounded preceding and current row)"
     before = window.format(key=key, order="_t, _kind")
     after = window.format(key=key, order="_t desc, _kind desc")
@@ -233,65 +239,131 @@ def window_mass(probes: DataFrame, clicks: DataFrame, keys: list[str], values: l
     return rows.groupBy(*keys, "p").agg(*[F.sum(v).alias(v) for v in values])
 
 
-def window_vectors(probes: DataFrame, clicks: DataFrame, key: str, vec: str, lookback_s: int, half_life_s: float) -> DataFrame:
+def near_clicks(clicks: DataFrame, probes: DataFrame, key: str, lookback_s: int) -> DataFrame:
+    """The clicks in a block of time (of one lookback) that the window of some probe of their key touches."""
+    span = int(lookback_s)
+    blocks = probes.select(key, F.explode(F.array(*[F.floor((F.col("p") - back) / span) for back in (0, span)])).alias("_b")).distinct()
+    return clicks.withColumn("_b", F.floor(F.col("t") / span)).join(blocks, [key, "_b"], "left_semi").drop("_b")
+
+
+def window_vectors(probes: DataFrame, clicks: DataFrame, key: str, vec: str, lookback_s: int, half_life_s: float,
+                   hot_rows: int | None = None) -> DataFrame:
     """(key, p, vec): decayed sum of the vectors ``vec`` of the clicks in ``[p - lookback, p)`` of each probe.
 
     The same blocks as :func:`window_mass`: a click goes to its own block and the next one, a
     probe to its own. A task reads its (key, block) groups in order and keeps one running
-    sum of whole vectors, from which every probe takes a difference.
+    sum of whole vectors, from which every probe takes a difference. Keys with more than
+    ``hot_rows`` rows in a block are cut into slices of time, see :func:`_sliced_vectors`.
+    A probe without clicks in its window, or with a null key, has no row.
     """
     span, rate = int(lookback_s), math.log(2.0) / half_life_s
-    none = F.lit(None).cast("array<double>")
+    given = clicks.select(key, F.col("t").cast("long").alias("t"), F.col(vec).cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull())
+    asked = probes.select(key, F.col("p").cast("long").alias("p")).distinct()
+    counted = given.select(key, F.floor(F.col("t") / span).alias("_b")).unionByName(asked.select(key, F.floor(F.col("p") / span).alias("_b")))
+    hot = hot_groups(counted.filter(F.col(key).isNotNull()), [key, "_b"], hot_rows or HOT_VECTORS)
+    if hot is None:
+        return _block_vectors(asked, given, key, span, rate)
+    keys = hot.select(key).distinct()
+    cool = _block_vectors(asked.join(keys, key, "left_anti"), given.join(keys, key, "left_anti"), key, span, rate)
+    return cool.unionByName(_sliced_vectors(asked.join(keys, key, "left_semi"), given.join(keys, key, "left_semi"), key, span, rate))
+
+
+def _block_vectors(asked: DataFrame, clicks: DataFrame, key: str, span: int, rate: float) -> DataFrame:
     own = F.floor(F.col("t") / span)
-    given = clicks.select(key, F.explode(F.array(own, own + 1)).alias("_b"), F.col("t").cast("long").alias("_t"), F.lit(1).alias("_kind"),
-                          F.col(vec).cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull())
-    asked = probes.select(key, F.col("p").cast("long").alias("_t")).distinct()
-    asked = asked.select(key, F.floor(F.col("_t") / span).alias("_b"), "_t", F.lit(0).alias("_kind"), none.alias("_v"))
+    given = clicks.select(key, F.explode(F.array(own, own + 1)).alias("_b"), F.col("t").alias("_t"), "_v")
+    wanted = asked.select(key, F.floor(F.col("p") / span).alias("_b"), (F.col("p") - span).alias("_from"), F.col("p").alias("_t"), "p")
+    return _line_vectors(wanted, given, key, span, rate).select(key, "p", "vec")
+
+
+def _sliced_vectors(asked: DataFrame, clicks: DataFrame, key: str, span: int, rate: float) -> DataFrame:
+    """The same for keys with very many clicks: a window is the end of one slice of time, whole slices, and the start of another.
+
+    Clicks of one second are added first. Ends and starts come from running sums inside one (key, slice),
+    which holds at most as many clicks as a slice has seconds. A slice's sum, decayed to its first second,
+    then counts as one click of that second, and the blocks above run on these sums.
+    """
+    width = -(-span // SLICES)
+    seconds = checkpointed(clicks.withColumn("_w", F.lit(1.0)).groupBy(key, "t").agg(sum_vector("_v", "_w").alias("_v")))
+    own, first, last = (F.floor((F.col(c) - back) / width) for c, back in (("t", 0), ("p", span), ("p", 0)))
+    # (key, _low, _high): whole slices from the second _low to before the second _high
+    cut = asked.select(key, "p", ((first + 1) * width).alias("_low"), (last * width).alias("_high"))
+    edge = F.explode(F.array(F.struct(last.alias("_b"), F.col("_high").alias("_from"), F.col("p").alias("_t")),
+                             F.struct(first.alias("_b"), (F.col("p") - span).alias("_from"), F.col("_low").alias("_t"))))
+    edges = cut.select(key, "p", edge.alias("_e")).select(key, "_e.*", "p")
+    parts = _line_vectors(edges, seconds.select(key, own.alias("_b"), F.col("t").alias("_t"), "_v"), key, width, rate)
+    start = own * width
+    totals = seconds.select(key, start.alias("_s"), "_v", F.exp((F.col("t") - start) * rate).alias("_w")).groupBy(key, F.col("_s").alias("t")).agg(
+        sum_vector("_v", "_w").alias("_v"))
+    block = F.floor(F.col("t") / span)
+    whole = cut.select(key, F.floor(F.col("_high") / span).alias("_b"), F.col("_low").alias("_from"), F.col("_high").alias("_t"), F.col("_high").alias("p")).distinct()
+    middle = _line_vectors(whole, totals.select(key, F.explode(F.array(block, block + 1)).alias("_b"), F.col("t").alias("_t"), "_v"), key, span, rate)
+    middle = cut.join(middle.select(key, F.col("_from").alias("_low"), F.col("p").alias("_high"), "vec"), [key, "_low", "_high"]).select(
+        key, "p", "vec", F.exp((F.col("_high") - F.col("p")) * rate).alias("_w"))
+    every = parts.select(key, "p", "vec", F.lit(1.0).alias("_w")).unionByName(middle)
+    return every.groupBy(key, "p").agg(sum_vector("vec", "_w").alias("vec"))
+
+
+def _line_vectors(asked: DataFrame, clicks: DataFrame, key: str, size: int, rate: float) -> DataFrame:
+    """(key, _from, p, vec): for each of ``asked`` (key, _b, _from, _t, p) the clicks (key, _b, _t, _v) of its
+    group (key, _b) from second ``_from`` to before ``_t``, decayed to ``p``. Group b starts at second b * ``size``."""
+    nothing = F.lit(None).cast("long")
+    given = clicks.select(key, "_b", "_t", F.lit(1).alias("_kind"), nothing.alias("_from"), nothing.alias("p"), "_v")
+    asked = asked.select(key, "_b", "_t", F.lit(0).alias("_kind"), "_from", "p", F.lit(None).cast("array<double>").alias("_v"))
     # at one second the probe stands before the clicks, which it must not see
     line = given.unionByName(asked).repartition(key, "_b").sortWithinPartitions(key, "_b", "_t", "_kind")
-    kind = probes.schema[key].dataType.simpleString()
-    return line.mapInArrow(_running_vectors(span, rate), f"{key} {kind}, p long, vec array<double>")
+    kind = asked.schema[key].dataType.simpleString()
+    return line.mapInArrow(_running_vectors(size, rate), f"{key} {kind}, _from long, p long, vec array<double>")
 
 
-def _running_vectors(span: int, rate: float, chunk: int = 20_000):
+def _running_vectors(size: int, rate: float, chunk: int = 20_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held, rows, enough = [], 0, chunk
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) < chunk:
+            rows += batch.num_rows
+            if rows < enough:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             first = int(_starts(table)[-1])  # the last group may go on
             if first:
                 yield from answer(table.slice(0, first))
-            held = table.slice(first).to_batches()
+            held, rows = table.slice(first).to_batches(), rows - first
+            enough = max(chunk, 2 * rows)  # a long group is not looked through again for every batch
         if held:
             yield from answer(pa.Table.from_batches(held).combine_chunks())
 
     def answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
         starts = _starts(table)
-        t = table.column("_t").to_numpy() - table.column("_b").to_numpy() * span  # from -span to span
+        shift = table.column("_b").to_numpy() * size
+        t = table.column("_t").to_numpy() - shift  # from -size to size
         click = table.column("_kind").to_numpy() == 1
         asked = np.flatnonzero(~click)
         if not len(asked):
             return
+        probes = table.take(pa.array(asked))
+        start, at = (probes.column(c).to_numpy() - shift[asked] for c in ("_from", "p"))
         flat = table.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         dim = len(flat) // max(1, int(click.sum()))
         sums = np.zeros((len(t) + 1, dim))
         sums[1:][click] = flat.reshape(-1, dim) * np.exp(rate * t[click])[:, None] if dim else 0.0
         np.cumsum(sums, axis=0, out=sums)
         group = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(t)))
-        low = np.searchsorted(group * 8 * span + t, group[asked] * 8 * span + t[asked] - span)
-        seen = (sums[asked] - sums[low]) * np.exp(-rate * t[asked])[:, None]
+        low = np.searchsorted(group * 8 * size + t, group[asked] * 8 * size + start)
         some = np.cumsum(np.append(0, click))
         any_ = some[asked] > some[low]  # no click in the window: no row
-        out = pa.ListArray.from_arrays(pa.array(np.arange(int(any_.sum()) + 1) * dim, pa.int32()), pa.array(seen[any_].ravel()))
-        rows = table.take(pa.array(asked[any_]))
-        yield pa.RecordBatch.from_arrays([rows.column(0).combine_chunks(), rows.column("_t").combine_chunks(), out], [table.column_names[0], "p", "vec"])
+        seen = (sums[asked[any_]] - sums[low[any_]]) * np.exp(-rate * at[any_])[:, None]
+        out = pa.ListArray.from_arrays(pa.array(np.arange(len(seen) + 1) * dim, pa.int32()), pa.array(seen.ravel()))
+        found = probes.filter(pa.array(any_)).combine_chunks()
+        names = [table.column_names[0], "_from", "p"]
+        yield pa.RecordBatch.from_arrays([*[_one(found.column(c)) for c in names], out], [*names, "vec"])
 
     return run
 
 
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+
 def _starts(table: pa.Table) -> np.ndarray:
     """First row of each (key, block) group of a sorted table."""
     change = np.ones(table.num_rows, bool)
@@ -332,11 +404,12 @@ def short_term_moments(imp: DataFrame, hist: DataFrame, articles: DataFrame, sub
                        half_life_hours: float = HALF_LIFE_HOURS, lookback_hours: float = LOOKBACK_HOURS) -> DataFrame:
     """(user_id, p, article_id) with the ``st_*`` features; p is the impression time in seconds."""
     look, half = int(lookback_hours * 3600), half_life_hours * 3600
-    clicks = known_clicks(hist, articles)
     cats = category_of(articles).join(
         vocab.select(F.col("value").alias("category"), F.col("code").cast("long").alias("code")), "category")
     cand = with_second(imp)
-    moments = cand.select("user_id", "p").distinct().join(hist.select("user_id").distinct(), "user_id")
+    # both are read by every family below; clicks that no window can hold go at once
+    moments = checkpointed(cand.select("user_id", "p").distinct().join(hist.select("user_id").distinct(), "user_id"))
+    clicks = checkpointed(near_clicks(known_clicks(hist, articles), moments, "user_id", look))
     asked = cand.select("user_id", "p", "article_id").distinct().join(articles.select("article_id").distinct(), "article_id")
 
     # per moment: topic and subcategory mass, and the vector sum
@@ -351,11 +424,12 @@ def short_term_moments(imp: DataFrame, hist: DataFrame, articles: DataFrame, sub
     summed = window_vectors(moments, placed, "user_id", "_x", look, half).select("user_id", "p", unit("vec").alias("_u"))
     totals = totals.join(summed, ["user_id", "p"], "left")
 
-    # categories: the mass of every category the user reads, for share and rank
+    # categories: the mass of every category read in the blocks of time a moment's window touches, for share and rank
     by_cat = clicks.join(cats, "article_id")
-    read = by_cat.select("user_id", "category", "code").distinct()
-    mass = window_mass(moments.join(read, "user_id").select("user_id", "category", "code", "p"),
-                       by_cat, ["user_id", "category", "code"], ["n"], look, half)
+    block = F.floor(F.col("t") / look)
+    read = by_cat.select("user_id", "category", "code", F.explode(F.array(block, block + 1)).alias("_b")).distinct()
+    reads = moments.withColumn("_b", F.floor(F.col("p") / look)).join(read, ["user_id", "_b"])
+    mass = window_mass(reads.select("user_id", "category", "code", "p"), by_cat, ["user_id", "category", "code"], ["n"], look, half)
     wanted = asked.join(cats, "article_id")
     grid = mass.select("user_id", "p", "category", "code", F.col("n").alias("mass")).unionByName(
         wanted.select("user_id", "p", "category", "code", F.lit(0.0).alias("mass")))

@@ -76,15 +76,17 @@ def test_pair_moments_equal_all_pairs(spark):
     assert np.allclose(weights, np.linalg.lstsq(diffs, np.ones(len(diffs)), rcond=None)[0])
 
 
-@pytest.mark.parametrize("chunk", [20_000, 3])
-def test_window_vectors_equal_brute_force(spark, chunk, monkeypatch):
+@pytest.mark.parametrize("chunk, hot, slices", [(20_000, None, 256), (3, None, 256), (3, 20, 7), (20_000, 1, 256), (20_000, 1, 1)])
+def test_window_vectors_equal_brute_force(spark, chunk, hot, slices, monkeypatch):
+    """In whole blocks and, for keys with more rows than ``hot`` in a block, in slices of time."""
     rng = random.Random(8)
     clicks = [(rng.choice("ab"), rng.randint(0, 400), [float(rng.randint(-3, 3)), float(rng.randint(-3, 3))]) for _ in range(60)] + [("a", 50, None)]
     probes = [(u, p) for u in "abc" for p in (0, 50, 99, 100, 101, 250, 400, 700)]
     original = K._running_vectors
+    monkeypatch.setattr(K, "SLICES", slices)
     monkeypatch.setattr(K, "_running_vectors", lambda span, rate: original(span, rate, chunk))
     got = {(r.user_id, r.p): r.vec for r in K.window_vectors(
-        spark.createDataFrame(probes, "user_id string, p long"), spark.createDataFrame(clicks, "user_id string, t long, v array<double>"), "user_id", "v", 100, 30.0).collect()}
+        spark.createDataFrame(probes, "user_id string, p long"), spark.createDataFrame(clicks, "user_id string, t long, v array<double>"), "user_id", "v", 100, 30.0, hot).collect()}
     for u, p in probes:
         seen = [(t, v) for c, t, v in clicks if c == u and p - 100 <= t < p and v is not None]
         if not seen:
@@ -93,6 +95,35 @@ def test_window_vectors_equal_brute_force(spark, chunk, monkeypatch):
             assert np.allclose(got[u, p], sum(np.array(v) * 0.5 ** ((p - t) / 30.0) for t, v in seen))
 
 
+def test_a_user_with_very_many_clicks_is_spread_over_slices(spark, monkeypatch):
+    week, half = 604_800, 86_400.0
+    monkeypatch.setattr(K, "HOT_VECTORS", 50_000)
+    clicks = spark.range(600_000).selectExpr("'hot' as user_id", "(id * 7919) % 604800 + 1000000 as t", "array(1.0D, cast(id % 3 as double)) as v")
+    few = spark.range(40).selectExpr("concat('u', id % 4) as user_id", "id * 20000 + 1000000 as t", "array(1.0D, 2.0D) as v")
+    probes = spark.sql("select explode(array('hot', 'u1', 'u9')) as user_id, p from (select explode(array(999999L, 1000001L, 1300000L, 1604800L, 1900000L, 2300000L)) as p)")
+    tallest = []
+    original = K._line_vectors
+
+    def watched(asked, given, *rest):
+        tallest.append(given.groupBy("user_id", "_b").count().agg(F.max("count")).first()[0])
+        return original(asked, given, *rest)
+
+    monkeypatch.setattr(K, "_line_vectors", watched)
+    got = {(r.user_id, r.p): r.vec for r in K.window_vectors(probes, clicks.unionByName(few), "user_id", "v", week, half).collect()}
+    assert max(tallest) < 5000  # no group of a task grows with the user's clicks
+    t = np.arange(600_000) * 7919 % 604_800 + 1_000_000
+    v = np.stack([np.ones(600_000), np.arange(600_000) % 3.0], 1)
+    for p in (999999, 1000001, 1300000, 1604800, 1900000, 2300000):
+        seen = (t >= p - week) & (t < p)
+        if not seen.any():
+            assert ("hot", p) not in got
+        else:
+            assert np.allclose(got["hot", p], (v[seen] * 0.5 ** ((p - t[seen]) / half)[:, None]).sum(0), rtol=1e-9)
+        mine = [x for x in range(1, 40, 4) if p - week <= x * 20000 + 1_000_000 < p]
+        assert ("u1", p) in got if mine else ("u1", p) not in got
+        assert ("u9", p) not in got
+
+
 def test_terms_are_counted_in_their_rows(spark):
     docs = spark.createDataFrame([(1, "Red red car", None), (2, None, None), (3, "the", "blue Car")], "article_id long, title string, abstract string").repartition(2)
     got = sorted(map(tuple, T.doc_terms(docs).select("article_id", "term", "tf", "doc_len").collect()))
