@@ -404,53 +404,50 @@ def short_term_moments(imp: DataFrame, hist: DataFrame, articles: DataFrame, sub
                        half_life_hours: float = HALF_LIFE_HOURS, lookback_hours: float = LOOKBACK_HOURS) -> DataFrame:
     """(user_id, p, article_id) with the ``st_*`` features; p is the impression time in seconds."""
     look, half = int(lookback_hours * 3600), half_life_hours * 3600
-    cats = category_of(articles).join(
-        vocab.select(F.col("value").alias("category"), F.col("code").cast("long").alias("code")), "category")
     cand = with_second(imp)
+    known = articles.select("article_id").distinct()
     # both are read by every family below; clicks that no window can hold go at once
     moments = checkpointed(cand.select("user_id", "p").distinct().join(hist.select("user_id").distinct(), "user_id"))
     clicks = checkpointed(near_clicks(known_clicks(hist, articles), moments, "user_id", look))
-    asked = cand.select("user_id", "p", "article_id").distinct().join(articles.select("article_id").distinct(), "article_id")
+    asked = cand.select(*MOMENT).distinct().join(known, "article_id")
+
+    # one time line per (user, kind, value) for all families; kind "sub*" and "top*" count every value of the kind
+    listed = checkpointed(listed_values(articles, subcats, topics))
+    values = checkpointed(clicks.join(listed, "article_id").select("user_id", "t", "n", "kind", "value"))
+    whole = values.filter("kind <> 'cat'").selectExpr("user_id", "t", "n", "concat(kind, '*') as kind", "'' as value")
+    wanted = checkpointed(asked.join(listed, "article_id"))
+    # of categories, all that were read in the blocks of time a moment's window touches, for share and rank
+    block = F.floor(F.col("t") / look)
+    read = values.filter("kind = 'cat'").select("user_id", "kind", "value", F.explode(F.array(block, block + 1)).alias("_b")).distinct()
+    key = ["user_id", "kind", "value"]
+    probes = moments.withColumn("_b", F.floor(F.col("p") / look)).join(read, ["user_id", "_b"]).select(*key, "p")
+    probes = probes.unionByName(wanted.filter("kind <> 'cat'").select(*key, "p")).unionByName(
+        moments.selectExpr("user_id", "explode(array('sub*', 'top*')) as kind", "'' as value", "p"))
+    mass = checkpointed(window_mass(probes, values.unionByName(whole), key, ["n"], look, half).filter("n > 0"))
 
     # per moment: topic and subcategory mass, and the vector sum
-    counts = articles.select("article_id").distinct()
-    for name, values in (("n_top", topics), ("n_sub", subcats)):
-        counts = counts.join(values.groupBy("article_id").agg(F.count("*").cast("double").alias(name)), "article_id", "left")
-    weighted = clicks.join(counts, "article_id").selectExpr(
-        "user_id", "t", "n * coalesce(n_top, 0) as n_top", "n * coalesce(n_sub, 0) as n_sub")
-    totals = window_mass(moments, weighted, ["user_id"], ["n_top", "n_sub"], look, half)
+    sums = mass.filter("value = '' and kind in ('sub*', 'top*')").groupBy("user_id", "p").agg(
+        *[F.max(F.when(F.col("kind") == f"{k}*", F.col("n"))).alias(f"n_{k}") for k in ("sub", "top")])
     placed = clicks.join(vecs.select("article_id", doubles("vec").alias("_x")), "article_id").select(
         "user_id", "t", F.transform("_x", lambda x: x * F.col("n")).alias("_x"))
     summed = window_vectors(moments, placed, "user_id", "_x", look, half).select("user_id", "p", unit("vec").alias("_u"))
-    totals = totals.join(summed, ["user_id", "p"], "left")
-
-    # categories: the mass of every category read in the blocks of time a moment's window touches, for share and rank
-    by_cat = clicks.join(cats, "article_id")
-    block = F.floor(F.col("t") / look)
-    read = by_cat.select("user_id", "category", "code", F.explode(F.array(block, block + 1)).alias("_b")).distinct()
-    reads = moments.withColumn("_b", F.floor(F.col("p") / look)).join(read, ["user_id", "_b"])
-    mass = window_mass(reads.select("user_id", "category", "code", "p"), by_cat, ["user_id", "category", "code"], ["n"], look, half)
-    wanted = asked.join(cats, "article_id")
-    grid = mass.select("user_id", "p", "category", "code", F.col("n").alias("mass")).unionByName(
-        wanted.select("user_id", "p", "category", "code", F.lit(0.0).alias("mass")))
-    grid = grid.groupBy("user_id", "p", "category", "code").agg(F.max("mass").alias("mass"))
-    whole = F.sum("mass").over(W.partitionBy("user_id", "p"))
-    grid = _ranks(grid.withColumn("_all", whole), ["user_id", "p"]).filter(F.col("_all") > 0)
-    shares = grid.select("user_id", "p", "category", (F.col("mass") / F.col("_all")).alias("st_cat_affinity"),
+    totals = moments.join(sums, ["user_id", "p"], "left").join(summed, ["user_id", "p"], "left")
+
+    codes = vocab.select("value", F.col("code").cast("long").alias("code"))
+    categories = wanted.filter("kind = 'cat'").drop("kind")
+    grid = mass.filter("kind = 'cat'").select("user_id", "p", "value", F.col("n").alias("mass")).unionByName(
+        categories.select("user_id", "p", "value", F.lit(0.0).alias("mass"))).join(codes, "value")
+    grid = grid.groupBy("user_id", "p", "value", "code").agg(F.max("mass").alias("mass"))
+    grid = _ranks(grid.withColumn("_all", F.sum("mass").over(W.partitionBy("user_id", "p"))), ["user_id", "p"]).filter(F.col("_all") > 0)
+    shares = grid.select("user_id", "p", "value", (F.col("mass") / F.col("_all")).alias("st_cat_affinity"),
                          F.col("rank").alias("st_cat_rank"))
-    by_category = wanted.join(shares, ["user_id", "p", "category"]).select(*MOMENT, "st_cat_affinity", "st_cat_rank")
-
-    # subcategories and topics share one time line per (user, kind, value)
-    listed = listed_values(articles, subcats, topics).filter("kind <> 'cat'")
-    wanted_values = asked.join(listed, "article_id")
-    key = ["user_id", "kind", "value"]
-    value_mass = window_mass(wanted_values.select(*key, "p"), clicks.join(listed, "article_id"), key, ["n"], look, half)
-    by_value = wanted_values.join(value_mass, [*key, "p"]).groupBy(*MOMENT).agg(
+    by_category = categories.join(shares, ["user_id", "p", "value"]).select(*MOMENT, "st_cat_affinity", "st_cat_rank")
+    by_value = wanted.join(mass.filter("kind in ('sub', 'top')"), [*key, "p"]).groupBy(*MOMENT).agg(
         F.sum(F.when(F.col("kind") == "sub", F.col("n"))).alias("_sub"),
         F.sum(F.when(F.col("kind") == "top", F.col("n"))).alias("_top"))
 
     rows = cand.select(*MOMENT).distinct().join(by_category, MOMENT, "left").join(by_value, MOMENT, "left")
-    rows = rows.join(articles.select("article_id").distinct().withColumn("_known", F.lit(True)), "article_id", "left")
+    rows = rows.join(known.withColumn("_known", F.lit(True)), "article_id", "left")
     rows = rows.join(vecs.select("article_id", doubles("vec").alias("_i")), "article_id", "left")
     rows = rows.join(totals, ["user_id", "p"], "left")
     # a known article without vector has similarity 0, an unknown one none
