@@ -202,7 +202,7 @@ def recent_categories(imp: DataFrame, hist: DataFrame, articles: DataFrame, last
 # --- short-term ------------------------------------------------------------------------
 
 def window_mass(probes: DataFrame, clicks: DataFrame, keys: list[str], values: list[str], lookback_s: int,
-                half_life_s: float | None = None) -> DataFrame:
+                half_life_s: float | None = None, every: bool = True) -> DataFrame:
     """Sums of ``values`` over the clicks in ``[p - lookback, p)`` of each probe, optionally decayed by age.
 
     ``probes`` is (keys, p), ``clicks`` (keys, t, values), times in whole seconds.
@@ -211,7 +211,7 @@ def window_mass(probes: DataFrame, clicks: DataFrame, keys: list[str], values: l
     block before, both read off running sums on one merged time line. Clicks of the
     same second are added first, so a (key, block) group cannot exceed the number
     of seconds in a lookback however many rows a key has. A probe goes only to blocks
-    in which its key has clicks; without any it has no row.
+    in which its key has clicks; without any its sums are 0, or it has no row if not ``every``.
     """
     rate = math.log(2.0) / half_life_s if half_life_s else 0.0
     span = int(lookback_s)
@@ -228,7 +228,8 @@ def window_mass(probes: DataFrame, clicks: DataFrame, keys: list[str], values: l
         *keys, "_b", "t as _t", "1 as _kind", "cast(null as bigint) as p", *each("{v} * _g as {v}"))
     asked = probes.select(*keys, F.col("p").cast("long").alias("p")).distinct()
     edges = asked.selectExpr(*keys, "p", f"explode(array(p, p - {span})) as _t").selectExpr(*keys, f"floor(_t / {span}) as _b", "_t", "0 as _kind", "p")
-    edges = edges.join(clicks.selectExpr(*keys, f"floor(t / {span}) as _b").distinct(), [*keys, "_b"], "left_semi")
+    busy = clicks.selectExpr(*[f"{k} as _at_{k}" for k in keys], f"floor(t / {span}) as _at_b").distinct()
+    edges = edges.join(busy, [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys] + [F.col("_b") == F.col("_at_b")], "left_semi")
     line = line.unionByName(edges.selectExpr(*keys, "_b", "_t", "_kind", "p", *each("0.0D as {v}")))
     window = "over (partition by {key}, _b order by {order} rows between unbounded preceding and current row)"
     before = window.format(key=key, order="_t, _kind")
@@ -236,6 +237,8 @@ def window_mass(probes: DataFrame, clicks: DataFrame, keys: list[str], values: l
     sums = line.selectExpr(*keys, "_kind", "p", "p = _t as _now", f"exp(-({age('p', '_b')})) as _decay",
                            *each("sum({v}) " + before + " as {v}_pre"), *each("sum({v}) " + after + " as {v}_suf"))
     rows = sums.filter("_kind = 0").selectExpr(*keys, "p", *each("if(_now, {v}_pre, {v}_suf) * _decay as {v}"))
+    if every:
+        rows = rows.unionByName(asked.selectExpr(*keys, "p", *each("0.0D as {v}")))
     return rows.groupBy(*keys, "p").agg(*[F.sum(v).alias(v) for v in values])
 
 
@@ -388,7 +391,7 @@ def with_second(imp: DataFrame) -> DataFrame:
 def day_counts(imp: DataFrame, hist: DataFrame, articles: DataFrame) -> DataFrame:
     """(user_id, p, user_clicks_last_24h) for known users."""
     probes = with_second(imp).select("user_id", "p").distinct()
-    counts = window_mass(probes, known_clicks(hist, articles), ["user_id"], ["n"], 86400)
+    counts = window_mass(probes, known_clicks(hist, articles), ["user_id"], ["n"], 86400, every=False)
     users = hist.select("user_id").distinct()
     return probes.join(users, "user_id").join(counts, ["user_id", "p"], "left").select(
         "user_id", "p", F.coalesce("n", F.lit(0.0)).alias("user_clicks_last_24h"))
@@ -423,7 +426,7 @@ def short_term_moments(imp: DataFrame, hist: DataFrame, articles: DataFrame, sub
     probes = moments.withColumn("_b", F.floor(F.col("p") / look)).join(read, ["user_id", "_b"]).select(*key, "p")
     probes = probes.unionByName(wanted.filter("kind <> 'cat'").select(*key, "p")).unionByName(
         moments.selectExpr("user_id", "explode(array('sub*', 'top*')) as kind", "'' as value", "p"))
-    mass = checkpointed(window_mass(probes, values.unionByName(whole), key, ["n"], look, half).filter("n > 0"))
+    mass = checkpointed(window_mass(probes, values.unionByName(whole), key, ["n"], look, half, every=False).filter("n > 0"))
 
     # per moment: topic and subcategory mass, and the vector sum
     sums = mass.filter("value = '' and kind in ('sub*', 'top*')").groupBy("user_id", "p").agg(
