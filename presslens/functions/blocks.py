@@ -57,3 +57,23 @@ def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
         return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(on_pack, schema)
+
+
+def owner_blocks(pairs: DataFrame, owner: str, item: str, rows: int, least: int = 1) -> tuple[DataFrame, DataFrame, bool]:
+    """(owner, item) pairs dealt to blocks ``_pack``, ``_part`` of about ``rows`` pairs.
+
+    Owners share a pack; one with more than ``rows`` pairs is cut into parts by item. The
+    second table has (owner, _pack, _parts), the third value tells whether any owner is cut.
+    ``least`` is the smallest number of packs.
+    """
+    load = pairs.groupBy(owner).agg(F.count("*").alias("_load"))
+    total, most = load.agg(F.sum("_load"), F.max("_load")).first()
+    total, most = total or 0, most or 0
+    cores = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packs = max(least, math.ceil(total / rows), min(cores, math.ceil(total * 16 / rows)), 1)
+    owners = load.select(owner, F.pmod(F.xxhash64(owner), F.lit(packs)).alias("_pack"), F.ceil(F.col("_load") / rows).alias("_parts"))
+    if most <= rows:
+        return pairs.withColumns({"_pack": F.pmod(F.xxhash64(owner), F.lit(packs)), "_part": F.lit(0).cast("long")}), owners, False
+    same = F.col(owner).eqNullSafe(F.col("_owner"))
+    dealt = pairs.join(owners.withColumnRenamed(owner, "_owner"), same).drop("_owner").withColumn("_part", F.pmod(F.xxhash64(item), F.col("_parts"))).drop("_parts")
+    return dealt, owners, True

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from presslens.functions.blocks import block_pairs
+from presslens.functions.blocks import block_pairs, owner_blocks
 from presslens.functions.expr import hash32
 from presslens.functions.grouping import checkpointed, top_k
 
@@ -81,11 +81,40 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "text") -
     return terms.groupBy(key, "term").agg(F.count("*").alias("qtf"))
 
 
-def user_query(hist: DataFrame, terms: DataFrame) -> DataFrame:
-    """(user_id, term, qtf): the tokens of all clicked articles, repeated clicks counting again."""
-    clicks = hist.groupBy("user_id", "article_id").agg(F.count("*").alias("_n"))
-    joined = clicks.join(terms.select("article_id", "term", "tf"), "article_id")
-    return joined.groupBy("user_id", "term").agg(F.sum(F.col("_n") * F.col("tf")).alias("qtf"))
+def user_query(hist: DataFrame, terms: DataFrame, block_rows: int = 16384) -> DataFrame:
+    """(user_id, term, qtf): the tokens of all clicked articles, repeated clicks counting again.
+
+    Clicked articles are dealt to blocks of users, and a block gets the terms of its articles once
+    each; counts are added inside the block, so what leaves it is the result. A user with more than
+    ``block_rows`` articles is spread over several blocks whose counts are added afterwards.
+    """
+    clicks = checkpointed(hist.filter(F.col("article_id").isNotNull()).groupBy("user_id", "article_id").agg(F.count("*").alias("_n")))
+    dealt, _, cut = owner_blocks(clicks, "user_id", "article_id", block_rows)
+    user_type, keys = clicks.schema["user_id"].dataType.simpleString(), ["_pack", "_part"]
+    counts = dealt.groupBy(*keys).cogroup(_term_lists(terms, "tf", dealt).groupBy(*keys)).applyInArrow(
+        _count_block, f"user_id {user_type}, term string, qtf long")
+    return counts.groupBy("user_id", "term").agg(F.sum("qtf").alias("qtf")) if cut else counts
+
+
+def _count_block(clicks: pa.Table, lists: pa.Table) -> pa.Table:
+    users = clicks["user_id"].combine_chunks().unique()
+    clicks, at = _by_user(clicks, users)
+    start, size = _lists_of(lists, clicks["article_id"].combine_chunks())
+    words = lists["terms"].combine_chunks().flatten().dictionary_encode()
+    code, known = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(words.dictionary))
+    tf, n = lists["values"].combine_chunks().flatten().to_numpy(zero_copy_only=False), clicks["_n"].to_numpy()
+    of_user = np.repeat(np.arange(len(users)), np.diff(at))
+    bounds = _cuts(np.add.reduceat(np.append(size, 0), at[:-1]) if len(users) else size, 1 << 20)
+    parts = []
+    for a, b in zip(bounds, bounds[1:]):
+        mine = slice(at[a], at[b])
+        place = _ranges(start[mine], size[mine])
+        pairs, which = np.unique(np.repeat(of_user[mine], size[mine]) * known + code[place], return_inverse=True)
+        qtf = np.bincount(which, weights=tf[place] * np.repeat(n[mine], size[mine]), minlength=len(pairs))
+        parts.append((pairs, qtf))
+    pairs, qtf = (np.concatenate([np.empty(0, t), *x]) for t, x in zip((np.int64, float), zip(*parts))) if parts else (np.empty(0, np.int64), np.empty(0))
+    return pa.table([users.take(pa.array(pairs // known)), words.dictionary.take(pa.array(pairs % known)), pa.array(qtf.astype(np.int64))],
+                    names=["user_id", "term", "qtf"])
 
 
 def bm25_index(articles: DataFrame, k1: float = 1.5, b: float = 0.75, idf_floor: float | None = 0.25,
@@ -219,10 +248,97 @@ def _bm25_top_k_signed(qterms: DataFrame, postings: DataFrame, articles: DataFra
     return top_k(local, [key], best_first(), k, "rank").drop("_tie")
 
 
-def score_pairs(pairs: DataFrame, qterms: DataFrame, postings: DataFrame) -> DataFrame:
-    """BM25 total of the given distinct (user_id, article_id) pairs; pairs sharing no term are absent."""
-    terms = pairs.join(postings, "article_id").join(qterms, ["user_id", "term"])
-    return terms.groupBy("user_id", "article_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+def _term_lists(table: DataFrame, value: str, dealt: DataFrame) -> DataFrame:
+    """(_pack, _part, article_id, terms, values): each block gets the terms of its articles, one row an article."""
+    lists = table.filter(F.col("term").isNotNull()).select(F.col("article_id").alias("article_id"), F.col("term").alias("_t"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v"))
+    lists = lists.groupBy("article_id").agg(F.collect_list(F.struct("_t", "_v")).alias("_l"))
+    wanted = dealt.select("_pack", "_part", "article_id").distinct()
+    found = wanted.join(lists, "article_id")
+    # fresh names, as both sides of a block come from the same pairs
+    return found.select(*[F.col(c).alias(c) for c in ("_pack", "_part", "article_id")], F.col("_l._t").alias("terms"), F.col("_l._v").alias("values"))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def _cuts(sizes: np.ndarray, limit: int) -> list[int]:
+    """Bounds of runs whose sizes sum to about ``limit``, or hold one item."""
+    run = np.cumsum(sizes) // limit
+    return [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(sizes)] if len(sizes) else [0]
+
+
+def _lists_of(lists: pa.Table, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of the list of each named article; length 0 without a list."""
+    sizes = pa.compute.list_value_length(lists["terms"].combine_chunks()).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    row = pa.compute.fill_null(pa.compute.index_in(names, lists["article_id"].combine_chunks()), -1).to_numpy(zero_copy_only=False)
+    known = row >= 0
+    return np.where(known, np.append(first, 0)[row], 0), np.where(known, np.append(sizes, 0)[row], 0)
+
+
+def _by_user(table: pa.Table, users: pa.Array) -> tuple[pa.Table, np.ndarray]:
+    """The rows in the order of ``users``, and the first row of each user (one bound more than users)."""
+    code = pa.compute.index_in(table["user_id"].combine_chunks(), users).to_numpy(zero_copy_only=False).astype(np.int64)
+    return table.take(np.argsort(code, kind="stable")), np.append(0, np.cumsum(np.bincount(code, minlength=len(users))))
+
+
+def score_pairs(pairs: DataFrame, qterms: DataFrame, postings: DataFrame, block_rows: int = 16384, block_terms: int = 1_000_000) -> DataFrame:
+    """BM25 total of the given distinct (user_id, article_id) pairs; pairs sharing no term are absent.
+
+    Pairs are dealt to blocks of users. A block gets the terms of its users and, once each, the
+    postings of the articles it asks for; terms meet inside the block, and only scores leave
+    it. A user with more than ``block_rows`` pairs is spread over several blocks.
+    """
+    pairs = checkpointed(pairs.select("user_id", "article_id").dropna())
+    asked = qterms.filter(F.col("term").isNotNull()).select(F.col("user_id").alias("user_id"), F.col("term").alias("term"), F.col("qtf").cast("double").alias("qtf"))
+    asked = checkpointed(asked.join(pairs.select("user_id").distinct(), "user_id", "left_semi"))
+    dealt, owners, cut = owner_blocks(pairs, "user_id", "article_id", block_rows, -(-asked.count() // block_terms))
+    if cut:
+        asked = asked.join(owners, "user_id").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    else:
+        asked = asked.join(owners.drop("_parts"), "user_id").withColumn("_part", F.lit(0).cast("long"))
+    left = dealt.select("_pack", "_part", "user_id", "article_id", F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("qtf"))
+    left = left.unionByName(asked, allowMissingColumns=True)
+    types = {c: pairs.schema[c].dataType.simpleString() for c in ("user_id", "article_id")}
+    keys = ["_pack", "_part"]
+    return left.groupBy(*keys).cogroup(_term_lists(postings, "weight", dealt).groupBy(*keys)).applyInArrow(
+        _score_block, f"user_id {types['user_id']}, article_id {types['article_id']}, score double")
+
+
+def _score_block(left: pa.Table, lists: pa.Table) -> pa.Table:
+    terms_only = pa.compute.is_valid(left["term"])
+    queries, pairs = left.filter(terms_only), left.filter(pa.compute.invert(terms_only))
+    users = left["user_id"].combine_chunks().unique()
+    vocabulary = queries["term"].combine_chunks().unique()
+
+    queries, q_at = _by_user(queries, users)
+    pairs, p_at = _by_user(pairs, users)
+    term = pa.compute.index_in(queries["term"].combine_chunks(), vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
+    qtf = queries["qtf"].to_numpy()
+    # terms no query has point to a last place, which stays 0
+    listed = pa.compute.fill_null(pa.compute.index_in(lists["terms"].combine_chunks().flatten(), vocabulary), len(vocabulary)).to_numpy(zero_copy_only=False)
+    weight = lists["values"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    start, size = _lists_of(lists, pairs["article_id"].combine_chunks())
+    score, shared = np.zeros(len(size)), np.zeros(len(size), bool)
+    times, present = np.zeros(len(vocabulary) + 1), np.zeros(len(vocabulary) + 1, bool)
+    for u in range(len(users)):
+        mine = slice(q_at[u], q_at[u + 1])
+        np.add.at(times, term[mine], qtf[mine])
+        present[term[mine]] = True
+        bounds = [p_at[u] + c for c in _cuts(size[p_at[u]:p_at[u + 1]], 1 << 20)]
+        for a, b in zip(bounds, bounds[1:]):
+            at = _ranges(start[a:b], size[a:b])
+            pair = np.repeat(np.arange(b - a), size[a:b])
+            met = present[listed[at]]
+            at, pair = at[met], pair[met]
+            score[a:b] = np.bincount(pair, weights=times[listed[at]] * weight[at], minlength=b - a)
+            shared[a:b] = np.bincount(pair, minlength=b - a) > 0
+        times[term[mine]], present[term[mine]] = 0.0, False
+    out = pa.table([pairs["user_id"], pairs["article_id"], pa.array(score)], names=["user_id", "article_id", "score"])
+    return out.filter(pa.array(shared))
 
 
 def bm25_pairs(pairs: DataFrame, qterms: DataFrame, postings: DataFrame, articles: DataFrame,

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -88,6 +89,32 @@ def test_candidate_scores_for_cold_users_and_unknown_articles(spark, docs):
     assert got[("u", "a3")] == pytest.approx(2 * brute_postings()[("football", "a3")]) and got[("u", "a4")] == 0.0
 
 
+def test_blocks_of_users_equal_sums_over_pairs(spark):
+    rnd = random.Random(8)
+    texts = {i: rnd.choices("abcdefgh", k=rnd.randrange(0, 9)) for i in range(40)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "article_id long, title string")
+    clicks = [("hot", rnd.randrange(45)) for _ in range(300)] + [(f"u{i}", rnd.randrange(45)) for i in range(25)] + [(None, 3), ("u1", None)]
+    hist = spark.createDataFrame(clicks, "user_id string, article_id long")
+    want = Counter((u, t) for u, a in clicks for t in texts.get(a, []))
+    terms, postings = T.doc_terms(docs).cache(), T.bm25_index(docs).cache()
+    known = {r.term for r in terms.select("term").distinct().collect()}
+    want = {k: n for k, n in want.items() if k[1] in known}
+    for rows in (7, 10_000):  # the hot user is cut into parts by the first
+        queries = T.user_query(hist, terms, rows)
+        assert {(r.user_id, r.term): r.qtf for r in queries.collect()} == want
+        pairs = spark.createDataFrame([(u, a) for u in ("hot", "u1", "u2", "cold", None) for a in [*range(42), None]], "user_id string, article_id long")
+        weight = {(r.term, r.article_id): r.weight for r in postings.collect()}
+        sums = {}
+        for u in ("hot", "u1", "u2"):
+            for (t, a), w in weight.items():
+                if (u, t) in want:
+                    sums[u, a] = sums.get((u, a), 0.0) + want[u, t] * w
+        got = {(r.user_id, r.article_id): r.score for r in T.score_pairs(pairs, queries, postings, rows, 5).collect()}
+        assert got.keys() == sums.keys() and all(got[k] == pytest.approx(sums[k]) for k in sums)
+    assert T.user_query(hist.limit(0), terms).count() == 0 == T.score_pairs(pairs.limit(0), queries, postings).count()
+    assert T.score_pairs(pairs, queries.limit(0), postings).count() == 0 == T.score_pairs(pairs, queries, postings.limit(0)).count()
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([("Æble af RØD_1 the the x-y",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(T.tokenize("t")).collect()] == [["æble", "rød_1", "x", "y"], [], []]
