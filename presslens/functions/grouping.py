@@ -5,7 +5,8 @@ groups and wrong for a key that holds a large share of all rows. The helpers
 here count the groups first (map-side combined, so cheap) and send only the
 groups above a limit through a range partitioning on (key, order): every slice
 is summed on its own and the totals of the slices before it are added back.
-Slices have a bounded number of rows; their number grows with the rows.
+Slices have a bounded number of rows; their number grows with the rows, whatever
+limit marks a group as oversized.
 """
 
 from __future__ import annotations
@@ -58,8 +59,10 @@ def hot_groups(df: DataFrame, keys: list[str], limit: int | None = None) -> Data
     return None if hot.isEmpty() else checkpointed(hot)
 
 
-def _slices(rows: int, limit: int | None) -> int:
-    return max(1, math.ceil(rows / (limit or HOT_ROWS)))
+def _slices(spark: SparkSession, rows: int, limit: int | None) -> int:
+    """Slices of about ``limit`` rows; a low limit makes no more of them than a shuffle has partitions, or than HOT_ROWS asks for."""
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / HOT_ROWS))
+    return max(1, min(math.ceil(rows / (limit or HOT_ROWS)), most))
 
 
 def _sliced_sums(df: DataFrame, keys, order, sums: dict, slices: int) -> DataFrame:
@@ -98,7 +101,7 @@ def running_sums(df: DataFrame, keys: list[str], order: list[Column], sums: dict
     rows = hot.agg(F.sum("_n")).first()[0]
     hot_keys = hot.select(*keys)
     cool = plain(df.join(hot_keys, keys, "left_anti"))
-    warm = _sliced_sums(df.join(hot_keys, keys, "left_semi"), keys, order, sums, _slices(rows, hot_limit))
+    warm = _sliced_sums(df.join(hot_keys, keys, "left_semi"), keys, order, sums, _slices(df.sparkSession, rows, hot_limit))
     return cool.unionByName(warm)
 
 
@@ -122,7 +125,7 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[Column] | dict[str,
     cool = plain(df.join(hot_keys, keys, "left_anti"))
     warm = df.join(hot_keys, keys, "left_semi")
     for name, o in orders.items():
-        warm = _sliced_sums(warm, keys, o, {name: F.lit(1).cast("long")}, _slices(rows, hot_limit))
+        warm = _sliced_sums(warm, keys, o, {name: F.lit(1).cast("long")}, _slices(df.sparkSession, rows, hot_limit))
     return cool.unionByName(warm)
 
 
@@ -146,7 +149,7 @@ def medians(df: DataFrame, keys: list[str], cols: list[str], hot_limit: int | No
 
 def global_index(df: DataFrame, order: list[Column], out: str, hot_limit: int | None = None) -> DataFrame:
     """0-based position of each row in one total order over the whole table."""
-    indexed = _sliced_sums(df, [], order, {out: F.lit(1).cast("long")}, _slices(df.count(), hot_limit))
+    indexed = _sliced_sums(df, [], order, {out: F.lit(1).cast("long")}, _slices(df.sparkSession, df.count(), hot_limit))
     return indexed.withColumn(out, F.col(out) - 1)
 
 

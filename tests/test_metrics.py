@@ -132,6 +132,13 @@ def test_medians_and_global_index_on_the_hot_path(spark):
     assert [r.i for r in idx] == list(range(len(idx)))
 
 
+def test_a_low_limit_does_not_make_a_slice_of_a_few_rows(spark):
+    """Otherwise 2.4 million clicks in groups above ten rows went through 240,000 tasks."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert G._slices(spark, 2_400_000, 10) == partitions and G._slices(spark, 25, 10) == 3
+    assert G._slices(spark, 5_000_000_000, 10) == G._slices(spark, 5_000_000_000, None) == 5_000
+
+
 def test_samples(spark):
     imp = spark.createDataFrame([(i, i % 13, p) for i in range(100) for p in range(3)], "impression_id long, user_id long, article_id long")
     one = L.sample_impressions(imp, 30, seed=1)
