@@ -53,7 +53,7 @@ def leak_blend(scored: DataFrame, leaks: DataFrame, base: str = "score") -> Data
 
 
 def combiner_features(imp: DataFrame, hist: DataFrame, articles: DataFrame, vecs: DataFrame, entities: DataFrame,
-                      popularity: DataFrame, qterms: DataFrame, postings: DataFrame, decay: float = 0.9,
+                      popularity: DataFrame, qterms: DataFrame | text.ClickedTerms, postings: DataFrame, decay: float = 0.9,
                       with_history_len: bool = False) -> DataFrame:
     """The combiner's columns for each candidate (index features are -inf outside their index)."""
     key = ["user_id", "article_id"]

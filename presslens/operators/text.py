@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,8 @@ them his her their our your s t just
 STOPWORDS = sorted(set(DANISH_STOPWORDS.split()) | set(ENGLISH_STOPWORDS.split()))
 #: Postings a wanted result that the first pass of a retrieval reads, at least.
 FIRST_POSTINGS = 64
+#: Articles of a term that travel as one row, about.
+LIST_ROWS = 65_536
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
@@ -341,19 +344,138 @@ def _score_block(left: pa.Table, lists: pa.Table) -> pa.Table:
     return out.filter(pa.array(shared))
 
 
-def bm25_pairs(pairs: DataFrame, qterms: DataFrame, postings: DataFrame, articles: DataFrame,
+@dataclass(frozen=True)
+class ClickedTerms:
+    """The queries of :func:`user_query` as their parts: ``hist`` (user_id, article_id) and ``terms`` of the articles.
+
+    Written out, they have a row for each user and each word the user has met; scoring needs no such table.
+    """
+    hist: DataFrame
+    terms: DataFrame
+
+
+def _by_term(table: DataFrame, value: str, articles: DataFrame, slices: int, packs: int) -> DataFrame:
+    """(_slice, _pack, term, articles, values): the articles of each term, once for every pack, in rows of bounded length."""
+    rows = table.filter(F.col("term").isNotNull()).select(F.col("article_id").alias("article_id"), F.col("term").alias("term"),
+                                                          F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v"))
+    rows = rows.join(articles, "article_id", "left_semi").withColumn("_cut", F.pmod(F.xxhash64("article_id"), F.lit(articles.count() // LIST_ROWS + 1)))
+    lists = rows.groupBy("term", "_cut").agg(F.collect_list(F.struct("article_id", "_v")).alias("_l"))
+    return lists.select(F.pmod(F.xxhash64("term"), F.lit(slices)).alias("_slice"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long"))).alias("_pack"),
+                        "term", F.col("_l.article_id").alias("articles"), F.col("_l._v").alias("values"))
+
+
+def score_clicked(pairs: DataFrame, clicked: ClickedTerms, postings: DataFrame, pack_rows: int = 2_500_000,
+                  slice_terms: int = 6_000_000) -> DataFrame:
+    """:func:`score_pairs` for the words of the articles each user has clicked, whose counts are added where they are used.
+
+    Terms are dealt to slices and users to packs. A block (slice, pack) reads the clicks and pairs of its
+    users and, once each, the articles of its terms; what leaves it is its share of the pairs' scores.
+    Tables of postings are thus copied once a pack, clicks and pairs once a slice: neither is multiplied by the other.
+    A user with more than ``pack_rows`` pairs is spread over several packs.
+    """
+    pairs = checkpointed(pairs.select("user_id", "article_id").dropna())
+    clicks = clicked.hist.select("user_id", "article_id").dropna().join(pairs.select("user_id").distinct(), "user_id", "left_semi")
+    clicks = checkpointed(clicks.groupBy("user_id", "article_id").agg(F.count("*").cast("double").alias("_n")))
+    candidates, read = (checkpointed(t.select("article_id").distinct()) for t in (pairs, clicks))
+    slices = max(1, *(-(-t.join(a, "article_id", "left_semi").count() // slice_terms) for t, a in ((postings, candidates), (clicked.terms, read))))
+    n_pairs, tasks = pairs.count(), 2 * pairs.sparkSession.sparkContext.defaultParallelism
+    # no more packs than the pairs or the idle cores ask for, as each is given the postings
+    packs = max(1, -(-(n_pairs + clicks.count()) // pack_rows), min(-(-tasks // slices), -(-n_pairs // 16384)))
+    load = pairs.groupBy("user_id").agg(F.count("*").alias("_load"))
+    most = load.agg(F.max("_load")).first()[0] or 0
+    pack = F.pmod(F.xxhash64("user_id"), F.lit(packs))
+    if most <= pack_rows:
+        dealt, known = pairs.withColumn("_pack", pack), clicks.withColumn("_pack", pack)
+    else:
+        cut = load.select(F.col("user_id").alias("_owner"), F.least(F.ceil(F.col("_load") / pack_rows), F.lit(packs)).alias("_parts"))
+        part = F.pmod(F.xxhash64("article_id"), F.col("_parts"))
+        dealt, known = (t.join(cut, F.col("user_id") == F.col("_owner")) for t in (pairs, clicks))
+        dealt = dealt.withColumn("_pack", F.pmod(pack + part, F.lit(packs))).drop("_owner", "_parts")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part")
+        known = known.select("*", every).withColumn("_pack", F.pmod(pack + F.col("_part"), F.lit(packs))).drop("_owner", "_parts", "_part")
+    rows = dealt.select("_pack", "user_id", "article_id", F.lit(None).cast("double").alias("_n")).unionByName(known.select("_pack", "user_id", "article_id", "_n"))
+    rows = rows.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    lists = _by_term(postings, "weight", candidates, slices, packs).withColumn("_asked", F.lit(True)).unionByName(
+        _by_term(clicked.terms, "tf", read, slices, packs).withColumn("_asked", F.lit(False)))
+    types = {c: pairs.schema[c].dataType.simpleString() for c in ("user_id", "article_id")}
+    keys = ["_slice", "_pack"]
+    parts = rows.groupBy(*keys).cogroup(lists.groupBy(*keys)).applyInArrow(
+        _score_slice, f"user_id {types['user_id']}, article_id {types['article_id']}, score double")
+    return parts if slices == 1 else parts.groupBy("user_id", "article_id").agg(F.sum("score").alias("score"))
+
+
+def _article_rows(lists: pa.Table, names: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lists turned round: first place and length of the entries of each named article, and their terms and values."""
+    sizes = pa.compute.list_value_length(lists["articles"]).to_numpy().astype(np.int64)
+    code = pa.compute.index_in(lists["term"].combine_chunks(), vocabulary).to_numpy(zero_copy_only=False)
+    # an article that only another pack asks for is left out
+    article = pa.compute.fill_null(pa.compute.index_in(pa.compute.list_flatten(lists["articles"]).combine_chunks(), names), -1).to_numpy(zero_copy_only=False)
+    term = np.repeat(code, sizes)
+    value = pa.compute.list_flatten(lists["values"]).to_numpy()
+    at = np.argsort(article, kind="stable")
+    at = at[np.searchsorted(article[at], 0):]
+    size = np.bincount(article[at], minlength=len(names)).astype(np.int64)
+    return np.cumsum(size) - size, size, term[at], value[at]
+
+
+def _score_slice(rows: pa.Table, lists: pa.Table) -> pa.Table:
+    asked = pa.compute.is_null(rows["_n"])
+    pairs, clicks = rows.filter(asked), rows.filter(pa.compute.invert(asked))
+    users = pairs["user_id"].combine_chunks().unique()
+    pairs, p_at = _by_user(pairs, users)
+    clicks, c_at = _by_user(clicks.filter(pa.compute.is_in(clicks["user_id"], users)), users)
+    given, met = lists.filter(lists["_asked"]), lists.filter(pa.compute.invert(lists["_asked"]))
+    vocabulary = met["term"].combine_chunks().unique()
+    given = given.filter(pa.compute.is_in(given["term"], vocabulary))  # no user can have the others
+
+    def placed(table: pa.Table, side: pa.Table) -> tuple[np.ndarray, ...]:
+        names = table["article_id"].combine_chunks().unique()
+        row = pa.compute.index_in(table["article_id"].combine_chunks(), names).to_numpy(zero_copy_only=False)
+        first, size, term, value = _article_rows(side, names, vocabulary)
+        return first[row], size[row], term, value
+
+    start, size, term, weight = placed(pairs, given)
+    c_start, c_size, c_term, tf = placed(clicks, met)
+    n = clicks["_n"].to_numpy()
+    score, shared = np.zeros(len(size)), np.zeros(len(size), bool)
+    for u in range(len(users)):
+        times, present = np.zeros(len(vocabulary)), np.zeros(len(vocabulary), bool)
+        mine = np.arange(c_at[u], c_at[u + 1])
+        for a, b in _spans(c_size[mine]):
+            at = _ranges(c_start[mine[a:b]], c_size[mine[a:b]])
+            times += np.bincount(c_term[at], weights=tf[at] * np.repeat(n[mine[a:b]], c_size[mine[a:b]]), minlength=len(times))
+            present[c_term[at]] = True
+        if not present.any():
+            continue
+        for a, b in _spans(size[p_at[u]:p_at[u + 1]]):
+            a, b = p_at[u] + a, p_at[u] + b
+            at = _ranges(start[a:b], size[a:b])
+            pair = np.repeat(np.arange(b - a), size[a:b])
+            score[a:b] = np.bincount(pair, weights=times[term[at]] * weight[at], minlength=b - a)
+            shared[a:b] = np.bincount(pair, weights=present[term[at]], minlength=b - a) > 0
+    out = pa.table([pairs["user_id"], pairs["article_id"], pa.array(score)], names=["user_id", "article_id", "score"])
+    return out.filter(pa.array(shared))
+
+
+def _spans(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    bounds = _cuts(sizes, 1 << 20)
+    return zip(bounds, bounds[1:])
+
+
+def bm25_pairs(pairs: DataFrame, qterms: DataFrame | ClickedTerms, postings: DataFrame, articles: DataFrame,
                out: str = "score") -> DataFrame:
     """(user_id, article_id, out): 0 without shared terms, -inf outside the catalogue."""
-    scores = score_pairs(pairs, qterms, postings).withColumnRenamed("score", "_s")
+    scores = score_clicked(pairs, qterms, postings) if isinstance(qterms, ClickedTerms) else score_pairs(pairs, qterms, postings)
+    scores = scores.withColumnRenamed("score", "_s")
     catalog = articles.select("article_id").distinct().withColumn("_known", F.lit(True))
     rows = pairs.join(scores, ["user_id", "article_id"], "left").join(catalog, "article_id", "left")
     return rows.select("user_id", "article_id", F.when(F.col("_known").isNull(), F.lit(float("-inf")))
                        .otherwise(F.coalesce("_s", F.lit(0.0))).alias(out))
 
 
-def bm25_score_candidates(imp: DataFrame, qterms: DataFrame, postings: DataFrame, articles: DataFrame,
+def bm25_score_candidates(imp: DataFrame, qterms: DataFrame | ClickedTerms, postings: DataFrame, articles: DataFrame,
                           out: str = "score") -> DataFrame:
-    """Score of each shown candidate.
+    """Score of each shown candidate; ``qterms`` are given as a table or as the clicks they come from.
 
     Each (user, article) pair is scored once, however many impressions repeat it,
     and postings of articles that are no candidates are never joined to queries.

@@ -293,7 +293,7 @@ def _split(v):
 
 
 def _combiner_rows(v, imp, hist):
-    uterms = T.user_query(hist, v.dterms)
+    uterms = T.ClickedTerms(hist, v.dterms)
     rows = C.combiner_features(imp, hist, v.docs, v.dvecs, E.entity_mentions(v.docs).select("article_id", "entity_id").distinct(),
                                PR.train_popularity(v.etrain, v.docs), uterms, v.postings)
     return checkpointed(rows.select("impression_id", "position", "user_id", "article_id", "clicked", *C.COMBINER))

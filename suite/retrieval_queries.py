@@ -47,7 +47,7 @@ def _(v):
 
 @query("t6_bm25_candidates", "select impression_id, position::BIGINT as position, article_id, round(bm25, 6) as score from eimp join bm25c using (user_id, article_id)")
 def _(v):
-    rows = T.bm25_score_candidates(v.eimp, v.uterms, v.postings, v.docs)
+    rows = T.bm25_score_candidates(v.eimp, v.clicked_terms, v.postings, v.docs)
     return rows.select("impression_id", i64("position"), "article_id", r6("score"))
 
 
@@ -278,7 +278,7 @@ def _(v):
 # --- blends and combiners ----------------------------------------------------------------
 
 def _combined(v, **kw):
-    return C.combiner_features(v.eimp, v.ehist, v.docs, v.dvecs, PR.entity_sets(v.docs), v.epopularity, v.uterms, v.postings, **kw)
+    return C.combiner_features(v.eimp, v.ehist, v.docs, v.dvecs, PR.entity_sets(v.docs), v.epopularity, v.clicked_terms, v.postings, **kw)
 
 
 @query("c2_blend", """select impression_id, position::BIGINT as position, round(0.5e0 * case when bh - bl < 1e-12 then 0 else (bm25 - bl) / (bh - bl) end
@@ -286,7 +286,7 @@ def _combined(v, **kw):
     select impression_id, position, bm25, cosine, min(bm25) over w as bl, max(bm25) over w as bh, min(cosine) over w as cl, max(cosine) over w as ch
     from eimp join bm25c using (user_id, article_id) join cosc using (user_id, article_id) window w as (partition by impression_id))""")
 def _(v):
-    rows = T.bm25_score_candidates(v.eimp, v.uterms, v.postings, v.docs, out="bm25")
+    rows = T.bm25_score_candidates(v.eimp, v.clicked_terms, v.postings, v.docs, out="bm25")
     rows = E.cosine_candidates(rows, E.pool_mean(v.ehist, v.dvecs), v.dvecs, out="cosine")
     return C.blend(rows, {"bm25": 0.5, "cosine": 0.5}).select("impression_id", i64("position"), r6("score"))
 

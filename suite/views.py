@@ -171,6 +171,10 @@ class Views:
     def uterms(self):
         return T.user_query(self.ehist, self.dterms)
 
+    @cached_property
+    def clicked_terms(self):
+        return T.ClickedTerms(self.ehist, self.dterms)
+
     @cached_property
     def sessions(self):
         from presslens.operators.features import session_features

@@ -111,10 +111,26 @@ def test_blocks_of_users_equal_sums_over_pairs(spark):
                     sums[u, a] = sums.get((u, a), 0.0) + want[u, t] * w
         got = {(r.user_id, r.article_id): r.score for r in T.score_pairs(pairs, queries, postings, rows, 5).collect()}
         assert got.keys() == sums.keys() and all(got[k] == pytest.approx(sums[k]) for k in sums)
+    for limits in ((20, 30), (2_500_000, 6_000_000)):  # pairs a pack, terms a slice
+        got = {(r.user_id, r.article_id): r.score for r in T.score_clicked(pairs, T.ClickedTerms(hist, terms), postings, *limits).collect()}
+        assert got.keys() == sums.keys() and all(got[k] == pytest.approx(sums[k]) for k in sums)
+    for part in ((pairs.limit(0), hist, terms, postings), (pairs, hist.limit(0), terms, postings), (pairs, hist, terms, postings.limit(0))):
+        assert T.score_clicked(part[0], T.ClickedTerms(*part[1:3]), part[3]).count() == 0
     assert T.user_query(hist.limit(0), terms).count() == 0 == T.score_pairs(pairs.limit(0), queries, postings).count()
     assert T.score_pairs(pairs, queries.limit(0), postings).count() == 0 == T.score_pairs(pairs, queries, postings.limit(0)).count()
 
 
+def test_scores_of_clicks_write_no_table_of_users_and_terms(spark, monkeypatch):
+    """Users with the same words: what is stored grows with clicks and pairs, not with users times words."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(500)) + " a1 a2") for i in range(4)], "article_id long, title string")
+    terms, postings = T.doc_terms(docs).cache(), T.bm25_index(docs).cache()
+    hist = spark.createDataFrame([(u, a) for u in range(60) for a in range(4)], "user_id long, article_id long")
+    stored = []
+    monkeypatch.setattr(T, "checkpointed", lambda df, keep=T.checkpointed: stored.append(df.count()) or keep(df))
+    scored = T.bm25_score_candidates(hist.withColumn("position", F.lit(0)), T.ClickedTerms(hist, terms), postings, docs)
+    assert scored.filter("score > 0").count() == 240 and max(stored) <= 240
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([("Æble af RØD_1 the the x-y",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(T.tokenize("t")).collect()] == [["æble", "rød_1", "x", "y"], [], []]
