@@ -61,9 +61,9 @@ class EliasFano:
         buckets = int(np.searchsorted(zeros - np.arange(len(zeros)), self.n))  # zeros that stand before the last one
         below = wanted < _U(self.base)
         x = np.where(below, _U(0), wanted - _U(self.base))
-        above = (x >> _U(self.bits)).astype(np.int64)
-        beyond = above > buckets
-        above = np.minimum(above, buckets)
+        above = x >> _U(self.bits)  # may need all 64 bits
+        beyond = above > _U(buckets)
+        above = np.minimum(above, _U(buckets)).astype(np.int64)
         starts = np.concatenate([[0], zeros[:buckets] - np.arange(buckets)])
         ends = np.append(starts[1:], self.n)
         a, b = starts[above], ends[above]

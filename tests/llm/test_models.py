@@ -199,6 +199,12 @@ def test_elias_fano_search(values, wanted):
     assert found.tolist() == np.isin(w, v[:half]).tolist()
 
 
+def test_elias_fano_search_beyond_half_the_range():
+    code = EliasFano.of(np.array([0], np.uint64))
+    place, found = code.successors(np.array([2**63, 2**64 - 1, 0], np.uint64))
+    assert place.tolist() == [1, 1, 0] and found.tolist() == [False, False, True]
+
+
 def brute_links(vectors, least=0.9):
     ok = [v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v) for v in vectors]
     label, links = list(range(len(vectors))), [0] * len(vectors)
