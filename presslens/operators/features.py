@@ -22,6 +22,8 @@ LAST_CLICKS = 5
 HOT_VECTORS = 100_000
 #: Slices of time a lookback of a hot key is cut into.
 SLICES = 256
+#: Masses nearer than this count as equal: they are sums of rounded logarithms, whose last digits tell nothing.
+SAME_MASS = 1e-12
 
 # fixed values: feature names in model order
 LONG_TERM = ["lt_cat_affinity", "lt_subcat_affinity", "lt_topic_affinity", "lt_embed_sim", "lt_cat_rank",
@@ -146,13 +148,18 @@ def _ranks(grid: DataFrame, group: list[str]) -> DataFrame:
 
     ``grid`` holds the values a group has read (mass > 0) and those asked for (mass 0).
     Read values go first by mass, ties by code. An unread value comes after them, at
-    its code minus the number of read codes below it.
+    its code minus the number of read codes below it. Neighbours by mass that are less than
+    ``SAME_MASS`` apart are tied.
     """
     read = F.col("mass") > 0
     n_read = F.count_if(read).over(W.partitionBy(*group))
-    by_mass = F.row_number().over(W.partitionBy(*group).orderBy(F.col("mass").desc(), "code")) - 1
+    down = W.partitionBy(*group).orderBy(F.col("mass").desc(), "code")
+    lower = F.lag("mass").over(down) - F.col("mass") > F.lit(SAME_MASS)
+    tied = grid.withColumn("_lower", F.when(lower, 1).otherwise(0)).withColumn(
+        "_tie", F.sum("_lower").over(down.rowsBetween(W.unboundedPreceding, 0)))
+    by_mass = F.row_number().over(W.partitionBy(*group).orderBy(read.desc(), "_tie", "code")) - 1
     below = F.count_if(read).over(W.partitionBy(*group).orderBy("code").rowsBetween(W.unboundedPreceding, 0))
-    return grid.withColumn("rank", F.when(read, by_mass.cast("long")).otherwise(n_read + F.col("code") - below))
+    return tied.withColumn("rank", F.when(read, by_mass.cast("long")).otherwise(n_read + F.col("code") - below)).drop("_lower", "_tie")
 
 
 def category_rank_pairs(pairs: DataFrame, hist: DataFrame, articles: DataFrame, vocab: DataFrame,
@@ -160,7 +167,7 @@ def category_rank_pairs(pairs: DataFrame, hist: DataFrame, articles: DataFrame,
     """(user_id, article_id, out): rank of the article's category in the user's preference (0 = best)."""
     codes = vocab.select(F.col("value").alias("category"), F.col("code").cast("long").alias("code"))
     cats = category_of(articles).join(codes, "category")
-    # decimals add up to the same in any order: categories with equal weight stay equal
+    # decimals add up to the same in any order
     read = hist.join(cats.select("article_id", "category"), "article_id").groupBy("user_id", "category").agg(
         F.sum(engagement().cast("decimal(38,18)")).alias("mass"))
     wanted = pairs.join(hist.select("user_id").distinct(), "user_id").join(cats, "article_id")

@@ -152,3 +152,13 @@ def test_written_lines_are_counted_once(spark, tmp_path):
     ranked = spark.createDataFrame([(1, 0, 2), (1, 1, 1), (2, 0, 1)], "impression_id long, position int, rank int")
     assert S.write_predictions(ranked, str(tmp_path / "out")) == 2
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["1 [2,1]", "2 [1]"]
+
+
+def test_categories_of_equal_weight_go_by_code(spark):
+    # 23 * 36 = 18 * 46: the sums of logarithms are equal, their last digits are not
+    times = {1: {"a": (17.0, 45.0), "b": (22.0, 35.0), "c": (60.0, 60.0)}, 2: {"a": (22.0, 35.0), "b": (17.0, 45.0), "c": (1.0, 1.0)}}
+    articles = spark.createDataFrame([(i, c) for i, c in enumerate("abc")], "article_id long, category string")
+    hist = spark.createDataFrame([(u, "abc".index(c), t) for u, read in times.items() for c, ts in read.items() for t in ts], "user_id long, article_id long, read_time double")
+    imp = spark.createDataFrame([(u, u, a, a) for u in times for a in range(3)], "impression_id long, user_id long, article_id long, position int")
+    rows = K.category_rank(imp, hist, articles, P.fit_vocab(articles, "category")).collect()
+    assert {(r.user_id, r.article_id): r.lt_cat_rank for r in rows} == {(1, 2): 0, (1, 0): 1, (1, 1): 2, (2, 0): 0, (2, 1): 1, (2, 2): 2}
