@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from presslens.session import prepare_session
+from presslens.session import prepare_click_log_session
 from suite.views import Views, with_views
 
 QUERIES: dict = {}
@@ -15,7 +15,7 @@ def query(name: str, sql: str | None = None, whole: bool = False):
     """``whole``: the impressions are all orders, not only those of the evaluation window."""
     def register(fn):
         def run(spark, sf_dir) -> DataFrame:
-            return fn(Views(prepare_session(spark), sf_dir, whole))
+            return fn(Views(prepare_click_log_session(spark), sf_dir, whole))
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
         if sql is not None:

@@ -162,3 +162,15 @@ def test_categories_of_equal_weight_go_by_code(spark):
     imp = spark.createDataFrame([(u, u, a, a) for u in times for a in range(3)], "impression_id long, user_id long, article_id long, position int")
     rows = K.category_rank(imp, hist, articles, P.fit_vocab(articles, "category")).collect()
     assert {(r.user_id, r.article_id): r.lt_cat_rank for r in rows} == {(1, 2): 0, (1, 0): 1, (1, 1): 2, (2, 0): 0, (2, 1): 1, (2, 2): 2}
+
+
+def test_a_shuffle_gets_more_tasks_as_it_grows(spark):
+    from presslens import session
+    names = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    try:
+        session.prepare_click_log_session(spark)
+        rows = spark.range(12_000_000).select(F.rand(1).alias("x")).repartition("x")  # about 100 MB for 4 configured partitions
+        assert rows.rdd.getNumPartitions() >= 6
+    finally:
+        for name in names:
+            spark.conf.unset(name)
