@@ -419,3 +419,32 @@ def test_popularity_and_leak(spark):
     raw = spark.createDataFrame([(1, 0, 0.0, 5.0), (2, 9, None, 5.0), (3, 99, 4.0, 5.0)], "article_id long, total_inviews long, total_pageviews double, total_read_time double")
     leak = {r.article_id: r.leak for r in PR.leak_score(raw).collect()}
     assert leak[1] == 0.0 and leak[2] == pytest.approx((0.5 + math.log1p(2) / math.log1p(4)) / 3) and leak[3] == pytest.approx(2 / 3)
+
+
+@pytest.mark.parametrize("rows,wide,k,digits", [(50, 300, 10, 1), (9, 3000, 5, 2), (9, 3001, 5, 15), (3, 1, 3, 3), (0, 5, 2, 1)])
+def test_block_top_sorts_few_columns_and_keeps_ties(rows, wide, k, digits, monkeypatch):
+    rng = np.random.default_rng(wide)
+    scores = np.round(rng.standard_normal((rows, wide)), digits)
+    scores[:1, :1] = -np.inf
+    ids, ties = rng.permutation(wide), rng.integers(0, 4, wide)
+    order = np.lexsort((ids, ties))
+    want = order[np.argsort(-np.round(scores, 9)[:, order], axis=1, kind="stable")[:, :k]]
+    sorted_, sort = [0], np.lexsort
+
+    def counted(keys, **options):
+        sorted_[0] += len(keys[-1])
+        return sort(keys, **options)
+
+    monkeypatch.setattr(np, "lexsort", counted)
+    got = T.block_top(scores, ids, ties, k, most=1000)
+    assert got[0].tolist() == np.repeat(np.arange(rows), min(k, wide)).tolist() and got[1].tolist() == want.ravel().tolist()
+    assert wide < 3000 or digits < 15 or sorted_[0] < wide + rows * wide // 20  # not the whole block
+
+
+def test_knn_in_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((90, 4)))], "article_id long, vec array<double>")
+    queries = vecs.selectExpr("article_id as query_id", "vec")
+    whole = sorted(map(tuple, E.knn(queries, vecs, 3).collect()))
+    monkeypatch.setattr(E, "HELD_SCORES", 200)
+    assert sorted(map(tuple, E.knn(queries, vecs, 3).collect())) == whole
