@@ -459,3 +459,14 @@ def test_short_lists_leave_a_block_once(spark, monkeypatch):
     monkeypatch.setattr(Q, "top_k", lambda df, *a: rows.append(df.count()) or df.withColumn("rank", F.lit(1)))
     Q.short_list(queries, index, 12, 5).count()
     assert rows == [40 * 5]  # not 5 for each of 12 cells
+
+
+def test_long_lists_have_the_same_features(spark, vecs, world, monkeypatch):
+    """Lists that are too long for one task go by another way; the others are ranked where their rows are, without storing the frame."""
+    from presslens.functions import grouping
+    stored, original = [], K.checkpointed
+    monkeypatch.setattr(K, "checkpointed", lambda df: stored.append(df.columns) or original(df))
+    want = frame(spark, vecs, world)
+    assert not any("title_len" in c for c in stored)
+    monkeypatch.setattr(grouping, "HOT_ROWS", 2)
+    assert frame(spark, vecs, world) == want and any("title_len" in c for c in stored)

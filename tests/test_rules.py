@@ -174,3 +174,49 @@ def test_a_shuffle_gets_more_tasks_as_it_grows(spark):
     finally:
         for name in names:
             spark.conf.unset(name)
+
+
+def _interest_world(spark, seed):
+    """Clicks and impressions of a few users; articles without vector, with several or null topics, unknown ids, a category outside the vocabulary."""
+    rng = random.Random(seed)
+    docs = spark.createDataFrame([(i, rng.choice(["c1", "c2", "c3", "c4", "odd", None])) for i in range(40)], "article_id long, category string")
+    subs = spark.createDataFrame([(i, rng.choice(["s1", "s2", None])) for i in range(40) for _ in range(i % 3)], "article_id long, subcategory string")
+    tops = spark.createDataFrame([(i, rng.choice("pqrst")) for i in range(38) for _ in range(i % 4)] + [(99, "p")], "article_id long, topic string")
+    vecs = spark.createDataFrame([(i, [rng.choice([0.1, 0.5, -0.25, 0.0]) for _ in range(3)]) for i in range(36)] + [(36, [0.0, 0.0, 0.0])], "article_id long, vec array<double>")
+    vocab = spark.createDataFrame([(c, i) for i, c in enumerate(["__unknown__", "c1", "c2", "c3", "c4", "never"])], "value string, code long")
+    start = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, s) as"
+    hist = spark.createDataFrame([(rng.choice([1, 1, 2, 3, 4]), i, rng.choice([*range(40), 99]), rng.randrange(0, 2_000_000) // 7000 * 7000, rng.choice([1.0, 30.0, None]))
+                                  for i in range(150)], "user_id long, pos long, article_id long, s int, read_time double").selectExpr("*", f"{start} click_time").drop("s")
+    imp = spark.createDataFrame([(m, rng.choice([1, 2, 3, 4, 5]), t) for m in range(40) for t in [rng.randrange(0, 2_400_000) // 7000 * 7000]], "impression_id long, user_id long, s int")
+    imp = imp.selectExpr("impression_id", "user_id", f"{start} impression_time", "explode(transform(sequence(0, 4), x -> pmod(hash(impression_id, x), 44))) as article_id")
+    return imp.selectExpr("impression_id", "user_id", "impression_time", "cast(article_id as long) as article_id"), hist, docs, subs, tops, vecs, vocab
+
+
+@pytest.mark.parametrize("rows, pairs, held", [(524_288, 1 << 23, 1 << 16), (524_288, 1 << 23, 2), (240, 1 << 23, 1 << 16), (524_288, 1500, 1 << 16)])
+def test_interest_in_packs_equals_joins(spark, rows, pairs, held, monkeypatch):
+    """Whatever part of the users is too large for a pack."""
+    from presslens.operators import interest
+
+    imp, *tables, vocab = _interest_world(spark, 3)
+    cand = K.with_second(imp).select(*K.MOMENT)
+    pick = lambda df: {tuple(r)[:len(r) - 5 if "st_cat_rank" in df.columns else 2]: tuple(r)[len(r) - 5 if "st_cat_rank" in df.columns else 2:] for r in df.collect()}
+    short, long = pick(K._short_term_joined(cand, *tables, vocab, 604_800, 86_400.0)), pick(K._long_term_joined(K.pairs_of(imp), *tables))
+    monkeypatch.setattr(interest, "PACK_ROWS", rows)
+    monkeypatch.setattr(interest, "WINDOW_PAIRS", pairs)
+    monkeypatch.setattr(interest, "HELD_CLICKS", held)
+    for want, got in ((short, pick(K.short_term_moments(imp, *tables, vocab))), (long, pick(K.long_term_pairs(K.pairs_of(imp), *tables)))):
+        assert got.keys() == want.keys() and len(want) > 100
+        assert any(v[3] for v in want.values()) and any(v[2] for v in want.values())
+        for key, values in want.items():
+            assert [x is None for x in values] == [x is None for x in got[key]], key
+            assert [x or 0 for x in values] == pytest.approx([x or 0 for x in got[key]], abs=1e-9), key
+
+
+def test_candidates_carry_no_vectors_or_values(spark, monkeypatch):
+    """Long and short interest: a row for each candidate, not one for each of its values or with its vector."""
+    imp, *tables, vocab = _interest_world(spark, 4)
+    seen, original = [], K.checkpointed
+    monkeypatch.setattr(K, "checkpointed", lambda df: seen.append(df.columns) or original(df))
+    K.short_term_moments(imp, *tables, vocab).count()
+    K.long_term_pairs(K.pairs_of(imp), *tables).count()
+    assert seen and not any({"value", "vec", "_x", "_v"} & set(c) for c in seen)
