@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from presslens.functions.expr import epoch_seconds, prefix_id
-from presslens.functions.grouping import scratch_folder
+from presslens.functions.grouping import checkpointed, scratch_folder
 from presslens.operators import audit as V, prepare as P, profiles as PR, sampling as L
 from presslens.sources import readers as R, sinks as S
 from suite.registry import i64, long_vec, query, r6, whole_query
@@ -142,7 +142,7 @@ def _(v):
     base = scratch_folder(v.spark, "stream")
     packed = v.imp.groupBy("impression_id", "user_id", "impression_time").agg(
         F.array_sort(F.collect_list(F.struct("position", "article_id"))).alias("_a"))
-    packed = packed.select("impression_id", "user_id", "impression_time", F.transform("_a", lambda x: x["article_id"]).alias("article_ids_inview"))
+    packed = checkpointed(packed.select("impression_id", "user_id", "impression_time", F.transform("_a", lambda x: x["article_id"]).alias("article_ids_inview")))
     part = F.pmod(F.col("impression_id"), F.lit(5))
     for arriving, name, files in ((part < 3, "first", 1), (part.isin(2, 3), "second", 3), (part.isin(0, 4), "third", 2)):
         packed.filter(arriving).repartition(3).write.mode("append").parquet(f"{base}/in")

@@ -170,3 +170,29 @@ def test_minmax_and_gate(spark):
     rows = rows.withColumns({c: F.lit(1.0) for c in C.COMBINER[3:]})
     got = [r.score for r in C.gated_score(rows, [1.0, -1.0, 1, 1, 1, 1, 1], 0.5).collect()]
     assert got == [inf, inf, 5.5]
+
+
+def test_candidates_are_computed_once(spark, monkeypatch):
+    """Scores, arms, lines and popularity read a stored table, however many metrics look at it."""
+    from presslens.operators import metrics as M, profiles as PR
+    from presslens.plans import evaluate as EV
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(rows):
+        def run(frames):
+            for f in frames:
+                seen.add(len(f))
+                yield f
+        return rows.mapInPandas(run, rows.schema)
+
+    rows = spark.createDataFrame([(i, i % 4, i * 10 + p, p, int((i + p) % 3 == 0)) for i in range(30) for p in range(5)],
+                                 "impression_id long, user_id long, article_id long, position int, clicked int")
+    scorers = {"a": lambda r: r.withColumn("score", F.col("position").cast("double")), "b": lambda r: r.withColumn("score", F.col("article_id") % 7 * 1.0)}
+    EV.evaluate_arms(watched(rows), scorers, ["a"], 8).collect()
+    assert seen.value == 150
+    lines = rows.select("impression_id", "position", F.col("clicked").alias("label"), (F.col("position") + 1).cast("long").alias("rank"))
+    M.official_scores(watched(lines)).collect()
+    assert seen.value == 300
+    PR.popularity_score(rows, PR.train_popularity(watched(rows), rows.select("article_id"))).collect()
+    assert seen.value == 450
