@@ -470,3 +470,54 @@ def test_long_lists_have_the_same_features(spark, vecs, world, monkeypatch):
     assert not any("title_len" in c for c in stored)
     monkeypatch.setattr(grouping, "HOT_ROWS", 2)
     assert frame(spark, vecs, world) == want and any("title_len" in c for c in stored)
+
+
+def test_long_queries_are_scored_in_blocks(spark, monkeypatch):
+    """Queries of very many words: the same lists, and no stored table of all pairs of query and article."""
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(60) for _ in range(1 + 60 // (i + 1))]
+    docs = spark.createDataFrame([(i, " ".join(rnd.choices(words, k=rnd.randrange(0, 60)))) for i in range(90)], "article_id long, title string").cache()
+    queries, postings = q(spark, *[" ".join(rnd.choices(words, k=200)) for _ in range(150)], "nothing known").cache(), T.bm25_index(docs).cache()
+    stored, original = [], T.checkpointed
+    monkeypatch.setattr(T, "checkpointed", lambda df: stored.append(original(df)) or stored[-1])
+    pick = lambda df: {(r.query_id, r["rank"]): (r.article_id, round(r.score, 8)) for r in df.collect()}
+    monkeypatch.setattr(T, "MET_POSTINGS", 10**9)
+    want, most = pick(T.bm25_top_k(queries, postings, docs, 80)), max(t.count() for t in stored)
+    stored.clear()
+    monkeypatch.setattr(T, "MET_POSTINGS", 2)
+    monkeypatch.setattr(T, "HELD_QUERIES", 3)
+    monkeypatch.setattr(T, "HELD_POSTINGS", 40)
+    got = pick(T.bm25_top_k(queries, postings, docs, 80))
+    assert got == want and len(want) == 150 * 80
+    assert most >= 150 * 80 > max(t.count() for t in stored)
+
+
+def test_word_vectors_have_a_bounded_vocabulary(spark, monkeypatch):
+    """However many words there are, the model has no more than MAX_WORDS, and each text with a word that occurs twice has a vector."""
+    from pyspark.ml.feature import Word2Vec
+
+    rnd = random.Random(2)
+    texts = [(i, " ".join(f"w{rnd.randrange(0, 400)}" for _ in range(12)) + " top best") for i in range(150)] + [(150, "alone"), (151, None), (151, "w1 w1")]
+    docs = spark.createDataFrame(texts, "article_id long, title string")
+    counts = {}
+    for _, t in texts:
+        for w in (t or "").split():
+            counts[w] = counts.get(w, 0) + 1
+    sizes, original = [], Word2Vec.fit
+
+    def watched(self, rows, *rest):
+        model = original(self, rows, *rest)
+        sizes.append((model.getVectors().count(), self.getNumPartitions()))
+        return model
+
+    monkeypatch.setattr(Word2Vec, "fit", watched)
+    monkeypatch.setattr(E, "OWN_WORDS", 40, raising=False)
+    monkeypatch.setattr(E, "MAX_WORDS", 60, raising=False)
+    monkeypatch.setattr(E, "TASK_WORDS", 1000, raising=False)
+    got = E.encode_text(docs, dim=8).collect()
+    assert 50 < sizes[0][0] <= 60 and sizes[0][1] == 3
+    want = sorted((i, any(counts[w] > 1 for w in (t or "").split())) for i, t in texts)
+    assert sorted((r.article_id, r.vec is not None) for r in got) == want
+    assert all(abs(sum(x * x for x in r.vec) - 1) < 1e-9 for r in got if r.vec is not None)
+    monkeypatch.setattr(E, "MAX_WORDS", 10_000)
+    assert len(E.encode_text(docs, dim=8).collect()) == 153 and sizes[1][0] == sum(n > 1 for n in counts.values())
