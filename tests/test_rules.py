@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from presslens.functions import grouping as G
 from presslens.operators import features as K, models as C, prepare as P, text as T, vectors as E
 from presslens.sources import readers as R, sinks as S
 
@@ -23,6 +24,31 @@ def test_a_vocabulary_of_any_size_stays_nominal(spark):
     assert min(scores[c] for c in hit) > max(v for c, v in scores.items() if c not in hit)
 
 
+def test_columns_with_one_value_cost_the_trees_nothing(spark):
+    rng = random.Random(2)
+    rows = [(i, i % 6, rng.random(), None if i % 3 else rng.random(), 1.0, None, 4, int(rng.random() < 0.2 + 0.6 * (i % 6 in (1, 4))), rng.random() < 0.2)
+            for i in range(2000)]
+    df = spark.createDataFrame(rows, "impression_id int, code long, x double, y double, one double, none double, kind long, clicked int, is_stop boolean").coalesce(2)
+    options = {"categorical": ["code", "kind"], "max_iter": 4, "max_depth": 3}
+    model, prepare, inputs = C.fit_gbt(df, ["code", "x", "y", "one", "none", "kind"], **options)
+    lean, prepare_lean, few = C.fit_gbt(df, ["code", "x", "y"], **options)
+    assert model.numFeatures == 4 and inputs[:4] == ["x", "y", "y_missing", "code"]
+    assert sorted(inputs[4:]) == ["kind", "none", "none_missing", "one", "one_missing", "x_missing"] and few == [*inputs[:4], "x_missing"]
+    assert model.toDebugString.split("\n")[1:] == lean.toDebugString.split("\n")[1:]
+    later = df.withColumns({"one": F.lit(7.0), "none": F.lit(1.0), "kind": F.lit(9).cast("long")})
+    assert [r.score for r in C.apply_model(model, prepare(later)).orderBy("impression_id").collect()] == [
+        r.score for r in C.apply_model(lean, prepare_lean(df)).orderBy("impression_id").collect()]
+    importance = C.feature_importance(spark, model, inputs).collect()
+    assert len(importance) == 10 and all(r.importance == 0.0 for r in importance if r.feature in inputs[4:])
+
+
+def test_a_stored_table_reads_only_the_part_asked_for(spark):
+    stored = G.checkpointed(spark.range(10).withColumn("part", (F.col("id") % 2).cast("int")), "part")
+    odd = stored.filter("part = 1")
+    assert [r.id for r in odd.orderBy("id").collect()] == [1, 3, 5, 7, 9] and stored.columns == ["id", "part"]
+    assert {r.f.split("/")[-2] for r in odd.select(F.input_file_name().alias("f")).collect()} == {"part=1"}
+
+
 def test_history_parts_keep_positions(spark):
     clicks = spark.createDataFrame([(u, k, 100 * u + k) for u in (1, 2) for k in range(3 + 4 * u)], "user_id long, pos long, article_id long")
     parts = P.recover_history_arrays(clicks, {"article_id": "ids"}, part_size=2)
