@@ -92,24 +92,69 @@ def user_query(hist: DataFrame, terms: DataFrame, block_rows: int = 16384) -> Da
     """(user_id, term, qtf): the tokens of all clicked articles, repeated clicks counting again.
 
     Clicked articles are dealt to blocks of users, and a block gets the terms of its articles once
-    each; counts are added inside the block, so what leaves it is the result. A user with more than
+    each, compressed; counts are added inside the block, so what leaves it is the result. A user with more than
     ``block_rows`` articles is spread over several blocks whose counts are added afterwards.
     """
     clicks = checkpointed(hist.filter(F.col("article_id").isNotNull()).groupBy("user_id", "article_id").agg(F.count("*").alias("_n")))
     dealt, _, cut = owner_blocks(clicks, "user_id", "article_id", block_rows)
     user_type, keys = clicks.schema["user_id"].dataType.simpleString(), ["_pack", "_part"]
-    counts = dealt.groupBy(*keys).cogroup(_term_lists(terms, "tf", dealt).groupBy(*keys)).applyInArrow(
+    id_type = terms.schema["article_id"].dataType.simpleString()
+    lists = terms.filter(F.col("term").isNotNull() & F.col("article_id").isNotNull()).select(
+        "article_id", "term", F.coalesce(F.col("tf").cast("double"), F.lit(0.0)).alias("tf")).mapInArrow(
+        _pack_terms, f"article_id {id_type}, n int, size int, packed binary")
+    found = dealt.select(*keys, "article_id").distinct().join(lists, "article_id")
+    # fresh names, as both sides of a block come from the same pairs
+    found = found.select(*[F.col(c).alias(c) for c in (*keys, "article_id", "n", "size", "packed")])
+    counts = dealt.groupBy(*keys).cogroup(found.groupBy(*keys)).applyInArrow(
         _count_block, f"user_id {user_type}, term string, qtf long")
     return counts.groupBy("user_id", "term").agg(F.sum("qtf").alias("qtf")) if cut else counts
 
 
+def _pack_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One compressed row (word lengths, counts, words) for the terms that a batch has of an article."""
+    for batch in batches:
+        names = batch["article_id"].dictionary_encode()
+        rows = pa.table({"code": names.indices, "term": batch["term"], "tf": batch["tf"]}).sort_by([("code", "ascending"), ("term", "ascending")])
+        words = rows["term"].combine_chunks().cast(pa.large_binary())
+        ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+        tf, data = rows["tf"].to_numpy(), memoryview(words.buffers()[2] or b"")
+        n = np.bincount(rows["code"].to_numpy(), minlength=len(names.dictionary))
+        parts, sizes, start = [], [], 0
+        for end in np.cumsum(n):
+            raw = np.diff(ends[start:end + 1]).astype(np.int32).tobytes() + tf[start:end].tobytes() + bytes(data[ends[start]:ends[end]])
+            parts.append(pa.compress(raw, codec="zstd", asbytes=True))
+            sizes.append(len(raw))
+            start = end
+        yield pa.RecordBatch.from_arrays([names.dictionary, pa.array(n, pa.int32()), pa.array(sizes, pa.int32()), pa.array(parts, pa.binary())],
+                                         ["article_id", "n", "size", "packed"])
+
+
+def _unpacked(lists: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.LargeStringArray, np.ndarray]:
+    """(articles, first place and number of the terms of each, terms, counts); an article may come in several rows."""
+    names = lists["article_id"].combine_chunks().dictionary_encode()
+    code, n = names.indices.to_numpy(zero_copy_only=False), lists["n"].to_numpy().astype(np.int64)
+    order = np.argsort(code, kind="stable")
+    lengths, counts, words = [np.zeros(1, np.int64)], [np.empty(0)], []
+    packed, raw_size = lists["packed"], lists["size"].to_numpy()
+    for i in order:
+        raw = pa.decompress(packed[int(i)].as_buffer(), int(raw_size[i]), codec="zstd", asbytes=True)
+        lengths.append(np.frombuffer(raw, np.int32, n[i]))
+        counts.append(np.frombuffer(raw, np.float64, n[i], 4 * n[i]))
+        words.append(raw[12 * n[i]:])
+    ends = np.cumsum(np.concatenate(lengths), dtype=np.int64)
+    terms = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(b"".join(words)))
+    sizes = np.bincount(code, weights=n, minlength=len(names.dictionary)).astype(np.int64)
+    return names.dictionary, np.cumsum(sizes) - sizes, sizes, terms, np.concatenate(counts)
+
+
 def _count_block(clicks: pa.Table, lists: pa.Table) -> pa.Table:
     users = clicks["user_id"].combine_chunks().unique()
     clicks, at = _by_user(clicks, users)
-    start, size = _lists_of(lists, clicks["article_id"].combine_chunks())
-    words = lists["terms"].combine_chunks().flatten().dictionary_encode()
-    code, known = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(words.dictionary))
-    tf, n = lists["values"].combine_chunks().flatten().to_numpy(zero_copy_only=False), clicks["_n"].to_numpy()
+    articles, firsts, sizes, terms, tf = _unpacked(lists)
+    row = pa.compute.fill_null(pa.compute.index_in(clicks["article_id"].combine_chunks(), articles), -1).to_numpy(zero_copy_only=False)
+    start, size = (np.where(row >= 0, np.append(x, 0)[row], 0) for x in (firsts, sizes))
+    words = terms.dictionary_encode()
+    code, known, n = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(words.dictionary)), clicks["_n"].to_numpy()
     of_user = np.repeat(np.arange(len(users)), np.diff(at))
     bounds = _cuts(np.add.reduceat(np.append(size, 0), at[:-1]) if len(users) else size, 1 << 20)
     parts = []
@@ -120,7 +165,7 @@ def _count_block(clicks: pa.Table, lists: pa.Table) -> pa.Table:
         qtf = np.bincount(which, weights=tf[place] * np.repeat(n[mine], size[mine]), minlength=len(pairs))
         parts.append((pairs, qtf))
     pairs, qtf = (np.concatenate([np.empty(0, t), *x]) for t, x in zip((np.int64, float), zip(*parts))) if parts else (np.empty(0, np.int64), np.empty(0))
-    return pa.table([users.take(pa.array(pairs // known)), words.dictionary.take(pa.array(pairs % known)), pa.array(qtf.astype(np.int64))],
+    return pa.table([users.take(pa.array(pairs // known)), words.dictionary.take(pa.array(pairs % known)).cast(pa.string()), pa.array(qtf.astype(np.int64))],
                     names=["user_id", "term", "qtf"])
 
 

@@ -120,6 +120,34 @@ def test_blocks_of_users_equal_sums_over_pairs(spark):
     assert T.score_pairs(pairs, queries.limit(0), postings).count() == 0 == T.score_pairs(pairs, queries, postings.limit(0)).count()
 
 
+def test_terms_of_clicked_articles_travel_compressed(spark):
+    """Also when the rows of an article come in several batches and terms are odd."""
+    import pyarrow as pa
+    rnd = random.Random(5)
+    words = ["", "\u00e6\u00f8", "\u65e5\u672c", "a b", "x\0y", "long" * 3000, *[f"word{i}" for i in range(300)]]
+    rows = [(f"d{a}", w, rnd.choice([1, 1, 1, 2, 70_000])) for a in range(12) for w in rnd.sample(words, 200)]
+    rnd.shuffle(rows)
+    clicks = [(rnd.randrange(4), f"d{rnd.randrange(14)}") for _ in range(60)]
+    want = Counter()
+    for u, a in clicks:
+        for b, w, tf in rows:
+            if a == b:
+                want[u, w] += tf
+    terms = spark.createDataFrame([*rows, ("d1", None, 1), (None, "word1", 1)], "article_id string, term string, tf long").repartition(3)
+    hist = spark.createDataFrame(clicks, "user_id long, article_id string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for records in ("7", old):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+        try:
+            for limit in (20, 16384):
+                assert {(r.user_id, r.term): r.qtf for r in T.user_query(hist, terms, limit).collect()} == want
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    batch = pa.RecordBatch.from_pydict({"article_id": ["a"] * 300, "term": words[6:], "tf": [1.0] * 300})
+    packed, = T._pack_terms(iter([batch]))
+    assert packed.num_rows == 1 and len(packed["packed"][0].as_py()) < 0.4 * sum(map(len, words[6:]))
+
+
 def test_scores_of_clicks_write_no_table_of_users_and_terms(spark, monkeypatch):
     """Users with the same words: what is stored grows with clicks and pairs, not with users times words."""
     docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(500)) + " a1 a2") for i in range(4)], "article_id long, title string")
