@@ -42,7 +42,7 @@ def checkpointed(df: DataFrame, by: str | None = None) -> DataFrame:
     With ``by`` each value of that column has a folder of its own, and a filter on it reads no other.
     """
     folder = scratch_folder(df.sparkSession, "table")
-    (df.write.partitionBy(by) if by else df.write).parquet(folder)
+    (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

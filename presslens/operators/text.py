@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import pyarrow.ipc  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from presslens.functions.blocks import block_pairs, owner_blocks
@@ -39,8 +40,8 @@ FIRST_POSTINGS = 64
 MET_POSTINGS = 100
 #: Queries, scores and postings of a block that are worked on at once.
 HELD_QUERIES, HELD_SCORES, HELD_POSTINGS = 16, 1 << 22, 1 << 15
-#: Articles of a term that travel as one row, about.
-LIST_ROWS = 65_536
+#: Counts of terms of several users that are worked on at once.
+HELD_TIMES = 1 << 20
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
@@ -453,107 +454,240 @@ class ClickedTerms:
     terms: DataFrame
 
 
-def _by_term(table: DataFrame, value: str, articles: DataFrame, slices: int, packs: int) -> DataFrame:
-    """(_slice, _pack, term, articles, values): the articles of each term, once for every pack, in rows of bounded length."""
-    rows = table.filter(F.col("term").isNotNull()).select(F.col("article_id").alias("article_id"), F.col("term").alias("term"),
-                                                          F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v"))
-    rows = rows.join(articles, "article_id", "left_semi").withColumn("_cut", F.pmod(F.xxhash64("article_id"), F.lit(articles.count() // LIST_ROWS + 1)))
-    lists = rows.groupBy("term", "_cut").agg(F.collect_list(F.struct("article_id", "_v")).alias("_l"))
-    return lists.select(F.pmod(F.xxhash64("term"), F.lit(slices)).alias("_slice"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long"))).alias("_pack"),
-                        "term", F.col("_l.article_id").alias("articles"), F.col("_l._v").alias("values"))
+def _zipped(table: pa.Table) -> bytes:
+    """The table as one compressed value; a column of terms is best given as a dictionary."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
-def score_clicked(pairs: DataFrame, clicked: ClickedTerms, postings: DataFrame, pack_rows: int = 2_500_000,
-                  slice_terms: int = 6_000_000) -> DataFrame:
-    """:func:`score_pairs` for the words of the articles each user has clicked, whose counts are added where they are used.
+def _unzipped(value: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(value.as_buffer()).read_all()
+
+
+def _by_slice(batches: Iterator[pa.RecordBatch], at_once: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """One compressed row for each slice of about ``at_once`` rows (_slice, _asked, article_id, term, value)."""
+    held: list[pa.RecordBatch] = []
+
+    def flushed() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        rows = rows.take(np.argsort(rows["_slice"].to_numpy(), kind="stable"))
+        names, at, n = np.unique(rows["_slice"].to_numpy(), return_index=True, return_counts=True)
+        parts = (rows.slice(a, k).select(["article_id", "term", "value"]).combine_chunks() for a, k in zip(at.tolist(), n.tolist()))
+        packed = [_zipped(t.set_column(1, "term", t["term"].combine_chunks().dictionary_encode())) for t in parts]
+        asked = pa.array([held[0]["_asked"][0].as_py()] * len(packed), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(names), asked, pa.array(packed, pa.binary())], ["_slice", "_asked", "packed"])
 
-    Terms are dealt to slices and users to packs. A block (slice, pack) reads the clicks and pairs of its
-    users and, once each, the articles of its terms; what leaves it is its share of the pairs' scores.
-    Tables of postings are thus copied once a pack, clicks and pairs once a slice: neither is multiplied by the other.
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(x.num_rows for x in held) >= at_once:
+            yield flushed()
+            held.clear()
+    if held:
+        yield flushed()
+
+
+def _turned_round(rows: pa.Table) -> pa.Table:
+    """One row for a slice: the articles of each side with the terms that the other side has too, as numbers inside the slice."""
+    sides = {asked: [_unzipped(x) for x in rows.filter(pa.compute.equal(rows["_asked"], asked))["packed"]] for asked in (True, False)}
+
+    def words(tables: list[pa.Table]) -> pa.Array:
+        return pa.chunked_array([c.dictionary for t in tables for c in t["term"].chunks], pa.string()).unique()
+
+    given, met = (words(sides[asked]) for asked in (True, False))
+    vocabulary = met.filter(pa.compute.is_in(met, given))
+    out: dict[str, list] = {"known": [len(vocabulary)]}
+    for name, asked in (("given", True), ("met", False)):
+        codes = [pa.compute.fill_null(pa.compute.index_in(c.dictionary, vocabulary), -1).to_numpy(zero_copy_only=False)[c.indices.to_numpy(zero_copy_only=False)]
+                 for t in sides[asked] for c in t["term"].chunks]
+        code = np.concatenate([np.empty(0, np.int32), *codes])
+        if not len(vocabulary) or not len(code):
+            return pa.table({"known": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in SLICE[1:]}})
+        kept = np.flatnonzero(code >= 0)
+        table = pa.concat_tables([t.select(["article_id", "value"]) for t in sides[asked]])
+        articles = table["article_id"].take(kept).combine_chunks().dictionary_encode()
+        article = articles.indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((code[kept], article))
+        sizes = np.bincount(article, minlength=len(articles.dictionary)).astype(np.int32)
+        out[f"{name}_articles"] = [_zipped(pa.table({"article_id": articles.dictionary, "size": sizes}))]
+        out[name] = [_zipped(pa.table({"term": code[kept][order], "value": table["value"].to_numpy()[kept][order]}))]
+    return pa.table({"known": pa.array(out["known"], pa.int32()), **{c: pa.array(out[c], pa.binary()) for c in SLICE[1:]}})
+
+
+SLICE = ["known", "given_articles", "given", "met_articles", "met"]
+PACK = ["_pack", "users", "articles", "pairs", "clicks"]
+
+
+def _packed_users(rows: pa.Table) -> pa.Table:
+    """One row for a pack: its users, its articles, and the pairs and clicks of each user as numbers of articles."""
+    asked = pa.compute.is_null(rows["_n"])
+    pairs, clicks = rows.filter(asked), rows.filter(pa.compute.invert(asked))
+    users = pairs["user_id"].combine_chunks().unique()
+    clicks = clicks.filter(pa.compute.is_in(clicks["user_id"], users))
+    articles = pa.chunked_array([*pairs["article_id"].chunks, *clicks["article_id"].chunks], rows.schema.field("article_id").type).unique()
+    sides, counts = [], []
+    for table in (pairs, clicks):
+        user, code = (pa.compute.index_in(table[c].combine_chunks(), of).to_numpy(zero_copy_only=False).astype(np.int32)
+                      for c, of in (("user_id", users), ("article_id", articles)))
+        order = np.lexsort((code, user))
+        counts.append(np.bincount(user, minlength=len(users)).astype(np.int64))
+        sides.append({"code": code[order], "n": table["_n"].to_numpy()[order]})
+    sides[0].pop("n")
+    tables = [{"user_id": users, "pairs": counts[0], "clicks": counts[1]}, {"article_id": articles}, *sides]
+    return pa.table({"_pack": rows["_pack"].slice(0, 1), **{c: pa.array([_zipped(pa.table(t))], pa.binary()) for c, t in zip(PACK[1:], tables)}})
+
+
+class _Pack:
+    """Scores of the pairs of a pack, to which one slice of terms after the other is added."""
+
+    def __init__(self, row: dict[str, pa.Scalar]):
+        self.users, articles, pairs, clicks = (_unzipped(row[c]) for c in PACK[1:])
+        self.articles = articles["article_id"].combine_chunks()
+        self.pair, self.click = (t["code"].to_numpy() for t in (pairs, clicks))
+        self.n = clicks["n"].to_numpy()
+        self.p_at, self.c_at = (np.append(0, np.cumsum(self.users[c].to_numpy())) for c in ("pairs", "clicks"))
+        self.p_user, self.c_user = (np.repeat(np.arange(len(at) - 1), np.diff(at)) for at in (self.p_at, self.c_at))
+        self.score, self.shared, self.known = np.zeros(len(self.pair)), np.zeros(len(self.pair), bool), np.zeros(len(self.pair), bool)
+
+    def catalogued(self, articles: pa.Table) -> None:
+        self.known |= pa.compute.is_in(self.articles, articles["article_id"].combine_chunks()).to_numpy(zero_copy_only=False)[self.pair]
+
+    def _placed(self, row: dict[str, pa.Scalar], side: str, of: np.ndarray) -> tuple[np.ndarray, ...]:
+        """First entry and number of entries for each article of ``of``, and the terms and values of all entries."""
+        named, entries = _unzipped(row[f"{side}_articles"]), _unzipped(row[side])
+        sizes = np.append(named["size"].to_numpy(), 0).astype(np.int64)
+        at = pa.compute.fill_null(pa.compute.index_in(self.articles, named["article_id"].combine_chunks()), -1).to_numpy(zero_copy_only=False)
+        return (np.cumsum(sizes) - sizes)[at][of], sizes[at][of], entries["term"].to_numpy(), entries["value"].to_numpy()
+
+    def add(self, row: dict[str, pa.Scalar]) -> None:
+        known = row["known"].as_py()
+        start, size, term, weight = self._placed(row, "given", self.pair)
+        c_start, c_size, c_term, tf = self._placed(row, "met", self.click)
+        plain = bool((tf > 0).all())  # sums of counts show by themselves then which terms a user has met
+        at_once = max(1, HELD_TIMES // known)
+        times = np.zeros(min(at_once, len(self.users)) * known)
+        present = times if plain else np.zeros(len(times))
+        load = np.append(0, np.cumsum(size))[self.p_at]
+        loads = np.diff(load)
+        bounds = sorted({*_cuts(loads, HELD_TIMES), *range(0, len(self.users), at_once)})
+        for a, b in zip(bounds, bounds[1:]):
+            if not loads[a:b].any():
+                continue
+            used = []
+            for c, d in _spans(c_size[self.c_at[a]:self.c_at[b]]):
+                mine = slice(self.c_at[a] + c, self.c_at[a] + d)
+                at = _ranges(c_start[mine], c_size[mine])
+                key = c_term[at] + np.repeat((self.c_user[mine] - a) * known, c_size[mine])
+                np.add.at(times, key, tf[at] * np.repeat(self.n[mine], c_size[mine]))
+                if not plain:
+                    present[key] = 1.0
+                used.append(key)
+            if not any(map(len, used)):
+                continue
+            for c, d in _spans(size[self.p_at[a]:self.p_at[b]]):
+                mine = self.p_at[a] + c + np.flatnonzero(size[self.p_at[a] + c:self.p_at[a] + d])
+                if not len(mine):
+                    continue
+                at, first = _ranges(start[mine], size[mine]), np.cumsum(size[mine]) - size[mine]
+                key = term[at] + np.repeat((self.p_user[mine] - a) * known, size[mine])
+                found = times[key]
+                self.score[mine] += np.add.reduceat(found * weight[at], first)
+                self.shared[mine] |= np.add.reduceat(found if plain else present[key], first) > 0
+            for key in used:
+                times[key] = 0.0
+                present[key] = 0.0
+
+    def result(self) -> pa.RecordBatch:
+        users = self.users["user_id"].combine_chunks().take(pa.array(self.p_user))
+        return pa.RecordBatch.from_arrays([users, self.articles.take(pa.array(self.pair)), pa.array(self.score, mask=~self.shared), pa.array(self.known)],
+                                          ["user_id", "article_id", "score", "known"])
+
+
+def _score_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packs: dict[int, _Pack] = {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch[c][i] for c in batch.schema.names}
+            name = row["_pack"].as_py()
+            if name not in packs:
+                packs[name] = _Pack(row)
+            if row["known"].is_valid:
+                packs[name].add(row)
+            elif row["given_articles"].is_valid:
+                packs[name].catalogued(_unzipped(row["given_articles"]))
+    for pack in packs.values():
+        yield pack.result()
+
+
+def _catalogue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([_zipped(pa.table(batch))], pa.binary())], ["given_articles"])
+
+
+def _clicked_scores(pairs: DataFrame, clicked: ClickedTerms, postings: DataFrame, articles: DataFrame | None, pack_rows: int, slice_terms: int) -> DataFrame:
+    """(user_id, article_id, score, known) of each pair without nulls: the score is null without a shared term, known tells whether ``articles`` has it.
+
+    Terms are dealt to slices and users to packs, which are stored as compressed rows. A task reads all slices, one after the other,
+    for one pack and adds to the pack's scores: neither table is copied for the other, and only scores leave a task.
     A user with more than ``pack_rows`` pairs is spread over several packs.
     """
-    pairs = checkpointed(pairs.select("user_id", "article_id").dropna())
+    spark = pairs.sparkSession
     clicks = clicked.hist.select("user_id", "article_id").dropna().join(pairs.select("user_id").distinct(), "user_id", "left_semi")
     clicks = checkpointed(clicks.groupBy("user_id", "article_id").agg(F.count("*").cast("double").alias("_n")))
-    candidates, read = (checkpointed(t.select("article_id").distinct()) for t in (pairs, clicks))
-    slices = max(1, *(-(-t.join(a, "article_id", "left_semi").count() // slice_terms) for t, a in ((postings, candidates), (clicked.terms, read))))
-    n_pairs, tasks = pairs.count(), 2 * pairs.sparkSession.sparkContext.defaultParallelism
-    # no more packs than the pairs or the idle cores ask for, as each is given the postings
-    packs = max(1, -(-(n_pairs + clicks.count()) // pack_rows), min(-(-tasks // slices), -(-n_pairs // 16384)))
+    sides, slices = [], 1
+    for table, value, asked in ((postings, "weight", pairs), (clicked.terms, "tf", clicks)):
+        wanted = checkpointed(asked.select("article_id").distinct())
+        table = table.filter(F.col("term").isNotNull() & F.col("article_id").isNotNull()).select(
+            F.col("article_id").alias("article_id"), F.col("term").alias("term"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("value"))
+        per = table.groupBy("article_id").agg(F.count("*").alias("_k"))
+        total = per.agg(F.sum("_k")).first()[0] or 0
+        few = per.join(wanted, "article_id", "left_semi").agg(F.sum("_k")).first()[0] or 0
+        # where most are wanted, the others cost less than a join that would shuffle every row
+        sides.append(table if 2 * few > total else table.join(wanted, "article_id", "left_semi"))
+        slices = max(slices, -(-(total if 2 * few > total else few) // slice_terms))
+    n_pairs, tasks = pairs.count(), 2 * spark.sparkContext.defaultParallelism
+    # no more packs than the pairs or the idle cores ask for, as each reads all slices
+    packs = max(1, -(-(n_pairs + clicks.count()) // pack_rows), min(tasks, -(-n_pairs // 16384)))
     load = pairs.groupBy("user_id").agg(F.count("*").alias("_load"))
     most = load.agg(F.max("_load")).first()[0] or 0
     pack = F.pmod(F.xxhash64("user_id"), F.lit(packs))
     if most <= pack_rows:
-        dealt, known = pairs.withColumn("_pack", pack), clicks.withColumn("_pack", pack)
+        dealt, own = pairs.withColumn("_pack", pack), clicks.withColumn("_pack", pack)
     else:
         cut = load.select(F.col("user_id").alias("_owner"), F.least(F.ceil(F.col("_load") / pack_rows), F.lit(packs)).alias("_parts"))
         part = F.pmod(F.xxhash64("article_id"), F.col("_parts"))
-        dealt, known = (t.join(cut, F.col("user_id") == F.col("_owner")) for t in (pairs, clicks))
+        dealt, own = (t.join(cut, F.col("user_id") == F.col("_owner")) for t in (pairs, clicks))
         dealt = dealt.withColumn("_pack", F.pmod(pack + part, F.lit(packs))).drop("_owner", "_parts")
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part")
-        known = known.select("*", every).withColumn("_pack", F.pmod(pack + F.col("_part"), F.lit(packs))).drop("_owner", "_parts", "_part")
-    rows = dealt.select("_pack", "user_id", "article_id", F.lit(None).cast("double").alias("_n")).unionByName(known.select("_pack", "user_id", "article_id", "_n"))
-    rows = rows.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
-    lists = _by_term(postings, "weight", candidates, slices, packs).withColumn("_asked", F.lit(True)).unionByName(
-        _by_term(clicked.terms, "tf", read, slices, packs).withColumn("_asked", F.lit(False)))
+        own = own.select("*", every).withColumn("_pack", F.pmod(pack + F.col("_part"), F.lit(packs))).drop("_owner", "_parts", "_part")
+    rows = dealt.select("_pack", "user_id", "article_id", F.lit(None).cast("double").alias("_n")).unionByName(own.select("_pack", "user_id", "article_id", "_n"))
+    rows = checkpointed(rows.groupBy("_pack").applyInArrow(_packed_users, "_pack long, users binary, articles binary, pairs binary, clicks binary"))
+
+    chunks = None
+    for table, asked in zip(sides, (True, False)):
+        table = table.select(F.pmod(F.xxhash64("term"), F.lit(slices)).alias("_slice"), F.lit(asked).alias("_asked"), "article_id", "term", "value")
+        table = table.mapInArrow(_by_slice, "_slice long, _asked boolean, packed binary")
+        chunks = table if chunks is None else chunks.unionByName(table)
+    kinds = "known int, given_articles binary, given binary, met_articles binary, met binary"
+    lists = checkpointed(chunks.groupBy("_slice").applyInArrow(_turned_round, kinds))
+    # a pack meets this row even if there are no lists
+    lists = spark.range(1).select(F.lit(None).cast("int").alias("known")).unionByName(lists, allowMissingColumns=True)
+    if articles is not None:
+        held = checkpointed(articles.select("article_id").dropna().distinct())
+        lists = lists.unionByName(held.mapInArrow(_catalogue, "given_articles binary"), allowMissingColumns=True)
+    # one partition is read row by row for each partition of the other side, which is one pack and held
+    met = lists.coalesce(1).hint("shuffle_replicate_nl").crossJoin(rows.repartitionById(packs, F.col("_pack").cast("int")))
     types = {c: pairs.schema[c].dataType.simpleString() for c in ("user_id", "article_id")}
-    keys = ["_slice", "_pack"]
-    parts = rows.groupBy(*keys).cogroup(lists.groupBy(*keys)).applyInArrow(
-        _score_slice, f"user_id {types['user_id']}, article_id {types['article_id']}, score double")
-    return parts if slices == 1 else parts.groupBy("user_id", "article_id").agg(F.sum("score").alias("score"))
-
-
-def _article_rows(lists: pa.Table, names: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The lists turned round: first place and length of the entries of each named article, and their terms and values."""
-    sizes = pa.compute.list_value_length(lists["articles"]).to_numpy().astype(np.int64)
-    code = pa.compute.index_in(lists["term"].combine_chunks(), vocabulary).to_numpy(zero_copy_only=False)
-    # an article that only another pack asks for is left out
-    article = pa.compute.fill_null(pa.compute.index_in(pa.compute.list_flatten(lists["articles"]).combine_chunks(), names), -1).to_numpy(zero_copy_only=False)
-    term = np.repeat(code, sizes)
-    value = pa.compute.list_flatten(lists["values"]).to_numpy()
-    at = np.argsort(article, kind="stable")
-    at = at[np.searchsorted(article[at], 0):]
-    size = np.bincount(article[at], minlength=len(names)).astype(np.int64)
-    return np.cumsum(size) - size, size, term[at], value[at]
-
-
-def _score_slice(rows: pa.Table, lists: pa.Table) -> pa.Table:
-    asked = pa.compute.is_null(rows["_n"])
-    pairs, clicks = rows.filter(asked), rows.filter(pa.compute.invert(asked))
-    users = pairs["user_id"].combine_chunks().unique()
-    pairs, p_at = _by_user(pairs, users)
-    clicks, c_at = _by_user(clicks.filter(pa.compute.is_in(clicks["user_id"], users)), users)
-    given, met = lists.filter(lists["_asked"]), lists.filter(pa.compute.invert(lists["_asked"]))
-    vocabulary = met["term"].combine_chunks().unique()
-    given = given.filter(pa.compute.is_in(given["term"], vocabulary))  # no user can have the others
-
-    def placed(table: pa.Table, side: pa.Table) -> tuple[np.ndarray, ...]:
-        names = table["article_id"].combine_chunks().unique()
-        row = pa.compute.index_in(table["article_id"].combine_chunks(), names).to_numpy(zero_copy_only=False)
-        first, size, term, value = _article_rows(side, names, vocabulary)
-        return first[row], size[row], term, value
-
-    start, size, term, weight = placed(pairs, given)
-    c_start, c_size, c_term, tf = placed(clicks, met)
-    n = clicks["_n"].to_numpy()
-    score, shared = np.zeros(len(size)), np.zeros(len(size), bool)
-    for u in range(len(users)):
-        times, present = np.zeros(len(vocabulary)), np.zeros(len(vocabulary), bool)
-        mine = np.arange(c_at[u], c_at[u + 1])
-        for a, b in _spans(c_size[mine]):
-            at = _ranges(c_start[mine[a:b]], c_size[mine[a:b]])
-            times += np.bincount(c_term[at], weights=tf[at] * np.repeat(n[mine[a:b]], c_size[mine[a:b]]), minlength=len(times))
-            present[c_term[at]] = True
-        if not present.any():
-            continue
-        for a, b in _spans(size[p_at[u]:p_at[u + 1]]):
-            a, b = p_at[u] + a, p_at[u] + b
-            at = _ranges(start[a:b], size[a:b])
-            pair = np.repeat(np.arange(b - a), size[a:b])
-            score[a:b] = np.bincount(pair, weights=times[term[at]] * weight[at], minlength=b - a)
-            shared[a:b] = np.bincount(pair, weights=present[term[at]], minlength=b - a) > 0
-    out = pa.table([pairs["user_id"], pairs["article_id"], pa.array(score)], names=["user_id", "article_id", "score"])
-    return out.filter(pa.array(shared))
+    return met.select(*SLICE, *PACK).mapInArrow(_score_packs, f"user_id {types['user_id']}, article_id {types['article_id']}, score double, known boolean")
+
+
+def score_clicked(pairs: DataFrame, clicked: ClickedTerms, postings: DataFrame, pack_rows: int = 2_500_000,
+                  slice_terms: int = 2_000_000) -> DataFrame:
+    """:func:`score_pairs` for the words of the articles each user has clicked, whose counts are added where they are used."""
+    pairs = checkpointed(pairs.select("user_id", "article_id").dropna())
+    return _clicked_scores(pairs, clicked, postings, None, pack_rows, slice_terms).filter("score is not null").drop("known")
 
 
 def _spans(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -564,12 +698,20 @@ def _spans(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 def bm25_pairs(pairs: DataFrame, qterms: DataFrame | ClickedTerms, postings: DataFrame, articles: DataFrame,
                out: str = "score") -> DataFrame:
     """(user_id, article_id, out): 0 without shared terms, -inf outside the catalogue."""
-    scores = score_clicked(pairs, qterms, postings) if isinstance(qterms, ClickedTerms) else score_pairs(pairs, qterms, postings)
-    scores = scores.withColumnRenamed("score", "_s")
     catalog = articles.select("article_id").distinct().withColumn("_known", F.lit(True))
-    rows = pairs.join(scores, ["user_id", "article_id"], "left").join(catalog, "article_id", "left")
-    return rows.select("user_id", "article_id", F.when(F.col("_known").isNull(), F.lit(float("-inf")))
-                       .otherwise(F.coalesce("_s", F.lit(0.0))).alias(out))
+    total = F.when(F.col("_known").isNull(), F.lit(float("-inf"))).otherwise(F.coalesce("_s", F.lit(0.0))).alias(out)
+    if not isinstance(qterms, ClickedTerms):
+        scores = score_pairs(pairs, qterms, postings).withColumnRenamed("score", "_s")
+        rows = pairs.join(scores, ["user_id", "article_id"], "left").join(catalog, "article_id", "left")
+        return rows.select("user_id", "article_id", total)
+    pairs = checkpointed(pairs.select("user_id", "article_id"))
+    scores = _clicked_scores(pairs.dropna(), qterms, postings, articles, 2_500_000, 2_000_000).select(
+        "user_id", "article_id", F.when(F.col("known"), F.coalesce("score", F.lit(0.0))).otherwise(F.lit(float("-inf"))).alias(out))
+    unnamed = pairs.filter(F.col("user_id").isNull() | F.col("article_id").isNull())
+    if unnamed.isEmpty():
+        return checkpointed(scores)
+    unnamed = unnamed.join(catalog, "article_id", "left").withColumn("_s", F.lit(0.0)).select("user_id", "article_id", total)
+    return checkpointed(scores.unionByName(unnamed))
 
 
 def bm25_score_candidates(imp: DataFrame, qterms: DataFrame | ClickedTerms, postings: DataFrame, articles: DataFrame,

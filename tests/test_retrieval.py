@@ -159,6 +159,27 @@ def test_scores_of_clicks_write_no_table_of_users_and_terms(spark, monkeypatch):
     assert scored.filter("score > 0").count() == 240 and max(stored) <= 240
 
 
+def test_terms_are_stored_once_for_all_packs_of_users(spark, monkeypatch):
+    """The lists of terms do not grow with the packs, and a count of 0 or less is a term the user has met."""
+    rnd = random.Random(4)
+    terms = spark.createDataFrame([(a, f"w{t}", rnd.choice([-1, 0, 1, 2])) for a in range(30) for t in rnd.sample(range(50), 12)] + [(3, None, 1), (None, "w1", 1)],
+                                  "article_id long, term string, tf long").cache()
+    postings = spark.createDataFrame([(f"w{t}", a, rnd.random()) for a in range(5, 35) for t in rnd.sample(range(60), 12)], "term string, article_id long, weight double").cache()
+    hist = spark.createDataFrame([(rnd.randrange(20), rnd.randrange(33)) for _ in range(300)] + [(1, None), (None, 2)], "user_id long, article_id long")
+    pairs = spark.createDataFrame([(u, a) for u in range(22) for a in range(40)], "user_id long, article_id long")
+    met = hist.join(terms, "article_id").groupBy("user_id", "term").agg(F.sum("tf").alias("qtf"))
+    want = {(r.user_id, r.article_id): r.score for r in T.score_pairs(pairs, met, postings).collect()}
+    stored, original = [], T.checkpointed
+    monkeypatch.setattr(T, "checkpointed", lambda df: stored.append(original(df)) or stored[-1])
+    rows = []
+    for limits in ((40, 100), (2_500_000, 100)):
+        got = {(r.user_id, r.article_id): r.score for r in T.score_clicked(pairs, T.ClickedTerms(hist, terms), postings, *limits).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and 0 < len(want) < 22 * 40
+        rows.append([t.count() for t in stored if "given" in t.columns])
+        stored.clear()
+    assert rows[0] == rows[1] and 0 < rows[0][0] <= 4
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([("Æble af RØD_1 the the x-y",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(T.tokenize("t")).collect()] == [["æble", "rød_1", "x", "y"], [], []]

@@ -49,6 +49,20 @@ def test_a_stored_table_reads_only_the_part_asked_for(spark):
     assert {r.f.split("/")[-2] for r in odd.select(F.input_file_name().alias("f")).collect()} == {"part=1"}
 
 
+def test_shuffle_files_go_with_their_job(spark):
+    """In the click-log queries a stored table leaves no shuffle files behind."""
+    from presslens.session import prepare_click_log_session
+    own = prepare_click_log_session(spark.newSession())
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for f in range(files.size()) if (name := files.apply(f).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    stored = G.checkpointed(own.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert stored.count() == 7 and not shuffled() - before
+
+
 def test_history_parts_keep_positions(spark):
     clicks = spark.createDataFrame([(u, k, 100 * u + k) for u in (1, 2) for k in range(3 + 4 * u)], "user_id long, pos long, article_id long")
     parts = P.recover_history_arrays(clicks, {"article_id": "ids"}, part_size=2)
