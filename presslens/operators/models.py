@@ -57,17 +57,18 @@ def combiner_features(imp: DataFrame, hist: DataFrame, articles: DataFrame, vecs
                       with_history_len: bool = False) -> DataFrame:
     """The combiner's columns for each candidate (index features are -inf outside their index)."""
     key = ["user_id", "article_id"]
-    pairs = imp.select(*key).distinct()
-    # one table per pair, each derived from the pairs alone, then one join to the impressions
-    table = text.bm25_pairs(pairs, qterms, postings, articles, out="bm25")
-    table = table.join(vectors.cosine_pairs(pairs, vectors.pool_mean(hist, vecs), vecs, "cosine"), key)
-    table = table.join(vectors.cosine_pairs(pairs, vectors.pool_recency(hist, vecs, decay), vecs, "recency_cosine"), key)
+    pairs = checkpointed(imp.select(*key).distinct())
+    # narrow tables of pairs, stored step by step, so that what one has shuffled is gone before the next
+    table = checkpointed(profiles.match_score(profiles.match_score(pairs, articles, hist, "category", "category_match"),
+                                              articles, hist, "subcategory", "subcategory_match"))
     table = table.join(profiles.entity_overlap_pairs(pairs, entities, hist), key, "left").fillna(0, ["entity_overlap"])
-    table = profiles.match_score(table, articles, hist, "category", "category_match")
-    table = profiles.match_score(table, articles, hist, "subcategory", "subcategory_match")
     table = profiles.popularity_score(table, popularity, out="_pop")
-    table = table.withColumns({"log_entity_overlap": F.log1p(F.col("entity_overlap").cast("double")),
-                               "log_popularity": F.log("_pop")}).drop("entity_overlap", "_pop")
+    table = checkpointed(table.withColumns({"log_entity_overlap": F.log1p(F.col("entity_overlap").cast("double")),
+                                            "log_popularity": F.log("_pop")}).drop("entity_overlap", "_pop"))
+    vector = vectors.cosine_pairs(pairs, vectors.pool_mean(hist, vecs), vecs, "cosine").join(
+        vectors.cosine_pairs(pairs, vectors.pool_recency(hist, vecs, decay), vecs, "recency_cosine"), key)
+    table = text.bm25_pairs(pairs, qterms, postings, articles, out="bm25").join(checkpointed(vector), key).join(table, key)
+    table = checkpointed(table.select(*key, *COMBINER))
     rows = imp.join(table, key)
     if with_history_len:
         lengths = profiles.history_length(hist)

@@ -454,7 +454,7 @@ class ClickedTerms:
     terms: DataFrame
 
 
-def _zipped(table: pa.Table) -> bytes:
+def zipped(table: pa.Table) -> bytes:
     """The table as one compressed value; a column of terms is best given as a dictionary."""
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -462,7 +462,7 @@ def _zipped(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unzipped(value: pa.Scalar) -> pa.Table:
+def unzipped(value: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(value.as_buffer()).read_all()
 
 
@@ -475,7 +475,7 @@ def _by_slice(batches: Iterator[pa.RecordBatch], at_once: int = 1_000_000) -> It
         rows = rows.take(np.argsort(rows["_slice"].to_numpy(), kind="stable"))
         names, at, n = np.unique(rows["_slice"].to_numpy(), return_index=True, return_counts=True)
         parts = (rows.slice(a, k).select(["article_id", "term", "value"]).combine_chunks() for a, k in zip(at.tolist(), n.tolist()))
-        packed = [_zipped(t.set_column(1, "term", t["term"].combine_chunks().dictionary_encode())) for t in parts]
+        packed = [zipped(t.set_column(1, "term", t["term"].combine_chunks().dictionary_encode())) for t in parts]
         asked = pa.array([held[0]["_asked"][0].as_py()] * len(packed), pa.bool_())
         return pa.RecordBatch.from_arrays([pa.array(names), asked, pa.array(packed, pa.binary())], ["_slice", "_asked", "packed"])
 
@@ -491,7 +491,7 @@ def _by_slice(batches: Iterator[pa.RecordBatch], at_once: int = 1_000_000) -> It
 
 def _turned_round(rows: pa.Table) -> pa.Table:
     """One row for a slice: the articles of each side with the terms that the other side has too, as numbers inside the slice."""
-    sides = {asked: [_unzipped(x) for x in rows.filter(pa.compute.equal(rows["_asked"], asked))["packed"]] for asked in (True, False)}
+    sides = {asked: [unzipped(x) for x in rows.filter(pa.compute.equal(rows["_asked"], asked))["packed"]] for asked in (True, False)}
 
     def words(tables: list[pa.Table]) -> pa.Array:
         return pa.chunked_array([c.dictionary for t in tables for c in t["term"].chunks], pa.string()).unique()
@@ -511,11 +511,33 @@ def _turned_round(rows: pa.Table) -> pa.Table:
         article = articles.indices.to_numpy(zero_copy_only=False)
         order = np.lexsort((code[kept], article))
         sizes = np.bincount(article, minlength=len(articles.dictionary)).astype(np.int32)
-        out[f"{name}_articles"] = [_zipped(pa.table({"article_id": articles.dictionary, "size": sizes}))]
-        out[name] = [_zipped(pa.table({"term": code[kept][order], "value": table["value"].to_numpy()[kept][order]}))]
+        out[f"{name}_articles"] = [zipped(pa.table({"article_id": articles.dictionary, "size": sizes}))]
+        out[name] = [zipped(pa.table({"term": code[kept][order], "value": table["value"].to_numpy()[kept][order]}))]
     return pa.table({"known": pa.array(out["known"], pa.int32()), **{c: pa.array(out[c], pa.binary()) for c in SLICE[1:]}})
 
 
+def dealt_pairs(pairs: DataFrame, facts: DataFrame, pack_rows: int, more: int = 0) -> tuple[int, DataFrame, DataFrame]:
+    """Number of packs, and both tables (with a user_id) with their ``_pack``: a user with more than ``pack_rows`` pairs is spread over several.
+
+    ``facts`` go to all packs of their user; ``more`` is the number of their rows, if it counts. There are no more packs
+    than the rows or the idle cores ask for.
+    """
+    n_pairs, tasks = pairs.count(), 2 * pairs.sparkSession.sparkContext.defaultParallelism
+    packs = max(1, -(-(n_pairs + more) // pack_rows), min(tasks, -(-n_pairs // 16384)))
+    load = pairs.groupBy("user_id").agg(F.count("*").alias("_load"))
+    most = load.agg(F.max("_load")).first()[0] or 0
+    pack = F.pmod(F.xxhash64("user_id"), F.lit(packs))
+    if most <= pack_rows:
+        return packs, pairs.withColumn("_pack", pack), facts.withColumn("_pack", pack)
+    cut = load.select(F.col("user_id").alias("_owner"), F.least(F.ceil(F.col("_load") / pack_rows), F.lit(packs)).alias("_parts"))
+    part = F.pmod(F.xxhash64("article_id"), F.col("_parts"))
+    dealt, own = (t.join(cut, F.col("user_id").eqNullSafe(F.col("_owner"))) for t in (pairs, facts))
+    dealt = dealt.withColumn("_pack", F.pmod(pack + part, F.lit(packs))).drop("_owner", "_parts")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part")
+    own = own.select("*", every).withColumn("_pack", F.pmod(pack + F.col("_part"), F.lit(packs))).drop("_owner", "_parts", "_part")
+    return packs, dealt, own
+
+
 SLICE = ["known", "given_articles", "given", "met_articles", "met"]
 PACK = ["_pack", "users", "articles", "pairs", "clicks"]
 
@@ -536,14 +558,14 @@ def _packed_users(rows: pa.Table) -> pa.Table:
         sides.append({"code": code[order], "n": table["_n"].to_numpy()[order]})
     sides[0].pop("n")
     tables = [{"user_id": users, "pairs": counts[0], "clicks": counts[1]}, {"article_id": articles}, *sides]
-    return pa.table({"_pack": rows["_pack"].slice(0, 1), **{c: pa.array([_zipped(pa.table(t))], pa.binary()) for c, t in zip(PACK[1:], tables)}})
+    return pa.table({"_pack": rows["_pack"].slice(0, 1), **{c: pa.array([zipped(pa.table(t))], pa.binary()) for c, t in zip(PACK[1:], tables)}})
 
 
 class _Pack:
     """Scores of the pairs of a pack, to which one slice of terms after the other is added."""
 
     def __init__(self, row: dict[str, pa.Scalar]):
-        self.users, articles, pairs, clicks = (_unzipped(row[c]) for c in PACK[1:])
+        self.users, articles, pairs, clicks = (unzipped(row[c]) for c in PACK[1:])
         self.articles = articles["article_id"].combine_chunks()
         self.pair, self.click = (t["code"].to_numpy() for t in (pairs, clicks))
         self.n = clicks["n"].to_numpy()
@@ -556,7 +578,7 @@ class _Pack:
 
     def _placed(self, row: dict[str, pa.Scalar], side: str, of: np.ndarray) -> tuple[np.ndarray, ...]:
         """First entry and number of entries for each article of ``of``, and the terms and values of all entries."""
-        named, entries = _unzipped(row[f"{side}_articles"]), _unzipped(row[side])
+        named, entries = unzipped(row[f"{side}_articles"]), unzipped(row[side])
         sizes = np.append(named["size"].to_numpy(), 0).astype(np.int64)
         at = pa.compute.fill_null(pa.compute.index_in(self.articles, named["article_id"].combine_chunks()), -1).to_numpy(zero_copy_only=False)
         return (np.cumsum(sizes) - sizes)[at][of], sizes[at][of], entries["term"].to_numpy(), entries["value"].to_numpy()
@@ -616,14 +638,14 @@ def _score_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if row["known"].is_valid:
                 packs[name].add(row)
             elif row["given_articles"].is_valid:
-                packs[name].catalogued(_unzipped(row["given_articles"]))
+                packs[name].catalogued(unzipped(row["given_articles"]))
     for pack in packs.values():
         yield pack.result()
 
 
 def _catalogue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([_zipped(pa.table(batch))], pa.binary())], ["given_articles"])
+        yield pa.RecordBatch.from_arrays([pa.array([zipped(pa.table(batch))], pa.binary())], ["given_articles"])
 
 
 def _clicked_scores(pairs: DataFrame, clicked: ClickedTerms, postings: DataFrame, articles: DataFrame | None, pack_rows: int, slice_terms: int) -> DataFrame:
@@ -647,21 +669,7 @@ def _clicked_scores(pairs: DataFrame, clicked: ClickedTerms, postings: DataFrame
         # where most are wanted, the others cost less than a join that would shuffle every row
         sides.append(table if 2 * few > total else table.join(wanted, "article_id", "left_semi"))
         slices = max(slices, -(-(total if 2 * few > total else few) // slice_terms))
-    n_pairs, tasks = pairs.count(), 2 * spark.sparkContext.defaultParallelism
-    # no more packs than the pairs or the idle cores ask for, as each reads all slices
-    packs = max(1, -(-(n_pairs + clicks.count()) // pack_rows), min(tasks, -(-n_pairs // 16384)))
-    load = pairs.groupBy("user_id").agg(F.count("*").alias("_load"))
-    most = load.agg(F.max("_load")).first()[0] or 0
-    pack = F.pmod(F.xxhash64("user_id"), F.lit(packs))
-    if most <= pack_rows:
-        dealt, own = pairs.withColumn("_pack", pack), clicks.withColumn("_pack", pack)
-    else:
-        cut = load.select(F.col("user_id").alias("_owner"), F.least(F.ceil(F.col("_load") / pack_rows), F.lit(packs)).alias("_parts"))
-        part = F.pmod(F.xxhash64("article_id"), F.col("_parts"))
-        dealt, own = (t.join(cut, F.col("user_id") == F.col("_owner")) for t in (pairs, clicks))
-        dealt = dealt.withColumn("_pack", F.pmod(pack + part, F.lit(packs))).drop("_owner", "_parts")
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part")
-        own = own.select("*", every).withColumn("_pack", F.pmod(pack + F.col("_part"), F.lit(packs))).drop("_owner", "_parts", "_part")
+    packs, dealt, own = dealt_pairs(pairs, clicks, pack_rows, clicks.count())
     rows = dealt.select("_pack", "user_id", "article_id", F.lit(None).cast("double").alias("_n")).unionByName(own.select("_pack", "user_id", "article_id", "_n"))
     rows = checkpointed(rows.groupBy("_pack").applyInArrow(_packed_users, "_pack long, users binary, articles binary, pairs binary, clicks binary"))
 
@@ -697,14 +705,14 @@ def _spans(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def bm25_pairs(pairs: DataFrame, qterms: DataFrame | ClickedTerms, postings: DataFrame, articles: DataFrame,
                out: str = "score") -> DataFrame:
-    """(user_id, article_id, out): 0 without shared terms, -inf outside the catalogue."""
+    """(user_id, article_id, out): 0 without shared terms, -inf outside the catalogue. Clicked terms read ``pairs`` several times; give a stored table."""
     catalog = articles.select("article_id").distinct().withColumn("_known", F.lit(True))
     total = F.when(F.col("_known").isNull(), F.lit(float("-inf"))).otherwise(F.coalesce("_s", F.lit(0.0))).alias(out)
     if not isinstance(qterms, ClickedTerms):
         scores = score_pairs(pairs, qterms, postings).withColumnRenamed("score", "_s")
         rows = pairs.join(scores, ["user_id", "article_id"], "left").join(catalog, "article_id", "left")
         return rows.select("user_id", "article_id", total)
-    pairs = checkpointed(pairs.select("user_id", "article_id"))
+    pairs = pairs.select("user_id", "article_id")
     scores = _clicked_scores(pairs.dropna(), qterms, postings, articles, 2_500_000, 2_000_000).select(
         "user_id", "article_id", F.when(F.col("known"), F.coalesce("score", F.lit(0.0))).otherwise(F.lit(float("-inf"))).alias(out))
     unnamed = pairs.filter(F.col("user_id").isNull() | F.col("article_id").isNull())
@@ -722,4 +730,6 @@ def bm25_score_candidates(imp: DataFrame, qterms: DataFrame | ClickedTerms, post
     and postings of articles that are no candidates are never joined to queries.
     """
     pairs = imp.select("user_id", "article_id").distinct()
+    if isinstance(qterms, ClickedTerms):
+        pairs = checkpointed(pairs)
     return imp.join(bm25_pairs(pairs, qterms, postings, articles, out), ["user_id", "article_id"])

@@ -14,10 +14,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from presslens.functions.blocks import block_pairs
-from presslens.functions.expr import dot, doubles, hash32, unit
+from presslens.functions.expr import doubles, hash32, unit
 from presslens.functions.grouping import checkpointed, row_numbers, top_k
 from presslens.functions.vectors import dimension, sum_vector
-from presslens.operators.text import article_text, best_first, block_top, tokenize
+from presslens.operators.text import article_text, best_first, block_top, dealt_pairs, tokenize, unzipped, zipped
 
 MINUS_INF = float("-inf")
 
@@ -318,22 +318,128 @@ def ann_audit(exact: DataFrame, approx: DataFrame, k: int, key: str = "query_id"
                    F.avg((F.col("recall") >= 1.0).cast("double")).alias("perfect_share"), F.count("*").alias("n_queries"))
 
 
-def _vector_score(user_vec: Column, item_vec: Column) -> Column:
-    return (F.when(item_vec.isNull(), F.lit(MINUS_INF)).when(user_vec.isNull(), F.lit(0.0))
-            .otherwise(dot(user_vec, item_vec)))
+#: Pairs of a pack, whose users' vectors are held; products of vectors formed at once.
+PACK_PAIRS, HELD_PRODUCTS = 1 << 19, 1 << 14
+
+
+def _rows_of(vecs: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors as a matrix, and which of them are ``width`` numbers without a null; the others are rows of zeros."""
+    size = pa.compute.fill_null(pa.compute.list_value_length(vecs), -1).to_numpy(zero_copy_only=False)
+    flat = vecs.flatten()
+    gaps = np.bincount(np.repeat(np.arange(len(size)), np.maximum(size, 0)), weights=flat.is_null().to_numpy(zero_copy_only=False), minlength=len(size))
+    whole = (size == width) & (gaps == 0)
+    at = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+    out = np.zeros((len(size), width))
+    out[whole] = pa.compute.fill_null(flat, 0.0).to_numpy(zero_copy_only=False)[at[whole, None] + np.arange(width)]
+    return out, whole
+
+
+def _vector_pack(pairs: pa.Table, users: pa.Table) -> pa.Table:
+    """One row for a pack: its pairs as numbers of users and articles, by article, and a vector or null for each user."""
+    if not len(pairs):
+        return pa.table({"_pack": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("users", "articles", "pairs")}})
+    lone = pairs["user_id"].combine_chunks().unique()
+    lone = lone.filter(pa.compute.invert(pa.compute.is_in(lone, users["user_id"].combine_chunks())))
+    users = pa.concat_tables([users.select(["user_id", "vec"]), pa.table({"user_id": lone, "vec": pa.nulls(len(lone), users.schema.field("vec").type)})])
+    users = users.filter(pa.compute.is_in(users["user_id"], pairs["user_id"].combine_chunks()))
+    names, articles = users["user_id"].combine_chunks().unique(), pairs["article_id"].combine_chunks().unique()
+    of = pa.compute.index_in(users["user_id"].combine_chunks(), names).to_numpy(zero_copy_only=False)
+    users, n = users.take(np.argsort(of, kind="stable")), np.bincount(of, minlength=len(names))
+    user, article = (pa.compute.index_in(pairs[c].combine_chunks(), x).to_numpy(zero_copy_only=False) for c, x in (("user_id", names), ("article_id", articles)))
+    # a user given twice has each pair twice
+    row, article = np.repeat((np.cumsum(n) - n)[user], n[user]), np.repeat(article, n[user])
+    row += np.arange(len(row)) - np.repeat(np.cumsum(n[user]) - n[user], n[user])
+    order = np.lexsort((row, article))
+    tables = {"users": users.select(["user_id", "vec"]), "articles": pa.table({"article_id": articles}),
+              "pairs": pa.table({"user": row[order].astype(np.int32), "article": article[order].astype(np.int32)})}
+    return pa.table({"_pack": pairs["_pack"].slice(0, 1), **{c: pa.array([zipped(t)], pa.binary()) for c, t in tables.items()}})
+
+
+class _VectorPack:
+    def __init__(self, row: dict[str, pa.Scalar]):
+        users, articles, pairs = (unzipped(row[c]) for c in ("users", "articles", "pairs"))
+        self.users, self.articles = users["user_id"].combine_chunks(), articles["article_id"].combine_chunks()
+        self.user, self.article = (pairs[c].to_numpy() for c in ("user", "article"))
+        self.at = np.searchsorted(self.article, np.arange(len(self.articles) + 1))
+        vecs = users["vec"].combine_chunks()
+        self.given = vecs.is_valid().to_numpy(zero_copy_only=False)
+        size = pa.compute.fill_null(pa.compute.list_value_length(vecs), 0).to_numpy(zero_copy_only=False)
+        self.width = int(size.max(initial=0))
+        self.vecs, self.whole = _rows_of(vecs, self.width)
+        self.met = np.zeros(len(self.articles), bool)
+
+    def scores(self, items: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Rows of the pairs whose articles are among ``items``."""
+        code = pa.compute.fill_null(pa.compute.index_in(items["article_id"].combine_chunks(), self.articles), -1).to_numpy(zero_copy_only=False)
+        items, code = items.filter(pa.array(code >= 0)), code[code >= 0]
+        self.met[code] = True
+        vecs = items["vec"].combine_chunks()
+        known = vecs.is_valid().to_numpy(zero_copy_only=False)
+        rows, whole = _rows_of(vecs, self.width)
+        size = self.at[code + 1] - self.at[code]
+        item = np.repeat(np.arange(len(code)), size)
+        pair = np.repeat(self.at[code] - np.cumsum(size) + size, size) + np.arange(len(item))
+        score, none = np.zeros(len(pair)), np.zeros(len(pair), bool)
+        for a in range(0, len(pair), HELD_PRODUCTS):
+            i, u = item[a:a + HELD_PRODUCTS], self.user[pair[a:a + HELD_PRODUCTS]]
+            both = known[i] & self.given[u]
+            score[a:a + len(i)] = np.where(both, np.einsum("ij,ij->i", self.vecs[u], rows[i]), np.where(known[i], 0.0, MINUS_INF))
+            none[a:a + len(i)] = both & ~(self.whole[u] & whole[i])
+        yield self._out(pair, pa.array(score, mask=none))
+
+    def rest(self) -> pa.RecordBatch:
+        pair = np.flatnonzero(~self.met[self.article])
+        return self._out(pair, pa.array(np.full(len(pair), MINUS_INF)))
+
+    def _out(self, pair: np.ndarray, score: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([self.users.take(pa.array(self.user[pair])), self.articles.take(pa.array(self.article[pair])), score],
+                                          ["user_id", "article_id", "score"])
+
+
+def _score_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packs: dict[int, _VectorPack] = {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch[c][i] for c in batch.schema.names}
+            pack = packs.get(row["_pack"].as_py())
+            if pack is None:
+                pack = packs[row["_pack"].as_py()] = _VectorPack(row)
+            if row["items"].is_valid:
+                yield from pack.scores(unzipped(row["items"]))
+    for pack in packs.values():
+        yield pack.rest()
+
+
+def _vector_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([zipped(pa.table(batch))], pa.binary())], ["items"])
 
 
 def cosine_pairs(pairs: DataFrame, user_vecs: DataFrame, vecs: DataFrame, out: str = "score") -> DataFrame:
-    """(user_id, article_id, out): dot product, 0 for a user without vector, -inf for an unknown article."""
-    items = vecs.select("article_id", F.col("vec").alias("_i"))
-    users = user_vecs.select("user_id", F.col("vec").alias("_u"))
-    return pairs.join(items, "article_id", "left").join(users, "user_id", "left").select(
-        "user_id", "article_id", _vector_score(F.col("_u"), F.col("_i")).alias(out))
+    """(user_id, article_id, out): dot product, 0 for a user without vector, -inf for an unknown article.
+
+    Users are dealt to packs, which hold their pairs and vectors. A task reads the articles' vectors, stored once,
+    list by list for one pack: vectors are neither copied for pairs nor for packs. ``pairs`` are read several
+    times; give a stored table.
+    """
+    pairs = pairs.select("user_id", "article_id")
+    users = user_vecs.filter(F.col("user_id").isNotNull()).select("user_id", doubles("vec").alias("vec"))
+    packs, dealt, own = dealt_pairs(pairs, users, PACK_PAIRS)
+    types = {c: pairs.schema[c].dataType.simpleString() for c in ("user_id", "article_id")}
+    rows = checkpointed(dealt.groupBy("_pack").cogroup(own.groupBy("_pack")).applyInArrow(
+        _vector_pack, "_pack long, users binary, articles binary, pairs binary"))
+    items = vecs.filter(F.col("article_id").isNotNull()).select("article_id", doubles("vec").alias("vec"))
+    items = checkpointed(items.mapInArrow(_vector_lists, "items binary"))
+    # a pack meets this row even if there are no vectors
+    items = pairs.sparkSession.range(1).select(F.lit(None).cast("binary").alias("items")).unionByName(items)
+    met = items.coalesce(1).hint("shuffle_replicate_nl").crossJoin(rows.repartitionById(packs, F.col("_pack").cast("int")))
+    scores = met.mapInArrow(_score_vectors, f"user_id {types['user_id']}, article_id {types['article_id']}, score double")
+    return scores.withColumnRenamed("score", out)
 
 
 def cosine_candidates(imp: DataFrame, user_vecs: DataFrame, vecs: DataFrame, out: str = "score") -> DataFrame:
     """Cosine score per shown candidate; vectors travel with distinct pairs, not with every impression."""
-    pairs = imp.select("user_id", "article_id").distinct()
+    pairs = checkpointed(imp.select("user_id", "article_id").distinct())
     return imp.join(cosine_pairs(pairs, user_vecs, vecs, out), ["user_id", "article_id"])
 
 

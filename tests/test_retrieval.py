@@ -570,3 +570,32 @@ def test_word_vectors_have_a_bounded_vocabulary(spark, monkeypatch):
     assert all(abs(sum(x * x for x in r.vec) - 1) < 1e-9 for r in got if r.vec is not None)
     monkeypatch.setattr(E, "MAX_WORDS", 10_000)
     assert len(E.encode_text(docs, dim=8).collect()) == 153 and sizes[1][0] == sum(n > 1 for n in counts.values())
+
+
+def test_vectors_meet_pairs_in_packs_of_users(spark, monkeypatch):
+    """Unknown, null and repeated articles and users, odd vectors: as joins of pairs, vectors and users."""
+    rnd = random.Random(6)
+    vec = lambda: [rnd.gauss(0, 1) for _ in range(3)]
+    items = [(a, vec()) for a in range(25)] + [(3, vec()), (25, None), (26, [1.0, None, 2.0]), (27, [1.0]), (None, vec())]
+    users = [(f"u{u}", vec()) for u in range(12)] + [("u1", vec()), ("u12", None), (None, vec())]
+    pairs = [(u, a) for u in (*[f"u{i}" for i in range(12)], "u12", "cold", None) for a in (*rnd.sample(range(25), 12), 3, 25, 26, 27, 99, None)]
+    pairs = list(dict.fromkeys(pairs))
+
+    def score(u, i):
+        if i is None:
+            return -math.inf
+        if u is None:
+            return 0.0
+        return None if len(u) != len(i) or None in u or None in i else round(sum(x * y for x, y in zip(u, i)), 9)
+
+    want = Counter((u, a, score(x, y)) for u, a in pairs for x in ([v for k, v in users if k == u and u is not None] or [None])
+                   for y in ([v for k, v in items if k == a and a is not None] or [None]))
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in (
+        (pairs, "user_id string, article_id long"), (users, "user_id string, vec array<double>"), (items, "article_id long, vec array<double>"))]
+    for most in (10, 1 << 19):  # users are spread over several packs by the first
+        monkeypatch.setattr(E, "PACK_PAIRS", most)
+        got = E.cosine_pairs(*frames, out="x").collect()
+        assert Counter((r.user_id, r.article_id, r.x if r.x is None or math.isinf(r.x) else round(r.x, 9)) for r in got) == want
+    assert E.cosine_pairs(*frames[:2], frames[2].limit(0)).filter("score = '-Infinity'").count() == E.cosine_pairs(*frames[:2], frames[2].limit(0)).count()
+    assert E.cosine_pairs(frames[0].limit(0), *frames[1:]).count() == 0
+    assert E.cosine_pairs(frames[0], frames[1].limit(0), frames[2]).filter("score not in (0, '-Infinity')").count() == 0
