@@ -466,7 +466,7 @@ def unzipped(value: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(value.as_buffer()).read_all()
 
 
-def _by_slice(batches: Iterator[pa.RecordBatch], at_once: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def _by_slice(batches: Iterator[pa.RecordBatch], at_once: int = 250_000) -> Iterator[pa.RecordBatch]:
     """One compressed row for each slice of about ``at_once`` rows (_slice, _asked, article_id, term, value)."""
     held: list[pa.RecordBatch] = []
 
@@ -692,7 +692,7 @@ def _clicked_scores(pairs: DataFrame, clicked: ClickedTerms, postings: DataFrame
 
 
 def score_clicked(pairs: DataFrame, clicked: ClickedTerms, postings: DataFrame, pack_rows: int = 2_500_000,
-                  slice_terms: int = 2_000_000) -> DataFrame:
+                  slice_terms: int = 1_000_000) -> DataFrame:
     """:func:`score_pairs` for the words of the articles each user has clicked, whose counts are added where they are used."""
     pairs = checkpointed(pairs.select("user_id", "article_id").dropna())
     return _clicked_scores(pairs, clicked, postings, None, pack_rows, slice_terms).filter("score is not null").drop("known")
@@ -713,7 +713,7 @@ def bm25_pairs(pairs: DataFrame, qterms: DataFrame | ClickedTerms, postings: Dat
         rows = pairs.join(scores, ["user_id", "article_id"], "left").join(catalog, "article_id", "left")
         return rows.select("user_id", "article_id", total)
     pairs = pairs.select("user_id", "article_id")
-    scores = _clicked_scores(pairs.dropna(), qterms, postings, articles, 2_500_000, 2_000_000).select(
+    scores = _clicked_scores(pairs.dropna(), qterms, postings, articles, 2_500_000, 1_000_000).select(
         "user_id", "article_id", F.when(F.col("known"), F.coalesce("score", F.lit(0.0))).otherwise(F.lit(float("-inf"))).alias(out))
     unnamed = pairs.filter(F.col("user_id").isNull() | F.col("article_id").isNull())
     if unnamed.isEmpty():
